@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kondate.llm import exact_dedup, packing, sharding, url_filter
+from kondate.llm import ann, exact_dedup, langid, mixing, ngram_join, packing, pii, sharding, url_filter, warc
 from kondate.llm.common import read
 
 
+def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
+def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample_decisions(read(spark, sf_dir, "documents"), 0.5)
+
+
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 24)
 
 
+def op4_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_spans(pii.find_personal_data(read(spark, sf_dir, "documents")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -22,12 +34,24 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), 4096, 1)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_corpus(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(read(spark, sf_dir, "documents"), 3, 90)
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read(spark, sf_dir, "embeddings"), 10, 100)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_jump_sharding, op5_exact_dedup, op6_best_fit_packing, op10_url_filter]
+    found = [op1_warc_reassembly, op2_raked_mixture, op3_jump_sharding, op4_pii_disclosure, op5_exact_dedup, op6_best_fit_packing, op7_language_id, op8_ngram_jaccard, op9_nearest_neighbours, op10_url_filter]
     return {f.__name__: f for f in found}
 
 
