@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,62 +24,103 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
+#: A full stop or comma between a letter and white space, which is a token apart from both.
+_MARK = re.compile(r"[.,](?<=[a-zà-öø-ÿ].)(?=[ \t-\r])")
+#: A word of letters only, in lower case: one word to the tokenizer, too.
+_LETTERS = re.compile("[a-zà-öø-ÿ]+")
+_HELD: dict[str, WordIds] = {}
+
+
+class WordIds:
     """Token ids, as little-endian unsigned 32-bit bytes, of words between ASCII white space.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. The
-    memory for words is bounded: at `most` entries it starts anew.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. Words
+    are remembered in two generations of at most `most` entries: when the young one is full it becomes the old one,
+    from which what is still in use is taken over.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens at the end of a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of_worker(cls, path: str) -> WordIds:
+        """This Python worker's, which tasks that follow each other in it share."""
+        if path not in _HELD:
+            _HELD[path] = cls(path)
+        return _HELD[path]
+
+    def _each(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.young.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded, strict=True))
+
+    def _letters(self, words: list[bytes]) -> None:
+        """Words of plain letters, tokenized as one text and cut at the tokens that end a word."""
+        for i in range(0, len(words), 5_000):
+            part = words[i : i + 5_000]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                self._each(part)
+                continue
+            coded, at = ids.tobytes(), 0
+            for word, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.young[word] = coded[at:end]
+                at = end
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > self.most:
-            self.clear()
-        new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded, strict=True))
+        """Have all of the words, not more than `most` / 4, in the young generation."""
+        new = words - self.young.keys()
+        if len(self.young) + 2 * len(new) > self.most:
+            self.old, self.young, new = self.young, {}, words
+        letters, others = [], []
+        for word in new:
+            if (known := self.old.get(word)) is not None:
+                self.young[word] = known
+            else:
+                (letters if _LETTERS.fullmatch(word.decode()) else others).append(word)
+        self._letters(letters)
+        self._each(others)
+
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        """The words, in lower case and with single marks apart, so that fewer differ.
+
+        Not so where lower case depends on the context, or where it could make a special token.
+        """
+        if "Σ" not in text and "<|" not in text:
+            text = _MARK.sub(r" \g<0> ", text.lower())
+        return text.encode().split()
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text. Words not yet known are tokenized together, some hundred thousand words at a time."""
+        """The ids of each text. New words are tokenized together, from some ten thousand words at a time."""
         held: list[list[bytes]] = []
         size = 0
         for text in texts:
-            held.append(text.encode().split())
-            size += len(held[-1])
-            if size > 200_000:
+            words = self.words(text)
+            if size + len(words) > 80_000 and held:
                 yield from self._flush(held)
                 held, size = [], 0
+            if len(words) > 80_000:
+                yield b"".join(part for i in range(0, len(words), 80_000) for part in self._flush([words[i : i + 80_000]]))
+                continue
+            held.append(words)
+            size += len(words)
         yield from self._flush(held)
 
     def _flush(self, held: list[list[bytes]]) -> Iterator[bytes]:
-        new = {w for words in held for w in words} - self.keys()
-        if len(new) > self.most // 2:  # one text of very many words: at most half of the memory at a time
-            for words in held:
-                yield b"".join(self._in_parts(words))
-            return
-        if new:
-            if len(self) + len(new) > self.most:
-                self.clear()
-                new = {w for words in held for w in words}
-            self.learn(new)
+        self.learn({w for words in held for w in words})
+        known = self.young
         for words in held:
-            yield b"".join([self[w] for w in words])
-
-    def _in_parts(self, words: list[bytes]) -> Iterator[bytes]:
-        for i in range(0, len(words), self.most // 4):
-            part = words[i : i + self.most // 4]
-            if new := set(part) - self.keys():
-                if len(self) + len(new) > self.most:
-                    self.clear()
-                    new = set(part)
-                self.learn(new)
-            yield b"".join([self[w] for w in part])
+            yield b"".join([known[w] for w in words])
 
 
 def document_pieces(documents: DataFrame, size: int, end_id: int, path: str) -> DataFrame:
@@ -86,7 +128,7 @@ def document_pieces(documents: DataFrame, size: int, end_id: int, path: str) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path)
+        known = WordIds.of_worker(path)
         for batch in batches:
             rows = []
             ids = batch.column("doc_id").to_pylist()
@@ -192,7 +234,7 @@ def sequences(documents: DataFrame, placed: DataFrame, size: int = 4096, end_id:
     end, path = np.array([end_id], "<u4").tobytes(), path or tokenizer_path()
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path)
+        known = WordIds.of_worker(path)
         for batch in batches:
             rows = [(d, p, c[at : at + 4 * size]) for d, c in zip(batch.column("doc_id").to_pylist(), (x + end for x in known.ids([t or "" for t in batch.column("text").to_pylist()])), strict=True) for p, at in enumerate(range(0, len(c), 4 * size))]
             columns = list(zip(*rows, strict=True)) or [[]] * 3
