@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kondate.llm.common import Scratch, broadcast_if_small
@@ -41,32 +41,63 @@ def natural_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return raised.crossJoin(F.broadcast(raised.agg(F.sum("w").alias("all")))).select("value", (F.col("w") / F.col("all")).alias("target"))
 
 
+#: Cells that are raked in one task; more are shuffled.
+ONE_TASK_CELLS = 100_000
+
+
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
     """Cells with weight, scaled margin by margin until every margin's sum of weights is its target.
 
     cells: one row per combination of margins, with tokens; targets: margin to (value, target). Starts from the
     natural shares, so the weights are the closest to them that meet the targets. Stops when the largest relative
     miss is within the tolerance, or after `rounds`, as margins that contradict each other never meet. Values without
-    a target and cells without tokens get weight 0. Each round is one written table, so lineage doesn't grow.
+    a target and cells without tokens get weight 0. Each round is written, so lineage doesn't grow. Up to a counted
+    bound the cells stay in one partition, which needs no shuffles; beyond it, each margin is a grouped sum and a join.
     """
-    names = list(targets)
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    fitted = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(1, total))))
-    fitted = scratch.table(fitted, "rake-0")
+    sums = cells.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
+    fitted = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(1, sums["t"] or 0))))
+    for margin, wanted in targets.items():
+        named = wanted.select(F.col("value").alias(margin), F.col("target").alias(f"_t_{margin}"))
+        fitted = fitted.join(named, margin, "left").na.fill(0.0, [f"_t_{margin}"])
+    small = sums["n"] <= ONE_TASK_CELLS
+    fitted = scratch.table(fitted.coalesce(1) if small else fitted, "rake-0")
     for turn in range(1, rounds + 1):
-        for margin in names:
-            sums = fitted.groupBy(margin).agg(F.sum("weight").alias("_sum"))
-            factor = sums.join(targets[margin].withColumnRenamed("value", margin), margin, "left").select(margin, F.coalesce(F.try_divide(F.coalesce("target", F.lit(0.0)), F.col("_sum")), F.lit(0.0)).alias("_factor"))
-            fitted = fitted.join(factor, margin).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
-        fitted = scratch.table(fitted.select(*cells.columns, "weight"), f"rake-{turn}")
-        miss = None
-        for margin in names[:-1]:  # the last was met just now
-            sums = fitted.groupBy(F.col(margin).alias("value")).agg(F.sum("weight").alias("_sum"))
-            part = sums.join(targets[margin], "value").select(F.abs(F.try_divide(F.col("_sum"), F.col("target")) - 1).alias("miss"))
-            miss = part if miss is None else miss.unionByName(part)
-        if miss is None or (miss.agg(F.max("miss")).first()[0] or 0.0) <= tolerance:
+        fitted = _round(fitted.coalesce(1), targets) if small else _shuffled_round(fitted, targets, scratch, turn)
+        fitted = scratch.table(fitted, f"rake-{turn}")
+        if (fitted.agg(F.max("miss")).first()[0] or 0.0) <= tolerance:
             break
-    return fitted
+        fitted = fitted.drop("miss")
+    return fitted.select(*cells.columns, "weight")
+
+
+def _scaled(margin: str) -> Column:
+    return F.col("weight") * F.coalesce(F.try_divide(F.col(f"_t_{margin}"), F.col("_sum")), F.lit(0.0))
+
+
+def _miss(margin: str) -> Column:
+    return F.coalesce(F.abs(F.try_divide(F.col("_sum"), F.col(f"_t_{margin}")) - 1), F.lit(0.0))
+
+
+def _round(fitted: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
+    for margin in targets:
+        fitted = fitted.withColumn("_sum", F.sum("weight").over(Window.partitionBy(margin))).withColumn("weight", _scaled(margin))
+    miss = F.lit(0.0)
+    for margin in list(targets)[:-1]:  # the last was met just now
+        fitted = fitted.withColumn("_sum", F.sum("weight").over(Window.partitionBy(margin))).withColumn(f"_m_{margin}", _miss(margin))
+        miss = F.greatest(miss, F.col(f"_m_{margin}"))
+    return fitted.withColumn("miss", miss).drop("_sum", *[f"_m_{m}" for m in targets])
+
+
+def _shuffled_round(fitted: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, turn: int) -> DataFrame:
+    miss = F.lit(0.0)
+    for i, margin in enumerate([*targets, *list(targets)[:-1]]):
+        joined = fitted.join(fitted.groupBy(margin).agg(F.sum("weight").alias("_sum")), margin)
+        if i < len(targets):
+            fitted = scratch.table(joined.withColumn("weight", _scaled(margin)).drop("_sum"), f"rake-{turn}-{margin}")
+        else:
+            fitted = joined.withColumn(f"_m_{margin}", _miss(margin)).drop("_sum")
+            miss = F.greatest(miss, F.col(f"_m_{margin}"))
+    return fitted.withColumn("miss", miss).drop(*[f"_m_{m}" for m in targets])
 
 
 def mixture(documents: DataFrame, fraction: float = 0.5, powers: Mapping[str, float] = POWERS, targets: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, int]:

@@ -1,0 +1,444 @@
+"""The ten operators against brute force, on tables with nulls, empty and long texts, ties, repeats and odd columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kondate.llm import ann, exact_dedup, langid, mixing, ngram_join, packing, pii, sharding, url_filter, warc
+from kondate.llm.common import Scratch
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, slot int, kept string, label long, digest string, _t string"
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def documents(spark, rows):
+    """Rows of (doc_id, text[, lang, source]), with further columns whose names the operators use themselves."""
+    return spark.createDataFrame([(r[0], r[1], *(r[2:] or ("en", "a")), None, 1, "x", 3, "y", "z") for r in rows], DOC)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, data):
+    return [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+
+
+def odd(corpus):
+    """The corpus with null, empty, very long, repeated and copied rows."""
+    long = " ".join(f"w{i * i % 9973}" for i in range(60_000))
+    return [*corpus, (9001, None, None, None), (9002, "", "en", None), (9003, "", "en", "a"), (9004, long, "en", "a"), (9005, long + "\t", "en", "a"), (9006, "one  two", "en", "a"), (9007, "one\x0btwo", "en", "a"), (9006, "one  two", "en", "a"), (9008, "ONE two", "en", "a"), (None, "one two", "en", "a")]
+
+
+# -- 1 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_archives(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choice("aäß日\r\n ") for _ in range(150_000))
+    rows = [(1, "https://a/\r\nX: y", "x" * 100), (2, "u", "x" * 100), (3, "u", "x" * 99), (4, "u", "x" * 99), (5, None, None), (6, "u", ""), (7, "ü", long), (8, "u", long), (9, "u", "WARC/1.1\r\n\r\n0\r\n\r\n" * 9), (7, "ü", long), (None, "u", long), (12, "u", "é" * 50), (11, "u", "é" * 50)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, record_type string, refers_to int")
+    found = warc.archive_pages(pages).collect()
+    first = {}
+    for i, _, html in sorted((r for r in rows if r[0]), key=lambda r: r[0]):
+        first.setdefault(html or "", i)
+    wanted = []
+    for i, _, html in rows:
+        body = (html or "").encode()
+        refers = first[html or ""] if i and len(body) >= 100 and first[html or ""] != i else None
+        wanted.append((i, len(body), hashlib.sha256(body).hexdigest(), "revisit" if refers else "response", refers, None))
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, wanted))
+
+
+def test_archive_checks(spark):
+    payload = b"abc" * 1000
+    assert warc.dechunked(warc.chunked(payload, 7)) == payload and warc.dechunked(warc.chunked(b"", 7)) == b""
+    records = list(warc.records_of(1, "u", payload, None, "<urn:x>", 500, 64))
+    folder = Scratch(spark, "broken").path("archives")
+
+    def read(kept):
+        lines = spark.createDataFrame([(bytearray(r),) for r in kept], "v binary").select(F.col("v").cast("string"))
+        lines.write.mode("overwrite").option("lineSep", "\r\n\r\n").text(folder)
+        return [(r["payload"] and bytes(r["payload"]), r["problem"]) for r in warc.read_archives(spark, folder).collect()]
+
+    assert len(records) > 3
+    assert read(records[::-1]) == [(payload, None)]
+    assert read(records[:1] + records[2:]) == [(None, "segments are missing")]
+    assert read(records[:-1])[0][0] is None
+    assert read([records[-1].replace(b"Total-Length: ", b"Total-Length: 1"), *records[:-1]]) == [(None, "the total length differs")]
+
+
+# -- 2 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_raking_meets_its_margins(spark, corpus):
+    rows = mixing.with_margins(documents(spark, odd(corpus)))
+    cells, _ = mixing.mixture(rows, 0.5)
+    found = cells.toPandas()
+    table = rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("t")).toPandas()
+    weight = table.assign(w=table["t"] / table["t"].sum())
+    targets = {}
+    for m in mixing.MARGINS:
+        share = table.groupby(f"_{m}")["t"].sum()
+        share = share[share > 0] ** mixing.POWERS[m]
+        targets[m] = share / share.sum()
+    for _ in range(200):  # the same by numpy
+        for m in mixing.MARGINS:
+            weight["w"] *= weight[f"_{m}"].map(targets[m]).fillna(0) / weight.groupby(f"_{m}")["w"].transform("sum").replace(0, 1)
+    keys = [f"_{m}" for m in mixing.MARGINS]
+    both = found.merge(weight, on=keys)
+    assert len(both) == len(found) == len(weight)
+    assert np.allclose(both["weight"], both["w"], atol=1e-3)
+    assert ((found["probability"] >= 0) & (found["probability"] <= 1)).all()
+
+
+def test_raking_alike_by_shuffles(spark, corpus, monkeypatch):
+    rows = mixing.with_margins(documents(spark, corpus)).select("doc_id", *[f"_{m}" for m in mixing.MARGINS], "_tokens").persist()
+    weights = []
+    for most in (mixing.ONE_TASK_CELLS, 0):
+        monkeypatch.setattr(mixing, "ONE_TASK_CELLS", most)
+        weights.append({tuple(r[:3]): r[3] for r in mixing.mixture(rows, 0.5)[0].select("_source", "_lang", "_topic", "weight").collect()})
+    assert weights[0] == pytest.approx(weights[1])
+
+
+def test_sampling(spark, corpus):
+    docs = documents(spark, odd(corpus))
+    found = mixing.sample_decisions(docs, 0.5).collect()
+    assert len(found) == len(odd(corpus))
+    plain = {r[0]: len((r[1] or "").encode().split()) for r in odd(corpus)}
+    assert all(r["tokens"] == plain[r["doc_id"]] for r in found)
+    assert Counter(r["doc_id"] for r in found if r["sampled"]) == Counter(r["doc_id"] for r in mixing.sample_documents(docs, 0.5).collect())
+    everything = mixing.sample_decisions(documents(spark, corpus), 1e9).where("tokens > 0 and not sampled").count()
+    assert everything == 0
+    assert mixing.sample_decisions(documents(spark, [(1, "a b")]).where("false")).count() == 0
+    assert mixing.sample_documents(docs, 0.5).columns == docs.columns
+
+
+# -- 3 ---------------------------------------------------------------------------------------------------------------
+
+
+def jump(key, n):
+    key, b, j = key & (2**64 - 1), -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) & (2**64 - 1)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_jump_shards(spark, corpus):
+    rows = odd(corpus) + [(2**63 - 1, "a"), (-5, "b"), (-(2**63), "c"), (0, "d")]
+    found = sharding.shard_documents(documents(spark, [r if len(r) > 2 else (*r, "en", "a") for r in rows])).collect()
+    assert len(found) == len(rows)
+    sizes = Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == sizes
+    slots = defaultdict(list)
+    for r in found:
+        assert (r["shard"], r["grown_shard"]) == (jump(r["doc_id"] or 0, 24), jump(r["doc_id"] or 0, 25))
+        assert r["law"] == "key"
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.shard_documents(documents(spark, [(1, "a")]).where("false")).count() == 0
+
+
+# -- 4 ---------------------------------------------------------------------------------------------------------------
+
+EMAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def plain_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    found = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in CARD.finditer(text):
+        total = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(digits(m)[::-1]))
+        found += [(m.start(), 2, m.end())] * (12 <= len(digits(m)) <= 19 and total % 10 == 0)
+    found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+    return sorted(found)
+
+
+def test_base_spans(corpus):
+    rng = random.Random(2)
+    made = ["".join(rng.choice("a.@-1 2+(9") for _ in range(rng.randrange(60))) for _ in range(4000)]
+    hard = ["a@b.c@d.e", "x@y..z", "1.2.3.4.5.6.7.8", "0000255.1.1.256", "4111 1111-1111 1111", "+1 (555) 010-9999)", "a@@b.c", ".@a.b", "é@a.b", "１２３", "9" * 100_000, "a" * 100_000, "1." * 50_000, "+1" * 1000]
+    for text in [*made, *hard, *[r[1] for r in corpus if r[1]]]:
+        assert pii.base_spans(text) == plain_spans(text), text[:80]
+
+
+def test_disclosure(spark):
+    rows = [(i, f"the ward of zanzibar number{'x' * i} wrote from a{i % 2}@b.org to everyone", "en", "a") for i in range(6)]
+    rows += [(100 + i, f"the ward number{'y' * i} wrote to everyone", "en", "a") for i in range(40)]
+    rows += [(200, None, None, None), (201, "", None, None), (202, "zanzibar alone", "en", "a"), (0, rows[0][1], "en", "a")]
+    docs = documents(spark, rows)
+    found = pii.find_personal_data(docs)
+    out = {r["doc_id"]: r for r in pii.digest_spans(found).collect()}
+    assert pii.digest_spans(found).count() == len(rows)
+    for i, text, *_ in rows:
+        base = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in plain_spans(text or ""))
+        assert out[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    assert "term:16:24" not in out[202]["spans"] and out[202]["spans"] == "" and out[200]["spans"] == ""
+    start = rows[0][1].index("zanzibar")
+    assert f"term:{start}:{start + 8}" in out[0]["spans"]  # stands only where one of the two addresses does
+    assert "ward" not in [rows[0][1][int(a) : int(b)] for a, b in re.findall(r"term:(\d+):(\d+)", out[0]["spans"])]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs, found).collect()}
+    assert "@" not in clean[1] and "zanzibar" not in clean[1] and "[EMAIL]" in clean[1] and clean[202] == "zanzibar alone"
+    assert pii.digest_spans(pii.find_personal_data(docs.where("false"))).count() == 0
+
+
+# -- 5 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_exact_groups(spark, corpus):
+    rows = odd(corpus)
+    found = exact_dedup.exact_groups(documents(spark, rows).repartition(7)).collect()
+    groups = defaultdict(list)
+    for i, text, *_ in rows:
+        groups[SPACE.sub(" ", text or "")].append(i)
+    wanted = Counter()
+    for i, text, *_ in rows:
+        norm = SPACE.sub(" ", text or "")
+        keep = min(x for x in groups[norm] if x is not None)
+        wanted[(i, keep, len(groups[norm]), i == keep, hashlib.sha256(norm.encode()).hexdigest())] += 1
+    assert Counter(tuple(r) for r in found) == wanted
+    docs = documents(spark, rows)
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(min(x for x in g if x is not None) for g in groups.values())
+    assert exact_dedup.exact_groups(docs.where("false")).count() == exact_dedup.keep_first(docs.where("false")).count() == 0
+
+
+def test_tree_merge_exchanges_every_digest(spark):
+    rows = spark.range(0, 5000, 1, 13).select(F.col("id").alias("doc_id"), F.unhex(F.sha2((F.col("id") % 700).cast("string").cast("binary"), 256)).alias("digest"), F.lit(1).cast("long").alias("check"))
+    for radix, rounds in ((2, 3), (8, 2), (3, 1)):
+        found = exact_dedup.tree_merge(rows, radix, rounds).collect()
+        assert sorted(r["keep_id"] for r in found) == list(range(700)) and sum(r["group_size"] for r in found) == 5000
+
+
+# -- 6 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_packing(spark, corpus):
+    from tokenizers import Tokenizer
+
+    rows = [(*r, ) for r in odd(corpus)] + [(9100, "Don't!! ４２ ½ Σας <|endoftext|>x a.  B\u3000c", "en", "a")]
+    docs = documents(spark, rows)
+    found = [r.asDict() for r in packing.pack_documents(docs, group_rows=100).collect()]
+    tokenizer, wanted = Tokenizer.from_file(packing.tokenizer_path()), Counter()
+    for i, text, *_ in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            wanted[(i, piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == wanted
+    bins = defaultdict(list)
+    for r in found:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for placed in bins.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(bins) <= math.ceil(sum(r["length"] for r in found) / 4096) * 1.05 + 1
+    assert packing.pack_documents(docs.where("false")).count() == 0
+    one = documents(spark, corpus[:5])
+    whole = packing.sequences(one, packing.pack_documents(one)).collect()
+    assert sum(len(r["ids"]) for r in whole) == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in corpus[:5])
+
+
+def test_best_fit_is_the_plain_one():
+    rng = np.random.default_rng(4)
+    for size, n in ((10, 50), (64, 300), (4096, 200)):
+        lengths = rng.integers(1, size + 1, n)
+        bins, offsets = packing.best_fit_decreasing(lengths, size)
+        left, plain = [], 0
+        for need in sorted(lengths.tolist(), reverse=True):
+            fit = [x for x in left if x >= need]
+            if fit:
+                left.remove(min(fit))
+                left.append(min(fit) - need)
+            else:
+                plain += 1
+                left.append(size - need)
+        assert len(set(bins.tolist())) == plain
+
+
+# -- 7 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_language_held_out(spark, corpus):
+    known = [r for r in corpus if r[2]]
+    train, rest = known[::2], known[1::2]
+    rows = langid.document_rows(documents(spark, [(i, t, None, None) for i, t, *_ in rest]))
+    found = {r["doc_id"]: r for r in langid.identify(rows, langid.labelled_rows(documents(spark, train))).collect()}
+    assert np.mean([found[i]["language"] == lang for i, _, lang, _ in rest]) >= 0.98
+    assert np.mean([found[i]["accepted"] for i, *_ in rest]) >= 0.98
+
+
+def test_language_evidence(spark, corpus):
+    train = langid.labelled_rows(documents(spark, corpus))
+    pages = [(1, "https://x.example.fr/", '<html lang="fr"><script>the and of</script><p>le les des que la</p>'), (2, None, None), (3, "nonsense", ""), (4, "https://x.example.fr/", "<p>--- 123</p>"), (4, "https://x.example.fr/", "<p>--- 123</p>"), (5, "https://y.de/", "<html lang=fr>" + "x" * 200_000)]
+    rows = langid.page_rows(spark.createDataFrame([(*p, "a", "b") for p in pages], "page_id long, url string, html string, language string, host string"))
+    docs = langid.document_rows(documents(spark, [*corpus, (9001, None, None, None), (9002, "zq" * 400 + " xjq" * 400, None, None)]))
+    found = langid.identify(docs.unionByName(rows), train).collect()
+    by_page = {r["page_id"]: r for r in found if r["page_id"]}
+    assert len(found) == len(corpus) + 2 + len(pages)
+    assert by_page[1]["language"] == "fr" and by_page[1]["accepted"]
+    assert not any(by_page[i]["accepted"] for i in (2, 3, 4))
+    by_doc = {r["doc_id"]: r for r in found if r["doc_id"] is not None}
+    assert not by_doc[9001]["accepted"] and not by_doc[9002]["accepted"]
+    assert langid.identify(docs.where("false"), train).count() == langid.identify(docs, train.where("false")).where("accepted").count() == 0
+
+
+def test_host_prior_decides_without_letters_of_its_own(spark):
+    words = {"fr": "le les des que", "en": "the and of to"}
+    train = spark.createDataFrame([(w, k) for k, w in words.items() for _ in range(10)], "text string, label string")
+    rows = [(i, words["fr"], "a.b.fr") for i in range(30)] + [(i, words["en"], "c.d.com") for i in range(30, 60)] + [(99, "zz", "a.b.fr"), (98, "zz", "c.d.com")]
+    df = spark.createDataFrame(rows, "k int, text string, host string").withColumns({"markup": F.lit(False), "declared": F.lit(None).cast("string"), "suffix": F.lit(None).cast("string")})
+    found = {r["k"]: r["language"] for r in langid.identify(df, train).collect()}
+    assert found[99] == "fr" and found[98] == "en"
+
+
+# -- 8 ---------------------------------------------------------------------------------------------------------------
+
+
+def plain_components(rows, size, share):
+    sets = {}
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[i] = ({tuple(words)} if 0 < len(words) < size else set(zip(*[words[k:] for k in range(size)], strict=False)))
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = list(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= share * (len(sets[a]) + len(sets[b]) - both) and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def near_copies(rng, count, words, edits):
+    base = [f"w{rng.randrange(3000)}" for _ in range(words)]
+    for _ in range(count):
+        copy = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            copy[rng.randrange(words)] = f"w{rng.randrange(3000)}"
+        yield " ".join(copy)
+
+
+@pytest.mark.parametrize(("size", "share"), [(3, 90), (5, 80)])
+def test_ngram_components(spark, corpus, size, share):
+    rng = random.Random(size)
+    texts = [t for words in (3, 8, 20, 40, 120, 700) for _ in range(3) for t in near_copies(rng, 12, words, max(1, words // 15))]
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [passage + " " + " ".join(f"w{rng.randrange(3000)}" for _ in range(n)) for n in (2, 3, 5, 30, 60, 90) for _ in range(6)]
+    rng.shuffle(texts)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, t) for i, (_, t, *_) in enumerate(corpus)] + [(9001, None), (9002, ""), (9003, " \t "), (9004, "One"), (9005, "one"), (9006, "a B"), (9007, "a  b")]
+    wanted = plain_components(rows, size, share)
+    found = ngram_join.link_components(documents(spark, rows + rows[:3]), size, share).collect()
+    assert len(found) == len(rows) + 3
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == wanted
+    assert len({c for _, c in wanted.values()}) < len(rows) - 50
+
+
+def test_ngram_components_edges(spark):
+    twice = documents(spark, [(1, "a b c d"), (2, "x y z w"), (3, "a b c d"), (3, "x y z w"), (None, "a b c d"), (4, "q")])
+    found = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.link_components(twice).collect())
+    assert found == Counter({(1, 1): 1, (2, 1): 1, (3, 1): 2, (None, None): 1, (4, 4): 1})
+    assert ngram_join.link_components(twice.where("false")).count() == 0
+
+
+def test_divide_skip():
+    rng = np.random.default_rng(5)
+    for share in (50, 80, 90):
+        for _ in range(60):
+            query = np.unique(rng.integers(0, 60, 40)).astype("u8")
+            sets = [np.unique(np.concatenate([rng.choice(query, rng.integers(1, len(query) + 1), replace=False), rng.integers(0, 80, rng.integers(0, 6)).astype("u8")])) for _ in range(30)]
+            plain = [i for i, s in enumerate(sets) if 100 * (o := len(np.intersect1d(query, s))) >= share * (len(query) + len(s) - o)]
+            assert sorted(ngram_join.divide_skip(query, sets, share)) == plain
+
+
+def test_list_stream_across_batches(spark):
+    rows = [(e, d) for e, n in ((1, 1), (2, 7), (3, 1), (4, 2), (-5, 3), (6, 30)) for d in range(n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = ngram_join.shared_elements(spark.createDataFrame(rows, "element long, doc_id long").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter((r["element"], r["length"]) for r in found) == Counter({(2, 7): 7, (4, 2): 2, (-5, 3): 3, (6, 30): 30})
+
+
+# -- 9 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16)) * 4
+    x = centres[rng.integers(0, 12, 2500)] + rng.normal(size=(2500, 16)) * 0.3
+    x[500:900] = x[3]  # many copies of one vector
+    rows = [(i, [float(c) for c in v.astype("f4")]) for i, v in enumerate(x)]
+    rows += [(100_000, None), (100_100, [0.0] * 16), (100_200, [None] * 16), (100_300, [math.nan] * 16), (100_400, [math.inf] * 16), (100_500, [1.0] * 3), (0, rows[0][1])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, rank int, score int")
+    found = defaultdict(list)
+    for r in ann.nearest_neighbours(df, shard_rows=600).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    data = np.array([v for _, v in rows[:2500]])
+    hits = 0
+    for q in range(0, 2500, 100):
+        far = np.sqrt(((data - data[q]) ** 2).sum(1))
+        best = sorted((f, i) for i, f in enumerate(far) if i != q)[:10]
+        assert [r for r, *_ in found[q]] == list(range(1, 11))
+        assert all(s == pytest.approx(far[v], abs=1e-12) for _, v, s in found[q])
+        hits += len({i for _, i in best} & {v for _, v, _ in found[q]})
+    assert set(found) == set(range(0, 2500, 100))
+    assert hits >= 0.97 * 250
+    few = ann.nearest_neighbours(df.where("vec_id in (0, 1, 2)")).collect()
+    assert len(few) == 2
+    assert ann.nearest_neighbours(df.where("false")).count() == 0
+
+
+# -- 10 --------------------------------------------------------------------------------------------------------------
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def plain_rule(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")
+    fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_url_rules(spark, data):
+    urls = [r[0] for r in spark.read.parquet(f"{data}/pages.parquet").select("url").collect()]
+    urls += [None, "", "no scheme", "x://", "https://WWW.Example.COM/en/a", "https://a.example.com/en/", "https://example.com/en", "https://com", "https://com/", "https://xcom/", "http://a.net/es/1", "http://net/fr/", "http://net/fr", "a://b://c.com/", "https://É.com/x?y#z", "https://a.com#/x", "https://a.com\n/x", "https://a.org/" + "x/" * 3000]
+    pages = spark.createDataFrame([(i, u, "h", "t") for i, u in enumerate(urls)] + [(0, urls[0], "h", "t")], "page_id long, url string, host string, template string")
+    labels = spark.read.parquet(f"{data}/labels.parquet").unionByName(spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int"))
+    found = url_filter.judge_urls(pages, labels).collect()
+    assert len(found) == len(urls) + 1
+    for r in found:
+        host, path, rule, verdict = plain_rule(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == verdict if rule else r["verdict"] in ("allow", "block")
+    assert url_filter.judge_urls(pages.where("false"), labels).count() == 0
+    assert url_filter.judge_urls(pages, labels.where("false")).where("rule is null and verdict = 'block'").count() == 0
+
+
+def test_url_templates_learn(spark):
+    rows = [(i, f"https://a.org/shop/{i}", 1) for i in range(60)] + [(100 + i, f"https://a.org/spam/{i}", 0) for i in range(60)] + [(200 + i, f"https://b.org/user/name{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}", 1) for i in range(60)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if i % 2], "doc_id long, quality int, toxic int")
+    found = {r["page_id"]: r for r in url_filter.judge_urls(pages, labels, []).collect()}
+    assert {found[i]["verdict"] for i in range(60)} == {"allow"} and {found[100 + i]["verdict"] for i in range(60)} == {"block"}
+    assert found[101]["template"] == "/spam/*"
+    assert {found[200 + i]["template"] for i in range(60)} <= {"/user/*", "/*"}  # names vary, and one branch is merged upwards
