@@ -2,47 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one or two long columns that may be broadcast: 16 MB or so in memory.
-BROADCAST_ROWS = 500_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where the session names none (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = found.get() if found.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="kondate-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
+from kondate.tables import Scratch
 
-class Scratch:
-    """Intermediate tables of one operator run, written to the shared folder so that a lost executor costs no lineage."""
+__all__ = ["BROADCAST_ROWS", "Scratch", "broadcast_if_small", "read"]
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Remove tables that nothing reads any more."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows of one or two long columns that may be broadcast: 16 MB or so in memory.
+BROADCAST_ROWS = 500_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
