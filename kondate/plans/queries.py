@@ -565,13 +565,22 @@ def a_collection_progress(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_with(fx.OUTCOMES) + """, p AS (SELECT store, count(*) FILTER (WHERE outcome = 'added') AS added, min(seq) FILTER (WHERE outcome = 'error' AND seq % 97 = 0) AS seq FROM outcomes GROUP BY store)
-SELECT store, added, CASE WHEN seq IS NULL THEN 'done' WHEN seq = (SELECT min(seq) FROM p) THEN 'collecting' ELSE 'waiting' END AS state FROM p""".replace(", p AS", ", p AS"))
+SELECT store, added, CASE WHEN seq IS NULL THEN 'done' WHEN seq = (SELECT min(seq) FROM p) THEN 'collecting' ELSE 'waiting' END AS state FROM p""")
 def a_store_completion(spark: SparkSession, d: str) -> DataFrame:
     """A5."""
     rows = fx.outcomes(spark, d)
     return progress.store_completion(progress.collection_progress(rows), rows.where("outcome = 'error' and seq % 97 = 0"))
 
 
+@query(_with(fx.OUTCOMES) + f"""SELECT count(*) AS stores, count(*) FILTER (WHERE seq IS NULL) AS done, min_by(store, seq) AS active, list_position({fx._LIST}, min_by(store, seq))::INT AS position, false AS empty
+FROM (SELECT store, min(seq) FILTER (WHERE outcome = 'error' AND seq % 97 = 0) AS seq FROM outcomes GROUP BY store)""")
+def a_completion_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A5, in one row."""
+    rows = fx.outcomes(spark, d)
+    done = progress.store_completion(progress.collection_progress(rows), rows.where("outcome = 'error' and seq % 97 = 0"))
+    return progress.completion_summary(done, dims.stores(spark))
+
+
 @query(_with(fx.OUTCOMES) + "SELECT store, url, seq FROM outcomes WHERE reason <> '' QUALIFY row_number() OVER (PARTITION BY store ORDER BY seq DESC, url DESC) <= 100")
 def a_recent_errors(spark: SparkSession, d: str) -> DataFrame:
     """A6, by chain."""
