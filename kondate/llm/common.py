@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kondate.tables import Scratch
 
-__all__ = ["BROADCAST_ROWS", "Scratch", "broadcast_if_small", "read"]
+__all__ = ["BROADCAST_ROWS", "Scratch", "broadcast_if_small", "read", "worker_memory"]
 
 #: Rows of one or two long columns that may be broadcast: 16 MB or so in memory.
 BROADCAST_ROWS = 500_000
@@ -20,3 +23,17 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+_HELD: dict[str, Any] = {}
+
+
+def worker_memory(name: str, make: Callable[[], Any]) -> Any:
+    """What this Python worker remembers from one task to the next, under one name at a time.
+
+    Workers serve the tasks of many operators; asking for another name lets go of what the last one left.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]

@@ -13,13 +13,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kondate.llm.common import Scratch, broadcast_if_small
+from kondate.llm.common import Scratch, broadcast_if_small, worker_memory
 
 #: Odd constants of the 64-bit mixing functions.
 _K = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)]
 PAIRS = "leader long, doc_id long"
 #: Distinct words whose hashes a worker keeps.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 300_000
 
 
 class WordHash(dict):
@@ -124,7 +124,7 @@ def profiles(documents: DataFrame, size: int, share: int) -> DataFrame:
     """doc_id, n_shingles, first (those in the first zone), digest (of the set) of every row."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordHash(), zone_end(share)
+        words, end = worker_memory("words", WordHash), zone_end(share)
         for batch in batches:
             counts, firsts, digests = [], [], []
             for text in batch.column("text"):
@@ -147,7 +147,7 @@ def postings(documents: DataFrame, size: int, share: int, whole: bool) -> DataFr
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordHash(), zone_end(share)
+        words, end = worker_memory("words", WordHash), zone_end(share)
         for batch in batches:
             held, ids, rows = [], [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -277,17 +277,17 @@ def sets_of(documents: DataFrame, size: int) -> DataFrame:
     """doc_id, elements: the shingle hashes, sorted, as packed 64-bit integers."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
+        words = worker_memory("words", WordHash)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
                 found = [shingle_set(t.as_py(), words, size).tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "elements"])
 
     return documents.mapInArrow(pack, "doc_id long, elements binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, share: int, chunk: int = 256) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, share: int, chunk: int = 128) -> DataFrame:
     """Of the candidate pairs (leader, doc_id) those that link.
 
     Each leader's candidates are searched as one small index; a leader with many has several of about `chunk`, so no
@@ -307,7 +307,7 @@ def linked(pairs: DataFrame, sets: DataFrame, share: int, chunk: int = 256) -> D
 
         for batch in batches:
             out = []
-            for leader, part, doc_id, elements in zip(*(batch.column(c).to_pylist() for c in ("leader", "part", "doc_id", "elements")), strict=True):
+            for leader, part, doc_id, elements in (row for i in range(0, batch.num_rows, 64) for row in zip(*(batch.slice(i, 64).column(c).to_pylist() for c in ("leader", "part", "doc_id", "elements")), strict=True)):
                 if (leader, part) != key:
                     out += flush()
                     key, asked, ids, sets_ = (leader, part), [], [], []

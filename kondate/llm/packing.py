@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kondate.llm.common import Scratch
+from kondate.llm.common import Scratch, worker_memory
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -28,7 +28,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 _MARK = re.compile(r"[.,](?<=[a-zà-öø-ÿ].)(?=[ \t-\r])")
 #: A word of letters only, in lower case: one word to the tokenizer, too.
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
-_HELD: dict[str, WordIds] = {}
 
 
 class WordIds:
@@ -49,13 +48,6 @@ class WordIds:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    @classmethod
-    def of_worker(cls, path: str) -> WordIds:
-        """This Python worker's, which tasks that follow each other in it share."""
-        if path not in _HELD:
-            _HELD[path] = cls(path)
-        return _HELD[path]
-
     def _each(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 10_000):
             part = words[i : i + 10_000]
@@ -128,7 +120,7 @@ def document_pieces(documents: DataFrame, size: int, end_id: int, path: str) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds.of_worker(path)
+        known = worker_memory(f"ids {path}", lambda: WordIds(path))
         for batch in batches:
             rows = []
             ids = batch.column("doc_id").to_pylist()
@@ -234,7 +226,7 @@ def sequences(documents: DataFrame, placed: DataFrame, size: int = 4096, end_id:
     end, path = np.array([end_id], "<u4").tobytes(), path or tokenizer_path()
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds.of_worker(path)
+        known = worker_memory(f"ids {path}", lambda: WordIds(path))
         for batch in batches:
             rows = [(d, p, c[at : at + 4 * size]) for d, c in zip(batch.column("doc_id").to_pylist(), (x + end for x in known.ids([t or "" for t in batch.column("text").to_pylist()])), strict=True) for p, at in enumerate(range(0, len(c), 4 * size))]
             columns = list(zip(*rows, strict=True)) or [[]] * 3
