@@ -48,7 +48,7 @@ def _number(text: Column, pattern: str) -> Column:
 
 def pick_product_heading(parsed: DataFrame, original=original_host) -> DataFrame:
     """Adds heading: the first that is the title, else the only h1 on hosts whose titles differ from their headings."""
-    texts = F.concat(F.array(F.trim(_before(F.coalesce("page.title", F.lit("")), TITLE_END))), F.transform("page.headings", lambda h: h["text"]))
+    texts = F.concat(F.array(F.regexp_replace(_before(F.coalesce("page.title", F.lit("")), TITLE_END), r"(?U)^\s+|\s+$", "")), F.transform("page.headings", lambda h: h["text"]))
     folded = parsed.withColumn("_texts", F.split(norm_text(F.array_join(texts, "\u0001")), "\u0001", -1))
     title = F.element_at("_texts", 1)
     numbered = F.arrays_zip(F.col("page.headings").alias("h"), F.slice("_texts", 2, F.size("page.headings")).alias("t"))

@@ -78,7 +78,7 @@ def parse_html(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """title, texts, links, headings; a heading has the index of the text at which it begins. Null is an empty page."""
     for part in pages:
         found = [_parsed(x) for x in part]
-        yield pd.DataFrame({"title": [x.title for x in found], "texts": [x.texts for x in found], "links": [x.links for x in found], "headings": [x.headings for x in found]})
+        yield pd.DataFrame({"title": [unicodedata.normalize("NFKC", x.title) for x in found], "texts": [x.texts for x in found], "links": [x.links for x in found], "headings": [x.headings for x in found]})
 
 
 @F.pandas_udf(T.StringType())

@@ -90,7 +90,7 @@ def fixed(value: Column, digits: int) -> Column:
     def rounded(size: Column, high: Column) -> Column:
         rest = lambda n: (high * scale - n) + (size - high) * scale
         whole = _let(F.floor(size * scale).cast("double"), lambda n: n + F.floor(rest(n)))
-        return _let(whole, lambda n: _let(rest(n), lambda r: n + F.when((r > 0.5) | ((r == 0.5) & (n % 2 == 1)), 1).otherwise(0)))
+        return _let(whole, lambda n: _let(rest(n + 0.5), lambda r: n + F.when((r > 0) | ((r == 0) & (n % 2 == 1)), 1).otherwise(0)))
 
     def written(size: Column) -> Column:
         n = _let(size * 134217729.0, lambda wide: rounded(size, wide - (wide - size))).cast("long")
