@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kondate.tables import Scratch
+from kondate import tables
 
-__all__ = ["BROADCAST_ROWS", "Scratch", "broadcast_if_small", "read", "worker_memory"]
+#: Rows of whole texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
 
 #: Rows of one or two long columns that may be broadcast: 16 MB or so in memory.
 BROADCAST_ROWS = 500_000
 
 
+class Scratch(tables.Scratch):
+    """Intermediate tables, written in small Arrow batches, as rows hold whole texts."""
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
+        before = conf.get(key)
+        try:
+            conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+            return super().table(df, name)
+        finally:
+            conf.set(key, before)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint for a table of a counted size; beyond the bound the join shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -35,5 +51,7 @@ def worker_memory(name: str, make: Callable[[], Any]) -> Any:
     """
     if name not in _HELD:
         _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _HELD[name] = make()
     return _HELD[name]

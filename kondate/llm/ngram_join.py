@@ -19,7 +19,7 @@ from kondate.llm.common import Scratch, broadcast_if_small, worker_memory
 _K = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)]
 PAIRS = "leader long, doc_id long"
 #: Distinct words whose hashes a worker keeps.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 
 
 class WordHash(dict):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,13 +38,13 @@ class WordIds:
     from which what is still in use is taken over.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens at the end of a word
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies spell as themselves
+        others = (x for x in range(256) if x not in printed)
+        self.spelled = {x: chr(x) for x in printed} | {x: chr(256 + i) for i, x in enumerate(others)}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -55,18 +55,11 @@ class WordIds:
             self.young.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded, strict=True))
 
     def _letters(self, words: list[bytes]) -> None:
-        """Words of plain letters, tokenized as one text and cut at the tokens that end a word."""
-        for i in range(0, len(words), 5_000):
-            part = words[i : i + 5_000]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):
-                self._each(part)
-                continue
-            coded, at = ids.tobytes(), 0
-            for word, end in zip(part, (4 * ends).tolist(), strict=True):
-                self.young[word] = coded[at:end]
-                at = end
+        """Words of plain letters, which the tokenizer's other steps leave as they are, by its model alone."""
+        tokenize, spelled = self.tokenizer.model.tokenize, self.spelled
+        for word in words:
+            found = tokenize(word.decode() if word.isascii() else "".join([spelled[b] for b in word]))
+            self.young[word] = b"".join([t.id.to_bytes(4, "little") for t in found])
 
     def learn(self, words: set[bytes]) -> None:
         """Have all of the words, not more than `most` / 4, in the young generation."""
@@ -92,7 +85,7 @@ class WordIds:
             text = _MARK.sub(r" \g<0> ", text.lower())
         return text.encode().split()
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
+    def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text. New words are tokenized together, from some ten thousand words at a time."""
         held: list[list[bytes]] = []
         size = 0
@@ -109,10 +102,10 @@ class WordIds:
         yield from self._flush(held)
 
     def _flush(self, held: list[list[bytes]]) -> Iterator[bytes]:
-        self.learn({w for words in held for w in words})
-        known = self.young
+        self.learn(set().union(*held))
+        known = self.young.__getitem__
         for words in held:
-            yield b"".join([known[w] for w in words])
+            yield b"".join(map(known, words))
 
 
 def document_pieces(documents: DataFrame, size: int, end_id: int, path: str) -> DataFrame:
@@ -124,7 +117,7 @@ def document_pieces(documents: DataFrame, size: int, end_id: int, path: str) ->
         for batch in batches:
             rows = []
             ids = batch.column("doc_id").to_pylist()
-            for doc_id, coded in zip(ids, known.ids([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for doc_id, coded in zip(ids, known.ids(t.as_py() or "" for t in batch.column("text")), strict=True):
                 coded += end
                 for piece, at in enumerate(range(0, len(coded), 4 * size)):
                     part = coded[at : at + 4 * size]
