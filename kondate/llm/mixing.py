@@ -38,7 +38,8 @@ def natural_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """value, target: shares of a margin, flattened by a power; they add up to 1."""
     sums = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("t")).where("t > 0")
     raised = sums.select("value", F.pow(F.col("t"), F.lit(power)).alias("w"))
-    return raised.crossJoin(F.broadcast(raised.agg(F.sum("w").alias("all")))).select("value", (F.col("w") / F.col("all")).alias("target"))
+    whole = raised.agg(F.sum("w")).first()[0] or 1.0
+    return raised.select("value", (F.col("w") / F.lit(whole)).alias("target"))
 
 
 #: Cells that are raked in one task; more are shuffled.
