@@ -108,12 +108,12 @@ class WordIds:
             yield b"".join(map(known, words))
 
 
-def document_pieces(documents: DataFrame, size: int, end_id: int, path: str) -> DataFrame:
+def document_pieces(documents: DataFrame, size: int, end_id: int, path: str, known_words: int) -> DataFrame:
     """One row per piece: a document's ids and `end_id`, cut only if longer than `size`. Texts stay where they are."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_memory(f"ids {path}", lambda: WordIds(path))
+        known = worker_memory(f"ids {path}", lambda: WordIds(path, known_words))
         for batch in batches:
             rows = []
             ids = batch.column("doc_id").to_pylist()
@@ -203,14 +203,15 @@ def place(pieces: DataFrame, size: int, rows: int, group_rows: int = 16384) -> D
     return dealt.groupBy("_group").applyInPandas(pack, PLACED)
 
 
-def pack_documents(documents: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 16384) -> DataFrame:
+def pack_documents(documents: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 16384, known_words: int = 300_000) -> DataFrame:
     """Every piece of every document, with its sequence and place.
 
     A null or empty text is one piece of the end id alone. Repeated rows are packed as often as they come. Texts of
-    any length are tokenized whole. An empty table gives an empty result. Other columns are not read.
+    any length are tokenized whole. An empty table gives an empty result. Other columns are not read. known_words: what a
+    worker remembers, about 0.5 GB for a million, against time for tokenizing again.
     """
     scratch = Scratch(documents.sparkSession, "packing")
-    pieces = scratch.table(document_pieces(documents, size, end_id, path or tokenizer_path()), "pieces")
+    pieces = scratch.table(document_pieces(documents, size, end_id, path or tokenizer_path(), known_words), "pieces")
     return place(pieces, size, pieces.count(), group_rows)
 
 

@@ -31,7 +31,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), 4096, 1)
+    return packing.pack_documents(read(spark, sf_dir, "documents"), 4096, 1, known_words=800_000)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
