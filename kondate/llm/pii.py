@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,9 +22,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{4,}")
-#: Terms that may be sent to every task as a set; beyond that their counts are joined.
-BROADCAST_TERMS = 200_000
+#: Terms whose marks (8 bytes each) may be sent to every task; beyond that their counts are joined.
+BROADCAST_TERMS = 2_000_000
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+WORDS = "array<struct<term:bigint,start:int,end:int>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
 
@@ -75,130 +77,110 @@ def mark(text: str) -> int:
 
 
 def terms(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """The distinct terms outside base spans."""
+    return set(_WORD.findall(_blanked(text, base_spans(text)).lower()))
+
+
+def _blanked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with its base spans as spaces; positions stay."""
+    out, at = [], 0
+    for start, _, end in spans:
+        if end > at:
+            out += [text[at:start], " " * (end - max(at, start))]
+            at = end
+    return "".join(out) + text[at:]
 
 
 def find_base(documents: DataFrame) -> DataFrame:
-    """doc_id, mark (of the text), spans, entities of every row."""
+    """doc_id, mark (of the text), spans, entities, words (marks and places of all terms, where there are entities) of every row."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, spans, entities = [], [], []
+            marks, spans, entities, offsets, words, starts, ends = [], [], [], [0], [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 found = base_spans(text)
                 marks.append(mark(text))
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
                 entities.append(list({entity(text, *x) for x in found}))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.int64()), pa.array(spans, _SPAN), pa.array(entities, pa.list_(pa.int64()))], ["doc_id", "mark", "spans", "entities"])
+                for m in _WORD.finditer(_blanked(text, found)) if found else ():
+                    words.append(mark(m[0].lower()))
+                    starts.append(m.start())
+                    ends.append(m.end())
+                offsets.append(len(words))
+            placed = pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["term", "start", "end"])
+            columns = [batch.column("doc_id"), pa.array(marks, pa.int64()), pa.array(spans, _SPAN), pa.array(entities, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), placed)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "spans", "entities", "words"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(find, f"doc_id long, mark long, spans {SPANS}, entities array<long>")
-
-
-def holder_terms(documents: DataFrame, holders: DataFrame, held: int) -> DataFrame:
-    """doc_id, mark, entity, term: the terms of every document that holds a supported entity."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks, words = [], []
-            for text in batch.column("text"):
-                text = text.as_py() or ""
-                marks.append(mark(text))
-                words.append(sorted(terms(_blanked(text))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["doc_id", "mark", "terms"])
-
-    ids = holders.select("doc_id").distinct()
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(ids, held), "doc_id", "left_semi")
-    words = rows.mapInArrow(split, "doc_id long, mark long, terms array<string>").dropDuplicates(["doc_id", "mark"])
-    paired = words.join(holders, ["doc_id", "mark"])
-    return paired.select("doc_id", "mark", "entity", F.explode("terms").alias("term"))
-
-
-def _blanked(text: str) -> str:
-    for start, _, end in base_spans(text):
-        text = text[:start] + " " * (end - start) + text[end:]
-    return text
+    return rows.mapInArrow(find, f"doc_id long, mark long, spans {SPANS}, entities array<long>, words {WORDS}")
 
 
 def document_counts(documents: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
-    """term, df: in how many of all documents each wanted term stands. Counted per batch before any shuffle."""
+    """term, df: in how many of all rows each wanted term stands. Counted per batch before any shuffle."""
     known = None
     if count <= BROADCAST_TERMS:
-        known = documents.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in wanted.collect()))
+        known = documents.sparkSession.sparkContext.broadcast(np.sort(wanted.select("term").toArrow()["term"].to_numpy()))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter[str] = Counter()
             for text in batch.column("text"):
-                found = terms(text.as_py() or "")
-                counts.update(found & known.value if known else found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "df"])
-
-    totals = documents.select("text").mapInArrow(tally, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+                counts.update(terms(text.as_py() or ""))
+            found = np.fromiter(map(mark, counts), "i8", len(counts))
+            n = np.fromiter(counts.values(), "i8", len(counts))
+            if known:
+                place = np.searchsorted(known.value, found)
+                meant = place < len(known.value)
+                meant[meant] = known.value[place[meant]] == found[meant]
+                found, n = found[meant], n[meant]
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["term", "df"])
+
+    totals = documents.select("text").mapInArrow(tally, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     return totals if known else totals.join(wanted, "term", "left_semi")
 
 
-def disclosing_terms(documents: DataFrame, words: DataFrame, total: int, support: int, generalise: float, remove: float) -> DataFrame:
+def disclosing_terms(documents: DataFrame, held: DataFrame, total: int, support: int, generalise: float, remove: float) -> DataFrame:
     """entity, term, action: the terms whose pointwise mutual information with an entity reaches a share of its information.
 
-    With n documents, the entity in c, the term in d and both in b of them, the term tells log2(b n / (c d)) bits of
-    the entity's log2(n / c). A share of 1 means that the term stands nowhere without the entity. Only pairs seen in
-    `support` different texts count.
+    held: entities and terms (arrays) of every row with an entity. With n rows, the entity in c, the term in d and both
+    in b of them, the entity's share of the term's rows is (b + s c / n) / (d + s): `support` (s) more rows are supposed
+    that hold the entity by chance alone. The term tells log2(share n / c) bits of the entity's log2(n / c). So every
+    value and term counts, and little evidence counts for less. Copies raise all counts alike.
     """
-    both = words.groupBy("entity", "term", "mark").agg(F.countDistinct("doc_id").alias("b")).groupBy("entity", "term").agg(F.sum("b").alias("b"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    both = Scratch(documents.sparkSession, "pii-pairs").table(both, "pairs")
-    held = words.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("c"))
-    wanted = both.select("term").distinct()
-    counted = both.join(held, "entity").join(document_counts(documents, wanted, wanted.count()), "term")
+    scratch = Scratch(documents.sparkSession, "pii-pairs")
+    both = scratch.table(held.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("b")), "pairs")
+    rows = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("c"))
+    wanted = scratch.table(both.select("term").distinct(), "wanted")
+    count = wanted.count()
+    df = scratch.table(document_counts(documents, wanted, count), "counts")
+    counted = both.join(rows, "entity").join(broadcast_if_small(df, count), "term")
     information = F.log2(F.lit(float(total)) / F.col("c"))
-    told = F.log2(F.col("b") * F.lit(float(total)) / (F.col("c") * F.col("df")))
+    told = F.log2((F.col("b") * F.lit(float(total)) / F.col("c") + F.lit(float(support))) / (F.col("df") + F.lit(float(support))))
     share = F.when(information > 0, told / information).otherwise(F.lit(0.0))
     return counted.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
-def term_spans(documents: DataFrame, flagged: DataFrame, count: int) -> DataFrame:
-    """doc_id, mark, terms (spans), actions. flagged: doc_id, mark, found (map of term to action); count: its terms."""
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, marks, spans, actions = [], [], [], []
-            for doc_id, text, found, meant in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found", "_mark")), strict=True):
-                known, text = dict(found), text or ""
-                if mark(text) != meant:  # another text under the same doc_id
-                    continue
-                here = [(m.start(), m.end(), known[w]) for m in _WORD.finditer(_blanked(text)) if (w := m[0].lower()) in known]
-                ids.append(doc_id)
-                marks.append(meant)
-                spans.append([{"start": s, "kind": 4, "end": e} for s, e, _ in here])
-                actions.append([a for _, _, a in here])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(spans, _SPAN), pa.array(actions, pa.list_(pa.string()))], ["doc_id", "mark", "terms", "actions"])
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = rows.join(broadcast_if_small(flagged.withColumnRenamed("mark", "_mark"), count), "doc_id")
-    located = joined.select("doc_id", "text", "found", "_mark").mapInArrow(locate, f"doc_id long, mark long, terms {SPANS}, actions array<string>")
-    return located.dropDuplicates(["doc_id", "mark"])
-
-
 def find_personal_data(documents: DataFrame, support: int = 3, generalise: float = 0.7, remove: float = 0.95) -> DataFrame:
     """doc_id, mark, spans, terms, actions of every row: base spans, and those of the terms that reveal an entity.
 
-    Entities are the values found by the detectors. A term is struck in documents that hold the entity it reveals, so
-    a document without personal data stays as it is. Null and empty texts have no spans; rows that repeat doc_id and
-    text get the same answer each; an empty table gives an empty result. Texts are never shuffled while the documents
-    concerned are few (counted).
+    Entities are all values found by the detectors, also those of one row. A term is struck in documents that hold the
+    entity it reveals, so a document without personal data stays as it is. Null and empty texts have no spans; rows that
+    repeat doc_id and text get the same answer each; an empty table gives an empty result. Texts are never shuffled:
+    the first pass keeps marks and places of the terms of rows with entities.
     """
     scratch = Scratch(documents.sparkSession, "pii")
     found = scratch.table(find_base(documents), "found")
-    pairs = found.where("size(entities) > 0").select("doc_id", "mark", F.explode("entities").alias("entity")).distinct()
-    supported = pairs.select("entity", "mark").distinct().groupBy("entity").count().where(F.col("count") >= support).select("entity")
-    holders = scratch.table(pairs.join(supported, "entity", "left_semi"), "holders")
-    words = scratch.table(holder_terms(documents, holders, holders.count()), "words")
-    flagged = scratch.table(disclosing_terms(documents, words, max(1, found.count()), support, generalise, remove), "flagged")
-    concerned = words.join(flagged, ["entity", "term"]).groupBy("doc_id", "mark", "term").agg(F.max("action").alias("action"))
-    concerned = scratch.table(concerned.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("found")), "concerned")
-    located = term_spans(documents, concerned, concerned.agg(F.sum(F.size("found"))).first()[0] or 0)
-    return found.drop("entities").join(located, ["doc_id", "mark"], "left")
+    held = found.where("size(entities) > 0").select("doc_id", "mark", "entities", F.array_distinct("words.term").alias("terms"))
+    flagged = scratch.table(disclosing_terms(documents, held, max(1, found.count()), support, generalise, remove), "flagged")
+    pairs = held.dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", F.explode("entities").alias("entity"), "terms").select("doc_id", "mark", "entity", F.explode("terms").alias("term"))
+    concerned = pairs.join(broadcast_if_small(flagged, flagged.count()), ["entity", "term"]).groupBy("doc_id", "mark", "term").agg(F.max("action").alias("action"))
+    concerned = scratch.table(concerned.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("meant")), "concerned")
+    joined = found.join(broadcast_if_small(concerned, concerned.agg(F.sum(F.size("meant"))).first()[0] or 0), ["doc_id", "mark"], "left")
+    struck = F.filter("words", lambda w: F.map_contains_key("meant", w["term"]))
+    spans = F.transform(struck, lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["end"].alias("end")))
+    actions = F.transform(struck, lambda w: F.try_element_at("meant", w["term"]))
+    return joined.select("doc_id", "mark", "spans", F.when(F.col("meant").isNotNull(), spans).alias("terms"), F.when(F.col("meant").isNotNull(), actions).alias("actions"))
 
 
 def digest_spans(found: DataFrame) -> DataFrame:

@@ -193,6 +193,16 @@ def test_disclosure(spark):
     assert pii.digest_spans(pii.find_personal_data(docs.where("false"))).count() == 0
 
 
+def test_disclosure_of_values_in_one_text(spark):
+    rows = [(i, f"all of us saw the ward and wrote number{'x' * i}", "en", "a") for i in range(400)]
+    rows += [(900, "all of us saw quagga and wrote to solo@a.org about the ward", "en", "a"), (901, "solo is all that we saw", "en", "a")]
+    docs = documents(spark, rows)
+    out = {r["doc_id"]: r["spans"] for r in pii.digest_spans(pii.find_personal_data(docs)).collect()}
+    flagged = [rows[400][1][int(a) : int(b)] for a, b in re.findall(r"term:(\d+):(\d+)", out[900])]
+    assert "quagga" in flagged and not {"ward", "wrote", "saw"} & set(flagged)
+    assert all(not out[i] for i in out if i != 900)
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 
 
