@@ -21,7 +21,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W\d_]{4,}")
+#: A term: a run of letters and digits of any length. What common words tell is below the thresholds by their counts.
+_WORD = re.compile(r"[^\W_]+")
 #: Terms whose marks (8 bytes each) may be sent to every task; beyond that their counts are joined.
 BROADCAST_TERMS = 2_000_000
 SPANS = "array<struct<start:int,kind:int,end:int>>"

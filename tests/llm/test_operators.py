@@ -203,6 +203,13 @@ def test_disclosure_of_values_in_one_text(spark):
     assert all(not out[i] for i in out if i != 900)
 
 
+def test_disclosure_by_short_names_and_numbers(spark):
+    rows = [(i, "all of us saw the ward of 12 beds", "en", "a") for i in range(400)]
+    rows += [(900, "all of us saw Kim, 王小 and AB12 of the ward of 12 beds, call +1 555 010 9999", "en", "a")]
+    found = pii.find_personal_data(documents(spark, rows)).where("doc_id = 900").first()
+    assert {rows[400][1][t["start"] : t["end"]] for t in found["terms"]} == {"Kim", "王小", "AB12", "and", "call"}
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 
 
