@@ -52,11 +52,16 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, r
     cells: one row per combination of margins, with tokens; targets: margin to (value, target). Starts from the
     natural shares, so the weights are the closest to them that meet the targets. Stops when the largest relative
     miss is within the tolerance, or after `rounds`, as margins that contradict each other never meet. Values without
-    a target and cells without tokens get weight 0. Each round is written, so lineage doesn't grow. Up to a counted
+    a target and cells without tokens get weight 0. With a column cap no weight exceeds it: what a cell can't take goes
+    to the open cells of its margins, so the weights end at the targets where any bounded ones meet them; cells with
+    a column weight start from it. Each round is written, so lineage doesn't grow. Up to a counted
     bound the cells stay in one partition, which needs no shuffles; beyond it, each margin is a grouped sum and a join.
     """
     sums = cells.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
-    fitted = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(1, sums["t"] or 0))))
+    kept = [c for c in cells.columns if c not in ("weight", "cap")]
+    start = F.col("weight") if "weight" in cells.columns else F.col("tokens") / F.lit(float(max(1, sums["t"] or 0)))
+    cap = F.col("cap") if "cap" in cells.columns else F.lit(float("inf"))
+    fitted = cells.select(*kept, F.least(start, cap).alias("weight"), cap.alias("cap"))
     for margin, wanted in targets.items():
         named = wanted.select(F.col("value").alias(margin), F.col("target").alias(f"_t_{margin}"))
         fitted = fitted.join(named, margin, "left").na.fill(0.0, [f"_t_{margin}"])
@@ -68,11 +73,19 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, r
         if (fitted.agg(F.max("miss")).first()[0] or 0.0) <= tolerance:
             break
         fitted = fitted.drop("miss")
-    return fitted.select(*cells.columns, "weight")
+    return fitted.select(*kept, "weight")
+
+
+#: Grouped sums by margin: all weights, and those below their cap.
+_SUMS = {"_sum": F.sum, "_open": lambda w: F.sum(F.when(w < F.col("cap"), w).otherwise(0.0))}
 
 
 def _scaled(margin: str) -> Column:
-    return F.col("weight") * F.coalesce(F.try_divide(F.col(f"_t_{margin}"), F.col("_sum")), F.lit(0.0))
+    """Weights over their target are all scaled down; of those under it, only open ones can grow, up to their caps."""
+    target = F.col(f"_t_{margin}")
+    grown = F.coalesce(F.try_divide(target - F.col("_sum") + F.col("_open"), F.col("_open")), F.lit(1.0))
+    shrunk = F.coalesce(F.try_divide(target, F.col("_sum")), F.lit(0.0))
+    return F.least(F.col("cap"), F.col("weight") * F.when(target > F.col("_sum"), grown).otherwise(shrunk))
 
 
 def _miss(margin: str) -> Column:
@@ -81,43 +94,72 @@ def _miss(margin: str) -> Column:
 
 def _round(fitted: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
     for margin in targets:
-        fitted = fitted.withColumn("_sum", F.sum("weight").over(Window.partitionBy(margin))).withColumn("weight", _scaled(margin))
+        sums = {n: f(F.col("weight")).over(Window.partitionBy(margin)) for n, f in _SUMS.items()}
+        fitted = fitted.withColumns(sums).withColumn("weight", _scaled(margin))
     miss = F.lit(0.0)
-    for margin in list(targets)[:-1]:  # the last was met just now
+    for margin in targets:
         fitted = fitted.withColumn("_sum", F.sum("weight").over(Window.partitionBy(margin))).withColumn(f"_m_{margin}", _miss(margin))
         miss = F.greatest(miss, F.col(f"_m_{margin}"))
-    return fitted.withColumn("miss", miss).drop("_sum", *[f"_m_{m}" for m in targets])
+    return fitted.withColumn("miss", miss).drop(*_SUMS, *[f"_m_{m}" for m in targets])
 
 
 def _shuffled_round(fitted: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, turn: int) -> DataFrame:
     miss = F.lit(0.0)
-    for i, margin in enumerate([*targets, *list(targets)[:-1]]):
-        joined = fitted.join(fitted.groupBy(margin).agg(F.sum("weight").alias("_sum")), margin)
+    for i, margin in enumerate([*targets, *targets]):
+        joined = fitted.join(fitted.groupBy(margin).agg(*[f(F.col("weight")).alias(n) for n, f in _SUMS.items()]), margin)
         if i < len(targets):
-            fitted = scratch.table(joined.withColumn("weight", _scaled(margin)).drop("_sum"), f"rake-{turn}-{margin}")
+            fitted = scratch.table(joined.withColumn("weight", _scaled(margin)).drop(*_SUMS), f"rake-{turn}-{margin}")
         else:
-            fitted = joined.withColumn(f"_m_{margin}", _miss(margin)).drop("_sum")
+            fitted = joined.withColumn(f"_m_{margin}", _miss(margin)).drop(*_SUMS)
             miss = F.greatest(miss, F.col(f"_m_{margin}"))
     return fitted.withColumn("miss", miss).drop(*[f"_m_{m}" for m in targets])
 
 
+def bounded_targets(cells: DataFrame, margin: str, targets: DataFrame, scratch: Scratch) -> DataFrame:
+    """value, target: no more than the caps of a value's cells add up to; what it can't take goes to the others in proportion."""
+    room = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("cap").alias("room"))
+    both = scratch.table(targets.join(room, "value"), f"room-{margin}")
+    factor = 1.0
+    while True:
+        full = F.col("target") * F.lit(factor) >= F.col("room")
+        left = both.agg(F.sum(F.when(full, F.col("room"))).alias("full"), F.sum(F.when(~full, F.col("target"))).alias("open")).first()
+        raised = (1.0 - (left["full"] or 0.0)) / left["open"] if left["open"] else factor
+        if raised <= factor * (1 + 1e-9):
+            return both.select("value", F.least(F.col("room"), F.col("target") * F.lit(factor)).alias("target"))
+        factor = raised
+
+
 def mixture(documents: DataFrame, fraction: float = 0.5, powers: Mapping[str, float] = POWERS, targets: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, int]:
-    """The cells (_source, _lang, _topic, tokens, weight, probability) and their number.
+    """The cells (_source, _lang, _topic, weight, probability, _cell_tokens) and their number.
 
-    A cell's probability is what makes the expected tokens of a sample of `fraction` of all tokens follow the
-    weights; where a cell has fewer tokens than that, all its documents are taken once and none is repeated.
+    weight: the raked share without regard to how many tokens a cell has. probability: from weights raked again with
+    no cell above probability 1, so that the expected tokens of a sample of `fraction` of all tokens follow the
+    targets, as far as the cells have the tokens (``expected_margins`` gives the misses). No document is repeated.
     """
     scratch = Scratch(documents.sparkSession, "mixing")
     cells = documents.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("documents"))
     cells = scratch.table(cells, "cells")
     wanted = {m: scratch.table(natural_targets(cells, m, powers[m]), f"target-{m}") for m in MARGINS} if targets is None else targets
+    size = fraction * (cells.agg(F.sum("tokens")).first()[0] or 0)
     fitted = rake(cells, wanted, scratch)
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    probability = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(fraction * total) * F.col("weight"), F.col("tokens")), F.lit(0.0)))
-    named = fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "weight", probability.alias("probability"))
+    cap = F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.lit(float(size))), F.lit(0.0))
+    bounded = Scratch(documents.sparkSession, "mixing-bounded")
+    capped = bounded.table(fitted.withColumns({"raked": F.col("weight"), "cap": cap}), "capped")
+    most = {m: bounded_targets(capped, m, t, bounded) for m, t in wanted.items()}
+    fitted = rake(capped, most, bounded)
+    probability = F.when((F.col("tokens") > 0) & (F.col("weight") >= cap), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("weight"), cap), F.lit(0.0))))
+    named = fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("raked").alias("weight"), probability.alias("probability"), F.col("tokens").alias("_cell_tokens"))
     return named, cells.count()
 
 
+def expected_margins(cells: DataFrame, fraction: float, targets: Mapping[str, DataFrame]) -> DataFrame:
+    """margin, value, target, expected (shares of the sample's size), miss (relative) of ``mixture``'s cells."""
+    size = fraction * (cells.agg(F.sum("_cell_tokens")).first()[0] or 0)
+    share = F.coalesce(F.try_divide(F.sum(F.col("probability") * F.col("_cell_tokens")), F.lit(float(size))), F.lit(0.0))
+    parts = [targets[m].join(cells.groupBy(F.col(f"_{m}").alias("value")).agg(share.alias("expected")), "value").select(F.lit(m).alias("margin"), "value", "target", "expected") for m in MARGINS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("miss", F.col("expected") / F.col("target") - 1)
+
+
 def drawn(seed: int) -> Column:
     """A document's place in [0, 1), from its doc_id and the seed alone."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) / F.lit(float(1 << 52))

@@ -120,6 +120,24 @@ def test_sampling(spark, corpus):
     assert mixing.sample_documents(docs, 0.5).columns == docs.columns
 
 
+def test_expected_sample_follows_the_margins(spark):
+    counts = {("a", "en"): 60, ("a", "es"): 5, ("b", "en"): 10, ("b", "es"): 20, ("c", "en"): 2, ("c", "es"): 3}
+    rows = [(s, lang, "w " * 10) for (s, lang), n in counts.items() for _ in range(n)]
+    docs = documents(spark, [(i, text, lang, s) for i, (s, lang, text) in enumerate(rows)])
+    cells, _ = mixing.mixture(mixing.with_margins(docs), 0.5)
+    target = {"en": 72**0.5 / (72**0.5 + 28**0.5)}
+    out = cells.toPandas()
+    out["expected"] = out["probability"] * out["_cell_tokens"]
+    assert out["expected"].sum() == pytest.approx(500, rel=1e-3)
+    assert out[out["_lang"] == "en"]["expected"].sum() == pytest.approx(500 * target["en"], rel=1e-3)
+    assert out[out["_source"] == "c"]["probability"].min() == pytest.approx(1, rel=1e-3)  # wants 71 of 50 tokens: takes all
+    a, b = (out[out["_source"] == s]["expected"].sum() for s in "ab")
+    assert a / b == pytest.approx((65 / 30) ** 0.5, rel=1e-3)
+    wanted = {m: spark.createDataFrame([(v, 1.0 / len(vs)) for v in vs], "value string, target double") for m, vs in (("source", "abc"), ("lang", ["en", "es"]), ("topic", ["brief"]))}
+    misses = {r["value"]: r["miss"] for r in mixing.expected_margins(cells, 0.5, wanted).collect()}
+    assert misses["c"] == pytest.approx(0.1 * 3 - 1, rel=1e-3) and misses["brief"] == pytest.approx(0, abs=1e-3)
+
+
 # -- 3 ---------------------------------------------------------------------------------------------------------------
 
 
