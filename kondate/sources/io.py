@@ -64,13 +64,12 @@ def append_observations(rows: DataFrame, path: str) -> None:
 def replay_observations(spark: SparkSession, path: str, stores: list[str] = dims.STORES, newest_only: bool = False) -> DataFrame:
     """The last row of each chain and address in a log; lines that are no JSON or lack store, url or name are skipped.
 
-    Files over the size limit are left out. newest_only: of several whole backups only the newest file counts. Rows
-    with a seq go by it; without, later files and later lines of a file win.
+    All files of a log count, whatever their size. newest_only: of several whole backups only the newest file within
+    the size limit counts. Rows with a seq go by it; without, later files and later lines of a file win.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
-    lines = lines.where(F.col("_size") <= MOST_LOG_BYTES)
     if newest_only:
-        newest = lines.agg(F.max(F.struct("_time", "_file")).alias("x")).select("x._file")
+        newest = lines.where(F.col("_size") <= MOST_LOG_BYTES).agg(F.max(F.struct("_time", "_file")).alias("x")).select("x._file")
         lines = lines.join(F.broadcast(newest), "_file", "left_semi")
     typed = lines.withColumn("x", typed_product(F.col("value"))).withColumn("seq", F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$.seq", "long"), F.lit(0).cast("long")))
     rows = typed.where(F.col("x.product.store").isin(stores) & F.col("x.product.url").isNotNull() & F.col("x.product.name").isNotNull())

@@ -79,6 +79,15 @@ def test_replay_last_line_wins(spark, tmp_path):
     assert [r["name"] for r in io.replay_observations(spark, str(tmp_path / "log")).collect()] == ["d"]
 
 
+def test_replay_keeps_large_files_of_a_log(spark, tmp_path, monkeypatch):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a").write_text('{"store":"ポプラ","url":"u","name":"a"}\n' * 9)
+    (tmp_path / "log" / "b").write_text('{"store":"ポプラ","url":"v","name":"b"}')
+    monkeypatch.setattr(io, "MOST_LOG_BYTES", 100)
+    assert {r["name"] for r in io.replay_observations(spark, str(tmp_path / "log")).collect()} == {"a", "b"}
+    assert [r["name"] for r in io.replay_observations(spark, str(tmp_path / "log"), newest_only=True).collect()] == ["b"]
+
+
 def test_frontier_seeds_and_limits(spark):
     first = frontier.seed_frontier(spark)
     assert first.count() == 18 and first.where("url = ''").count() == 0
