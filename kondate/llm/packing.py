@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,96 +25,135 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: A full stop or comma between a letter and white space, which is a token apart from both.
-_MARK = re.compile(r"[.,](?<=[a-zà-öø-ÿ].)(?=[ \t-\r])")
+#: A letter before a mark (not an apostrophe), which the tokenizer always parts.
+_MARK = r"([a-zà-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 #: A word of letters only, in lower case: one word to the tokenizer, too.
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
+#: Characters of text that are tokenized together; longer texts are taken in parts that end at white space.
+PART_CHARS = 1 << 22
 
 
 class WordIds:
-    """Token ids, as little-endian unsigned 32-bit bytes, of words between ASCII white space.
+    """Token ids of texts, found word by word with a memory of words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. Words
     are remembered in two generations of at most `most` entries: when the young one is full it becomes the old one,
     from which what is still in use is taken over.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies spell as themselves
         others = (x for x in range(256) if x not in printed)
         self.spelled = {x: chr(x) for x in printed} | {x: chr(256 + i) for i, x in enumerate(others)}
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _each(self, words: list[bytes]) -> None:
+    def _each(self, words: list[str]) -> None:
         for i in range(0, len(words), 10_000):
             part = words[i : i + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.young.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded, strict=True))
 
-    def _letters(self, words: list[bytes]) -> None:
+    def _letters(self, words: list[str]) -> None:
         """Words of plain letters, which the tokenizer's other steps leave as they are, by its model alone."""
         tokenize, spelled = self.tokenizer.model.tokenize, self.spelled
         for word in words:
-            found = tokenize(word.decode() if word.isascii() else "".join([spelled[b] for b in word]))
+            found = tokenize(word if word.isascii() else "".join([spelled[b] for b in word.encode()]))
             self.young[word] = b"".join([t.id.to_bytes(4, "little") for t in found])
 
-    def learn(self, words: set[bytes]) -> None:
-        """Have all of the words, not more than `most` / 4, in the young generation."""
-        new = words - self.young.keys()
-        if len(self.young) + 2 * len(new) > self.most:
-            self.old, self.young, new = self.young, {}, words
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, as little-endian unsigned 32-bit bytes."""
+        known = list(map(self.young.get, words))
+        missing = [i for i, k in enumerate(known) if k is None]
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young = self.young, {w: k for w, k in zip(words, known, strict=True) if k is not None}
         letters, others = [], []
-        for word in new:
-            if (known := self.old.get(word)) is not None:
-                self.young[word] = known
+        for word in (words[i] for i in missing):
+            if (ids := self.old.get(word)) is not None:
+                self.young[word] = ids
             else:
-                (letters if _LETTERS.fullmatch(word.decode()) else others).append(word)
+                (letters if _LETTERS.fullmatch(word) else others).append(word)
         self._letters(letters)
         self._each(others)
+        for i in missing:
+            known[i] = self.young[words[i]]
+        return known
 
     @staticmethod
-    def words(text: str) -> list[bytes]:
-        """The words, in lower case and with single marks apart, so that fewer differ.
+    def words(texts: pa.Array) -> pa.ListArray:
+        """The words of each text, in lower case and apart from marks, so that fewer differ.
 
-        Not so where lower case depends on the context, or where it could make a special token.
+        Only A-Z changes case here; the tokenizer sees to the rest. Texts that may hold a special token stay as they are.
         """
-        if "Σ" not in text and "<|" not in text:
-            text = _MARK.sub(r" \g<0> ", text.lower())
-        return text.encode().split()
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), _MARK, r"\1 \2")
+        return pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, plain))
+
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin and the last one's end."""
+        listed = self.words(pa.array(texts, pa.large_string()))
+        bounds, flat = listed.offsets.to_numpy(), listed.flatten().dictionary_encode()
+        known = self.learn(flat.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), "i8", len(known)) // 4
+        starts, at = np.cumsum(sizes) - sizes, flat.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        places = np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(known), "<u4")[places], ends[bounds]
 
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The ids of each text. New words are tokenized together, from some ten thousand words at a time."""
-        held: list[list[bytes]] = []
-        size = 0
-        for text in texts:
-            words = self.words(text)
-            if size + len(words) > 80_000 and held:
-                yield from self._flush(held)
-                held, size = [], 0
-            if len(words) > 80_000:
-                yield b"".join(part for i in range(0, len(words), 80_000) for part in self._flush([words[i : i + 80_000]]))
-                continue
-            held.append(words)
-            size += len(words)
-        yield from self._flush(held)
-
-    def _flush(self, held: list[list[bytes]]) -> Iterator[bytes]:
-        self.learn(set().union(*held))
-        known = self.young.__getitem__
-        for words in held:
-            yield b"".join(map(known, words))
-
-
-def document_pieces(documents: DataFrame, size: int, end_id: int, path: str, known_words: int) -> DataFrame:
+        """The ids of each text, as little-endian unsigned 32-bit bytes."""
+        held: list[str] = []
+        rows: list[int] = []  # whose part each held one is
+        size = row = 0
+        carried = b""
+        for row, text in enumerate(texts):
+            for part in parts_of(text, PART_CHARS):
+                if size + len(part) > PART_CHARS and held:
+                    *done, carried = self._joined(held, rows, row, carried)
+                    yield from done
+                    held, rows, size = [], [], 0
+                held.append(part)
+                rows.append(row)
+                size += len(part)
+        if held:
+            yield from self._joined(held, rows, row, carried)
+
+    def _joined(self, held: list[str], rows: list[int], last: int, carried: bytes) -> list[bytes]:
+        """The ids of the held parts' texts up to text `last`, whose own are still to be continued."""
+        ids, bounds = self.coded(held)
+        out = [carried]
+        for k, row in enumerate(rows):
+            if k and row != rows[k - 1]:
+                out.append(b"")
+            out[-1] += ids[bounds[k] : bounds[k + 1]].tobytes()
+        return out if rows[-1] == last else [*out, b""]
+
+
+def parts_of(text: str, most: int) -> Iterator[str]:
+    """A text in parts of about `most` characters that end at white space; short ones and words stay whole."""
+    at = 0
+    while len(text) - at > most:
+        gap = _GAP.search(text, at + most)
+        if not gap:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
+_GAP = re.compile(r"[ \t-\r]")
+
+
+def document_pieces(documents: DataFrame, size: int, end_id: int, path: str | None, known_words: int) -> DataFrame:
     """One row per piece: a document's ids and `end_id`, cut only if longer than `size`. Texts stay where they are."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_memory(f"ids {path}", lambda: WordIds(path, known_words))
+        found = path or tokenizer_path()
+        known = worker_memory(f"ids {found}", lambda: WordIds(found, known_words))
         for batch in batches:
             rows = []
             ids = batch.column("doc_id").to_pylist()
@@ -203,7 +243,7 @@ def place(pieces: DataFrame, size: int, rows: int, group_rows: int = 16384) -> D
     return dealt.groupBy("_group").applyInPandas(pack, PLACED)
 
 
-def pack_documents(documents: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 16384, known_words: int = 300_000) -> DataFrame:
+def pack_documents(documents: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 16384, known_words: int = 400_000) -> DataFrame:
     """Every piece of every document, with its sequence and place.
 
     A null or empty text is one piece of the end id alone. Repeated rows are packed as often as they come. Texts of
@@ -211,16 +251,17 @@ def pack_documents(documents: DataFrame, size: int = 4096, end_id: int = 1, path
     worker remembers, about 0.5 GB for a million, against time for tokenizing again.
     """
     scratch = Scratch(documents.sparkSession, "packing")
-    pieces = scratch.table(document_pieces(documents, size, end_id, path or tokenizer_path(), known_words), "pieces")
+    pieces = scratch.table(document_pieces(documents, size, end_id, path, known_words), "pieces")
     return place(pieces, size, pieces.count(), group_rows)
 
 
 def sequences(documents: DataFrame, placed: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None) -> DataFrame:
     """sequence_id, ids: the packed sequences themselves, from documents with unique doc_id and their placement."""
-    end, path = np.array([end_id], "<u4").tobytes(), path or tokenizer_path()
+    end = np.array([end_id], "<u4").tobytes()
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_memory(f"ids {path}", lambda: WordIds(path))
+        found = path or tokenizer_path()
+        known = worker_memory(f"ids {found}", lambda: WordIds(found))
         for batch in batches:
             rows = [(d, p, c[at : at + 4 * size]) for d, c in zip(batch.column("doc_id").to_pylist(), (x + end for x in known.ids([t or "" for t in batch.column("text").to_pylist()])), strict=True) for p, at in enumerate(range(0, len(c), 4 * size))]
             columns = list(zip(*rows, strict=True)) or [[]] * 3
