@@ -15,8 +15,8 @@ from kondate import tables
 #: Rows of whole texts that go to a Python worker at a time.
 BATCH_ROWS = 1000
 
-#: Rows of one or two long columns that may be broadcast: 16 MB or so in memory.
-BROADCAST_ROWS = 500_000
+#: Bytes of a counted table that may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 class Scratch(tables.Scratch):
@@ -32,9 +32,29 @@ class Scratch(tables.Scratch):
             conf.set(key, before)
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint for a table of a counted size; beyond the bound the join shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
+    """A broadcast hint for a table of counted rows, of at most `row_bytes` each, within the bound; beyond it the join shuffles."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+#: Keys that may be broadcast because many rows have them.
+HOT_KEYS = 4096
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner", most: int = HOT_KEYS) -> DataFrame:
+    """rows joined (inner or left) with a table that has one narrow row per key, and in n how often rows have the key.
+
+    Less than `most` keys, those with the largest n, are joined by broadcast, so no task gets the rows of a hot key; a
+    key that is left to the shuffle has no more than 1 / `most` of all rows. Both inputs are read twice: written tables.
+    """
+    least = table.select(n).orderBy(F.desc(n)).limit(most).agg(F.count("*").alias("k"), F.min(n).alias("n")).first()
+    if least["k"] < most:
+        return rows.join(F.broadcast(table), keys, how)
+    hot, cold = table.where(F.col(n) > least["n"]), table.where(F.col(n) <= least["n"])
+    keyless = " or ".join(f"`{k}` is null" for k in keys)
+    others = rows.where(f"not ({keyless})").join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    joined = rows.join(F.broadcast(hot), keys).unionByName(others.join(cold, keys, how))
+    return joined.unionByName(rows.where(keyless), allowMissingColumns=True) if how == "left" else joined
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kondate.llm.common import Scratch, broadcast_if_small
+from kondate.llm.common import Scratch, join_by_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -23,8 +23,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: A term: a run of letters and digits of any length. What common words tell is below the thresholds by their counts.
 _WORD = re.compile(r"[^\W_]+")
-#: Terms whose marks (8 bytes each) may be sent to every task; beyond that their counts are joined.
-BROADCAST_TERMS = 2_000_000
+#: Terms that a task counts before it gives their counts out.
+HELD_TERMS = 300_000
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 WORDS = "array<struct<term:bigint,start:int,end:int>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
@@ -117,49 +117,65 @@ def find_base(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(find, f"doc_id long, mark long, spans {SPANS}, entities array<long>, words {WORDS}")
 
 
-def document_counts(documents: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
-    """term, df: in how many of all rows each wanted term stands. Counted per batch before any shuffle."""
-    known = None
-    if count <= BROADCAST_TERMS:
-        known = documents.sparkSession.sparkContext.broadcast(np.sort(wanted.select("term").toArrow()["term"].to_numpy()))
+def document_counts(documents: DataFrame, most: int = HELD_TERMS) -> DataFrame:
+    """term, df: in how many of all rows each term stands. A task counts across its batches, at most `most` terms at a time."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            found, n = np.fromiter(map(mark, counts), "i8", len(counts)), np.fromiter(counts.values(), "i8", len(counts))
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["term", "df"])
+
         for batch in batches:
-            counts: Counter[str] = Counter()
             for text in batch.column("text"):
                 counts.update(terms(text.as_py() or ""))
-            found = np.fromiter(map(mark, counts), "i8", len(counts))
-            n = np.fromiter(counts.values(), "i8", len(counts))
-            if known:
-                place = np.searchsorted(known.value, found)
-                meant = place < len(known.value)
-                meant[meant] = known.value[place[meant]] == found[meant]
-                found, n = found[meant], n[meant]
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["term", "df"])
-
-    totals = documents.select("text").mapInArrow(tally, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    return totals if known else totals.join(wanted, "term", "left_semi")
-
-
-def disclosing_terms(documents: DataFrame, held: DataFrame, total: int, support: int, generalise: float, remove: float) -> DataFrame:
-    """entity, term, action: the terms whose pointwise mutual information with an entity reaches a share of its information.
-
-    held: entities and terms (arrays) of every row with an entity. With n rows, the entity in c, the term in d and both
-    in b of them, the entity's share of the term's rows is (b + s c / n) / (d + s): `support` (s) more rows are supposed
-    that hold the entity by chance alone. The term tells log2(share n / c) bits of the entity's log2(n / c). So every
-    value and term counts, and little evidence counts for less. Copies raise all counts alike.
+                if len(counts) > most:
+                    yield counted()
+        yield counted()
+
+    return documents.select("text").mapInArrow(tally, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def most_rows(c: Column, total: int, support: int, share: float) -> Column:
+    """In how many rows a term can stand that tells the share of an entity of c rows, as it does if it stands in all those."""
+    return (total + support) * F.pow(c / F.lit(float(total)), F.lit(share)) - support + 1e-6
+
+
+def disclosing_terms(documents: DataFrame, held: DataFrame, scratch: Scratch, total: int, support: int, generalise: float, remove: float) -> DataFrame:
+    """doc_id, mark, term, action: the terms whose pointwise mutual information with an entity reaches a share of its information.
+
+    held: doc_id, mark, entities and words of every row with an entity. With n rows, the entity in c, the term in d and
+    both in b of them, the entity's share of the term's rows is (b + s c / n) / (d + s): `support` (s) more rows are
+    supposed that hold the entity by chance alone. The term tells log2(share n / c) bits of the entity's log2(n / c).
+    So every value and term counts, and little evidence counts for less. Rows count, so copies raise all counts alike.
+
+    Entities that stand in the same rows have the same counts with every term and are one class, known by the count and
+    two hash sums of its rows. A term that stands in more rows than the largest class could account for is no
+    candidate, so what is common is never paired.
     """
-    scratch = Scratch(documents.sparkSession, "pii-pairs")
-    both = scratch.table(held.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("b")), "pairs")
-    rows = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("c"))
-    wanted = scratch.table(both.select("term").distinct(), "wanted")
-    count = wanted.count()
-    df = scratch.table(document_counts(documents, wanted, count), "counts")
-    counted = both.join(rows, "entity").join(broadcast_if_small(df, count), "term")
+    rows = held.groupBy("doc_id", "mark").agg(F.count("*").alias("m"), F.first("entities").alias("entities"), F.array_distinct(F.first("words")["term"]).alias("terms"))
+    rows = scratch.table(rows, "holders")
+    each = scratch.table(rows.select("doc_id", "mark", "m", F.explode("entities").alias("entity")), "entities")
+    row = F.xxhash64("doc_id", "mark")
+    alike = each.groupBy("entity").agg(F.sum("m").alias("c"), F.bit_xor(row).alias("x"), F.sum(F.shiftrightunsigned(row, 32)).alias("y"), F.count("*").alias("k"))
+    alike = scratch.table(alike.select("entity", F.xxhash64("c", "x", "y", "k").alias("class"), "c", "k"), "classes")
+    classes = join_by_key(each.select("doc_id", "mark", "entity"), alike, ["entity"], "k").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("class", "c")).alias("classes"), F.max("c").alias("most"))
+    largest = alike.agg(F.max("c")).first()[0] or 1
+    df = scratch.table(document_counts(documents), "counts")
+    words = scratch.table(rows.select("doc_id", "mark", "m", F.explode("terms").alias("term")), "terms")
+    known = join_by_key(words, df, ["term"], "df").where(F.col("df") <= most_rows(F.lit(float(largest)), total, support, generalise))
+    met = known.join(classes, ["doc_id", "mark"]).where(F.col("df") <= most_rows(F.col("most"), total, support, generalise))
+    fitting = F.filter("classes", lambda x: F.col("df") <= most_rows(x["c"], total, support, generalise))
+    pairs = scratch.table(met.select("doc_id", "mark", "m", "term", "df", F.explode(fitting).alias("x")).select("doc_id", "mark", "m", "term", "df", "x.class", "x.c"), "pairs")
+    both = pairs.groupBy("class", "term").agg(F.sum("m").alias("b"), F.count("*").alias("k"), F.first("c").alias("c"), F.first("df").alias("df"))
     information = F.log2(F.lit(float(total)) / F.col("c"))
     told = F.log2((F.col("b") * F.lit(float(total)) / F.col("c") + F.lit(float(support))) / (F.col("df") + F.lit(float(support))))
     share = F.when(information > 0, told / information).otherwise(F.lit(0.0))
-    return counted.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
+    flagged = both.withColumn("share", share).where(F.col("share") >= generalise).select("class", "term", "k", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
+    flagged = scratch.table(flagged, "flagged")
+    return join_by_key(pairs.select("doc_id", "mark", "class", "term"), flagged, ["class", "term"], "k").groupBy("doc_id", "mark", "term").agg(F.max("action").alias("action"))
 
 
 def find_personal_data(documents: DataFrame, support: int = 3, generalise: float = 0.7, remove: float = 0.95) -> DataFrame:
@@ -168,20 +184,22 @@ def find_personal_data(documents: DataFrame, support: int = 3, generalise: float
     Entities are all values found by the detectors, also those of one row. A term is struck in documents that hold the
     entity it reveals, so a document without personal data stays as it is. Null and empty texts have no spans; rows that
     repeat doc_id and text get the same answer each; an empty table gives an empty result. Texts are never shuffled:
-    the first pass keeps marks and places of the terms of rows with entities.
+    the first pass keeps marks and places of the terms of rows with entities, the second counts terms.
     """
     scratch = Scratch(documents.sparkSession, "pii")
     found = scratch.table(find_base(documents), "found")
-    held = found.where("size(entities) > 0").select("doc_id", "mark", "entities", F.array_distinct("words.term").alias("terms"))
-    flagged = scratch.table(disclosing_terms(documents, held, max(1, found.count()), support, generalise, remove), "flagged")
-    pairs = held.dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", F.explode("entities").alias("entity"), "terms").select("doc_id", "mark", "entity", F.explode("terms").alias("term"))
-    concerned = pairs.join(broadcast_if_small(flagged, flagged.count()), ["entity", "term"]).groupBy("doc_id", "mark", "term").agg(F.max("action").alias("action"))
-    concerned = scratch.table(concerned.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("meant")), "concerned")
-    joined = found.join(broadcast_if_small(concerned, concerned.agg(F.sum(F.size("meant"))).first()[0] or 0), ["doc_id", "mark"], "left")
-    struck = F.filter("words", lambda w: F.map_contains_key("meant", w["term"]))
-    spans = F.transform(struck, lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["end"].alias("end")))
-    actions = F.transform(struck, lambda w: F.try_element_at("meant", w["term"]))
-    return joined.select("doc_id", "mark", "spans", F.when(F.col("meant").isNotNull(), spans).alias("terms"), F.when(F.col("meant").isNotNull(), actions).alias("actions"))
+    held = found.where("size(entities) > 0")
+    struck = disclosing_terms(documents, held, scratch, max(1, found.count()), support, generalise, remove)
+    meant = struck.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("meant"))
+    meant = meant.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "meant")
+    joined = held.join(meant, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    hits = F.filter("words", lambda w: F.map_contains_key("meant", w["term"]))
+    spans = F.transform(hits, lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["end"].alias("end")))
+    actions = F.transform(hits, lambda w: F.try_element_at("meant", w["term"]))
+    known = F.col("meant").isNotNull()
+    holders = joined.select("doc_id", "mark", "spans", F.when(known, spans).alias("terms"), F.when(known, actions).alias("actions"))
+    others = found.where("size(entities) = 0").select("doc_id", "mark", "spans", F.lit(None).cast(SPANS).alias("terms"), F.lit(None).cast("array<string>").alias("actions"))
+    return others.unionByName(holders)
 
 
 def digest_spans(found: DataFrame) -> DataFrame:
