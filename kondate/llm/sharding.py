@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kondate.llm.common import broadcast_if_small
+
 #: Multiplier of the published generator (key * A + 1 modulo 2**64).
 MULTIPLIER = 2862933555777941757
 _LOW, _HIGH = (1 << 22) - 1, (1 << 20) - 1
@@ -41,23 +43,21 @@ def jump_shards(key: Column, shards: int) -> Column:
     return F.struct(walked["shard"].cast("int").alias("shard"), walked["grown"].cast("int").alias("grown"))
 
 
-def assign_shards(rows: DataFrame, key: str, shards: int, order: list[str]) -> DataFrame:
+def assign_shards(rows: DataFrame, key: str, shards: int, order: list[str], buckets: int = 1024) -> DataFrame:
     """Add shard, grown_shard (with one shard more) and slot, a gapless place from 0 in the shard.
 
     rows: narrow rows; key: a column of integers. Appending a shard moves rows only into the new one. A shard is cut
     into hash buckets that are numbered by themselves; a table of shards x buckets counts, whose size is fixed by the
-    two parameters and not by the data, gives each bucket's first slot. Equal rows get different slots; a null key is
-    sharded as 0; an empty table gives an empty result.
+    two parameters and not by the data or the session, gives each bucket's first slot. Equal rows get different slots;
+    a null key is sharded as 0; an empty table gives an empty result.
     """
-    spark = rows.sparkSession
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.withColumn("_jump", jump_shards(F.col(key), shards)).select(
         *rows.columns, F.col("_jump.shard").alias("shard"), F.col("_jump.grown").alias("grown_shard"), F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int").alias("_bucket")
     )
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = dealt.groupBy("shard", "_bucket").count().select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
     place = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(*order))
-    return dealt.withColumn("_place", place).join(F.broadcast(first), ["shard", "_bucket"]).select(*rows.columns, "shard", (F.col("_first") + F.col("_place") - 1).alias("slot"), "grown_shard")
+    return dealt.withColumn("_place", place).join(broadcast_if_small(first, shards * buckets), ["shard", "_bucket"]).select(*rows.columns, "shard", (F.col("_first") + F.col("_place") - 1).alias("slot"), "grown_shard")
 
 
 def shard_documents(documents: DataFrame, shards: int = 24) -> DataFrame:
