@@ -11,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kondate.llm.common import Scratch, worker_memory
+from kondate.llm.common import Scratch, join_by_key, worker_memory
 from kondate.llm.url_filter import host_of
 
 BINS = 1 << 16
 _MULTIPLIER = np.uint32(2654435761)
 #: Bytes that are letters: ASCII letters and all of UTF-8 beyond ASCII; the rest count as space.
 _LETTERS = np.array([b if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in range(256)], "u1")
-_HIDDEN = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^<>]*>", re.S | re.I)
+#: What opens or is markup; a hidden part lasts to its end mark, if there is one.
+_MARKUP = re.compile(r"<!--|<(script|style|noscript)\b|<[^<>]*>", re.I)
+_TAG = re.compile("<[^<>]*>")
+_ENDS = {name: re.compile(end, re.I) for name, end in (("", "-->"), *((x, rf"</{x}\s*>") for x in ("script", "style", "noscript")))}
 _SLICE = 1 << 19
 
 
@@ -36,7 +39,21 @@ def letters(text: str) -> np.ndarray:
 
 
 def visible(html: str) -> str:
-    return _HIDDEN.sub(" ", html)
+    """The text outside of tags, comments and hidden elements, in one pass: an end that is missing is looked for once."""
+    out, at, endless = [], 0, set()
+    while found := _MARKUP.search(html, at):
+        out.append(html[at : found.start()])
+        at = found.end()
+        name = "" if found[0] == "<!--" else (found[1] or "").lower()
+        if (found[0] == "<!--" or name) and name not in endless:
+            if end := _ENDS[name].search(html, at):
+                at = end.end()
+                continue
+            endless.add(name)
+        if name and (tag := _TAG.match(html, found.start())):
+            at = tag.end()
+    out.append(html[at:])
+    return " ".join(out)
 
 
 class Likelihoods:
@@ -54,31 +71,30 @@ class Likelihoods:
 
 
 def train(labelled: DataFrame, per_label: int = 2000, least: int = 5, smoothing: float = 0.5) -> Likelihoods:
-    """Fit on about `per_label` rows of each label (columns text, label), chosen by a hash over all of them.
+    """Fit on about `per_label` rows of each label (columns key, text, label), chosen by a hash of key and text.
 
-    The bound keeps training small at any size of the corpus. What reaches the driver is bins x labels counts;
-    labels with fewer than `least` rows are no language.
+    The bound keeps training small at any size of the corpus; a text that many keys share counts for its share of the
+    sample only. What reaches the driver is bins x labels counts. Rows without text or label teach nothing, and labels
+    with fewer than `least` rows are no language.
     """
-    counts = labelled.where("label is not null and text is not null").groupBy("label").count().where(F.col("count") >= least)
-    sizes = {r["label"]: r["count"] for r in counts.orderBy(F.desc("count"), "label").limit(200).collect()}
+    known = labelled.where("label is not null and text is not null")
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().where(F.col("count") >= least).collect()}
     languages = sorted(sizes)
     place = {x: i for i, x in enumerate(languages)}
-    part = F.lit(0.0)
-    for label, n in sizes.items():
-        part = F.when(F.col("label") == label, min(1.0, per_label / n)).otherwise(part)
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part * (1 << 20))
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_memory("", dict)
-        table = np.zeros((len(languages), BINS), "i8")
-        for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                table[place[label]] += np.bincount(trigrams(letters(text)), minlength=BINS)
-        label, bin_ = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(label.astype("i4")), pa.array(bin_.astype("i4")), pa.array(table[label, bin_])], ["label", "bin", "n"])
-
     found = np.zeros((len(languages), BINS))
     if languages:
+        parts = labelled.sparkSession.createDataFrame([(x, min(1.0, per_label / n)) for x, n in sizes.items()], "label string, part double")
+        chosen = known.join(F.broadcast(parts), "label").where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < F.col("part") * (1 << 20))
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_memory("", dict)
+            table = np.zeros((len(languages), BINS), "i8")
+            for batch in batches:
+                for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                    table[place[label]] += np.bincount(trigrams(letters(text)), minlength=BINS)
+            label, bin_ = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(label.astype("i4")), pa.array(bin_.astype("i4")), pa.array(table[label, bin_])], ["label", "bin", "n"])
+
         for r in chosen.select("text", "label").mapInArrow(tally, "label int, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toLocalIterator():
             found[r["label"], r["bin"]] = r["n"]
     found += smoothing
@@ -88,7 +104,7 @@ def train(labelled: DataFrame, per_label: int = 2000, least: int = 5, smoothing:
 
 
 def text_scores(rows: DataFrame, model: Likelihoods) -> DataFrame:
-    """The rows with scores (log likelihoods by language) and n (trigrams) in place of text; markup is left out."""
+    """The rows with scores (log likelihoods by language) and n (trigrams) in place of text and markup."""
     shared, name = rows.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     kept = [f for f in rows.schema.fields if f.name not in ("text", "markup")]
 
@@ -113,70 +129,87 @@ def _softmax(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
-def _shares(rows: DataFrame, key: str | None, languages: int) -> DataFrame:
-    """key, counts: responsibilities summed by language."""
+def _shares(rows: DataFrame, key: str, languages: int) -> DataFrame:
+    """key, counts (responsibilities summed by language) and rows."""
     sums = F.array(*[F.sum(F.col("resp")[i]) for i in range(languages)])
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(sums.alias(f"{key}_counts"))
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(sums.alias("counts"), F.count("*").alias("rows"))
+
 
+def _domain(host: Column) -> Column:
+    return F.when(host != "", F.substring_index(host, ".", -2))
 
-def fuse(scored: DataFrame, languages: list[str], strength: float = 20.0, evidence: float = 60.0, suffix_weight: float = 0.5) -> DataFrame:
-    """The rows with posterior (by language).
+
+def fuse(scored: DataFrame, languages: list[str], scratch: Scratch, strength: float = 20.0, evidence: float = 60.0, suffix_weight: float = 0.5) -> DataFrame:
+    """The scored rows (kept, declared, host, suffix, scores, n; a written table) with posterior (by language).
 
     Text: the log likelihood counts as of at most `evidence` trigrams, since trigrams of one text aren't independent.
     From its posterior under even priors every row gives each language a share of itself; grouped sums of those
     shares give P(declared | language) and P(suffix | language), and the host's prior, which is smoothed towards its
-    domain's with `strength` rows, and that in turn towards the corpus'. Grouping combines before it shuffles; only
-    narrow rows are joined.
+    domain's with `strength` rows, and that in turn towards the corpus'. Grouping combines before it shuffles; rows
+    are narrow, and those of hot hosts, declarations and suffixes stay where they are.
     """
     k = len(languages)
     tempered = F.transform("scores", lambda x: x * F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.col("n"), F.lit(1))))
-    rows = scored.withColumn("tempered", tempered).withColumn("resp", _softmax(F.col("tempered")))
-    rows = rows.withColumn("domain", F.when(F.col("host") != "", F.substring_index("host", ".", -2)))
+    rows = scored.withColumn("tempered", tempered).withColumn("resp", _softmax(F.col("tempered"))).withColumn("domain", _domain(F.col("host")))
     whole = rows.agg(*[F.coalesce(F.sum(F.col("resp")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).first()
     all_, size = [float(whole[i]) + 1.0 for i in range(k)], float(sum(whole)) + k
     base = F.array(*[F.lit(x / size) for x in all_])
     seen = F.array(*map(F.lit, all_))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     smooth = lambda counts, prior: F.zip_with(counts, prior, lambda n, p: (n + F.lit(strength) * p) / (total(counts) + F.lit(strength)))
-    domains = _shares(rows, "domain", k).select("domain", smooth(F.col("domain_counts"), base).alias("domain_prior"))
-    hosts = _shares(rows, "host", k).withColumn("domain", F.when(F.col("host") != "", F.substring_index("host", ".", -2)))
-    hosts = hosts.join(domains, "domain", "left").select("host", smooth(F.col("host_counts"), F.coalesce("domain_prior", base)).alias("host_prior"))
-    given = lambda key: _shares(rows, key, k).select(key, F.zip_with(f"{key}_counts", seen, lambda n, m: F.log((n + 0.5) / (m + 1.0))).alias(f"{key}_log"))
-    joined = rows.join(hosts, "host", "left").join(given("declared"), "declared", "left").join(given("suffix"), "suffix", "left")
+    domains = scratch.table(_shares(rows, "domain", k).select("domain", smooth(F.col("counts"), base).alias("domain_prior")), "domains")
+    hosts = scratch.table(_shares(rows, "host", k).withColumn("domain", _domain(F.col("host"))), "host-shares")
+    many = hosts.where("domain is not null").groupBy("domain").agg(F.count("*").alias("hosts"))
+    hosts = join_by_key(hosts, scratch.table(domains.join(many, "domain"), "domain-priors"), ["domain"], "hosts", "left")
+    hosts = scratch.table(hosts.select("host", smooth(F.col("counts"), F.coalesce("domain_prior", base)).alias("host_prior"), F.col("rows").alias("host_rows")), "hosts")
+    joined = join_by_key(scored, hosts, ["host"], "host_rows", "left")
+    for key in ("declared", "suffix"):
+        given = _shares(rows, key, k).select(key, F.zip_with("counts", seen, lambda n, m: F.log((n + 0.5) / (m + 1.0))).alias(f"{key}_log"), F.col("rows").alias(f"{key}_rows"))
+        joined = join_by_key(joined, scratch.table(given, key), [key], f"{key}_rows", "left")
     none = F.array(*[F.lit(0.0)] * k)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    logs = add(add(F.col("tempered"), F.transform(F.coalesce("host_prior", base), lambda x: F.log(x))), add(F.coalesce("declared_log", none), F.transform(F.coalesce("suffix_log", none), lambda x: x * suffix_weight)))
+    logs = add(add(tempered, F.transform(F.coalesce("host_prior", base), lambda x: F.log(x))), add(F.coalesce("declared_log", none), F.transform(F.coalesce("suffix_log", none), lambda x: x * suffix_weight)))
     return joined.withColumn("posterior", _softmax(logs))
 
 
 def identify(rows: DataFrame, labelled: DataFrame, least_posterior: float = 0.5, floor: float = -10.5, per_label: int = 2000) -> DataFrame:
     """Per row: its other columns, language, posterior and accepted.
 
-    rows: text, markup (true: text is HTML), declared, host, suffix, and others that are carried along. labelled: text
-    and label, to fit the text model on. A row is rejected when no language reaches `least_posterior`, when it has no
-    letters, or when its trigrams are on average as unlikely as noise (below `floor`, from 50 trigrams on). Missing
-    evidence is neutral; whole texts count. Repeated rows get the same answer; empty tables give an empty result.
+    rows: text, markup (true: text is HTML), declared, host, suffix, and others of any name that are carried along.
+    labelled: key, text and label, to fit the text model on. A row is rejected when no language reaches
+    `least_posterior`, when it has no letters, or when its trigrams are on average as unlikely as noise (below
+    `floor`, from 50 trigrams on). Missing evidence is neutral; a null text is an empty one; whole texts count.
+    Repeated rows get the same answer; empty tables give an empty result. Where nothing is labelled all are rejected.
     """
     scratch = Scratch(rows.sparkSession, "langid")
     model = train(labelled, per_label)
-    carried = [c for c in rows.columns if c not in ("text", "markup", "declared", "host", "suffix")]
+    carried = [c for c in rows.columns if c not in ("text", "markup", "declared", "host", "suffix", "language", "posterior", "accepted")]
+    unused = "_" * (1 + max(map(len, carried), default=0))  # a struct needs a field
+    kept = F.struct(*[F.col(f"`{c}`") for c in carried], F.lit(0).alias(unused)).alias("kept")
+    mine = [F.col(f"kept.`{c}`") for c in carried]
     if not model.languages:
-        return rows.select(*carried, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
-    scored = scratch.table(text_scores(rows, model), "scores")
-    fused = fuse(scored, model.languages)
+        return rows.select(kept).select(*mine, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
+    scored = scratch.table(text_scores(rows.select(kept, "text", "markup", "declared", "host", "suffix"), model), "scores")
+    fused = fuse(scored, model.languages, scratch)
     best = F.array_max("posterior")
     names = F.array(*map(F.lit, model.languages))
     language = F.element_at(names, F.array_position("posterior", best).cast("int"))
     fits = (F.col("n") > 0) & ((F.col("n") < 50) | (F.array_max("scores") / F.greatest(F.col("n"), F.lit(1)) >= floor))
-    return fused.select(*carried, language.alias("language"), best.alias("posterior"), (fits & (best >= least_posterior)).alias("accepted"))
+    return fused.select(*mine, language.alias("language"), best.alias("posterior"), (fits & (best >= least_posterior)).alias("accepted"))
+
+
+#: The primary language of an html tag's lang attribute; a tag ends at the next angle bracket.
+_LANG = r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b"
 
 
-_LANG = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b"
+def primary(language: Column) -> Column:
+    """The primary part of a language tag such as en-US or pt_BR, in lower case; null without one."""
+    return F.nullif(F.lower(F.regexp_extract(language.cast("string"), "^\\s*([^-_\\s]+)", 1)), F.lit(""))
 
 
 def document_rows(documents: DataFrame) -> DataFrame:
     """Documents as rows of evidence: the declared language is that of markup in the text, else of the lang column; the source is the host."""
-    declared = F.lower(F.coalesce(F.nullif(F.regexp_extract(F.substring(F.coalesce("text", F.lit("")), 1, 4096), _LANG, 1), F.lit("")), F.substring(F.col("lang").cast("string"), 1, 3)))
+    declared = F.coalesce(primary(F.regexp_extract(F.coalesce("text", F.lit("")), _LANG, 1)), primary(F.col("lang")))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.col("text"), F.lit(False).alias("markup"), declared.alias("declared"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"))
 
 
@@ -184,12 +217,12 @@ def page_rows(pages: DataFrame) -> DataFrame:
     """Pages as rows of evidence: html's lang attribute, the url's host and its last label."""
     html = F.coalesce("html", F.lit(""))
     host = F.regexp_replace(host_of(F.col("url")), ":[0-9]*$", "")
-    declared = F.nullif(F.lower(F.regexp_extract(html, _LANG, 1)), F.lit(""))
+    declared = primary(F.regexp_extract(html, _LANG, 1))
     return pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), html.alias("text"), F.lit(True).alias("markup"), declared.alias("declared"), F.nullif(host, F.lit("")).alias("host"), F.nullif(F.substring_index(host, ".", -1), F.lit("")).alias("suffix"))
 
 
 def labelled_rows(documents: DataFrame) -> DataFrame:
-    return documents.select("text", F.col("lang").cast("string").alias("label"))
+    return documents.select(F.col("doc_id").alias("key"), "text", primary(F.col("lang")).alias("label"))
 
 
 def identify_corpus(documents: DataFrame, pages: DataFrame) -> DataFrame:
