@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kondate.llm.common import Scratch, broadcast_if_small
+from kondate.llm.common import Scratch, join_by_key
 
 MARGINS = ("source", "lang", "topic")
 #: Share of a margin's value is its natural share to this power, before normalising: below 1 lifts the small ones.
@@ -27,11 +27,17 @@ def topic_of(text: Column, tokens: Column) -> Column:
     return F.when((digits * 100 >= F.length(text) * 3) & (digits > 0), "figures").otherwise(by_length)
 
 
-def with_margins(documents: DataFrame) -> DataFrame:
-    """The documents with _source, _lang, _topic and _tokens; a null source or language is ''."""
-    rows = documents.withColumn("_tokens", tokens_of(F.col("text")))
-    known = {f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang")}
-    return rows.withColumns({**known, "_topic": topic_of(F.col("text"), F.col("_tokens"))})
+def with_margins(documents: DataFrame, topic: Column | None = None) -> DataFrame:
+    """doc_id, _source, _lang, _topic, _tokens of the documents, and row, a struct of all their columns.
+
+    A null source or language is one value with ''. topic: a column of labels, if the documents have better ones than
+    ``topic_of``.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in ("source", "lang")]
+    given = F.lit(None).cast("string") if topic is None else topic.cast("string")
+    rows = documents.select(whole, F.col("doc_id").cast("long").alias("doc_id"), *known, tokens_of(F.col("text")).alias("_tokens"), given.alias("_given"))
+    return rows.withColumn("_topic", F.coalesce("_given", topic_of(F.col("row.text"), F.col("_tokens")))).drop("_given")
 
 
 def natural_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
@@ -47,18 +53,18 @@ ONE_TASK_CELLS = 100_000
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
-    """Cells with weight, scaled margin by margin until every margin's sum of weights is its target.
+    """Cells with weight and miss, scaled margin by margin until every margin's sum of weights is its target.
 
     cells: one row per combination of margins, with tokens; targets: margin to (value, target). Starts from the
     natural shares, so the weights are the closest to them that meet the targets. Stops when the largest relative
-    miss is within the tolerance, or after `rounds`, as margins that contradict each other never meet. Values without
-    a target and cells without tokens get weight 0. With a column cap no weight exceeds it: what a cell can't take goes
+    miss is within the tolerance, when no weight moves any more, as margins that contradict each other never meet, or
+    after `rounds`; miss says how far a cell's margins are off at the end. Values without a target and cells without tokens get weight 0. With a column cap no weight exceeds it: what a cell can't take goes
     to the open cells of its margins, so the weights end at the targets where any bounded ones meet them; cells with
     a column weight start from it. Each round is written, so lineage doesn't grow. Up to a counted
     bound the cells stay in one partition, which needs no shuffles; beyond it, each margin is a grouped sum and a join.
     """
     sums = cells.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
-    kept = [c for c in cells.columns if c not in ("weight", "cap")]
+    kept = [c for c in cells.columns if c not in ("weight", "cap", "miss")]
     start = F.col("weight") if "weight" in cells.columns else F.col("tokens") / F.lit(float(max(1, sums["t"] or 0)))
     cap = F.col("cap") if "cap" in cells.columns else F.lit(float("inf"))
     fitted = cells.select(*kept, F.least(start, cap).alias("weight"), cap.alias("cap"))
@@ -68,12 +74,16 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, r
     small = sums["n"] <= ONE_TASK_CELLS
     fitted = scratch.table(fitted.coalesce(1) if small else fitted, "rake-0")
     for turn in range(1, rounds + 1):
+        fitted = fitted.withColumn("_was", F.col("weight"))
         fitted = _round(fitted.coalesce(1), targets) if small else _shuffled_round(fitted, targets, scratch, turn)
-        fitted = scratch.table(fitted, f"rake-{turn}")
-        if (fitted.agg(F.max("miss")).first()[0] or 0.0) <= tolerance:
+        fitted = scratch.table(fitted.withColumn("moved", F.abs(F.col("weight") - F.col("_was"))).drop("_was"), f"rake-{turn}")
+        seen = fitted.agg(F.max("miss").alias("miss"), F.max("moved").alias("moved")).first()
+        fitted = fitted.drop("moved")
+        if (seen["miss"] or 0.0) <= tolerance or seen["moved"] <= tolerance / 10:
             break
-        fitted = fitted.drop("miss")
-    return fitted.select(*kept, "weight")
+        if turn < rounds:
+            fitted = fitted.drop("miss")
+    return fitted.select(*kept, "weight", "miss")
 
 
 #: Grouped sums by margin: all weights, and those below their cap.
@@ -129,12 +139,13 @@ def bounded_targets(cells: DataFrame, margin: str, targets: DataFrame, scratch:
         factor = raised
 
 
-def mixture(documents: DataFrame, fraction: float = 0.5, powers: Mapping[str, float] = POWERS, targets: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, int]:
-    """The cells (_source, _lang, _topic, weight, probability, _cell_tokens) and their number.
+def mixture(documents: DataFrame, fraction: float = 0.5, powers: Mapping[str, float] = POWERS, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """The cells: _source, _lang, _topic, weight, probability, _miss, _cell_tokens, _documents.
 
     weight: the raked share without regard to how many tokens a cell has. probability: from weights raked again with
     no cell above probability 1, so that the expected tokens of a sample of `fraction` of all tokens follow the
-    targets, as far as the cells have the tokens (``expected_margins`` gives the misses). No document is repeated.
+    targets, as far as the cells have the tokens (``expected_margins`` gives the misses). _miss: how far the raked
+    margins of the cell were from what they could reach when raking ended. No document is repeated.
     """
     scratch = Scratch(documents.sparkSession, "mixing")
     cells = documents.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("documents"))
@@ -148,8 +159,8 @@ def mixture(documents: DataFrame, fraction: float = 0.5, powers: Mapping[str, fl
     most = {m: bounded_targets(capped, m, t, bounded) for m, t in wanted.items()}
     fitted = rake(capped, most, bounded)
     probability = F.when((F.col("tokens") > 0) & (F.col("weight") >= cap), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("weight"), cap), F.lit(0.0))))
-    named = fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("raked").alias("weight"), probability.alias("probability"), F.col("tokens").alias("_cell_tokens"))
-    return named, cells.count()
+    named = [F.col(m).alias(f"_{m}") for m in MARGINS]
+    return bounded.table(fitted.select(*named, F.col("raked").alias("weight"), probability.alias("probability"), F.col("miss").alias("_miss"), F.col("tokens").alias("_cell_tokens"), F.col("documents").alias("_documents")), "mixture")
 
 
 def expected_margins(cells: DataFrame, fraction: float, targets: Mapping[str, DataFrame]) -> DataFrame:
@@ -165,25 +176,26 @@ def drawn(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def sample_decisions(documents: DataFrame, fraction: float = 0.5, seed: int = 7) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, weight, probability, sampled of every row.
+_CELL = [f"_{m}" for m in MARGINS]
+
 
-    weight: the cell's calibrated share of the tokens. Rows that repeat a doc_id are drawn alike if of one cell. Null
-    sources and languages are a value of their own (''); texts without words have no tokens, and a cell of those only
-    is never drawn. An empty table gives an empty result. Cells are joined by broadcast while few (counted).
+def sample_decisions(documents: DataFrame, fraction: float = 0.5, seed: int = 7, topic: Column | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, weight, probability, miss, sampled of every row.
+
+    weight: the cell's calibrated share of the tokens; miss: how far its margins were off when raking ended. Rows that
+    repeat a doc_id are drawn alike if of one cell. Null sources and languages count as ''; texts without words have
+    no tokens, and a cell of those only is never drawn. An empty table gives an empty result. Rows of large cells are
+    joined by broadcast, those of the many small ones by shuffle.
     """
     scratch = Scratch(documents.sparkSession, "mixing-rows")
-    rows = with_margins(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang"))
-    rows = scratch.table(rows.select("doc_id", "_source", "_lang", "_topic", "_tokens"), "rows")
-    cells, count = mixture(rows, fraction)
-    joined = rows.join(broadcast_if_small(cells, 10 * count), ["_source", "_lang", "_topic"])
-    return joined.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), "weight", "probability", (drawn(seed) < F.col("probability")).alias("sampled"))
-
-
-def sample_documents(documents: DataFrame, fraction: float = 0.5, seed: int = 7) -> DataFrame:
-    """The drawn documents, with their columns. Texts are not shuffled while the cells are few (counted)."""
-    rows = with_margins(documents)
-    scratch = Scratch(documents.sparkSession, "mixing-narrow")
-    cells, count = mixture(scratch.table(rows.select("_source", "_lang", "_topic", "_tokens"), "rows"), fraction)
-    joined = rows.join(broadcast_if_small(cells, 10 * count), ["_source", "_lang", "_topic"])
-    return joined.where(drawn(seed) < F.col("probability")).select(documents.columns)
+    rows = scratch.table(with_margins(documents, topic).select("doc_id", *_CELL, "_tokens"), "rows")
+    joined = join_by_key(rows, mixture(rows, fraction), _CELL, "_documents")
+    return joined.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), "weight", "probability", F.col("_miss").alias("miss"), (drawn(seed) < F.col("probability")).alias("sampled"))
+
+
+def sample_documents(documents: DataFrame, fraction: float = 0.5, seed: int = 7, topic: Column | None = None) -> DataFrame:
+    """The drawn documents, with their columns, whatever those are called. Texts are shuffled only in the small cells of very many."""
+    rows = with_margins(documents, topic)
+    narrow = Scratch(documents.sparkSession, "mixing-narrow").table(rows.select(*_CELL, "_tokens"), "rows")
+    joined = join_by_key(rows.drop("_tokens"), mixture(narrow, fraction), _CELL, "_documents")
+    return joined.where(drawn(seed) < F.col("probability")).select("row.*")
