@@ -11,7 +11,7 @@ from kondate.llm.common import read
 
 
 def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
 def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ OP1 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages),
 q AS (SELECT *, CASE WHEN strlen(body) >= 100 AND page_id <> least THEN least END AS refers_to FROM p)
 SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest,
-  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, CAST(NULL AS VARCHAR) AS problem
 FROM q
 """
 OP8 = r"""
