@@ -14,8 +14,9 @@ from kondate.llm.common import Scratch, broadcast_if_small, read
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the doc_ids of a narrow table: by broadcast while they are few (counted), by shuffle beyond."""
-    ids = Scratch(docs.sparkSession, "dropped").table(dropped.select(F.col("doc_id").alias("_id")).distinct(), "ids")
-    return docs.join(broadcast_if_small(ids, ids.count()), F.col("doc_id") == F.col("_id"), "left_anti")
+    ids = Scratch(docs.sparkSession, "dropped").table(dropped.select(F.col("doc_id").alias("dropped_id")).distinct(), "ids")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(broadcast_if_small(ids, ids.count()), F.col("id").eqNullSafe(F.col("dropped_id")), "left_anti").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
