@@ -71,6 +71,20 @@ def test_archive_checks(spark):
     assert read(records[:1] + records[2:]) == [(None, "segments are missing")]
     assert read(records[:-1])[0][0] is None
     assert read([records[-1].replace(b"Total-Length: ", b"Total-Length: 1"), *records[:-1]]) == [(None, "the total length differs")]
+    assert read([records[0].replace(b"Content-Length", b"Content-Size")])[0][1] == "the content length is missing or no number"
+    assert sorted(read([*records, b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\nabc"]), key=str)[0] == (None, "the block is cut short")
+    for broken in (b"1\r\nz\r\n3\r\nabc\r\n-e\r\n", b"+1\r\nz\r\n0\r\n\r\n", b"5\r\nab\r\n", b"", b"zz\r\n"):
+        with pytest.raises(ValueError):
+            warc.dechunked(broken)
+    assert warc.inflated(zlib.compress(b"x" * 99, wbits=31)[:-9])[1] and warc.inflated(b"\x1f\x8bxxxx")[1]
+
+
+def test_most_pages_come_in_segments(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    folder = Scratch(spark, "segments").path("archives")
+    warc.write_archives(pages, folder)
+    kinds = Counter(m for r in spark.read.format("binaryFile").load(folder).collect() for m in re.findall(rb"WARC-Type: ([a-z]+)", warc.inflated(bytes(r["content"]))[0]))
+    assert kinds[b"continuation"] > kinds[b"response"] > 0
 
 
 # -- 2 ---------------------------------------------------------------------------------------------------------------
@@ -78,8 +92,8 @@ def test_archive_checks(spark):
 
 def test_raking_meets_its_margins(spark, corpus):
     rows = mixing.with_margins(documents(spark, odd(corpus)))
-    cells, _ = mixing.mixture(rows, 0.5)
-    found = cells.toPandas()
+    found = mixing.mixture(rows, 0.5).toPandas()
+    assert (found["_miss"] >= 0).all()
     table = rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("t")).toPandas()
     weight = table.assign(w=table["t"] / table["t"].sum())
     targets = {}
@@ -103,7 +117,7 @@ def test_raking_alike_by_shuffles(spark, corpus, monkeypatch):
     weights = []
     for most in (mixing.ONE_TASK_CELLS, 0):
         monkeypatch.setattr(mixing, "ONE_TASK_CELLS", most)
-        weights.append({tuple(r[:3]): r[3] for r in mixing.mixture(rows, 0.5)[0].select("_source", "_lang", "_topic", "weight").collect()})
+        weights.append({tuple(r[:3]): r[3] for r in mixing.mixture(rows, 0.5).select("_source", "_lang", "_topic", "weight").collect()})
     assert weights[0] == pytest.approx(weights[1])
 
 
@@ -120,13 +134,24 @@ def test_sampling(spark, corpus):
     assert mixing.sample_documents(docs, 0.5).columns == docs.columns
 
 
+def test_columns_of_any_name_stay(spark, corpus):
+    names = ["_tokens", "_topic", "_source", "weight", "probability", "row", "_digest", "id", "digest", "group_size"]
+    docs = documents(spark, [*corpus[:50], (9001, None, "en", "a"), (9002, "", None, None)]).withColumns({n: F.lit(f"mine {n}") for n in names if n not in ("digest",)})
+    for kept in (mixing.sample_documents(docs, 0.9), exact_dedup.keep_first(docs)):
+        assert kept.columns == docs.columns
+        assert kept.count() > 0 and kept.where(" or ".join(f"{n} <> 'mine {n}'" for n in names if n != "digest")).count() == 0
+    given = mixing.sample_decisions(docs, 0.5, topic=F.col("lang"))
+    assert {r["topic"] for r in given.select("topic").distinct().collect()} >= {"en"}
+
+
 def test_expected_sample_follows_the_margins(spark):
     counts = {("a", "en"): 60, ("a", "es"): 5, ("b", "en"): 10, ("b", "es"): 20, ("c", "en"): 2, ("c", "es"): 3}
     rows = [(s, lang, "w " * 10) for (s, lang), n in counts.items() for _ in range(n)]
     docs = documents(spark, [(i, text, lang, s) for i, (s, lang, text) in enumerate(rows)])
-    cells, _ = mixing.mixture(mixing.with_margins(docs), 0.5)
+    cells = mixing.mixture(mixing.with_margins(docs), 0.5)
     target = {"en": 72**0.5 / (72**0.5 + 28**0.5)}
     out = cells.toPandas()
+    assert (out["_miss"] < 1e-3).all()
     out["expected"] = out["probability"] * out["_cell_tokens"]
     assert out["expected"].sum() == pytest.approx(500, rel=1e-3)
     assert out[out["_lang"] == "en"]["expected"].sum() == pytest.approx(500 * target["en"], rel=1e-3)
@@ -228,6 +253,41 @@ def test_disclosure_by_short_names_and_numbers(spark):
     assert {rows[400][1][t["start"] : t["end"]] for t in found["terms"]} == {"Kim", "王小", "AB12", "and", "call"}
 
 
+def plain_disclosure(rows, support, generalise, remove):
+    """doc_id -> {term: action}, by counting every entity and term of every row."""
+    held = {i: ({pii.entity(t or "", *x) for x in plain_spans(t or "")}, pii.terms(t or "")) for i, t in rows}
+    n, c, d, b = len(rows), Counter(), Counter(), Counter()
+    for entities, words in held.values():
+        c.update(entities)
+        d.update(words)
+        b.update((e, t) for e in entities for t in words)
+    out = defaultdict(dict)
+    for i, (entities, words) in held.items():
+        for e in entities:
+            for t in words:
+                info = math.log2(n / c[e])
+                share = math.log2((b[e, t] * n / c[e] + support) / (d[t] + support)) / info if info > 0 else 0
+                if share >= generalise:
+                    out[i][t] = max(out[i].get(t, ""), "remove" if share >= remove else "generalise")
+    return out
+
+
+def test_disclosure_against_all_pairs(spark, corpus):
+    rng = random.Random(8)
+    made = [(20_000 + i, " ".join([*(f"n{rng.randrange(60)}" for _ in range(12)), *rng.sample(["a@b.org", "c@d.org", "+1 555 010 9999", "10.0.0.1"], rng.randrange(4))])) for i in range(300)]
+    rows = [r[:2] for r in corpus] + made + [(30_000 + i, "jaguar seen by kim@x.org") for i in range(150)]
+    wanted = plain_disclosure(rows, 3, 0.7, 0.95)
+    found = pii.find_personal_data(documents(spark, rows)).where("terms is not null").collect()
+    text = dict(rows)
+    assert {r["doc_id"]: {text[r["doc_id"]][t["start"] : t["end"]].lower(): a for t, a in zip(r["terms"], r["actions"])} for r in found} == wanted
+    assert len(wanted) > 150 and {a for x in wanted.values() for a in x.values()} == {"generalise", "remove"}
+
+
+def test_blanking_is_linear():
+    text = "x a@b.org " * 60_000
+    assert len(pii.base_spans(text)) == 60_000 and pii.terms(text) == {"x"}
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -252,11 +312,20 @@ def test_exact_groups(spark, corpus):
 
 def test_tree_merge_exchanges_every_digest(spark):
     rows = spark.range(0, 5000, 1, 13).select(F.col("id").alias("doc_id"), F.unhex(F.sha2((F.col("id") % 700).cast("string").cast("binary"), 256)).alias("digest"), F.lit(1).cast("long").alias("check"))
-    for radix, rounds in ((2, 3), (8, 2), (3, 1)):
-        found = exact_dedup.tree_merge(rows, radix, rounds).collect()
+    for radix, rounds in ((2, 3), (8, 2), (3, 1), (4, None)):
+        merged = exact_dedup.tree_merge(rows, radix, rounds)
+        assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange") == (rounds or 1)  # one exchange a round
+        found = merged.collect()
         assert sorted(r["keep_id"] for r in found) == list(range(700)) and sum(r["group_size"] for r in found) == 5000
 
 
+def test_hot_groups_join_alike(spark, monkeypatch):
+    docs = documents(spark, [(i, f"text {'hot' if i % 3 == 0 else i % 40}") for i in range(600)])
+    before = Counter(map(tuple, exact_dedup.exact_groups(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "join_by_key", partial(exact_dedup.join_by_key, most=4))
+    assert Counter(map(tuple, exact_dedup.exact_groups(docs).collect())) == before
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -333,9 +402,37 @@ def test_language_evidence(spark, corpus):
     assert langid.identify(docs.where("false"), train).count() == langid.identify(docs, train.where("false")).where("accepted").count() == 0
 
 
+def test_visible_text():
+    assert "".join(langid.visible("a<p>b</p><script>c<i></script >d<!-- e > -->f<style x>g").split()) == "abdfg"
+    for html in ("<script " * 40_000, "<!--" * 40_000, "<style>" * 40_000, "</script " * 40_000):
+        langid.visible(html)  # no time to speak of
+
+
+def test_language_with_odd_rows(spark, corpus):
+    """A null text with a language, tags of regions, a declaration far behind, carried columns with the operator's names."""
+    rows = [*corpus, (9001, None, "en", "a"), (9002, "", "en", "a"), (9003, "x " * 5000 + '<html lang="fr-CA">', None, None)]
+    docs = documents(spark, rows)
+    assert {r["label"] for r in langid.labelled_rows(documents(spark, [(1, "a", "en-US", "x"), (2, "a", "pt_BR", "x"), (3, "a", "", "x")])).collect()} == {"en", "pt", None}
+    evidence = langid.document_rows(docs)
+    assert evidence.where("doc_id = 9003").first()["declared"] == "fr"
+    clash = evidence.withColumns({c: F.lit(c) for c in ("n", "scores", "host_prior", "rows", "kept", "_", "language")})
+    found = langid.identify(clash, langid.labelled_rows(docs))
+    assert found.where("n = 'n' and host_prior = 'host_prior' and kept = 'kept'").count() == len(rows)
+    assert found.where("doc_id in (9001, 9002) and not accepted").count() == 2
+
+
+def test_hot_hosts_alike(spark, corpus, monkeypatch):
+    docs = documents(spark, [(i, t, lang, f"h{i % 7 * (i % 3)}") for i, t, lang, _ in corpus] + [(9100, "the and", None, None)])
+    before = langid.identify(langid.document_rows(docs), langid.labelled_rows(docs)).collect()
+    monkeypatch.setattr(langid, "join_by_key", partial(langid.join_by_key, most=3))
+    after = langid.identify(langid.document_rows(docs), langid.labelled_rows(docs)).collect()
+    key = lambda rows: sorted((r["doc_id"], r["language"], round(r["posterior"], 9), r["accepted"]) for r in rows)
+    assert key(before) == key(after)
+
+
 def test_host_prior_decides_without_letters_of_its_own(spark):
     words = {"fr": "le les des que", "en": "the and of to"}
-    train = spark.createDataFrame([(w, k) for k, w in words.items() for _ in range(10)], "text string, label string")
+    train = spark.createDataFrame([(i, w, k) for k, w in words.items() for i in range(10)], "key int, text string, label string")
     rows = [(i, words["fr"], "a.b.fr") for i in range(30)] + [(i, words["en"], "c.d.com") for i in range(30, 60)] + [(99, "zz", "a.b.fr"), (98, "zz", "c.d.com")]
     df = spark.createDataFrame(rows, "k int, text string, host string").withColumns({"markup": F.lit(False), "declared": F.lit(None).cast("string"), "suffix": F.lit(None).cast("string")})
     found = {r["k"]: r["language"] for r in langid.identify(df, train).collect()}
