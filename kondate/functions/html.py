@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
+from typing import Any
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -13,79 +16,99 @@ from pyspark.sql import types as T
 
 from kondate import schema
 
+UNREAD = ("script", "style")
+UNSEEN = (*UNREAD, "noscript")
 
-class _Page(HTMLParser):
-    """Collects what stands outside of scripts and styles."""
+
+class _Tokens(HTMLParser):
+    """The page as a flat list: (tag, 1, attributes) where an element opens, (tag, -1, None) where it ends, ('', 0, text)."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.hidden = self.quiet = 0
-        self.title, self.plain, self.texts, self.links, self.headings = "", [], [], [], []
-        self.block: tuple[str, list[str], int] | None = None
-        self.link: tuple[str, list[str]] | None = None
+        self.found: list[tuple[str, int, Any]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.quiet += tag in ("script", "style")
-        self.hidden += tag in ("script", "style", "noscript")
-        if self.hidden:
-            return
-        has = dict(attrs)
-        if tag == "meta" and has.get("property") == "og:title":
-            self.title = has.get("content") or ""
-        elif tag in ("h1", "h2", "title"):
-            self.block = (tag, [], len(self.texts))
-        elif tag == "a":
-            self.link = (has.get("href") or "", [])
-        elif tag == "img" and self.link and has.get("alt"):
-            self.link[1].append(has["alt"])
+        self.found.append((tag, 1, dict(attrs)))
 
     def handle_endtag(self, tag: str) -> None:
-        self.quiet = max(0, self.quiet - (tag in ("script", "style")))
-        self.hidden = max(0, self.hidden - (tag in ("script", "style", "noscript")))
-        if self.block and self.block[0] == tag:
-            text = " ".join(self.block[1]).strip()
-            if tag != "title":
-                self.headings.append({"kind": tag, "text": text, "offset": self.block[2]})
-            elif not self.title:
-                self.title = text
-            self.block = None
-        if tag == "a" and self.link:
-            self.links.append({"href": self.link[0], "label": " ".join(self.link[1])})
-            self.link = None
+        self.found.append((tag, -1, None))
 
     def handle_data(self, data: str) -> None:
-        if not (plain := data.strip()):
-            return
-        if not self.quiet:
-            self.plain.append(plain)
-        if self.hidden:
-            return
-        text = unicodedata.normalize("NFKC", data).strip()
-        self.texts.append(text)
-        for held in (self.block, self.link):
-            if held:
-                held[1].append(text)
-
-
-def _parsed(html: str | None) -> _Page:
-    page = _Page()
-    page.feed(html or "")
-    return page
+        if data.strip():
+            self.found.append(("", 0, data))
+
+
+def _tokens(html: str | None) -> list[tuple[str, int, Any]]:
+    parser = _Tokens()
+    parser.feed(html or "")
+    return parser.found
+
+
+def _outside(tokens: list[tuple[str, int, Any]], tags: tuple[str, ...]) -> list[bool]:
+    """Whether each token stands outside of all elements of these tags; ends without a beginning count for nothing."""
+    steps = (turn if tag in tags else 0 for tag, turn, _ in tokens)
+    return [not d for d in accumulate(steps, lambda depth, step: max(0, depth + step), initial=0)][1:]
+
+
+def _spans(tokens: list[tuple[str, int, Any]], shown: list[bool], tags: tuple[str, ...]) -> list[tuple[int, int]]:
+    """From the last opening of one of the tags to the first end of the same tag."""
+    out, begun = [], None
+    for i, (tag, turn, _) in enumerate(tokens):
+        if turn == 1 and tag in tags and shown[i]:
+            begun = i
+        elif turn == -1 and begun is not None and tag == tokens[begun][0]:
+            out.append((begun, i))
+            begun = None
+    return out
+
+
+def page_parts(html: str | None) -> dict[str, Any]:
+    """title, texts, links and headings of one page."""
+    tokens = _tokens(html)
+    shown = _outside(tokens, UNSEEN)
+    pieces = [(i, unicodedata.normalize("NFKC", data).strip()) for i, (tag, _, data) in enumerate(tokens) if not tag and shown[i]]
+    places, texts = [i for i, _ in pieces], [t for _, t in pieces]
+
+    def within(i: int, j: int) -> list[tuple[int, str]]:
+        return pieces[bisect_left(places, i) : bisect_left(places, j)]
+
+    named = [(i, has.get("content") or "", True) for i, (tag, turn, has) in enumerate(tokens) if tag == "meta" and turn == 1 and shown[i] and has.get("property") == "og:title"]
+    headings = []
+    for i, j in _spans(tokens, shown, ("h1", "h2", "title")):
+        text = " ".join(t for _, t in within(i, j)).strip()
+        if tokens[i][0] == "title":
+            named.append((j, text, False))
+        else:
+            headings.append({"kind": tokens[i][0], "text": text, "offset": bisect_left(places, i)})
+    title = ""
+    for _, text, is_set in sorted(named):
+        title = text if is_set or not title else title
+    links = []
+    for i, j in _spans(tokens, shown, ("a",)):
+        pictures = [(k, tokens[k][2]["alt"]) for k in range(i, j) if tokens[k][:2] == ("img", 1) and shown[k] and tokens[k][2].get("alt")]
+        links.append({"href": tokens[i][2].get("href") or "", "label": " ".join(t for _, t in sorted(within(i, j) + pictures))})
+    return {"title": unicodedata.normalize("NFKC", title), "texts": texts, "links": links, "headings": headings}
+
+
+def plain_text(html: str | None) -> str:
+    tokens = _tokens(html)
+    read = _outside(tokens, UNREAD)
+    return " ".join(data.strip() for i, (tag, _, data) in enumerate(tokens) if not tag and read[i])
 
 
 @F.pandas_udf(schema.PARSED)
 def parse_html(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """title, texts, links, headings; a heading has the index of the text at which it begins. Null is an empty page."""
     for part in pages:
-        found = [_parsed(x) for x in part]
-        yield pd.DataFrame({"title": [unicodedata.normalize("NFKC", x.title) for x in found], "texts": [x.texts for x in found], "links": [x.links for x in found], "headings": [x.headings for x in found]})
+        found = [page_parts(x) for x in part]
+        yield pd.DataFrame({k: [x[k] for x in found] for k in ("title", "texts", "links", "headings")})
 
 
 @F.pandas_udf(T.StringType())
 def page_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The texts outside of scripts and styles, stripped, joined by spaces."""
     for part in pages:
-        yield part.map(lambda x: " ".join(_parsed(x).plain))
+        yield part.map(plain_text)
 
 
 @F.pandas_udf(T.StringType())
