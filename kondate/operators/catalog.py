@@ -40,13 +40,15 @@ def merge_catalog(catalog: DataFrame, incoming: DataFrame, stores: list[str] = d
     return merged.unionByName(others[0]).unionByName(others[1])
 
 
-def upsert_latest(products: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_latest(products: DataFrame, batch: DataFrame, by_seq: bool = False) -> DataFrame:
     """The newest row of each store and address; rows have seq, and the batch counts as newer.
 
-    Rows of the old form, keyed by the address alone, are of the same store and address, so they go the same way.
+    by_seq: rows go by seq wherever they are, and the batch is newer only where that is equal, as for batches of a log
+    that come in any order. Rows of the old form, keyed by the address alone, are of the same store and address, so
+    they go the same way.
     """
     both = products.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
-    return last_wins(both, ["store", "url"], ["_new", "seq"]).drop("_new")
+    return last_wins(both, ["store", "url"], ["seq", "_new"] if by_seq else ["_new", "seq"]).drop("_new")
 
 
 def replace_by_id(catalog: DataFrame, edits: DataFrame) -> DataFrame:

@@ -23,30 +23,53 @@ def read_log_stream(spark: SparkSession, path: str, stores: list[str] = dims.STO
 
 
 class Snapshots:
-    """A table as one Parquet folder per batch; the newest that was finished counts.
+    """A table of products in buckets by a hash of their key, of which a batch rewrites those that it touches.
 
-    A batch that is run again writes the same folder from the same predecessor, so a replay changes nothing.
+    A batch is a folder of bucket folders, and the newest finished batch that has a bucket counts for it. A batch that
+    is run again writes the same folder from the same predecessors, so a replay changes nothing. Versions that are
+    older than a bucket's last two are removed when a batch is finished.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self.kind = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema.PRODUCT)}, seq long"
+
+    def _path(self, *parts: object):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join(map(str, (self.folder, *parts))))
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, *parts: object) -> list[str]:
+        fs, path = self._files(), self._path(*parts)
+        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
 
     def _finished(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = [x.getPath() for x in fs.listStatus(path)]
-        return sorted(int(p.getName()) for p in done if p.getName().isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        found = [b for b in self._finished() if before is None or b < before]
-        kind = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema.PRODUCT)}, seq long"
-        return self.spark.read.schema(kind).parquet(f"{self.folder}/{found[-1]}") if found else self.spark.createDataFrame([], kind)
+        return sorted(int(x) for x in self._names() if x.isdigit() and self._files().exists(self._path(x, "_SUCCESS")))
+
+    def _versions(self, before: int | None = None) -> dict[int, list[int]]:
+        """The finished batches of each bucket, oldest first."""
+        found: dict[int, list[int]] = {}
+        for batch in self._finished():
+            if before is None or batch < before:
+                for name in self._names(batch):
+                    if name.startswith("bucket="):
+                        found.setdefault(int(name.removeprefix("bucket=")), []).append(batch)
+        return found
+
+    def read(self, before: int | None = None, only: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.folder}/{v[-1]}/bucket={b}" for b, v in sorted(self._versions(before).items()) if only is None or b in only]
+        return self.spark.read.schema(self.kind).parquet(*paths) if paths else self.spark.createDataFrame([], self.kind)
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        newest = last_wins(batch, ["store", "url"], ["seq"])
-        upsert_latest(self.read(batch_id), newest.select([*schema.PRODUCT.names, "seq"])).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
+        newest = last_wins(batch, ["store", "url"], ["seq"]).select([*schema.PRODUCT.names, "seq"])
+        bucket = F.pmod(F.xxhash64("store", "url"), F.lit(self.buckets)).cast("int")
+        touched = {r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()}
+        merged = upsert_latest(self.read(batch_id, touched), newest, by_seq=True).withColumn("bucket", bucket)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{batch_id}")
+        for b, versions in self._versions().items():
+            for old in versions[:-2]:
+                self._files().delete(self._path(old, f"bucket={b}"), True)
 
 
 def stream_upsert(rows: DataFrame, snapshots: Snapshots, checkpoint: str) -> StreamingQuery:
