@@ -60,11 +60,17 @@ def pick_product_heading(parsed: DataFrame, original=original_host) -> DataFrame
 
 
 def nutrition_section(body: Column) -> Column:
-    """The first table of nutrients that has a number for protein; ''."""
-    parts = F.split(body, SECTION, -1)
-    tails = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts))), lambda i: F.substring(F.array_join(F.slice(parts, i, F.size(parts)), SECTION), 1, 700))
-    cut = F.filter(F.transform(tails, lambda t: _before(t, SECTION_END)), lambda t: t.rlike(PROTEIN_NUMBER))
-    return F.when(F.size(parts) > 1, F.coalesce(F.try_element_at(cut, F.lit(1)), F.lit(""))).otherwise("")
+    """The first table of nutrients that has a number for protein; ''.
+
+    Each occurrence is looked at through its own window of the text, found by position, so that a page that repeats
+    the word costs as much as it is long.
+    """
+    pieces = F.transform(F.split(body, SECTION, -1), lambda x: F.length(x) + len(SECTION))
+    nothing = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array((a["at"] + n).cast("int"))).alias("starts"))
+    starts = F.aggregate(pieces, nothing, step, lambda a: F.slice(a["starts"], 1, F.size(a["starts"]) - 1))
+    windows = F.transform(starts, lambda i: _before(F.substring(body, i, F.lit(700)), SECTION_END))
+    return F.when(F.contains(body, F.lit(SECTION)), F.coalesce(F.try_element_at(F.filter(windows, lambda t: t.rlike(PROTEIN_NUMBER)), F.lit(1)), F.lit(""))).otherwise("")
 
 
 def extract_price(body: Column) -> Column:

@@ -83,21 +83,33 @@ def _built(host_: Column, path_: Column, query_: Column) -> Column:
     return F.concat(F.lit("https://"), host_, path_, F.when(query_ != "", F.concat(F.lit("?"), query_)).otherwise(F.lit("")))
 
 
+def _parts(url: Column) -> Column:
+    """scheme, user, host, port, path and query, from one split each of the address and its authority."""
+    whole = F.transform(F.array(_clean(url)), lambda u: F.struct(*[F.regexp_extract(u, _SPLIT, i).alias(n) for i, n in enumerate(("scheme", "at", "path", "query"), 1)]))
+    authority = r"^(?:(.*)@)?(\[[^\]]*\]|[^:@]*)(?::(.*))?$"
+    named = lambda x: F.struct(F.lower(x["scheme"]).alias("scheme"), F.regexp_extract(x["at"], authority, 1).alias("user"), F.lower(F.regexp_extract(x["at"], authority, 2)).alias("host"), F.regexp_extract(x["at"], authority, 3).alias("port"), F.regexp_replace(x["path"], r";[^/]*$", "").alias("path"), x["query"].alias("query"))
+    return F.transform(whole, named)
+
+
 def canonical_url(url: Column, known: HostTest = known_host, original: HostTest = original_host) -> Column:
     """The identity of a page, or '' for anything but https on a known host without user and port.
 
     A malformed port is '' as well. On original hosts a detail page loses its query, and paths end in / or .html;
-    on the others tracking parameters go.
+    on the others tracking parameters go. The address is split once, as a bound value of the expression.
     """
-    h, p, q = host(url), path(url), query(url)
-    fits = (scheme(url) == "https") & known(h) & userinfo(url).isin("", ":") & port(url).rlike(r"^(0*443)?$")
-    general = _built(h, F.when(p == "", "/").otherwise(p), sorted_query(q, True))
-    moved = F.replace(p, F.lit("/sp/recommend/"), F.lit("/recommend/"))
-    detail = moved.rlike(r"/(?:item|detail)/") | moved.rlike(r"/goods/[^/]+/\d+\.html")
-    tidy = F.when(moved.endswith(".html"), moved).otherwise(F.concat(F.regexp_replace(moved, "/+$", ""), F.lit("/")))
-    at = F.when(h == "mldata.lawson.co.jp", "www.lawson.co.jp").otherwise(h)
-    own = _built(at, tidy, F.when(detail, "").otherwise(sorted_query(q, False)))
-    return F.when(~F.coalesce(fits, F.lit(False)), "").when(original(h), own).otherwise(general)
+
+    def built(x: Column) -> Column:
+        h, p, q = x["host"], x["path"], x["query"]
+        fits = (x["scheme"] == "https") & known(h) & x["user"].isin("", ":") & x["port"].rlike(r"^(0*443)?$")
+        general = _built(h, F.when(p == "", "/").otherwise(p), sorted_query(q, True))
+        moved = F.replace(p, F.lit("/sp/recommend/"), F.lit("/recommend/"))
+        detail = moved.rlike(r"/(?:item|detail)/") | moved.rlike(r"/goods/[^/]+/\d+\.html")
+        tidy = F.when(moved.endswith(".html"), moved).otherwise(F.concat(F.regexp_replace(moved, "/+$", ""), F.lit("/")))
+        at = F.when(h == "mldata.lawson.co.jp", "www.lawson.co.jp").otherwise(h)
+        own = _built(at, tidy, F.when(detail, "").otherwise(sorted_query(q, False)))
+        return F.when(~F.coalesce(fits, F.lit(False)), "").when(original(h), own).otherwise(general)
+
+    return F.element_at(F.transform(_parts(url), built), 1)
 
 
 # The forms of addresses by chain.
@@ -108,7 +120,10 @@ _PRODUCT = r"(?i)(?:product|goods|item|shohin|commodity|brand|select|food|lineup
 
 def page_kind(url: Column, known: HostTest = known_host, original: HostTest = original_host) -> Column:
     """detail, list, generic or ''."""
-    h, p = host(url), path(url)
+    return F.element_at(F.transform(_parts(url), lambda x: _kind(x["host"], x["path"], known, original)), 1)
+
+
+def _kind(h: Column, p: Column, known: HostTest, original: HostTest) -> Column:
     sej, lawson, family, topvalu = (h == x for x in ("www.sej.co.jp", "www.lawson.co.jp", "www.family.co.jp", "www.topvalu.net"))
     own = p.startswith("/recommend/original/")
     kind = F.when(sej & p.rlike(r"^/products/a/item/\d+/$"), "detail")

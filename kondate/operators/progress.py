@@ -30,8 +30,8 @@ def _counters() -> list[Column]:
 
 
 def collection_progress(outcomes: DataFrame) -> DataFrame:
-    """Counters per chain, and a row with store null for all."""
-    return outcomes.groupBy("store").agg(*_counters()).unionByName(outcomes.agg(*_counters()).select(F.lit(None).cast("string").alias("store"), "*"))
+    """Counters per chain, and a row with store null for all, of one scan."""
+    return outcomes.rollup("store").agg(*_counters())
 
 
 def store_completion(progress: DataFrame, pending: DataFrame, current: str | None = None) -> DataFrame:
