@@ -29,6 +29,11 @@ def favorites_only(catalog: DataFrame, favorites: DataFrame) -> DataFrame:
     return catalog.join(favorites.select(F.col("product_id").alias("id")), "id", "left_semi")
 
 
+def favorites_of_users(catalog: DataFrame, favorites: DataFrame) -> DataFrame:
+    """user_id and the products that are a favorite of each user."""
+    return favorites.select("user_id", F.col("product_id").alias("id")).distinct().join(catalog, "id")
+
+
 def prune_orphans(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Cart lines or favorites whose product exists."""
     return rows.join(catalog.select(F.col("id").alias("product_id")), "product_id", "left_semi").select(rows.columns)

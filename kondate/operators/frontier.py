@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kondate import dims, schema
+from kondate.functions.extract import extract_products, shared_host_guard
 from kondate.functions.html import parse_html, resolve_link
 from kondate.functions.urls import canonical_url, host, original_host, page_kind
+from kondate.operators.rank import sums_before
 from kondate.tables import Scratch
 
 # Limits and words by which links are followed.
@@ -74,13 +76,11 @@ def visit_budget(frontier: DataFrame, carried: DataFrame, limits: tuple[int, int
     skipped, as are rows without a kind.
     """
     added, detail, lists = limits
-    before = Window.partitionBy("store").orderBy("seq", "url").rowsBetween(Window.unboundedPreceding, -1)
     is_list, is_detail = F.col("kind") == "list", F.col("kind").isin("detail", "generic")
-    rows = frontier.where("kind <> ''").join(carried, "store", "left")
+    values = {"_a": F.when(is_detail, F.col("gains")).otherwise(0), "_d": is_detail.cast("int"), "_l": is_list.cast("int")}
+    rows = sums_before(frontier.where("kind <> ''"), "store", ["seq", "url"], values).join(F.broadcast(carried), "store", "left")  # a row per chain
     start = lambda c: F.coalesce(F.col(c), F.lit(0))
-    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    rows = rows.withColumns({"_a": start("added") + so_far(F.when(is_detail, F.col("gains")).otherwise(0)), "_d": start("detail") + so_far(is_detail.cast("int")), "_l": start("lists") + so_far(is_list.cast("int"))})
-    open_ = (is_detail & (F.col("_a") < added) & (F.col("_d") < detail)) | (is_list & (F.col("_l") < lists))
+    open_ = (is_detail & (F.col("_a") + start("added") < added) & (F.col("_d") + start("detail") < detail)) | (is_list & (F.col("_l") + start("lists") < lists))
     return rows.where(open_).select(*frontier.columns)
 
 
@@ -101,3 +101,38 @@ def crawl_levels(pages: DataFrame, seeds: DataFrame, hosts: DataFrame, most_dept
         links = extract_links(visited.where("found"), hosts, canonical, kind_of, original)
         level = scratch.table(next_frontier(links, reached), f"level-{depth + 1}")
     return reached
+
+
+def collect_pages(
+    pages: DataFrame, seeds: DataFrame, hosts: DataFrame, products: DataFrame, run_date: str, most_depth: int = MOST_DEPTH,
+    limits: tuple[int, int, int] = (MOST_ADDED, MOST_DETAIL, MOST_LISTS), most_pending: int = MOST_PENDING, canonical=canonical_url, kind_of=page_kind, original=original_host,
+) -> DataFrame:
+    """store, url, depth, seq, kind, outcome, reason, product of every page that a collection visits, in levels.
+
+    pages: url, html; seeds: store, url, depth 0, seq; hosts: store, host; products: store, url, checked. A level's pages
+    are looked up, extracted and held to their chain (``shared_host_guard``); pages whose product is of the run date
+    are left out, and the budget of a chain, carried from level to level, says which of the others are visited. Links
+    of visited pages make the next level, as far as they are new. The outcome is added, skipped (with a reason), list, or
+    error for an address without a stored page, which counts but leads nowhere. Every level is a written table.
+    """
+    scratch = Scratch(pages.sparkSession, "collect")
+    stored = scratch.table(pages.groupBy(canonical(F.col("url")).alias("url")).agg(F.min("html").alias("html")).where("url <> ''"), "pages")
+    level = scratch.table(seeds.where("url <> ''").dropDuplicates(["store", "url"]), "level-0")
+    known, visits, carried = level.select("store", "url"), None, pages.sparkSession.createDataFrame([], "store string, added long, detail long, lists long")
+    for depth in range(most_depth + 1):
+        kinds = level.withColumn("kind", kind_of(F.col("url"))).where("kind <> ''")
+        due = kinds.where("kind = 'list'").unionByName(skip_recent(kinds.where("kind <> 'list'"), products, run_date))
+        found = extract_products(due.join(stored, "url", "left").withColumn("stored", F.col("html").isNotNull()), run_date, None, original)
+        held = shared_host_guard(found, hosts).withColumn("product", F.when(F.col("stored") & (F.col("kind") != "list"), F.col("product")))
+        held = scratch.table(held.withColumn("gains", F.col("product").isNotNull().cast("int")), f"extracted-{depth}")
+        here = scratch.table(visit_budget(held, carried, limits), f"visited-{depth}")
+        outcome = F.when(~F.col("stored"), "error").when(F.col("kind") == "list", "list").when(F.col("gains") == 1, "added").otherwise("skipped")
+        done = here.select("store", "url", "depth", "seq", "kind", outcome.alias("outcome"), F.when(outcome == "skipped", F.col("reason")).otherwise("").alias("reason"), "product")
+        visits = done if visits is None else visits.unionByName(done)
+        if depth == most_depth:
+            break
+        is_list = F.col("kind") == "list"
+        carried = visits.groupBy("store").agg(F.count_if(F.col("outcome") == "added").alias("added"), F.count_if(~is_list).alias("detail"), F.count_if(is_list).alias("lists"))
+        level = scratch.table(next_frontier(extract_links(here.where("stored"), hosts, canonical, kind_of, original), known, most_pending), f"level-{depth + 1}")
+        known = known.unionByName(level.select("store", "url"))
+    return visits

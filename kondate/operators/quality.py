@@ -30,14 +30,14 @@ def violations(stores: list[str] = dims.STORES, names: list[str] = dims.CATEGORI
     return F.array_compact(F.array(*broken))
 
 
-def validate(catalog: DataFrame) -> DataFrame:
+def validate(catalog: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
     """The rows, categories migrated, with the names of the rules they break; every row of an id that repeats breaks one.
 
-    Identifiers are counted by a grouped sum that combines before its shuffle, and only those that repeat are joined.
+    key: what is to be unique, such as owner and id where rows of many catalogs come together. Identifiers are counted by a grouped sum that combines before its shuffle, and only those that repeat are joined.
     """
     rows = with_migrated_category(catalog).withColumn("broken", violations())
-    twice = rows.groupBy("id").count().where("count > 1 and id is not null").select("id", F.lit(True).alias("_twice"))
-    joined = rows.join(twice, "id", "left")
+    twice = rows.groupBy(*key).count().where("count > 1 and id is not null").select(*key, F.lit(True).alias("_twice"))
+    joined = rows.join(twice, [*key], "left")
     return joined.withColumn("broken", F.when(F.col("_twice"), F.concat("broken", F.array(F.lit("duplicate id")))).otherwise(F.col("broken"))).drop("_twice")
 
 

@@ -131,12 +131,40 @@ OUTCOMES = f"""outcomes AS (
 
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An HTML page of each product, with the numbers that are known."""
-    number = lambda label, c, unit: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<li>{label}："), F.format_string("%.1f", F.col(c)), F.lit(f"{unit}</li>"))).otherwise("")
+    return catalog(spark, sf_dir).select("url", "store", page_of_product().alias("html"))
+
+
+def page_of_product(head: Column | None = None, more: Column | None = None, protein_scale: float | Column = 1.0) -> Column:
+    """The page of a catalog row. head: the text of the heading, if not the name; more: HTML behind the table of nutrients."""
+    number = lambda label, c, unit: F.when(c.isNotNull(), F.concat(F.lit(f"<li>{label}："), F.format_string("%.1f", c), F.lit(f"{unit}</li>"))).otherwise("")
     price = F.when(F.col("price").isNotNull(), F.concat(F.lit("<p>税込 "), F.format_string("%.0f", F.col("price")), F.lit("円</p>"))).otherwise("")
-    table_ = F.concat(number("たんぱく質", "p", "g"), number("脂質", "f", "g"), number("炭水化物", "c", "g"), number("熱量", "kcal", "kcal"))
+    table_ = F.concat(number("たんぱく質", F.col("p") * protein_scale, "g"), number("脂質", F.col("f"), "g"), number("炭水化物", F.col("c"), "g"), number("熱量", F.col("kcal"), "kcal"))
     unit = F.when(F.col("unit") == "1包装", "1包装当たり").when(F.col("unit") == "100g", "100g当たり").otherwise("")
-    html = F.concat(F.lit("<html><head><title>"), F.col("name"), F.lit("｜x</title><script>var a='<b>';</script></head><body><h1>"), F.col("name"), F.lit("</h1>"), price, F.lit("<h3>栄養成分</h3><p>"), unit, F.lit("</p><ul>"), table_, F.lit("</ul><p>保存方法</p></body></html>"))
-    return catalog(spark, sf_dir).select("url", "store", html.alias("html"))
+    more = F.lit("") if more is None else more
+    return F.concat(F.lit("<html><head><title>"), F.col("name"), F.lit("｜x</title><script>var a='<b>';</script></head><body><h1>"), F.col("name") if head is None else head, F.lit("</h1>"), price, F.lit("<h3>栄養成分</h3><p>"), unit, F.lit("</p><ul>"), table_, F.lit("</ul>"), more, F.lit("<p>保存方法</p></body></html>"))
+
+
+def named_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product pages of which every fourth names its chain."""
+    more = F.when(F.col("ord") % 4 == 0, F.concat(F.lit("<p>"), F.col("store"), F.lit("</p>"))).otherwise("")
+    return catalog(spark, sf_dir).select("url", "store", page_of_product(more=more).alias("html"))
+
+
+def faulty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product pages of which some lack a name, repeat the table, hold too much protein or have too long a name."""
+    k = F.col("ord") % 6
+    head = F.when(k == 1, "商品一覧").when(k == 2, F.concat("name", F.repeat(F.lit("x"), 200))).otherwise(F.col("name"))
+    titled = F.when(k.isin(1, 2), head).otherwise(F.col("name"))
+    more = F.when(k == 3, "<p>たんぱく質 1.0g</p>").otherwise("")
+    rows = catalog(spark, sf_dir).withColumn("name", titled)
+    return rows.select("url", "store", page_of_product(more=more, protein_scale=F.when(k == 4, 1e6).otherwise(1.0)).alias("html"))
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product pages of one chain that link to the pages of twice their number and the next."""
+    link = lambda n: F.concat(F.lit('<a href="/goods/'), n, F.lit('/">チキン</a>'))
+    more = F.concat(F.lit("<p>デイリーヤマザキ</p>"), link(2 * F.col("ord")), link(2 * F.col("ord") + 1), F.lit('<a href="/news/1/">x</a><a href="/goods/9/">ビール</a>'))
+    return catalog(spark, sf_dir).where("ord > 0").select("url", page_of_product(more=more).alias("html"))
 
 
 def example_host(url_host: Column) -> Column:

@@ -89,7 +89,11 @@ def t_categories(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "part").select(F.col("p_partkey").alias("k"), text.migrate_category(name, old).alias("category"))
 
 
-@query("SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'ローソン' WHEN 1 THEN 'ナチュラルローソン' WHEN 2 THEN 'セブンイレブン' WHEN 3 THEN 'NewDays' END AS store FROM customer")
+_TAGS = "lower(replace(coalesce(c_name, '') || ' ' || ['LAWSON', 'Ｎａｔｕｒａｌ Lawson', '7-Eleven', 'new days', 'none'][c_custkey % 5 + 1], 'Ｎａｔｕｒａｌ', 'natural'))"
+_ALIASES = " ".join("WHEN " + " OR ".join(f"contains(tags, '{a.casefold()}')" for a in names) + f" THEN '{store}'" for store, names in dims.CHAIN_ALIASES)
+
+
+@query(f"SELECT k, CASE {_ALIASES} END AS store FROM (SELECT c_custkey AS k, {_TAGS} AS tags FROM customer)")
 def t_chain_from_tags(spark: SparkSession, d: str) -> DataFrame:
     """T9 on tags made of customers' names and a brand."""
     brand = F.element_at(F.array(*map(F.lit, ("LAWSON", "Ｎａｔｕｒａｌ Lawson", "7-Eleven", "new days", "none"))), (F.col("c_custkey") % 5 + 1).cast("int"))
@@ -179,6 +183,29 @@ def r_search_price(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "price")
 
 
+_SORTS = "['category', 'value', 'protein', 'balance', 'price']"
+_STORE_LIST = "[" + ", ".join(f"'{s}'" for s in dims.STORES) + "]"
+
+
+@query(CAT.rstrip() + f""",
+req AS (SELECT c_custkey AS k, {_STORE_LIST}[c_custkey % 10 + 1] AS s1, {_STORE_LIST}[c_custkey * 3 % 10 + 1] AS s2, {_SORTS}[c_custkey % 5 + 1] AS sort,
+  CASE c_custkey % 3 WHEN 0 THEN 'red' WHEN 1 THEN '' ELSE 'brand' END AS q, CASE c_custkey % 4 WHEN 0 THEN '主食' ELSE 'すべて' END AS cat, c_custkey % 7 AS minp, c_custkey % 2 * 700 AS maxk, 1 + c_custkey % 2 AS page FROM customer),
+hits AS (SELECT k, sort, page, m.*, CASE sort WHEN 'category' THEN {_CATEGORY_PLACE} WHEN 'value' THEN -value WHEN 'balance' THEN distance WHEN 'price' THEN coalesce(price, 'inf'::DOUBLE) ELSE -coalesce(p, -1) END AS key1, CASE sort WHEN 'category' THEN name ELSE '' END AS key2
+  FROM req JOIN metrics m ON m.store IN (s1, s2) WHERE contains(lower(name || ' ' || note), q) AND (cat = 'すべて' OR category = cat) AND (minp = 0 OR p >= minp) AND (maxk = 0 OR kcal <= maxk)
+    AND (sort <> 'value' OR value IS NOT NULL) AND (sort <> 'balance' OR distance IS NOT NULL))
+SELECT 'r' || k AS request_id, id, row_number() OVER (PARTITION BY k ORDER BY key1, key2, ord) AS place FROM hits QUALIFY place > (page - 1) * 20 AND place <= page * 20""")
+def r_search_requests(spark: SparkSession, d: str) -> DataFrame:
+    """A search of every customer, in one job."""
+    k = F.col("c_custkey")
+    store = lambda n: F.element_at(F.array(*map(F.lit, dims.STORES)), (n % 10 + 1).cast("int"))
+    asked = fx.table(spark, d, "customer").select(
+        F.concat(F.lit("r"), k).alias("request_id"), F.array(store(k), store(k * 3)).alias("stores"), F.when(k % 3 == 0, " ＲＥＤ").when(k % 3 == 1, " ").otherwise("Brand").alias("query"), F.when(k % 4 == 0, "主食").otherwise("すべて").alias("category"),
+        (k % 7).cast("double").alias("minp"), F.lit(0.0).alias("maxf"), (k % 2 * 700).cast("double").alias("maxk"), F.lit(0.0).alias("budget"), F.element_at(F.array(*map(F.lit, rank.SORTS)), (k % 5 + 1).cast("int")).alias("sort"),
+        F.lit(20.0).alias("tp"), F.lit(25.0).alias("tf"), (1 + k % 2).cast("int").alias("page"),
+    )
+    return search.search_requests(fx.catalog(spark, d), asked).select("request_id", "id", F.col("place").cast("long").alias("place"))
+
+
 @query(CAT + "SELECT store, row_number() OVER (PARTITION BY store ORDER BY value DESC, ord) AS rank, id, value, distance FROM metrics WHERE eligible AND deviation <= 10 + 1e-8 AND value IS NOT NULL QUALIFY rank <= 20")
 def r_recommend(spark: SparkSession, d: str) -> DataFrame:
     """R2: the flagship."""
@@ -248,10 +275,10 @@ def a_cart_totals(spark: SparkSession, d: str) -> DataFrame:
     return totals.select("cart_id", *[F.round(n, 4).alias(n) for n in schema.NUMBERS], "missing")
 
 
-@query(_with(fx.CATALOG, fx.FAVORITES) + "SELECT id, name FROM catalog WHERE id IN (SELECT product_id FROM favorites WHERE user_id LIKE '%7')")
+@query(_with(fx.CATALOG, fx.FAVORITES) + "SELECT user_id, id, name FROM favorites JOIN catalog ON id = product_id")
 def j_favorites_only(spark: SparkSession, d: str) -> DataFrame:
-    """J4."""
-    return cart.favorites_only(fx.catalog(spark, d), fx.favorites(spark, d).where(F.col("user_id").endswith("7"))).select("id", "name")
+    """J4, for every user."""
+    return cart.favorites_of_users(fx.catalog(spark, d), fx.favorites(spark, d)).select("user_id", "id", "name")
 
 
 @query(_with(fx.CATALOG, fx.FAVORITES) + "SELECT user_id, product_id FROM favorites WHERE product_id IN (SELECT id FROM catalog WHERE ord % 2 = 0)")
@@ -318,10 +345,11 @@ def r_nearby_recommend(spark: SparkSession, d: str) -> DataFrame:
     return geo.recommend_at(first, fx.catalog(spark, d)).select("point_id", "poi_id", "tolerance", "rank", "id", "value")
 
 
-@query(_with(fx.CATALOG, fx.POINTS) + "SELECT poi_id, id FROM pois JOIN catalog USING (store) WHERE price < 100")
+@query(_with(fx.CATALOG, fx.POINTS) + "SELECT poi_id, count(*) AS products, min(price) AS cheapest, sum(CASE WHEN category = '主食' THEN 1 ELSE 0 END)::BIGINT AS staples FROM pois JOIN catalog USING (store) GROUP BY poi_id")
 def j_branch_products(spark: SparkSession, d: str) -> DataFrame:
-    """J7."""
-    return geo.branch_products(fx.pois(spark, d).select("poi_id", "store"), fx.catalog(spark, d).where("price < 100")).select("poi_id", "id")
+    """What each branch has, summed up for a chain before its branches are joined."""
+    sums = fx.catalog(spark, d).groupBy("store").agg(F.count("*").alias("products"), F.min("price").alias("cheapest"), F.count_if(F.col("category") == "主食").alias("staples"))
+    return geo.branch_products(fx.pois(spark, d).select("poi_id", "store"), sums).select("poi_id", "products", "cheapest", "staples")
 
 
 @query("SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'node/' ELSE 'way/' END || (s_suppkey // 4) AS poi_id, max_by(CASE WHEN s_suppkey % 2 = 0 THEN 'ポプラ' ELSE s_name END, s_suppkey) AS name, max_by(s_suppkey / 100.0::DOUBLE + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END, s_suppkey) AS lat FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY 1")
@@ -347,7 +375,14 @@ def _incoming(spark: SparkSession, d: str) -> DataFrame:
     return again.unionByName(new)
 
 
-@query(_with(fx.CATALOG) + "SELECT id, url, CASE WHEN ord % 2 = 0 AND auto THEN 1.0 ELSE price END AS price, auto FROM catalog UNION ALL SELECT CASE WHEN store = 'デイリーヤマザキ' OR true THEN 'x' || id END, url || 'new/', 1.0, true FROM catalog WHERE ord % 5 = 0")
+_INCOMING = """incoming AS (
+  SELECT 'n' || id AS id, store, url, 1.0::DOUBLE AS price, true AS auto FROM catalog WHERE ord % 2 = 0
+  UNION ALL SELECT 'x' || id, store, url || 'new/', 1.0, true FROM catalog WHERE ord % 5 = 0)"""
+
+
+@query(_with(fx.CATALOG, _INCOMING) + """SELECT coalesce(c.id, i.id) AS id, coalesce(c.url, i.url) AS url,
+  CASE WHEN c.id IS NULL OR (c.auto AND i.id IS NOT NULL) THEN i.price ELSE c.price END AS price, CASE WHEN c.id IS NULL OR (c.auto AND i.id IS NOT NULL) THEN i.auto ELSE c.auto END AS auto
+FROM catalog c FULL JOIN incoming i ON c.store = i.store AND c.url = i.url""")
 def j_merge_catalog(spark: SparkSession, d: str) -> DataFrame:
     """J1."""
     return catalog.merge_catalog(fx.catalog(spark, d), _incoming(spark, d)).select("id", "url", "price", "auto")
@@ -395,7 +430,7 @@ def v_cart(spark: SparkSession, d: str) -> DataFrame:
     return fx.carts(spark, d).agg(F.count_if(fine).alias("good"), F.count_if(~fine).alias("bad"))
 
 
-@query(_with(fx.CATALOG) + "SELECT id, ord % 4 <> 0 AND auto AS fine FROM catalog")
+@query(_with(fx.CATALOG) + "SELECT id, trim(name) <> '' AND trim(CASE WHEN ord % 4 = 0 THEN '  ' ELSE unit END) <> '' AND auto AS fine FROM catalog")
 def v_edit_rows(spark: SparkSession, d: str) -> DataFrame:
     """V3."""
     unit = F.when(F.col("ord") % 4 == 0, "  ").otherwise(F.col("unit"))
@@ -423,24 +458,45 @@ def s_replay_observations(spark: SparkSession, d: str) -> DataFrame:
     return io.log_if_missing(empty, _log(spark, d), True).select("id", "store", "url", "price")
 
 
+@query(_with(fx.CATALOG) + "SELECT id, store, url, price FROM catalog")
+def s_log_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """A store without a log is written to one, of which an empty store is filled."""
+    path = Scratch(spark, "bootstrap").path("observations")
+    io.log_if_missing(fx.catalog(spark, d).withColumnRenamed("ord", "seq"), path, False)
+    return io.log_if_missing(spark.createDataFrame([], schema.PRODUCT), path, True).select("id", "store", "url", "price")
+
+
 @query(_LOGGED)
 def x_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The same log as a stream of single files into snapshots."""
+    """The same log as a stream into snapshots, in as many batches as it has files by fours."""
     scratch = Scratch(spark, "upsert")
     snapshots = stream.Snapshots(spark, scratch.path("snapshots"))
-    stream.stream_upsert(stream.read_log_stream(spark, _log(spark, d)), snapshots, scratch.path("state")).awaitTermination()
+    stream.stream_upsert(stream.read_log_stream(spark, _log(spark, d), per_trigger=4), snapshots, scratch.path("state")).awaitTermination()
     return snapshots.read().select("id", "store", "url", "price")
 
 
-@query(_with(fx.CATALOG, fx.CARTS, fx.FAVORITES) + "SELECT 'catalog' AS part, id AS product_id, price AS number FROM catalog WHERE ord < 500 UNION ALL SELECT 'favorites', product_id, NULL FROM (SELECT DISTINCT product_id FROM favorites) WHERE substr(product_id, 2)::BIGINT < 500 UNION ALL SELECT 'cart', product_id, qty FROM carts WHERE cart_id = '1' AND substr(product_id, 2)::BIGINT < 500")
+@query(_with(fx.CATALOG, fx.CARTS, fx.FAVORITES, "b AS (SELECT cart_id AS owner, id, price FROM carts JOIN catalog ON id = product_id WHERE ord % 5 <> 0)", "bad AS (SELECT DISTINCT cart_id AS owner FROM carts WHERE cart_id::BIGINT % 7 = 0)") + """
+SELECT owner, 'catalog' AS part, id AS product_id, price AS number FROM b WHERE owner NOT IN (SELECT owner FROM bad)
+UNION ALL SELECT cart_id, 'cart', product_id, qty FROM carts JOIN b ON b.owner = cart_id AND b.id = product_id WHERE cart_id NOT IN (SELECT owner FROM bad)
+UNION ALL SELECT b.owner, 'favorites', b.id, NULL FROM b JOIN orders ON o_orderkey::VARCHAR = b.owner JOIN favorites f ON f.user_id = o_custkey::VARCHAR AND f.product_id = b.id WHERE b.owner NOT IN (SELECT owner FROM bad)
+UNION ALL SELECT owner, 'rejected', 'quantity', NULL FROM bad""")
 def s_catalog_bundle(spark: SparkSession, d: str) -> DataFrame:
-    """One person's bundle written and read back. Favorites and lines without product are dropped."""
-    path = Scratch(spark, "bundle").path("bundle")
-    rows = fx.catalog(spark, d).where("ord < 500")
-    io.write_catalog_bundle(rows, fx.favorites(spark, d).select("product_id").distinct(), fx.carts(spark, d).where("cart_id = '1'"), path)
-    back, favorites, lines = io.read_catalog_bundle(spark, path)
-    parts = back.select(F.lit("catalog").alias("part"), F.col("id").alias("product_id"), F.col("price").alias("number"))
-    return parts.unionByName(favorites.select(F.lit("favorites").alias("part"), "product_id", F.lit(None).cast("double").alias("number"))).unionByName(lines.select(F.lit("cart").alias("part"), "product_id", F.col("qty").alias("number")))
+    """A bundle of every cart, its products and its customer's favorites, written and read back.
+
+    Favorites and lines whose product isn't in the bundle are dropped; a wrong quantity in every seventh cart rejects that one.
+    """
+    path = Scratch(spark, "bundle").path("bundles")
+    lines = fx.carts(spark, d).withColumnRenamed("cart_id", "owner")
+    products = lines.select("owner", F.col("product_id").alias("id")).join(fx.catalog(spark, d).where("ord % 5 <> 0"), "id")
+    orders = fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("owner"), F.col("o_custkey").cast("string").alias("user_id"))
+    favorites = fx.favorites(spark, d).join(orders, "user_id").select("owner", "product_id")
+    wrong = F.when(F.col("owner").cast("long") % 7 == 0, F.col("qty") + 100).otherwise(F.col("qty"))
+    io.write_catalog_bundles(products, favorites, lines.withColumn("qty", wrong), path)
+    back, favorites, lines, rejected = io.read_catalog_bundles(spark, path)
+    none = F.lit(None).cast("double").alias("number")
+    part = lambda name: F.lit(name).alias("part")
+    found = back.select("owner", part("catalog"), F.col("id").alias("product_id"), F.col("price").alias("number")).unionByName(favorites.select("owner", part("favorites"), "product_id", none))
+    return found.unionByName(lines.select("owner", part("cart"), "product_id", F.col("qty").alias("number"))).unionByName(rejected.select("owner", part("rejected"), F.col("reason").alias("product_id"), none))
 
 
 @query(_with(fx.CATALOG) + "SELECT id, name, p, price, auto FROM catalog")
@@ -451,14 +507,14 @@ def s_product_store(spark: SparkSession, d: str) -> DataFrame:
     return io.read_product_store(stored).select("id", "name", "p", "price", "auto")
 
 
-@query("SELECT s_suppkey AS seq, s_suppkey::VARCHAR AS id, s_suppkey / 100.0::DOUBLE AS lat, s_name AS name FROM supplier")
+@query("SELECT row_number() OVER (PARTITION BY s_suppkey // 64 ORDER BY s_suppkey) - 1 AS seq, s_suppkey::VARCHAR AS id, s_suppkey / 100.0::DOUBLE AS lat, s_name AS name FROM supplier")
 def s_read_pois(spark: SparkSession, d: str) -> DataFrame:
-    """One answer of a map service, written from supplier and read."""
-    path = Scratch(spark, "pois").path("answer")
+    """Answers of a map service with 64 places each, written from supplier and read side by side."""
+    path = Scratch(spark, "pois").path("answers")
     k = F.col("s_suppkey")
     flat = F.array_sort(F.collect_list(F.struct(k.alias("id"), (k / F.lit(100.0)).alias("lat"), "s_name")))
-    answer = fx.table(spark, d, "supplier").agg(F.transform(flat, lambda e: F.struct(e["id"], e["lat"], F.create_map(F.lit("name"), e["s_name"]).alias("tags"))).alias("elements"))
-    answer.select(F.to_json(F.struct("elements")).alias("value")).write.text(path)
+    answers = fx.table(spark, d, "supplier").groupBy(F.floor(k / 64).alias("answer")).agg(F.transform(flat, lambda e: F.struct(e["id"], e["lat"], F.create_map(F.lit("name"), e["s_name"]).alias("tags"))).alias("elements"))
+    answers.select("answer", F.to_json(F.struct("elements")).alias("value")).write.partitionBy("answer").text(path)
     return io.read_pois(spark, path).select("seq", "id", "lat", F.try_element_at("tags", F.lit("name")).alias("name"))
 
 
@@ -472,10 +528,20 @@ def h_parse_html(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("page_id", F.size("page.links").cast("long").alias("links"), F.size("page.headings").cast("long").alias("headings"), F.coalesce(F.try_element_at("page.links", F.lit(1))["href"], F.lit("")).alias("first"))
 
 
-@query()
+_VISIBLE = r"regexp_replace(regexp_replace(html, '<!--.*?-->', '<x>', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'gs')"
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
+def _sql_decoded(text_: str) -> str:
+    for entity, char in _ENTITIES.items():
+        text_ = f"replace({text_}, '{entity}', '{char}')"
+    return text_
+
+
+@query(f"SELECT url, array_to_string(list_filter(list_transform(string_split_regex({_VISIBLE}, '<[^>]*>'), lambda x: trim({_sql_decoded('x')}, e' \\t\\n\\r\u00a0')), lambda x: x <> ''), ' ') AS text FROM pages")
 def h_page_text(spark: SparkSession, d: str) -> DataFrame:
-    """H2."""
-    return fx.table(spark, d, "pages").select("page_id", html.page_text("html").alias("text"))
+    """S6, H2."""
+    return io.read_pages(spark, f"{d}/pages.parquet").select("url", html.page_text("html").alias("text"))
 
 
 _NUM = "CASE WHEN {0} IS NOT NULL THEN round({0}, 1) END"
@@ -498,12 +564,22 @@ def h_nutrition_preview(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract_nutrition_preview(fx.product_pages(spark, d)).select("url", "p", "f", "c", "kcal")
 
 
-@query(_with(fx.CATALOG) + "SELECT url, store, CASE WHEN p IS NULL THEN 'たんぱく質量の公開表示を取得できません' ELSE '対象チェーンでの取扱いを確認できません' END AS reason FROM catalog")
+@query(_with(fx.CATALOG) + f"""SELECT url, CASE WHEN ord % 6 = 1 OR length(name || repeat('x', 200)) > 180 AND ord % 6 = 2 THEN '{extract.REASONS["name"]}'
+  WHEN (CASE WHEN ord % 6 = 3 THEN 1 ELSE 0 END + CASE WHEN p IS NOT NULL THEN 1 ELSE 0 END) > 1 THEN '{extract.REASONS["tables"]}'
+  WHEN ord % 6 <> 3 AND p IS NULL THEN '{extract.REASONS["protein"]}' WHEN ord % 6 = 4 AND p * 1e6 > 100000 THEN '{extract.REASONS["range"]}' ELSE '' END AS reason FROM catalog""")
+def h_extract_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """The reasons against a page."""
+    return extract.extract_products(fx.faulty_pages(spark, d), fx.RUN_DATE).select("url", "reason")
+
+
+@query(_with(fx.CATALOG) + """SELECT url, store, reason, CASE WHEN reason = '' THEN 'auto_' || substr(sha256(store || '|' || url), 1, 20) END AS id, CASE WHEN reason = '' THEN store END AS stamped
+FROM (SELECT *, CASE WHEN p IS NULL THEN 'たんぱく質量の公開表示を取得できません' WHEN shared AND NOT contains(CASE WHEN ord % 4 = 0 THEN store ELSE '' END, store) THEN '対象チェーンでの取扱いを確認できません' ELSE '' END AS reason
+  FROM (SELECT *, (SELECT count(DISTINCT store) FROM catalog) > 1 AS shared FROM catalog))""")
 def h_shared_host_guard(spark: SparkSession, d: str) -> DataFrame:
-    """All pages are of one host that all chains share, and name none."""
-    pages = extract.extract_products(fx.product_pages(spark, d), fx.RUN_DATE)
+    """All pages are of one host that all chains share; every fourth names its chain."""
+    pages = extract.extract_products(fx.named_pages(spark, d), fx.RUN_DATE)
     hosts = fx.catalog(spark, d).select("store", urls.host(F.col("url")).alias("host")).distinct()
-    return extract.shared_host_guard(pages, hosts).select("url", "store", "reason")
+    return extract.shared_host_guard(pages, hosts).select("url", "store", "reason", F.col("product.id").alias("id"), F.col("product.store").alias("stamped"))
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Callable, Callable]:
@@ -526,7 +602,24 @@ def g_crawl_levels(spark: SparkSession, d: str) -> DataFrame:
     """From all pages as seeds to what they link to."""
     pages, hosts, canonical, kind = _graph(spark, d)
     seeds = pages.select(urls.host(F.col("url")).alias("host"), canonical(F.col("url")).alias("url"), F.col("page_id").alias("seq")).join(hosts, "host").select("store", "url", F.lit(0).alias("depth"), "seq")
-    return frontier.crawl_levels(pages, seeds, hosts, 2, canonical, kind, lambda h: h.isNotNull())
+    return frontier.crawl_levels(pages, seeds, hosts, frontier.MOST_DEPTH, canonical, kind, lambda h: h.isNotNull())
+
+
+@query("WITH RECURSIVE " + fx.CATALOG + f""",
+walk AS (
+  SELECT ord, 0 AS depth, checked FROM catalog WHERE ord % 16 = 1
+  UNION SELECT k, depth + 1, CASE WHEN k % 5 = 0 THEN '{fx.RUN_DATE}' ELSE '2024-01-01' END FROM (SELECT unnest([2 * ord, 2 * ord + 1]) AS k, depth FROM walk WHERE depth < 4 AND checked <> '{fx.RUN_DATE}' AND ord <= (SELECT max(ord) FROM catalog))),
+first AS (SELECT ord, min(depth) AS depth, any_value(checked) AS checked FROM walk GROUP BY ord)
+SELECT '{fx.URLS}' || f.ord || '/' AS url, f.depth::INT AS depth, CASE WHEN c.id IS NULL THEN 'error' WHEN c.p IS NULL THEN 'skipped' ELSE 'added' END AS outcome
+FROM first f LEFT JOIN catalog c USING (ord) WHERE f.checked <> '{fx.RUN_DATE}' OR c.id IS NULL""")
+def g_collect_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A collection of product pages that link to others, from every sixteenth on, without those of today."""
+    store = "デイリーヤマザキ"
+    rows = fx.catalog(spark, d).withColumn("store", F.lit(store))
+    seeds = rows.where("ord % 16 = 1").select("store", "url", F.lit(0).alias("depth"), F.col("ord").alias("seq"))
+    hosts = spark.createDataFrame([(store, "www.daily-yamazaki.jp")], "store string, host string")
+    found = frontier.collect_pages(fx.linked_pages(spark, d), seeds, hosts, rows.select("store", "url", "checked"), fx.RUN_DATE, limits=(10**9, 10**9, 10**9), most_pending=10**9)
+    return found.select("url", "depth", "outcome")
 
 
 @query(_with(fx.OUTCOMES) + """SELECT url, store, seq FROM (

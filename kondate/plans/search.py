@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kondate import dims
+from kondate.functions.text import norm_text
 from kondate.operators.cart import favorites_only
-from kondate.operators.filters import filter_items
-from kondate.operators.metrics import eligible, is_balanced, pfc_distance, protein_per_100yen
+from kondate.operators.filters import filter_items, with_search_text
+from kondate.operators.metrics import eligible, is_balanced, pfc_distance, pfc_ratios, protein_per_100yen
 from kondate.operators.rank import paginate, sort_catalog, top_k
 
 TARGET = (20.0, 25.0, 55.0)
@@ -24,6 +25,36 @@ def search(catalog: DataFrame, stores: list[str], query: str = "", category: str
     return paginate(sort_catalog(found, sort, (tp, tf, 100 - tp - tf)), page)
 
 
+REQUEST = "request_id string, stores array<string>, query string, category string, minp double, maxf double, maxk double, budget double, sort string, tp double, tf double, page int"
+
+
+def search_requests(catalog: DataFrame, requests: DataFrame, size: int = 20, parts: int = 16) -> DataFrame:
+    """request_id, place and the catalog's columns: the page that each of many requests asks for (columns of REQUEST).
+
+    A bound of 0 is off and a null category or query asks for nothing. Chains are few, so the catalog is dealt to
+    `parts` of each chain and every request meets them all, by an equi-join whose filters keep what fits; then the
+    rows of each request are ranked in its own order, and only up to the page it asks for. Requests whose target leaves
+    no room for carbohydrate get nothing.
+    """
+    rows = with_search_text(catalog).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    asked = requests.where("tp + tf < 100").withColumn("_words", F.filter(F.split(norm_text(F.coalesce("query", F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
+    asked = asked.select("*", F.explode(F.array_distinct("stores")).alias("_store"), F.sequence(F.lit(0), F.lit(parts - 1)).alias("_all")).withColumn("_part", F.explode("_all"))
+    asked = asked.select("request_id", "_store", "_part", "_words", F.col("category").alias("_category"), "minp", "maxf", "maxk", F.col("budget").alias("_budget"), "sort", "tp", "tf", "page")
+    joined = rows.join(asked, (F.col("store") == F.col("_store")) & (rows["_part"] == asked["_part"])).drop("_part")
+    within = lambda c, limit, least=False: F.coalesce((F.col(limit) == 0) | ((F.col(c) >= F.col(limit) if least else F.col(c) <= F.col(limit)) & ~F.isnan(c)), F.lit(False))
+    fits = within("p", "minp", True) & within("f", "maxf") & within("kcal", "maxk") & within("price", "_budget")
+    fits = fits & (F.coalesce("_category", F.lit(dims.ANY)).isin(dims.ANY) | (F.col("category") == F.col("_category"))) & F.forall("_words", lambda w: F.contains(F.col("search_text"), w))
+    value, sort = protein_per_100yen(), F.col("sort")
+    far = pfc_distance((F.col("tp"), F.col("tf"), 100 - F.col("tp") - F.col("tf")))
+    shown = F.when(sort == "value", value.isNotNull()).when(sort == "balance", pfc_ratios()[0].isNotNull()).otherwise(True)
+    number = F.when(sort == "category", F.array_position(F.array(*map(F.lit, dims.CATEGORIES)), F.col("category")).cast("double")).when(sort == "value", -value).when(sort == "balance", far)
+    number = number.when(sort == "price", F.coalesce("price", F.lit(float("inf")))).otherwise(-F.coalesce("p", F.lit(-1.0)))
+    keyed = joined.where(fits & shown).withColumns({"_number": number, "_name": F.when(sort == "category", F.col("name")).otherwise("")})
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("_number", "_name", "ord"))
+    ranked = keyed.withColumn("place", place).where((F.col("place") <= F.col("page") * size) & (F.col("place") > (F.col("page") - 1) * size))
+    return ranked.select("request_id", "place", *catalog.columns)
+
+
 def recommend(catalog: DataFrame, target: tuple[float, float, float] = TARGET, tolerance: float = 10, k: int = 20, category: str = dims.ANY) -> DataFrame:
     """Per chain the k products within the tolerance with most protein for the money; filters come before the shuffle."""
     value = protein_per_100yen()

@@ -2,44 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kondate import dims, schema
 from kondate.operators.cart import prune_orphans
-from kondate.operators.quality import InvalidCatalog, cart_is_valid, strict, typed_product
+from kondate.operators.quality import MOST_ROWS, InvalidCatalog, cart_is_valid, strict, typed_product, validate
 from kondate.operators.rank import last_wins
+from kondate.tables import Scratch
 
 MOST_LOG_BYTES, MOST_BUNDLE_BYTES = 100_000_000, 20_000_000
 
 
+def _kind(path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+
+
+def _well_formed() -> Column:
+    """Whether the parts of a bundle (variant v) are a list, a list of texts and an object."""
+    fav, cart = _kind("$.favorites"), _kind("$.cart")
+    fine = _kind("$.catalog").startswith("ARRAY") & F.coalesce(fav.isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID"), F.lit(True)) & F.coalesce(cart.startswith("OBJECT"), F.lit(True))
+    return F.coalesce(fine, F.lit(False))
+
+
+def _bundle_items(whole: DataFrame, *carried: str) -> DataFrame:
+    items = whole.select(*carried, F.posexplode(F.try_variant_get("v", "$.catalog", "array<variant>")).alias("ord", "item"))
+    return items.select(*carried, F.col("ord").cast("long").alias("ord"), typed_product(F.to_json("item")).alias("x"))
+
+
+def _bundle_favorites(whole: DataFrame, *carried: str) -> DataFrame:
+    return whole.select(*carried, F.explode(F.try_variant_get("v", "$.favorites", "array<string>")).alias("product_id"))
+
+
+def _bundle_lines(whole: DataFrame, *carried: str) -> DataFrame:
+    lines = whole.select(*carried, F.explode(F.try_variant_get("v", "$.cart", "map<string,variant>")).alias("product_id", "q"))
+    number = F.schema_of_variant("q").isin("BIGINT", "DOUBLE") | F.schema_of_variant("q").startswith("DECIMAL")
+    return lines.select(*carried, "product_id", F.when(number, F.try_variant_get("q", "$", "double")).alias("qty"))
+
+
 def read_catalog_bundle(spark: SparkSession, path: str, stores: list[str] = dims.STORES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """catalog, favorites (product_id), cart (product_id, qty) of one JSON document, or InvalidCatalog.
 
-    A bundle is one person's file and is read by one task; its size and rows are bounded. Larger catalogs are kept as
-    Parquet. Rows of unknown chains go before the check; favorites and cart lines whose product isn't there, after.
+    A bundle is one person's file and is read by one task; its size and rows are bounded. Many of them are read by
+    ``read_catalog_bundles``. Rows of unknown chains go before the check; favorites and cart lines whose product isn't
+    there, after.
     """
     text = spark.read.text(path, wholetext=True).select("value")
     if (size := text.agg(F.max(F.octet_length("value"))).first()[0] or 0) > MOST_BUNDLE_BYTES:
         raise InvalidCatalog(f"{size} bytes")
     whole = text.select(F.try_parse_json("value").alias("v"))
-    kind = lambda p: F.schema_of_variant(F.try_variant_get("v", p, "variant"))
-    fav, cart = kind("$.favorites"), kind("$.cart")
-    fine = kind("$.catalog").startswith("ARRAY") & F.coalesce(fav.isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID"), F.lit(True)) & F.coalesce(cart.startswith("OBJECT"), F.lit(True))
-    if not whole.agg(F.coalesce(F.min(F.coalesce(fine, F.lit(False))), F.lit(False))).first()[0]:
+    if not whole.agg(F.coalesce(F.min(_well_formed()), F.lit(False))).first()[0]:
         raise InvalidCatalog("the bundle's parts are of the wrong form")
-    items = whole.select(F.posexplode(F.try_variant_get("v", "$.catalog", "array<variant>")).alias("ord", "item")).select(F.col("ord").cast("long").alias("ord"), typed_product(F.to_json("item")).alias("x"))
-    known = items.where(F.col("x.product.store").isin(stores))
+    known = _bundle_items(whole).where(F.col("x.product.store").isin(stores))
     if known.where(F.size("x.wrong") > 0).limit(1).count():
         raise InvalidCatalog("a field has the wrong type")
     catalog = strict(known.select("x.product.*", "ord"))
-    favorites = whole.select(F.explode(F.try_variant_get("v", "$.favorites", "array<string>")).alias("product_id"))
-    lines = whole.select(F.explode(F.try_variant_get("v", "$.cart", "map<string,variant>")).alias("product_id", "q"))
-    number = F.schema_of_variant("q").isin("BIGINT", "DOUBLE") | F.schema_of_variant("q").startswith("DECIMAL")
-    lines = lines.select("product_id", F.when(number, F.try_variant_get("q", "$", "double")).alias("qty"))
+    lines = _bundle_lines(whole)
     if lines.where(~cart_is_valid(F.col("qty"))).limit(1).count():
         raise InvalidCatalog("a quantity is out of range")
-    return catalog, prune_orphans(favorites, catalog), prune_orphans(lines, catalog)
+    return catalog, prune_orphans(_bundle_favorites(whole), catalog), prune_orphans(lines, catalog)
+
+
+def read_catalog_bundles(spark: SparkSession, path: str, stores: list[str] = dims.STORES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """catalog, favorites, cart, each with owner, and rejected (owner, reason), of bundles with an owner, one on a line.
+
+    A bundle passes or fails as a whole, by the rules of ``read_catalog_bundle``; bundles are checked side by side.
+    """
+    scratch = Scratch(spark, "bundles")
+    whole = spark.read.text(path).select(F.octet_length("value").alias("bytes"), F.try_parse_json("value").alias("v"))
+    whole = whole.withColumn("owner", F.try_variant_get("v", "$.owner", "string"))
+    form = F.when(F.col("bytes") > MOST_BUNDLE_BYTES, "size").when(~_well_formed(), "form")
+    items = scratch.table(_bundle_items(whole.where(form.isNull()), "owner").where(F.col("x.product.store").isin(stores)), "items")
+    checked = scratch.table(validate(items.select("owner", "x.product.*", "ord", F.size("x.wrong").alias("wrong")), ("owner", "id")), "checked")
+    lines = scratch.table(_bundle_lines(whole.where(form.isNull()), "owner"), "lines")
+    sums = checked.groupBy("owner").agg(F.count("*").alias("n"), F.max(F.col("wrong") > 0).alias("wrong"), F.max(F.size("broken") > 0).alias("broken"))
+    faults = [
+        whole.select("owner", form.alias("reason")),
+        sums.select("owner", F.when(F.col("wrong"), "type").when(F.col("broken"), "rule").when(F.col("n") > MOST_ROWS, "rows").alias("reason")),
+        lines.where(~cart_is_valid(F.col("qty"))).select("owner", F.lit("quantity").alias("reason")),
+    ]
+    rejected = scratch.table(faults[0].unionByName(faults[1]).unionByName(faults[2]).where("reason is not null").groupBy("owner").agg(F.min("reason").alias("reason")), "rejected")
+    catalog = checked.drop("wrong", "broken").join(rejected, "owner", "left_anti")
+    there = catalog.select("owner", F.col("id").alias("product_id"))
+    favorites = _bundle_favorites(whole.where(form.isNull()), "owner").join(there, ["owner", "product_id"], "left_semi")
+    return catalog, favorites, lines.join(there, ["owner", "product_id"], "left_semi"), rejected
 
 
 def write_catalog_bundle(catalog: DataFrame, favorites: DataFrame, cart: DataFrame, path: str) -> None:
@@ -52,6 +98,24 @@ def write_catalog_bundle(catalog: DataFrame, favorites: DataFrame, cart: DataFra
     whole.select(F.to_json(F.struct("catalog", "favorites", "cart"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_catalog_bundles(catalog: DataFrame, favorites: DataFrame, cart: DataFrame, path: str) -> None:
+    """One line of JSON per owner, explicit nulls included. catalog, favorites and cart have a column owner.
+
+    What goes into one value is checked before: no owner may have more rows of a kind than a bundle may hold.
+    """
+    for part in (catalog, favorites, cart):
+        if part.groupBy("owner").count().where(F.col("count") > MOST_ROWS).limit(1).count():
+            raise InvalidCatalog(f"an owner has more than {MOST_ROWS} rows")
+    order = "ord" if "ord" in catalog.columns else "id"
+    row = F.struct(F.col(order).alias("_o"), F.struct(*schema.TEXTS, *schema.NUMBERS, "auto").alias("r"))
+    products = catalog.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("catalog"))
+    ids = favorites.groupBy("owner").agg(F.sort_array(F.collect_list("product_id")).alias("favorites"))
+    lines = cart.groupBy("owner").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("product_id", "qty")))).alias("cart"))
+    whole = products.join(ids, "owner", "full_outer").join(lines, "owner", "full_outer")
+    empty = [F.coalesce("catalog", F.array().cast(products.schema["catalog"].dataType)).alias("catalog"), F.coalesce("favorites", F.array().cast("array<string>")).alias("favorites"), F.coalesce("cart", F.create_map().cast("map<string,double>")).alias("cart")]
+    whole.select(F.to_json(F.struct("owner", *empty), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_catalog(catalog: DataFrame, path: str) -> None:
     catalog.write.mode("overwrite").partitionBy("store").parquet(path)
 
@@ -86,15 +150,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pois(spark: SparkSession, path: str) -> DataFrame:
-    """The elements of an answer, in order; ValueError if it has none. ids may be numbers or text."""
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    kind = F.schema_of_variant(F.try_variant_get("v", "$.elements", "variant"))
-    if whole.where(~F.coalesce(kind.startswith("ARRAY"), F.lit(False))).limit(1).count():
+    """The elements of an answer, or of many in a folder: file, seq (the order in it) and fields; ValueError if one has no elements.
+
+    ids may be numbers or text. An answer is a file of its own, so many are read side by side.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    if whole.where(~F.coalesce(_kind("$.elements").startswith("ARRAY"), F.lit(False))).limit(1).count():
         raise ValueError("elements is no array")
-    items = whole.select(F.posexplode(F.try_variant_get("v", "$.elements", "array<variant>")).alias("seq", "e"))
+    items = whole.select("file", F.posexplode(F.try_variant_get("v", "$.elements", "array<variant>")).alias("seq", "e"))
     get = lambda p, t: F.try_variant_get("e", p, t)
     center = F.struct(get("$.center.lat", "double").alias("lat"), get("$.center.lon", "double").alias("lon"))
-    return items.select(F.col("seq").cast("long").alias("seq"), get("$.type", "string").alias("type"), get("$.id", "string").alias("id"), get("$.lat", "double").alias("lat"), get("$.lon", "double").alias("lon"), center.alias("center"), get("$.tags", "map<string,string>").alias("tags"))
+    return items.select("file", F.col("seq").cast("long").alias("seq"), get("$.type", "string").alias("type"), get("$.id", "string").alias("id"), get("$.lat", "double").alias("lat"), get("$.lon", "double").alias("lon"), center.alias("center"), get("$.tags", "map<string,string>").alias("tags"))
 
 
 def log_if_missing(products: DataFrame, log: str, exists: bool) -> DataFrame:
