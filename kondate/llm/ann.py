@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -122,12 +121,15 @@ def build_graph(vectors: np.ndarray, m: int, breadth: int) -> Graph:
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """vec_id, v of the rows that take part: vectors of the commonest length, all finite, not all zero."""
+    """vec_id, v of the vectors that take part: of the commonest length, all finite, not all zero, one for each vec_id.
+
+    Of rows that share a vec_id the smallest vector, component by component, takes part.
+    """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null")
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.where(fine)
     common = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    return rows.where(F.size("v") == (common["dims"] if common else 0))
+    return rows.where(F.size("v") == (common["dims"] if common else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
@@ -137,7 +139,7 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     all rows share is one node of one graph. The rank filter prunes equal rows before the shuffle.
     """
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    kept = rows.dropDuplicates(["vec_id", "v"]).withColumn("_rank", rank).where(F.col("_rank") <= most)
+    kept = rows.withColumn("_rank", rank).where(F.col("_rank") <= most)
     return kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
 
 
@@ -165,48 +167,54 @@ def load_graph(row: pd.Series, m: int) -> Graph:
     return Graph(vectors, links, rows, row["entry"], row["top"])
 
 
-def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, m: int = 12, width: int = 96, block_rows: int = 1024) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, m: int = 12, width: int = 64, block_rows: int = 16384) -> DataFrame:
     """query_id, vec_id, score of each query's k nearest of every shard.
 
-    Queries are gathered into blocks of about `block_rows`; each block meets each shard's graph by an equi-join on
-    the shard. A task holds one block and one graph.
+    Queries are dealt to blocks of about `block_rows`; each block meets each shard's graph in a task of its own, which
+    gets the graph once.
     """
     blocks = max(1, -(-queries.count() // block_rows))
-    blocked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
-    dealt = blocked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, row in batch.iterrows():
-                graph, out = load_graph(row, m), []
-                for asked in row["asked"]:
-                    query = np.asarray(asked["v"], "f8")
-                    found = graph.nearest(query, max(width, 2 * k))
-                    hits = []
-                    for _, node in found[: 2 * k]:
-                        score = float(np.sqrt(((graph.x[node] - query) ** 2).sum()))
-                        hits += [(score, v) for v in row["members"][node] if v != asked["vec_id"]]
-                    out += [(asked["vec_id"], v, s) for s, v in sorted(hits)[:k]]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    met = dealt.join(index.hint("shuffle_merge"), "shard")
-    return met.mapInPandas(search, HITS)
-
-
-def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 2048, m: int = 12, breadth: int = 64, width: int = 96) -> DataFrame:
+
+    def search(graphs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(graphs) and len(asked):
+            row = graphs.iloc[0]
+            graph = load_graph(row, m)
+            for query_id, v in zip(asked["vec_id"].tolist(), asked["v"], strict=True):
+                query = np.asarray(v, "f8")
+                hits = []
+                for _, node in graph.nearest(query, max(width, 2 * k))[: 2 * k]:
+                    score = float(np.sqrt(((graph.x[node] - query) ** 2).sum()))
+                    hits += [(score, i) for i in row["members"][node] if i != query_id]
+                out += [(query_id, i, score) for score, i in sorted(hits)[:k]]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "i8", "vec_id": "i8", "score": "f8"})
+
+    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    return copies.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(search, HITS)
+
+
+def shards_for(nodes: int, shard_rows: int, most: int) -> int:
+    """As many shards as hold `shard_rows` each, up to `most`; from then on shards grow, not searches."""
+    return min(most, max(1, -(-nodes // shard_rows)))
+
+
+def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 16384, most_shards: int = 1024, m: int = 12, breadth: int = 48, width: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by `every`.
 
     Every usable row is indexed; the distance is Euclidean in double precision, ties go to the smaller vec_id. Null
-    or zero vectors, those with null or non-finite components or of another length than most take no part; rows that
-    repeat vec_id and vector count once. An empty table gives an empty result. Shards hold about `shard_rows`
-    distinct vectors, so a task's memory doesn't grow with the input.
+    or zero vectors, those with null or non-finite components or of another length than most take no part; a repeated
+    vec_id counts once, with the smallest of its vectors. An empty table gives an empty result; other columns are not
+    read. A query is searched in every shard, of which there are never more than `most_shards`, so the work of a query
+    grows with the logarithm of the table beyond most_shards x shard_rows vectors. Up to there, shards keep to
+    `shard_rows`; beyond, a task holds 1 / `most_shards` of the vectors.
     """
     scratch = Scratch(embeddings.sparkSession, "ann")
     rows = scratch.table(usable(embeddings), "rows")
     nodes = scratch.table(distinct_vectors(rows, k + 1), "nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
+    shards = shards_for(nodes.count(), shard_rows, most_shards)
     index = scratch.table(build_index(nodes, shards, m, breadth), "index")
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = rows.where(F.col("vec_id") % every == 0)
     hits = search_index(index, queries, shards, k, m, width)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
