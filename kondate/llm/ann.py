@@ -143,7 +143,7 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     return kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
 
 
-def build_index(nodes: DataFrame, shards: int, m: int = 12, breadth: int = 64) -> DataFrame:
+def build_index(nodes: DataFrame, shards: int, m: int = 16, breadth: int = 80) -> DataFrame:
     """One row per shard: its vectors, the identifiers of each, and the graph as flat neighbour arrays."""
 
     def build(key: tuple[int], part: pd.DataFrame) -> pd.DataFrame:
@@ -167,7 +167,7 @@ def load_graph(row: pd.Series, m: int) -> Graph:
     return Graph(vectors, links, rows, row["entry"], row["top"])
 
 
-def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, m: int = 12, width: int = 64, block_rows: int = 16384) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, m: int = 16, width: int = 256, block_rows: int = 16384) -> DataFrame:
     """query_id, vec_id, score of each query's k nearest of every shard.
 
     Queries are dealt to blocks of about `block_rows`; each block meets each shard's graph in a task of its own, which
@@ -199,7 +199,7 @@ def shards_for(nodes: int, shard_rows: int, most: int) -> int:
     return min(most, max(1, -(-nodes // shard_rows)))
 
 
-def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 16384, most_shards: int = 1024, m: int = 12, breadth: int = 48, width: int = 64) -> DataFrame:
+def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 16384, most_shards: int = 1024, m: int = 16, breadth: int = 80, width: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by `every`.
 
     Every usable row is indexed; the distance is Euclidean in double precision, ties go to the smaller vec_id. Null
