@@ -111,3 +111,27 @@ def test_plans(spark, data):
     assert "CartesianProduct" not in near and "NestedLoop" not in near
     scan = plan(rank.top_k(fx.catalog(spark, data).where("price < 90").select("id", "store", "ord"), ["store"], [F.asc("ord")], 3))
     assert "p_brand" not in scan.split("ReadSchema")[1]
+
+
+def test_bundles_pass_or_fail_as_a_whole(spark, tmp_path):
+    row = {k: "" for k in schema.TEXTS} | {"store": "ポプラ", "category": "飲料", "name": "x"} | {k: None for k in schema.NUMBERS}
+    fine = {"catalog": [row | {"id": "a"}, row | {"id": "b", "store": "?"}], "favorites": ["a", "b"], "cart": {"a": 2, "b": 1}}
+    cases = {"fine": fine, "favorites": fine | {"favorites": [1]}, "quantity": fine | {"cart": {"a": 0}}, "type": fine | {"catalog": [row | {"id": "a", "p": True}]}, "twice": fine | {"catalog": [row | {"id": "a"}] * 2}, "range": fine | {"catalog": [row | {"id": "a", "p": -1}]}, "form": fine | {"catalog": 3}}
+    (tmp_path / "bundles").write_text("\n".join(json.dumps({"owner": k} | v, ensure_ascii=False) for k, v in cases.items()))
+    products, favorites, cart, rejected = io.read_catalog_bundles(spark, str(tmp_path / "bundles"))
+    assert [(r["owner"], r["id"], r["category"]) for r in products.collect()] == [("fine", "a", "飲み物")]
+    assert [tuple(r) for r in favorites.select("owner", "product_id").collect()] == [("fine", "a")]
+    assert [tuple(r) for r in cart.select("owner", "product_id", "qty").collect()] == [("fine", "a", 2.0)]
+    assert {r["owner"]: r["reason"] for r in rejected.collect()} == {"favorites": "form", "quantity": "quantity", "type": "type", "twice": "rule", "range": "rule", "form": "form"}
+
+
+def test_sums_before_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    data = [(rng.choice("aab"), rng.randrange(-50, 400), i, rng.randrange(5)) for i in range(500)]
+    df = spark.createDataFrame(data, "g string, seq long, i long, v int")
+    for parts in (1, 7, 64):
+        found = {r["i"]: r["s"] for r in rank.sums_before(df, "g", ["seq", "i"], {"s": F.col("v")}, parts).collect()}
+        assert found == {i: sum(w for h, q, j, w in data if h == g and (q, j) < (s, i)) for g, s, i, _ in data}
+    assert rank.sums_before(df.where("false"), "g", ["seq"], {"s": F.col("v")}).count() == 0

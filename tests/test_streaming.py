@@ -41,3 +41,19 @@ def test_heartbeat_edges(spark):
     beats = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:00:00.000001"), ("c", "2023-12-31 23:59:59.999999")], "job string, ts string").withColumn("ts", F.to_timestamp("ts"))
     found = {r["job"]: (r["status"], r["may_start"]) for r in heartbeat_status(beats, F.lit("2024-01-01 00:03:00").cast("timestamp")).collect()}
     assert found == {"a": ("running", True), "b": ("running", False), "c": ("interrupted", True)}
+
+
+def test_versions_are_retired_and_untouched_buckets_stay(spark, tmp_path):
+    snapshots = stream.Snapshots(spark, str(tmp_path / "snapshots"), buckets=4)
+    kind = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema.PRODUCT)}, seq long"
+    rows = lambda *lines: spark.createDataFrame([(x,) for x in lines], "value string").select(F.from_json("value", kind).alias("x")).select("x.*")
+    snapshots.upsert(rows(*(line(i, f"u{i}", "old") for i in range(20))), 0)
+    for batch in range(1, 5):
+        snapshots.upsert(rows(line(100 + batch, "u1", f"n{batch}"), line(50 - batch, "u2", f"m{batch}")), batch)
+    found = {r["url"]: r["name"] for r in snapshots.read().collect()}
+    assert found == {f"u{i}": "old" for i in range(20)} | {"u1": "n4", "u2": "m1"}
+    versions = snapshots._versions()
+    assert len(versions) > 1 and max(len(v) for v in versions.values()) == 2
+    before = {r["url"]: r["name"] for r in snapshots.read(4).collect()}
+    snapshots.upsert(rows(line(104, "u1", "n4"), line(46, "u2", "m4")), 4)
+    assert before["u1"] == "n3" and {r["url"]: r["name"] for r in snapshots.read().collect()} == found
