@@ -1,6 +1,8 @@
 """The corpus pipeline: each stage calls one operator and hands the documents that stay to the next.
 
-Texts, identifiers and columns of documents stay as they are up to the last stage, which packs them.
+Texts, identifiers and columns of documents, whatever they are called, stay as they are up to the last stage, which
+packs them. Documents without a text go with the first stage, as they have no language; of rows that repeat doc_id and
+text one stays in the second. An empty table passes through all stages.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kondate.llm.common import Scratch, join_by_key
@@ -76,10 +76,10 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, r
     for turn in range(1, rounds + 1):
         fitted = fitted.withColumn("_was", F.col("weight"))
         fitted = _round(fitted.coalesce(1), targets) if small else _shuffled_round(fitted, targets, scratch, turn)
-        fitted = scratch.table(fitted.withColumn("moved", F.abs(F.col("weight") - F.col("_was"))).drop("_was"), f"rake-{turn}")
-        seen = fitted.agg(F.max("miss").alias("miss"), F.max("moved").alias("moved")).first()
-        fitted = fitted.drop("moved")
-        if (seen["miss"] or 0.0) <= tolerance or seen["moved"] <= tolerance / 10:
+        seen = Observation()
+        moved = F.max(F.abs(F.col("weight") - F.col("_was"))).alias("moved")
+        fitted = scratch.table(fitted.observe(seen, F.max("miss").alias("miss"), moved).drop("_was"), f"rake-{turn}")
+        if (seen.get["miss"] or 0.0) <= tolerance or seen.get["moved"] <= tolerance / 10:
             break
         if turn < rounds:
             fitted = fitted.drop("miss")
