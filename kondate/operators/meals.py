@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kondate import schema
 from kondate.operators.metrics import eligible, pfc_distance, pfc_ratios, protein_per_100yen
 from kondate.operators.rank import top_k
+from kondate.tables import Scratch
 
 STAPLE, SIDE = "主食", "副菜"
 REQUEST = ["request_id", "store", "budget", "calories", "tp", "tf", "tc", "tolerance"]
@@ -40,16 +41,19 @@ def combinations(ranked: DataFrame) -> DataFrame:
         total = [sum((F.col(f"{x}_{n}") for x in letters[1:]), F.col(f"{letters[0]}_{n}")).alias(n) for n in schema.NUMBERS]
         return df.select(*REQUEST, F.array(*[f"{x}_item" for x in letters]).alias("items"), F.lit(len(letters)).alias("size"), *[p.alias(x) for p, x in zip(places, "sab", strict=True)], *total)
 
-    under = lambda df, x: df[f"{x}_price"] + F.col("s_price") <= F.col("budget") + 1e-8
-    pair = staple.join(side("a"), (F.col("request_id") == F.col("a_request")) & (F.col("s_price") + F.col("a_price") <= F.col("budget") + 1e-8) & (F.col("s_kcal") + F.col("a_kcal") <= F.col("calories") + 1e-8))
-    b = side("b")
-    triple = pair.join(b, (F.col("request_id") == F.col("b_request")) & (F.col("a") < F.col("b")) & under(b, "b"))
+    def within(*letters: str) -> Column:
+        total = lambda n: sum((F.col(f"{x}_{n}") for x in letters[1:]), F.col(f"{letters[0]}_{n}"))
+        return (total("price") <= F.col("budget") + 1e-8) & (total("kcal") <= F.col("calories") + 1e-8)
+
+    pair = staple.join(side("a"), (F.col("request_id") == F.col("a_request")) & within("s", "a"))
+    triple = pair.join(side("b"), (F.col("request_id") == F.col("b_request")) & (F.col("a") < F.col("b")) & within("s", "a", "b"))
     return of(staple, ["s"]).unionByName(of(pair, ["s", "a"])).unionByName(of(triple, ["s", "a", "b"]))
 
 
 def lunch_options(catalog: DataFrame, requests: DataFrame, k: int = 5, most: int = 60) -> DataFrame:
-    """The best k meals of each request, with their rank."""
-    meals = combinations(ranked_candidates(catalog, requests, most))
+    """The best k meals of each request, with their rank. The candidates, which four joins read, are written once."""
+    ranked = Scratch(catalog.sparkSession, "meals").table(ranked_candidates(catalog, requests, most), "ranked")
+    meals = combinations(ranked)
     gaps = [F.abs(r - t) for r, t in zip(pfc_ratios(), _target(), strict=True)]
     met = (F.col("price") <= F.col("budget") + 1e-8) & (F.col("kcal") <= F.col("calories") + 1e-8) & (F.col("kcal") >= F.col("calories") * 0.75)
     met = met & F.coalesce(F.greatest(*gaps) <= F.col("tolerance") + 1e-8, F.lit(False)) & protein_per_100yen(unit=None).isNotNull()
