@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable
 from typing import Any
@@ -73,5 +75,7 @@ def worker_memory(name: str, make: Callable[[], Any]) -> Any:
         _HELD.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # not every C library can give free pages back
+            ctypes.CDLL(None).malloc_trim(0)
         _HELD[name] = make()
     return _HELD[name]

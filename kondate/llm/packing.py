@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,7 +29,7 @@ _MARK = r"([a-zà-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 #: A word of letters only, in lower case: one word to the tokenizer, too.
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
 #: Characters of text that are tokenized together; longer texts are taken in parts that end at white space.
-PART_CHARS = 1 << 22
+PART_CHARS = 1 << 21
 
 
 class WordIds:
@@ -41,7 +40,7 @@ class WordIds:
     from which what is still in use is taken over.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -234,21 +233,21 @@ def place(pieces: DataFrame, size: int, rows: int, group_rows: int = 16384) -> D
     """
     groups = max(1, -(-rows // group_rows))
 
-    def pack(key: tuple[int], part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "piece", "start", "ids_crc32"], kind="stable")
+    def pack(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        part = part.drop_columns(["_group"]).sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32")])
         bins, offsets = best_fit_decreasing(part["length"].to_numpy(), size)
-        return part.drop(columns="_group").assign(sequence_id=key[0] * (1 << 32) + bins, offset=offsets)
+        return part.append_column("sequence_id", pa.array(key[0].as_py() * (1 << 32) + bins)).append_column("offset", pa.array(offsets))
 
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(pack, PLACED)
+    return dealt.groupBy("_group").applyInArrow(pack, PLACED)
 
 
-def pack_documents(documents: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 16384, known_words: int = 400_000) -> DataFrame:
+def pack_documents(documents: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 16384, known_words: int = 200_000) -> DataFrame:
     """Every piece of every document, with its sequence and place.
 
     A null or empty text is one piece of the end id alone. Repeated rows are packed as often as they come. Texts of
     any length are tokenized whole. An empty table gives an empty result. Other columns are not read. known_words: what a
-    worker remembers, about 0.5 GB for a million, against time for tokenizing again.
+    worker remembers in each of two generations, some 40 MB, against time for tokenizing again.
     """
     scratch = Scratch(documents.sparkSession, "packing")
     pieces = scratch.table(document_pieces(documents, size, end_id, path, known_words), "pieces")
@@ -267,9 +266,9 @@ def sequences(documents: DataFrame, placed: DataFrame, size: int = 4096, end_id:
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "piece", "ids"])
 
-    def join(key: tuple[int], part: pd.DataFrame) -> pd.DataFrame:
-        whole = b"".join(part.sort_values("offset")["ids"])
-        return pd.DataFrame({"sequence_id": [key[0]], "ids": [np.frombuffer(whole, "<u4").astype("i8").tolist()]})
+    def join(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        whole = b"".join(part.sort_by("offset")["ids"].to_pylist())
+        return pa.table({"sequence_id": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([np.frombuffer(whole, "<u4").astype("i8")], pa.list_(pa.int64()))})
 
     coded = documents.select("doc_id", "text").mapInArrow(ids, "doc_id long, piece int, ids binary")
-    return placed.select("doc_id", "piece", "sequence_id", "offset").join(coded, ["doc_id", "piece"]).groupBy("sequence_id").applyInPandas(join, "sequence_id long, ids array<long>")
+    return placed.select("doc_id", "piece", "sequence_id", "offset").join(coded, ["doc_id", "piece"]).groupBy("sequence_id").applyInArrow(join, "sequence_id long, ids array<long>")
