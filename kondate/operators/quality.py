@@ -56,22 +56,31 @@ def strict(catalog: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     return checked.drop("broken")
 
 
-def typed_product(line: Column) -> Column:
-    """A product from JSON text with strict types: struct of product and wrong (the fields of another type).
+def typed_variant(item: Column) -> Column:
+    """A product from a variant with strict types: struct of product and wrong (the fields of another type).
 
-    Variant keeps true, "3" and 3 apart, which a JSON schema does not.
+    A variant keeps true, "3" and 3 apart, which a JSON schema does not. It and the types of its fields are bound values,
+    so that JSON is parsed once and each type is looked up once.
     """
-    v = F.try_parse_json(line)
+    names = [*schema.NUMBERS, *schema.TEXTS, "auto"]
+    kinds = lambda v: F.struct(v.alias("v"), *[F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")).alias(n) for n in names])
+
+    def build(x: Column) -> Column:
+        v = x["v"]
+        is_number = lambda n: x[n].isin("BIGINT", "DOUBLE") | x[n].startswith("DECIMAL")
+        number = [F.when(is_number(n), F.try_variant_get(v, f"$.{n}", "double")).alias(n) for n in schema.NUMBERS]
+        text = [F.when(x[n] == "STRING", F.try_variant_get(v, f"$.{n}", "string")).alias(n) for n in schema.TEXTS]
+        auto = F.coalesce(F.when(x["auto"] == "BOOLEAN", F.try_variant_get(v, "$.auto", "boolean")), F.lit(False)).alias("auto")
+        wrong = [F.when(x[n].isNotNull() & (x[n] != "VOID") & ~is_number(n), n) for n in schema.NUMBERS]
+        wrong += [F.when(x[n].isNotNull() & (x[n] != "STRING"), n) for n in schema.TEXTS]
+        return F.when(v.isNotNull(), F.struct(F.struct(*text, *number, auto).alias("product"), F.array_compact(F.array(*wrong)).alias("wrong")))
 
-    def kind(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    return F.element_at(F.transform(F.transform(F.array(item), kinds), build), 1)
 
-    number = [F.when(kind(k).isin("BIGINT", "DOUBLE") | kind(k).startswith("DECIMAL"), F.try_variant_get(v, f"$.{k}", "double")).alias(k) for k in schema.NUMBERS]
-    text = [F.when(kind(k) == "STRING", F.try_variant_get(v, f"$.{k}", "string")).alias(k) for k in schema.TEXTS]
-    auto = F.coalesce(F.when(kind("auto") == "BOOLEAN", F.try_variant_get(v, "$.auto", "boolean")), F.lit(False)).alias("auto")
-    wrong = [F.when(kind(k).isNotNull() & ~kind(k).isin("VOID", "BIGINT", "DOUBLE") & ~kind(k).startswith("DECIMAL"), k) for k in schema.NUMBERS]
-    wrong += [F.when(kind(k).isNotNull() & (kind(k) != "STRING"), k) for k in schema.TEXTS]
-    return F.when(v.isNotNull(), F.struct(F.struct(*text, *number, auto).alias("product"), F.array_compact(F.array(*wrong)).alias("wrong")))
+
+def typed_product(line: Column) -> Column:
+    """``typed_variant`` of JSON text."""
+    return typed_variant(F.try_parse_json(line))
 
 
 def cart_is_valid(qty: Column) -> Column:

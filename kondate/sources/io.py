@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kondate import dims, schema
 from kondate.operators.cart import prune_orphans
-from kondate.operators.quality import MOST_ROWS, InvalidCatalog, cart_is_valid, strict, typed_product, validate
+from kondate.operators.quality import MOST_ROWS, InvalidCatalog, cart_is_valid, strict, typed_product, typed_variant, validate
 from kondate.operators.rank import last_wins
 from kondate.tables import Scratch
 
@@ -27,7 +27,7 @@ def _well_formed() -> Column:
 
 def _bundle_items(whole: DataFrame, *carried: str) -> DataFrame:
     items = whole.select(*carried, F.posexplode(F.try_variant_get("v", "$.catalog", "array<variant>")).alias("ord", "item"))
-    return items.select(*carried, F.col("ord").cast("long").alias("ord"), typed_product(F.to_json("item")).alias("x"))
+    return items.select(*carried, F.col("ord").cast("long").alias("ord"), typed_variant(F.col("item")).alias("x"))
 
 
 def _bundle_favorites(whole: DataFrame, *carried: str) -> DataFrame:
