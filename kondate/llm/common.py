@@ -66,6 +66,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _HELD: dict[str, Any] = {}
 
 
+def give_back() -> None:
+    """Return this Python worker's free memory to the system, which else counts as its own until it ends."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_memory(name: str, make: Callable[[], Any]) -> Any:
     """What this Python worker remembers from one task to the next, under one name at a time.
 
@@ -74,8 +81,6 @@ def worker_memory(name: str, make: Callable[[], Any]) -> Any:
     if name not in _HELD:
         _HELD.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # not every C library can give free pages back
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
         _HELD[name] = make()
     return _HELD[name]

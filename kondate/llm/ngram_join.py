@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kondate.llm.common import Scratch, broadcast_if_small, join_by_key, worker_memory
+from kondate.llm.common import Scratch, broadcast_if_small, give_back, join_by_key, worker_memory
 
 #: Odd constants of the 64-bit mixing functions.
 _K = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)]
@@ -156,6 +156,7 @@ def profiles(documents: DataFrame, size: int, share: int) -> DataFrame:
                     near.append((found[:first] if first >= prefix_length(len(found), share) else found).tobytes())
                 columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(firsts, pa.int64()), pa.array(digests, pa.binary()), pa.array(near, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "first", "digest", "near"])
+            give_back()
 
     return documents.mapInArrow(profile, "doc_id long, n_shingles long, first long, digest binary, near binary")
 
@@ -314,6 +315,7 @@ def sets_of(documents: DataFrame, size: int) -> DataFrame:
                 part = batch.slice(i, 250)
                 found = [shingle_set(t.as_py(), words, size).tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "elements"])
+            give_back()
 
     return documents.mapInArrow(pack, "doc_id long, elements binary")
 

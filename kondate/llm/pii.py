@@ -183,7 +183,8 @@ def find_personal_data(documents: DataFrame, support: int = 3, generalise: float
 
     Entities are all values found by the detectors, also those of one row. A term is struck in documents that hold the
     entity it reveals, so a document without personal data stays as it is. Null and empty texts have no spans; rows that
-    repeat doc_id and text get the same answer each; an empty table gives an empty result. Texts are never shuffled:
+    repeat doc_id and text get the same answer each; a row without doc_id counts and has base spans, but no terms; an
+    empty table gives an empty result; columns beside doc_id and text are not read. Texts are never shuffled:
     the first pass keeps marks and places of the terms of rows with entities, the second counts terms.
     """
     scratch = Scratch(documents.sparkSession, "pii")
