@@ -104,18 +104,20 @@ def crawl_levels(pages: DataFrame, seeds: DataFrame, hosts: DataFrame, most_dept
 
 
 def collect_pages(
-    pages: DataFrame, seeds: DataFrame, hosts: DataFrame, products: DataFrame, run_date: str, most_depth: int = MOST_DEPTH,
+    pages: DataFrame, seeds: DataFrame, hosts: DataFrame | None, products: DataFrame, run_date: str, most_depth: int = MOST_DEPTH,
     limits: tuple[int, int, int] = (MOST_ADDED, MOST_DETAIL, MOST_LISTS), most_pending: int = MOST_PENDING, canonical=canonical_url, kind_of=page_kind, original=original_host,
 ) -> DataFrame:
     """store, url, depth, seq, kind, outcome, reason, product of every page that a collection visits, in levels.
 
-    pages: url, html; seeds: store, url, depth 0, seq; hosts: store, host; products: store, url, checked. A level's pages
-    are looked up, extracted and held to their chain (``shared_host_guard``); pages whose product is of the run date
-    are left out, and the budget of a chain, carried from level to level, says which of the others are visited. Links
-    of visited pages make the next level, as far as they are new. The outcome is added, skipped (with a reason), list, or
-    error for an address without a stored page, which counts but leads nowhere. Every level is a written table.
+    pages: url, html; seeds: store, url, depth 0, seq; hosts: store, host (by default of all chains); products: store,
+    url, checked. A level's pages are looked up, extracted and held to their chain (``shared_host_guard``); pages whose
+    product is of the run date are left out, and the budget of a chain, carried from level to level, says which of the
+    others are visited. Links of visited pages make the next level, as far as they are new. The outcome is added,
+    skipped (with a reason), list, or error for an address without a stored page, which counts but leads nowhere. Every
+    level is a written table; the products added are what ``catalog.upsert_latest`` takes.
     """
     scratch = Scratch(pages.sparkSession, "collect")
+    hosts = dims.hosts(pages.sparkSession).select("store", "host") if hosts is None else hosts
     stored = scratch.table(pages.groupBy(canonical(F.col("url")).alias("url")).agg(F.min("html").alias("html")).where("url <> ''"), "pages")
     level = scratch.table(seeds.where("url <> ''").dropDuplicates(["store", "url"]), "level-0")
     known, visits, carried = level.select("store", "url"), None, pages.sparkSession.createDataFrame([], "store string, added long, detail long, lists long")

@@ -135,3 +135,17 @@ def test_sums_before_ranges(spark):
         found = {r["i"]: r["s"] for r in rank.sums_before(df, "g", ["seq", "i"], {"s": F.col("v")}, parts).collect()}
         assert found == {i: sum(w for h, q, j, w in data if h == g and (q, j) < (s, i)) for g, s, i, _ in data}
     assert rank.sums_before(df.where("false"), "g", ["seq"], {"s": F.col("v")}).count() == 0
+
+
+def test_dimensions(spark):
+    hosts = {(r["store"], r["host"]): r["is_original"] for r in dims.hosts(spark).collect()}
+    assert {s for s, _ in hosts} == set(dims.STORES)
+    assert {h for _, h in hosts} <= set(dims.domains()) and {h for (_, h), own in hosts.items() if own} <= set(dims.ORIGINAL_HOSTS)
+    assert [r["category"] for r in dims.categories(spark).orderBy("cat_ord").collect()] == dims.CATEGORIES
+    assert [r["store"] for r in dims.stores(spark).orderBy("store_ord").collect()] == dims.STORES
+    at = "https://www.daily-yamazaki.jp/goods/1/"
+    page = "<title>x</title><h1>x</h1><p>デイリーヤマザキ</p><h3>栄養成分</h3><p>1包装当たり たんぱく質 5g</p>"
+    rows = spark.createDataFrame([(at, page)], "url string, html string")
+    seeds = spark.createDataFrame([("デイリーヤマザキ", at, 0, 1), ("ポプラ", at, 0, 2)], "store string, url string, depth int, seq long")
+    found = frontier.collect_pages(rows, seeds, None, spark.createDataFrame([], "store string, url string, checked string"), "2024-01-31", 0)
+    assert ("デイリーヤマザキ", "added") in {(r["store"], r["outcome"]) for r in found.collect()}
