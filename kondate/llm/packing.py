@@ -29,7 +29,7 @@ _MARK = r"([a-zà-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 #: A word of letters only, in lower case: one word to the tokenizer, too.
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
 #: Characters of text that are tokenized together; longer texts are taken in parts that end at white space.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 19
 
 
 class WordIds:
@@ -40,7 +40,7 @@ class WordIds:
     from which what is still in use is taken over.
     """
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -243,12 +243,12 @@ def place(pieces: DataFrame, size: int, rows: int, group_rows: int = 16384) -> D
     return dealt.groupBy("_group").applyInArrow(pack, PLACED)
 
 
-def pack_documents(documents: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 16384, known_words: int = 120_000) -> DataFrame:
+def pack_documents(documents: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 16384, known_words: int = 100_000) -> DataFrame:
     """Every piece of every document, with its sequence and place.
 
     A null or empty text is one piece of the end id alone. Repeated rows are packed as often as they come. Texts of
     any length are tokenized whole. An empty table gives an empty result. Other columns are not read. known_words: what a
-    worker remembers in each of two generations, some 25 MB, against time for tokenizing again.
+    worker remembers in each of two generations, some 20 MB, against time for tokenizing again.
     """
     scratch = Scratch(documents.sparkSession, "packing")
     pieces = scratch.table(document_pieces(documents, size, end_id, path, known_words), "pieces")
