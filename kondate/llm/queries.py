@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kondate.llm import ann, exact_dedup, langid, mixing, ngram_join, packing, pii, sharding, url_filter, warc
+from kondate.llm import ann, chat, exact_dedup, langid, merkle, mixing, ngram_join, packing, pii, sharding, url_filter, warc, whitening
 from kondate.llm.common import read
 
 
@@ -50,8 +50,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit_documents(read(spark, sf_dir, "documents"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_digests(read(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_reassembly, op2_raked_mixture, op3_jump_sharding, op4_pii_disclosure, op5_exact_dedup, op6_best_fit_packing, op7_language_id, op8_ngram_jaccard, op9_nearest_neighbours, op10_url_filter]
+    found = [op1_warc_reassembly, op2_raked_mixture, op3_jump_sharding, op4_pii_disclosure, op5_exact_dedup, op6_best_fit_packing, op7_language_id, op8_ngram_jaccard, op9_nearest_neighbours, op10_url_filter, op11_merkle_manifest, op12_chat_format, op13_whitening]
     return {f.__name__: f for f in found}
 
 
