@@ -108,5 +108,58 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_
 """
 
 
+_VALUE = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf_sql(text: str = "text") -> str:
+    return "sha256(" + " || ".join(_VALUE.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _grown(name: str, leaves: str) -> str:
+    """All levels of the trees over leaves (tree, idx, h), and the runs of eight of each level."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS lvl, idx, h, count(*) OVER (PARTITION BY tree) AS n FROM {leaves}
+  UNION ALL SELECT tree, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 7) // 8 FROM {name} WHERE n > 1 GROUP BY tree, lvl, idx // 8),
+{name}_runs AS (SELECT tree, lvl, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _folded(name: str, runs: str, start: str) -> str:
+    """From rows (k, tree, idx, node, proof) up to the root, run by run."""
+    return f"""{name} AS (
+  SELECT k, tree, 0 AS lvl, idx, node, proof FROM {start}
+  UNION ALL SELECT p.k, p.tree, p.lvl + 1, p.idx // 8, sha256(array_to_string(hs[1:p.idx % 8], '') || p.node || array_to_string(hs[p.idx % 8 + 2:], '')), p.proof || array_to_string(hs[1:p.idx % 8], '') || array_to_string(hs[p.idx % 8 + 2:], '')
+    FROM {name} p JOIN {runs} r ON r.tree = p.tree AND r.lvl = p.lvl AND r.run = p.idx // 8)"""
+
+
+OP11 = f"""
+WITH RECURSIVE bytes AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf_sql()} AS leaf, {_leaf_sql(_LOWER)} AS lowered,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 3 = 0 AS touched
+  FROM documents, bytes),
+leaves AS (SELECT doc_id AS k, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS idx, leaf AS h, CASE WHEN touched THEN lowered ELSE leaf END AS node FROM d),
+{_grown("nodes", "leaves")},
+roots AS (SELECT tree AS k, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, h FROM nodes WHERE n = 1),
+{_grown("tops", "roots")},
+{_folded("ups", "nodes_runs", "(SELECT k, tree, idx, node, '' AS proof FROM leaves)")},
+lower AS (SELECT k, tree, node, proof FROM ups QUALIFY row_number() OVER (PARTITION BY k ORDER BY lvl DESC) = 1),
+{_folded("overs", "tops_runs", "(SELECT l.k, r.tree, r.idx, l.node, l.proof FROM lower l JOIN roots r ON r.k = l.tree)")},
+upper AS (SELECT k, node, proof FROM overs QUALIFY row_number() OVER (PARTITION BY k ORDER BY lvl DESC) = 1)
+SELECT l.k AS doc_id, l.h AS leaf, s.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(u.proof) AS proof_sha256, u.node AS folded_root, u.node = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM leaves l JOIN roots s ON s.k = l.tree JOIN upper u ON u.k = l.k
+"""
+OP12 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+m AS (SELECT *, len(regexp_extract_all(text, '<␛*/?s>|\[␛*/?INST\]|<␛*</?SYS>>|<␛*\|(role|says|end|image|audio|document|/document|other)\|>')) AS marks FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || e'\n' || text || e'\n', '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(text) + marks + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 24 + length(role) END)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_reassembly": OP1, "op5_exact_dedup": OP5, "op8_ngram_jaccard": OP8}
+    return {"op1_warc_reassembly": OP1, "op5_exact_dedup": OP5, "op8_ngram_jaccard": OP8, "op11_merkle_manifest": OP11, "op12_chat_format": OP12}
