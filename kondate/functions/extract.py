@@ -16,6 +16,7 @@ TITLE_END = r"[|｜]| -イオン| - イオン"
 NO_NAMES = ["商品情報", "商品一覧"]
 BODY_END = "その他の商品|関連商品|商品のご案内へ戻る|の評判・口コミ|チルド惣菜一覧"
 SECTION = "栄養成分"
+SECTION_WINDOW = rf"(?s){SECTION}(?=(.{{0,700}}))"
 SECTION_END = "賞味期限|アレルギー情報|原材料名|保存方法|お問い合わせ"
 PROTEIN = "(?:たんぱく質|たん白質|タンパク質)"
 PROTEIN_NUMBER = rf"(?U){PROTEIN}\s*[:：]?\s*[\d.]"
@@ -62,14 +63,10 @@ def pick_product_heading(parsed: DataFrame, original=original_host) -> DataFrame
 def nutrition_section(body: Column) -> Column:
     """The first table of nutrients that has a number for protein; ''.
 
-    Each occurrence is looked at through its own window of the text, found by position, so that a page that repeats
-    the word costs as much as it is long.
+    One pass finds every occurrence of the word with the text behind it, which a lookahead bounds without using it up,
+    so a page that repeats the word costs as much as it is long.
     """
-    pieces = F.transform(F.split(body, SECTION, -1), lambda x: F.length(x) + len(SECTION))
-    nothing = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
-    step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array((a["at"] + n).cast("int"))).alias("starts"))
-    starts = F.aggregate(pieces, nothing, step, lambda a: F.slice(a["starts"], 1, F.size(a["starts"]) - 1))
-    windows = F.transform(starts, lambda i: _before(F.substring(body, i, F.lit(700)), SECTION_END))
+    windows = F.transform(F.regexp_extract_all(body, F.lit(SECTION_WINDOW), F.lit(1)), lambda t: _before(t, SECTION_END))
     return F.when(F.contains(body, F.lit(SECTION)), F.coalesce(F.try_element_at(F.filter(windows, lambda t: t.rlike(PROTEIN_NUMBER)), F.lit(1)), F.lit(""))).otherwise("")
 
 
@@ -83,7 +80,7 @@ def extract_price(body: Column) -> Column:
 def extract_products(pages: DataFrame, run_date: str, hosts: dict[str, str] | None = None, original=original_host) -> DataFrame:
     """Per page (url, html, and others that are carried along): product, reason ('' if there is one), page.
 
-    Each page is parsed once; everything after that is one projection.
+    Each page is parsed once; everything after that is one projection. A page that can't be parsed has its fault as reason.
     """
     rows = pick_product_heading(pages.withColumn("page", parse_html("html")).drop("html"), original)
     body = _before(F.array_join(F.slice("page.texts", F.coalesce("heading.offset", F.lit(0)) + 1, F.size("page.texts")), " "), BODY_END)
@@ -107,7 +104,7 @@ def extract_products(pages: DataFrame, run_date: str, hosts: dict[str, str] | No
     outside = F.lit(False)
     for value in (p, F.col("_f"), F.col("_c"), F.col("_kcal")):
         outside = outside | F.coalesce(~(finite(value) & value.between(0, 100_000)) & value.isNotNull(), F.lit(False))
-    reason = F.when(F.col("heading").isNull(), REASONS["heading"]).when((F.length("_name") > 180) | F.col("_name").isin(NO_NAMES), REASONS["name"])
+    reason = F.when(F.col("page.fault").isNotNull(), F.col("page.fault")).when(F.col("heading").isNull(), REASONS["heading"]).when((F.length("_name") > 180) | F.col("_name").isin(NO_NAMES), REASONS["name"])
     reason = reason.when(F.regexp_count("_section", F.lit(PROTEIN_NUMBER)) > 1, REASONS["tables"]).when(p.isNull(), REASONS["protein"]).when(outside, REASONS["range"]).otherwise("")
     product = F.struct(
         stable_id(F.col("url")).alias("id"), host_store(F.col("url"), hosts).alias("store"), F.col("_name").alias("name"), guess_category(F.col("_name")).alias("category"), F.col("_unit").alias("unit"), F.col("url").alias("url"),

@@ -38,10 +38,21 @@ class _Tokens(HTMLParser):
             self.found.append(("", 0, data))
 
 
-def _tokens(html: str | None) -> list[tuple[str, int, Any]]:
+#: Characters of a fault that are kept.
+FAULT_LENGTH = 120
+
+
+def _tokens(html: str | None) -> tuple[list[tuple[str, int, Any]], str | None]:
+    """The tokens, and what the parser stumbled over: then they are those before it.
+
+    Markup may be so broken that the parser gives up, and that is that page's outcome, not the job's.
+    """
     parser = _Tokens()
-    parser.feed(html or "")
-    return parser.found
+    try:
+        parser.feed(html or "")
+    except (AssertionError, ValueError, IndexError, RecursionError) as fault:
+        return parser.found, str(fault)[:FAULT_LENGTH] or type(fault).__name__
+    return parser.found, None
 
 
 def _outside(tokens: list[tuple[str, int, Any]], tags: tuple[str, ...]) -> list[bool]:
@@ -63,8 +74,8 @@ def _spans(tokens: list[tuple[str, int, Any]], shown: list[bool], tags: tuple[st
 
 
 def page_parts(html: str | None) -> dict[str, Any]:
-    """title, texts, links and headings of one page."""
-    tokens = _tokens(html)
+    """title, texts, links, headings and fault (null, if it could be read to its end) of one page."""
+    tokens, fault = _tokens(html)
     shown = _outside(tokens, UNSEEN)
     pieces = [(i, unicodedata.normalize("NFKC", data).strip()) for i, (tag, _, data) in enumerate(tokens) if not tag and shown[i]]
     places, texts = [i for i, _ in pieces], [t for _, t in pieces]
@@ -87,21 +98,24 @@ def page_parts(html: str | None) -> dict[str, Any]:
     for i, j in _spans(tokens, shown, ("a",)):
         pictures = [(k, tokens[k][2]["alt"]) for k in range(i, j) if tokens[k][:2] == ("img", 1) and shown[k] and tokens[k][2].get("alt")]
         links.append({"href": tokens[i][2].get("href") or "", "label": " ".join(t for _, t in sorted(within(i, j) + pictures))})
-    return {"title": unicodedata.normalize("NFKC", title), "texts": texts, "links": links, "headings": headings}
+    return {"title": unicodedata.normalize("NFKC", title), "texts": texts, "links": links, "headings": headings, "fault": fault}
 
 
 def plain_text(html: str | None) -> str:
-    tokens = _tokens(html)
+    tokens, _ = _tokens(html)
     read = _outside(tokens, UNREAD)
     return " ".join(data.strip() for i, (tag, _, data) in enumerate(tokens) if not tag and read[i])
 
 
 @F.pandas_udf(schema.PARSED)
 def parse_html(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """title, texts, links, headings; a heading has the index of the text at which it begins. Null is an empty page."""
+    """title, texts, links, headings, fault; a heading has the index of the text at which it begins. Null is an empty page.
+
+    A page that can't be parsed has a fault, and what stands before it; it never ends the job.
+    """
     for part in pages:
         found = [page_parts(x) for x in part]
-        yield pd.DataFrame({k: [x[k] for x in found] for k in ("title", "texts", "links", "headings")})
+        yield pd.DataFrame({k: [x[k] for x in found] for k in ("title", "texts", "links", "headings", "fault")})
 
 
 @F.pandas_udf(T.StringType())

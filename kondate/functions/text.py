@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kondate import dims
+from kondate.functions.patterns import first_named
 
 # Words by category, in the order in which they count.
 CATEGORY_WORDS = [
@@ -25,6 +26,8 @@ NO_RATIO = "PFC比率：栄養値不足のため計算できません。"
 SEARCH_WORDS = "たんぱく質 栄養成分"
 SEARCH_URL = "https://www.google.com/search?q="
 MAP_URL = "https://www.google.com/maps/search/?api=1&query="
+#: Aliases up to which a test of each is quicker than an automaton in Python.
+FEW_ALIASES = 64
 TAG_KEYS = ["brand", "name", "operator", "brand:en", "name:en"]
 
 
@@ -57,7 +60,13 @@ def migrate_category(name: Column, category: Column, names: list[str] = dims.CAT
 
 
 def chain_from_text(text: Column, aliases: list[tuple[str, list[str]]] = dims.CHAIN_ALIASES) -> Column:
-    """The first chain in order with an alias in a normalised text; null without."""
+    """The first chain in order with an alias in a normalised text; null without.
+
+    A few aliases are looked for one by one, which stays in the JVM; more by an automaton over all of them.
+    """
+    named = [(store, normalised_word(name)) for store, names in aliases for name in names]
+    if len(named) > FEW_ALIASES:
+        return first_named(text, named)
     out = None
     for store, names in aliases:
         hit = text.contains(normalised_word(names[0]))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kondate import dims, schema
-from kondate.functions.extract import extract_products, shared_host_guard
 from kondate.functions.html import parse_html, resolve_link
 from kondate.functions.urls import canonical_url, host, original_host, page_kind
-from kondate.operators.rank import sums_before
+from kondate.operators.rank import mins_before, sums_before
 from kondate.tables import Scratch
 
 # Limits and words by which links are followed.
@@ -39,9 +41,10 @@ def label_fits(label: Column, url: Column, kind: Column, original=original_host)
 def extract_links(parsed: DataFrame, hosts: DataFrame, canonical=canonical_url, kind_of=page_kind, original=original_host) -> DataFrame:
     """store, parent, parent_seq, depth, url, kind, priority of the links worth following.
 
-    parsed: store, url, depth, seq, page; hosts: store, host of each chain. Links that can't be read are dropped.
+    parsed: store, url, depth, seq, page; hosts: store, host of each chain. Links that can't be read are dropped, and so
+    are all of a page that can't be parsed.
     """
-    links = parsed.select("store", F.col("url").alias("parent"), F.col("seq").alias("parent_seq"), "depth", F.explode("page.links").alias("link"))
+    links = parsed.where("page.fault is null").select("store", F.col("url").alias("parent"), F.col("seq").alias("parent_seq"), "depth", F.explode("page.links").alias("link"))
     links = links.withColumn("url", canonical(resolve_link("parent", "link.href"))).where("url <> ''")
     links = links.withColumn("kind", kind_of(F.col("url"))).where("kind <> ''").withColumn("_host", host(F.col("url")))
     own = links.join(hosts.select("store", F.col("host").alias("_host")), ["store", "_host"], "left_semi")
@@ -49,18 +52,55 @@ def extract_links(parsed: DataFrame, hosts: DataFrame, canonical=canonical_url,
     return fitting.select("store", "parent", "parent_seq", (F.col("depth") + 1).alias("depth"), "url", "kind", link_priority(F.col("link.label")).alias("priority"))
 
 
-def next_frontier(links: DataFrame, seen: DataFrame, most: int = MOST_PENDING) -> DataFrame:
-    """store, url, depth, seq: new addresses, in order of discovery, at most `most` of a chain in a level.
+QUEUED = "store string, url string, depth int, seq long"
+
+
+def next_frontier(links: DataFrame, level: DataFrame, seen: DataFrame, most: int = MOST_PENDING) -> DataFrame:
+    """store, url, depth, seq: the new addresses that a level's pages put behind it in their chain's queue.
 
-    The first link to an address counts; the minimum combines before its shuffle. Chains are few, so a chain's rows
-    are first ranked by hash parts of it, of which only the first `most` each can be among the first of the whole.
+    level: store, url, seq of all that waits, visited or not, in order; links come from some of its pages; seen: store,
+    url of all that was ever queued. A queue has room for `most`: when the i-th of m pages (from 0) has its turn, m - i
+    of the level still wait, so up to it most - m + i addresses can have been put behind the level. A page puts its
+    new links in order of priority and address while there is room; one that finds none may come in by a later page.
+
+    If each address came in by the first page that has it, then with C links before a page, and room b for each page, the
+    number put in before it is C + min(0, least b - C' of the pages before), C' counting the page's own links as well.
+    These are prefix sums and least values, made in parallel ranges, and they are right for the chains whose queue never
+    fills. The others are replayed link by link: such a chain's level and what it puts in have at most `most` rows, and
+    only the addresses put in are held.
     """
-    first = links.groupBy("store", "url").agg(F.min(F.struct("parent_seq", "priority", "url", "kind")).alias("x"), F.min("depth").alias("depth"))
-    new = first.join(seen.select("store", "url"), ["store", "url"], "left_anti").select("store", "url", "depth", "x.parent_seq", "x.priority", "x.kind", F.pmod(F.xxhash64("url"), F.lit(64)).alias("_part"))
-    order = ["parent_seq", "priority", "url", "kind"]
-    part = new.withColumn("_n", F.row_number().over(Window.partitionBy("store", "_part").orderBy(*order))).where(F.col("_n") <= most)
-    ranked = part.withColumn("seq", F.row_number().over(Window.partitionBy("store").orderBy(*order)).cast("long")).where(F.col("seq") <= most)
-    return ranked.select("store", "url", "depth", "seq")
+    scratch = Scratch(links.sparkSession, "frontier")
+    waiting = level.groupBy("store").agg(F.count("*").alias("_m"))
+    places = sums_before(level.select("store", "url", "seq"), "store", ["seq", "url"], {"_i": F.lit(1)})
+    room = F.greatest(F.lit(0), F.lit(most) - F.col("_m") + F.col("_i"))
+    places = places.join(waiting, "store").select("store", F.col("url").alias("parent"), F.col("_i").cast("long").alias("_i"), room.alias("_room"))
+    offers = links.groupBy("store", "parent", "url", "kind").agg(F.min("priority").alias("priority"), F.min("depth").alias("depth"))
+    offers = scratch.table(offers.join(seen.select("store", "url"), ["store", "url"], "left_anti").join(places, ["store", "parent"]).drop("parent"), "offers")
+    first = offers.groupBy("store", "url").agg(F.min(F.struct("_i", "priority", "kind", "depth", "_room")).alias("x")).select("store", "url", "x.*")
+    pages = sums_before(first.groupBy("store", "_i", "_room").agg(F.count("*").alias("_c")), "store", ["_i"], {"_before": F.col("_c")})
+    pages = mins_before(pages, "store", ["_i"], {"_least": F.col("_room") - F.col("_before") - F.col("_c")})
+    pages = pages.withColumn("_put", F.col("_before") + F.least(F.lit(0), F.coalesce("_least", F.lit(0)))).select("store", "_i", "_put")
+    in_page = F.row_number().over(Window.partitionBy("store", "_i").orderBy("priority", "url", "kind"))
+    ranked = scratch.table(first.join(pages, ["store", "_i"]).withColumn("seq", (F.col("_put") + in_page).cast("long")), "ranked")
+    full = ranked.where("seq > _room").select("store").distinct()
+    fitting = ranked.join(full, "store", "left_anti").select("store", "url", "depth", "seq")
+    ordered = offers.join(full, "store", "left_semi").repartition("store").sortWithinPartitions("store", "_i", "priority", "url", "kind")
+    return fitting.unionByName(ordered.select("store", "url", "depth", "_room").mapInArrow(_replay, QUEUED))
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links that come in, of links in order of their pages' turns; holds the addresses that a chain has put in."""
+    chain, put = None, set()
+    for batch in batches:
+        found: list[tuple] = []
+        for store, url, depth, room in zip(*(batch.column(c).to_pylist() for c in ("store", "url", "depth", "_room")), strict=True):
+            if store != chain:
+                chain, put = store, set()
+            if url not in put and len(put) < room:
+                put.add(url)
+                found.append((store, url, depth, len(put)))
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True) if found else [()] * 4, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["store", "url", "depth", "seq"])
 
 
 def skip_recent(frontier: DataFrame, products: DataFrame, run_date: str) -> DataFrame:
@@ -99,42 +139,5 @@ def crawl_levels(pages: DataFrame, seeds: DataFrame, hosts: DataFrame, most_dept
         if depth == most_depth:
             break
         links = extract_links(visited.where("found"), hosts, canonical, kind_of, original)
-        level = scratch.table(next_frontier(links, reached), f"level-{depth + 1}")
+        level = scratch.table(next_frontier(links, level, reached), f"level-{depth + 1}")
     return reached
-
-
-def collect_pages(
-    pages: DataFrame, seeds: DataFrame, hosts: DataFrame | None, products: DataFrame, run_date: str, most_depth: int = MOST_DEPTH,
-    limits: tuple[int, int, int] = (MOST_ADDED, MOST_DETAIL, MOST_LISTS), most_pending: int = MOST_PENDING, canonical=canonical_url, kind_of=page_kind, original=original_host,
-) -> DataFrame:
-    """store, url, depth, seq, kind, outcome, reason, product of every page that a collection visits, in levels.
-
-    pages: url, html; seeds: store, url, depth 0, seq; hosts: store, host (by default of all chains); products: store,
-    url, checked. A level's pages are looked up, extracted and held to their chain (``shared_host_guard``); pages whose
-    product is of the run date are left out, and the budget of a chain, carried from level to level, says which of the
-    others are visited. Links of visited pages make the next level, as far as they are new. The outcome is added,
-    skipped (with a reason), list, or error for an address without a stored page, which counts but leads nowhere. Every
-    level is a written table; the products added are what ``catalog.upsert_latest`` takes.
-    """
-    scratch = Scratch(pages.sparkSession, "collect")
-    hosts = dims.hosts(pages.sparkSession).select("store", "host") if hosts is None else hosts
-    stored = scratch.table(pages.groupBy(canonical(F.col("url")).alias("url")).agg(F.min("html").alias("html")).where("url <> ''"), "pages")
-    level = scratch.table(seeds.where("url <> ''").dropDuplicates(["store", "url"]), "level-0")
-    known, visits, carried = level.select("store", "url"), None, pages.sparkSession.createDataFrame([], "store string, added long, detail long, lists long")
-    for depth in range(most_depth + 1):
-        kinds = level.withColumn("kind", kind_of(F.col("url"))).where("kind <> ''")
-        due = kinds.where("kind = 'list'").unionByName(skip_recent(kinds.where("kind <> 'list'"), products, run_date))
-        found = extract_products(due.join(stored, "url", "left").withColumn("stored", F.col("html").isNotNull()), run_date, None, original)
-        held = shared_host_guard(found, hosts).withColumn("product", F.when(F.col("stored") & (F.col("kind") != "list"), F.col("product")))
-        held = scratch.table(held.withColumn("gains", F.col("product").isNotNull().cast("int")), f"extracted-{depth}")
-        here = scratch.table(visit_budget(held, carried, limits), f"visited-{depth}")
-        outcome = F.when(~F.col("stored"), "error").when(F.col("kind") == "list", "list").when(F.col("gains") == 1, "added").otherwise("skipped")
-        done = here.select("store", "url", "depth", "seq", "kind", outcome.alias("outcome"), F.when(outcome == "skipped", F.col("reason")).otherwise("").alias("reason"), "product")
-        visits = done if visits is None else visits.unionByName(done)
-        if depth == most_depth:
-            break
-        is_list = F.col("kind") == "list"
-        carried = visits.groupBy("store").agg(F.count_if(F.col("outcome") == "added").alias("added"), F.count_if(~is_list).alias("detail"), F.count_if(is_list).alias("lists"))
-        level = scratch.table(next_frontier(extract_links(here.where("stored"), hosts, canonical, kind_of, original), known, most_pending), f"level-{depth + 1}")
-        known = known.unionByName(level.select("store", "url"))
-    return visits

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,23 +54,33 @@ def page_count(found: DataFrame, size: int = 20) -> DataFrame:
     return found.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("long").alias("pages"))
 
 
-def sums_before(df: DataFrame, group: str, order: list[str], values: dict[str, Column], parts: int = 64) -> DataFrame:
-    """Adds the sums of values over the rows of the group before each row. The first of `order` is a number.
+def _before(df: DataFrame, group: str, order: list[str], values: dict[str, Column], fold: Callable, both: Callable, parts: int) -> DataFrame:
+    """Adds what a fold gives for values over the rows of the group before each row. The first of `order` is a number.
 
     A group may hold most of the rows, so it is cut into ranges of the first order column, each of which is a window
-    of its own; a table of groups x parts sums gives what stands before a range. One pass finds the ends of the ranges.
+    of its own; a table of groups x parts folds gives what stands before a range. One pass finds the ends of the ranges.
     """
     first = order[0]
     ends = df.agg(F.min(first).alias("low"), F.max(first).alias("high")).first()
     low, high = ends["low"] or 0, ends["high"] or 0
     ranged = df.withColumn("_range", F.least(F.lit(parts - 1), F.floor((F.col(first) - low) * parts / F.lit(float(high - low + 1)))).cast("int"))
     whole = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy(group, "_range").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
-    sums = sums.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), *[F.coalesce(F.sum(f"_sum_{n}").over(whole), F.lit(0)).alias(f"_before_{n}") for n in values])
+    sums = ranged.groupBy(group, "_range").agg(*[fold(v).alias(f"_fold_{n}") for n, v in values.items()])
+    sums = sums.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), *[fold(f"_fold_{n}").over(whole).alias(f"_before_{n}") for n in values])
     within = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranged.withColumns({f"_in_{n}": F.coalesce(F.sum(v).over(within), F.lit(0)) for n, v in values.items()})
+    rows = ranged.withColumns({f"_in_{n}": fold(v).over(within) for n, v in values.items()})
     rows = rows.join(sums, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
-    return rows.select(*df.columns, *[(F.col(f"_in_{n}") + F.col(f"_before_{n}")).alias(n) for n in values])
+    return rows.select(*df.columns, *[both(F.col(f"_in_{n}"), F.col(f"_before_{n}")).alias(n) for n in values])
+
+
+def sums_before(df: DataFrame, group: str, order: list[str], values: dict[str, Column], parts: int = 64) -> DataFrame:
+    """Adds the sums of values over the rows of the group before each row, 0 where there are none."""
+    return _before(df, group, order, values, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), parts)
+
+
+def mins_before(df: DataFrame, group: str, order: list[str], values: dict[str, Column], parts: int = 64) -> DataFrame:
+    """Adds the least of values over the rows of the group before each row, null where there are none."""
+    return _before(df, group, order, values, F.min, F.least, parts)
 
 
 def running(df: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:

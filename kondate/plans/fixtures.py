@@ -160,13 +160,37 @@ def faulty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", "store", page_of_product(more=more, protein_scale=F.when(k == 4, 1e6).otherwise(1.0)).alias("html"))
 
 
-def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product pages of one chain that link to the pages of twice their number and the next."""
+#: A declaration that no parser reads, and what it says of it.
+BROKEN, FAULT = "<![foo[x]]>", "unknown status keyword 'foo' in marked section"
+
+
+def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product pages of which every third is broken before or behind its table of nutrients, and every fourth has a sound section of data."""
+    k = F.col("ord")
+    more = F.when(k % 6 == 4, F.lit(BROKEN)).when(k % 4 == 0, "<![CDATA[x]]>").otherwise("")
+    page = page_of_product(more=more)
+    return catalog(spark, sf_dir).select("url", "store", F.when(k % 6 == 1, F.concat(F.lit(BROKEN), page)).otherwise(page).alias("html"))
+
+
+def linked_pages(spark: SparkSession, sf_dir: str, broken: Column | None = None) -> DataFrame:
+    """Product pages of one chain that link to the pages of twice their number and the next; some broken in between."""
     link = lambda n: F.concat(F.lit('<a href="/goods/'), n, F.lit('/">チキン</a>'))
     more = F.concat(F.lit("<p>デイリーヤマザキ</p>"), link(2 * F.col("ord")), link(2 * F.col("ord") + 1), F.lit('<a href="/news/1/">x</a><a href="/goods/9/">ビール</a>'))
+    if broken is not None:
+        more = F.when(broken, F.concat(more, F.lit(BROKEN))).otherwise(more)
     return catalog(spark, sf_dir).where("ord > 0").select("url", page_of_product(more=more).alias("html"))
 
 
+def link_offers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A level of waiting pages (orders, most of them of one chain), their links (parts ordered) and what was seen (every fifth part)."""
+    store = F.element_at(F.array(*map(F.lit, dims.STORES)), (F.least(F.lit(9), F.col("o_custkey") % 40) + 1).cast("int"))
+    orders = table(spark, sf_dir, "orders").select(store.alias("store"), F.concat(F.lit("o"), "o_orderkey").alias("url"), F.col("o_orderkey").alias("seq"))
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("parent"), F.concat(F.lit("p"), "l_partkey").alias("url"), F.lit("generic").alias("kind"), (F.col("l_linenumber") % 2).alias("priority"), F.lit(1).alias("depth"))
+    links = lines.join(orders.select("store", F.col("url").alias("parent")), "parent")
+    parts = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("url"))
+    return orders, links, parts.crossJoin(dims.stores(spark).select("store"))
+
+
 def example_host(url_host: Column) -> Column:
     return url_host.rlike(r"\.example\.(com|net|org)$")
 

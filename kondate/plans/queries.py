@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from kondate import dims, schema
 from kondate.functions import extract, html, text, urls
-from kondate.operators import cart, catalog, filters, frontier, geo, meals, metrics, progress, quality, rank
+from kondate.operators import cart, catalog, collection, filters, frontier, geo, meals, metrics, progress, quality, rank
 from kondate.plans import fixtures as fx
 from kondate.plans import search
 from kondate.sources import io
 from kondate.streaming import stream
+from kondate.streaming.store import ProductStore
 from kondate.tables import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,11 +469,11 @@ def s_log_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_LOGGED)
 def x_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The same log as a stream into snapshots, in as many batches as it has files by fours."""
+    """The same log as a stream into a store, in as many batches as it has files by fours."""
     scratch = Scratch(spark, "upsert")
-    snapshots = stream.Snapshots(spark, scratch.path("snapshots"))
-    stream.stream_upsert(stream.read_log_stream(spark, _log(spark, d), per_trigger=4), snapshots, scratch.path("state")).awaitTermination()
-    return snapshots.read().select("id", "store", "url", "price")
+    products = ProductStore(spark, scratch.path("store"))
+    stream.stream_upsert(stream.read_log_stream(spark, _log(spark, d), per_trigger=4), products, scratch.path("state")).awaitTermination()
+    return products.read().select("id", "store", "url", "price")
 
 
 @query(_with(fx.CATALOG, fx.CARTS, fx.FAVORITES, "b AS (SELECT cart_id AS owner, id, price FROM carts JOIN catalog ON id = product_id WHERE ord % 5 <> 0)", "bad AS (SELECT DISTINCT cart_id AS owner FROM carts WHERE cart_id::BIGINT % 7 = 0)") + """
@@ -572,6 +573,13 @@ def h_extract_rejects(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract_products(fx.faulty_pages(spark, d), fx.RUN_DATE).select("url", "reason")
 
 
+@query(_with(fx.CATALOG) + f"""SELECT url, CASE WHEN ord % 6 IN (1, 4) THEN '{fx.FAULT.replace("'", "''")}' WHEN p IS NULL THEN '{extract.REASONS["protein"]}' ELSE '' END AS reason, CASE WHEN ord % 6 NOT IN (1, 4) THEN p END AS p FROM catalog""")
+def h_broken_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that no parser can read to their end, each with its own fault."""
+    found = extract.extract_products(fx.broken_pages(spark, d), fx.RUN_DATE)
+    return found.select("url", "reason", F.col("product.p").alias("p"))
+
+
 @query(_with(fx.CATALOG) + """SELECT url, store, reason, CASE WHEN reason = '' THEN 'auto_' || substr(sha256(store || '|' || url), 1, 20) END AS id, CASE WHEN reason = '' THEN store END AS stamped
 FROM (SELECT *, CASE WHEN p IS NULL THEN 'たんぱく質量の公開表示を取得できません' WHEN shared AND NOT contains(CASE WHEN ord % 4 = 0 THEN store ELSE '' END, store) THEN '対象チェーンでの取扱いを確認できません' ELSE '' END AS reason
   FROM (SELECT *, (SELECT count(DISTINCT store) FROM catalog) > 1 AS shared FROM catalog))""")
@@ -587,24 +595,70 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Callable,
     return fx.table(spark, d, "pages"), hosts, lambda u: urls.canonical_url(u, fx.example_host, fx.never), lambda u: urls.page_kind(u, fx.example_host, fx.never)
 
 
-@query()
+_ON_HOST = f"{fx._LIST}[length({_HOST}) % 10 + 1]"
+_OWN = f"CASE WHEN starts_with(url, 'https://') AND regexp_matches({_HOST}, '\\.example\\.(com|net|org)$') THEN 'https://' || {_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || CASE WHEN {_SORTED} <> '' THEN '?' || {_SORTED} ELSE '' END ELSE '' END"
+_FOLLOWED = "NOT regexp_matches(href, '\\.(pdf|jpg|png|gif|zip|css|js|svg)$', 'i') AND NOT regexp_matches(href, 'login|cart|checkout|contact|recruit|privacy|recipe|news|ir/', 'i')"
+
+
+def _links_of(level: str) -> str:
+    """Store, place of the page and address of the links of a level's pages, all of which name a path on their own host."""
+    return f"""SELECT store, seq AS place, 'https://' || {_HOST} || href AS url FROM (SELECT store, seq, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM {level} WHERE html IS NOT NULL AND starts_with(url, 'https://')) WHERE {_FOLLOWED}"""
+
+
+_FRONTIER = _with(
+    f"placed AS (SELECT page_id, url, html, {_ON_HOST} AS store, {_OWN} AS own FROM pages)",
+    f"links AS ({_links_of('(SELECT store, page_id AS seq, url, html FROM placed)')})",
+)
+
+
+@query(_FRONTIER + """SELECT store, url, 1 AS depth, row_number() OVER (PARTITION BY store ORDER BY place, url) AS seq
+FROM (SELECT store, url, min(place) AS place FROM links GROUP BY store, url) ANTI JOIN (SELECT store, own AS url FROM placed) USING (store, url)""")
 def g_next_frontier(spark: SparkSession, d: str) -> DataFrame:
     """G1 to G4 over the links of all pages; the labels need no word for food, as the hosts count as original."""
     pages, hosts, canonical, kind = _graph(spark, d)
     every = lambda h: h.isNotNull()
     parsed = pages.select("url", F.col("page_id").alias("seq"), F.lit(0).alias("depth"), html.parse_html("html").alias("page"), urls.host(F.col("url")).alias("host")).join(hosts, "host")
     links = frontier.extract_links(parsed, hosts, canonical, kind, every)
-    return frontier.next_frontier(links, parsed.select("store", canonical(F.col("url")).alias("url")))
+    level = parsed.select("store", "url", "seq")
+    return frontier.next_frontier(links, level, parsed.select("store", canonical(F.col("url")).alias("url")))
 
 
-@query()
+def _levels() -> str:
+    parts = [
+        f"stored AS (SELECT own AS url, min(html) AS html FROM (SELECT {_OWN} AS own, html FROM pages) WHERE own <> '' GROUP BY own)",
+        f"level0 AS (SELECT store, url, 0 AS depth, seq, html FROM (SELECT {_ON_HOST} AS store, {_OWN} AS url, min(page_id) AS seq FROM pages GROUP BY 1, 2) LEFT JOIN stored USING (url) WHERE url <> '')",
+    ]
+    for depth in range(frontier.MOST_DEPTH):
+        known = " UNION ALL ".join(f"SELECT store, url FROM level{i}" for i in range(depth + 1))
+        new = f"SELECT store, url, min(place) AS place FROM ({_links_of(f'level{depth}')}) GROUP BY store, url"
+        parts.append(f"level{depth + 1} AS (SELECT store, url, {depth + 1} AS depth, row_number() OVER (PARTITION BY store ORDER BY place, url) AS seq, html FROM ({new}) ANTI JOIN ({known}) USING (store, url) LEFT JOIN stored USING (url))")
+    return _with(*parts) + " UNION ALL ".join(f"SELECT store, url, depth, seq, html IS NOT NULL AS found FROM level{i}" for i in range(frontier.MOST_DEPTH + 1))
+
+
+@query(_levels())
 def g_crawl_levels(spark: SparkSession, d: str) -> DataFrame:
     """From all pages as seeds to what they link to."""
     pages, hosts, canonical, kind = _graph(spark, d)
-    seeds = pages.select(urls.host(F.col("url")).alias("host"), canonical(F.col("url")).alias("url"), F.col("page_id").alias("seq")).join(hosts, "host").select("store", "url", F.lit(0).alias("depth"), "seq")
+    seeds = pages.select(urls.host(F.col("url")).alias("host"), canonical(F.col("url")).alias("url"), F.col("page_id").alias("seq")).join(hosts, "host")
+    seeds = seeds.groupBy("store", "url").agg(F.min("seq").alias("seq")).select("store", "url", F.lit(0).alias("depth"), "seq")
     return frontier.crawl_levels(pages, seeds, hosts, frontier.MOST_DEPTH, canonical, kind, lambda h: h.isNotNull())
 
 
+MOST_IN_QUEUE = 1700
+
+
+@query(f"""WITH level AS (SELECT {fx._LIST}[least(9, o_custkey % 40) + 1] AS store, o_orderkey FROM orders),
+turns AS (SELECT store, o_orderkey, row_number() OVER (PARTITION BY store ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY store) AS m FROM level),
+offers AS (SELECT l_orderkey AS o_orderkey, list(url ORDER BY priority, url) AS urls FROM (SELECT l_orderkey, 'p' || l_partkey AS url, min(l_linenumber % 2) AS priority FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY ALL) GROUP BY ALL),
+queue AS (SELECT store, list({{'room': greatest(0, {MOST_IN_QUEUE} - m + i), 'urls': coalesce(urls, [])}} ORDER BY i) AS pages FROM turns LEFT JOIN offers USING (o_orderkey) GROUP BY store),
+ended AS (SELECT store, list_reduce(pages, lambda a, x: {{'room': x.room, 'urls': a.urls || list_filter(x.urls, lambda u: NOT list_contains(a.urls, u))[1:greatest(0, x.room - len(a.urls))]}}, {{'room': 0::BIGINT, 'urls': []::VARCHAR[]}}).urls AS urls FROM queue)
+SELECT store, unnest(urls) AS url, generate_subscripts(urls, 1) AS seq FROM ended""")
+def g_pending_cap(spark: SparkSession, d: str) -> DataFrame:
+    """What comes into queues with room for 1,700, one of which is full from the beginning; SQL takes the links one by one."""
+    level, links, seen = fx.link_offers(spark, d)
+    return frontier.next_frontier(links, level, seen, MOST_IN_QUEUE).select("store", "url", "seq")
+
+
 @query("WITH RECURSIVE " + fx.CATALOG + f""",
 walk AS (
   SELECT ord, 0 AS depth, checked FROM catalog WHERE ord % 16 = 1
@@ -618,10 +672,37 @@ def g_collect_pages(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.catalog(spark, d).withColumn("store", F.lit(store))
     seeds = rows.where("ord % 16 = 1").select("store", "url", F.lit(0).alias("depth"), F.col("ord").alias("seq"))
     hosts = spark.createDataFrame([(store, "www.daily-yamazaki.jp")], "store string, host string")
-    found = frontier.collect_pages(fx.linked_pages(spark, d), seeds, hosts, rows.select("store", "url", "checked"), fx.RUN_DATE, limits=(10**9, 10**9, 10**9), most_pending=10**9)
+    found = collection.collect_pages(fx.linked_pages(spark, d), seeds, hosts, rows.select("store", "url", "checked"), fx.RUN_DATE, limits=(10**9, 10**9, 10**9), most_pending=10**9)
     return found.select("url", "depth", "outcome")
 
 
+_FIRST, _LATER = "デイリーヤマザキ", "ローソン"
+_BROKEN_LINKED = "k % 11 = 5"
+
+
+@query("WITH RECURSIVE " + fx.CATALOG + f""",
+walk AS (
+  SELECT CASE WHEN ord % 16 = 1 THEN '{_FIRST}' ELSE '{_LATER}' END AS store, ord AS k, 0 AS depth, checked = '{fx.RUN_DATE}' AND ord % 16 = 1 AS today FROM catalog WHERE ord % 16 IN (1, 3)
+  UNION SELECT store, n, depth + 1, n % 5 = 0 AND store = '{_FIRST}' FROM (SELECT store, unnest([2 * k, 2 * k + 1]) AS n, depth FROM walk WHERE depth < 4 AND NOT today AND NOT ({_BROKEN_LINKED}) AND k <= (SELECT max(ord) FROM catalog))),
+reached AS (SELECT store, k, min(depth) AS depth FROM walk WHERE NOT today OR k > (SELECT max(ord) FROM catalog) GROUP BY store, k)
+SELECT r.store, '{fx.URLS}' || k || '/' AS url, r.depth::INT AS depth, CASE WHEN c.id IS NULL OR {_BROKEN_LINKED} THEN 'error' WHEN c.p IS NULL OR r.store = '{_LATER}' THEN 'skipped' ELSE 'added' END AS outcome,
+  CASE WHEN c.id IS NULL THEN '' WHEN {_BROKEN_LINKED} THEN '{fx.FAULT.replace("'", "''")}' WHEN c.p IS NULL THEN '{extract.REASONS["protein"]}' WHEN r.store = '{_LATER}' THEN '{extract.REASONS["chain"]}' ELSE '' END AS reason
+FROM reached r LEFT JOIN catalog c ON c.ord = k""")
+def g_resume_collection(spark: SparkSession, d: str) -> DataFrame:
+    """A collection that stops after each level and goes on from its folder, another chain coming in after two; some pages are broken."""
+    rows = fx.catalog(spark, d)
+    products = rows.select(F.lit(_FIRST).alias("store"), "url", "checked")
+    seeds = rows.where("ord % 16 in (1, 3)").select(F.when(F.col("ord") % 16 == 1, _FIRST).otherwise(_LATER).alias("store"), "url", F.lit(0).alias("depth"), F.col("ord").alias("seq"))
+    hosts = spark.createDataFrame([(s, "www.daily-yamazaki.jp") for s in (_FIRST, _LATER)], "store string, host string")
+    pages, folder = fx.linked_pages(spark, d, F.col("ord") % 11 == 5), Scratch(spark, "resumed").path("epochs")
+    state, levels = "paused", 0
+    while state == "paused":
+        run = collection.Collection(folder, pages, hosts, products, fx.RUN_DATE, limits=(10**9, 10**9, 10**9), most_pending=10**9)
+        run.start(seeds if levels >= 2 else seeds.where(F.col("store") == _FIRST))
+        state, levels = run.run(1), levels + 1
+    return run.visits().select("store", "url", "depth", "outcome", "reason")
+
+
 @query(_with(fx.OUTCOMES) + """SELECT url, store, seq FROM (
   SELECT *, coalesce(sum(CASE WHEN kind <> 'list' AND outcome = 'added' THEN 1 ELSE 0 END) OVER w, 0) AS a, coalesce(sum(CASE WHEN kind <> 'list' THEN 1 ELSE 0 END) OVER w, 0) AS n, coalesce(sum(CASE WHEN kind = 'list' THEN 1 ELSE 0 END) OVER w, 0) AS l
   FROM outcomes WINDOW w AS (PARTITION BY store ORDER BY seq, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -729,12 +810,49 @@ def x_heartbeat_sessions(spark: SparkSession, d: str) -> DataFrame:
     return stream.heartbeat_sessions(fx.table(spark, d, "events").select(F.col("event_type").alias("job"), "ts"))
 
 
+_JOBS = "'j' || (user_id % 97)"
+_KINDS = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'stop' ELSE 'beat' END"
+_SECONDS = 3 * 3600
+
+
+@query(f"""WITH e AS (SELECT {_JOBS} AS job, epoch_us(ts) AS t, {_KINDS} AS kind FROM events),
+pad AS (SELECT job, t, kind FROM e UNION ALL SELECT DISTINCT job, (SELECT max(t) FROM e), 'zend' FROM e),
+l AS (SELECT job, list({{'t': t, 'kind': kind, 'alive': false, 'out': []::STRUCT(moment BIGINT, what VARCHAR)[]}} ORDER BY t, kind) AS xs FROM pad GROUP BY job),
+r AS (SELECT job, list_reduce(xs, lambda a, x: {{
+  't': CASE WHEN x.kind = 'zend' OR x.kind = 'start' AND a.alive AND x.t - a.t < {_SECONDS}000000 THEN a.t ELSE x.t END, 'kind': '',
+  'alive': CASE WHEN x.kind = 'stop' THEN false ELSE true END,
+  'out': a.out || CASE WHEN a.alive AND x.t - a.t > {_SECONDS}000000 THEN [{{'moment': a.t + {_SECONDS}000000, 'what': 'interrupted'}}] ELSE [] END
+    || CASE WHEN x.kind = 'zend' THEN [] WHEN x.kind = 'start' AND a.alive AND x.t - a.t < {_SECONDS}000000 THEN [{{'moment': x.t, 'what': 'refused'}}]
+       WHEN x.kind = 'stop' THEN CASE WHEN a.alive AND x.t - a.t <= {_SECONDS}000000 THEN [{{'moment': x.t, 'what': 'ended'}}] ELSE [] END
+       WHEN x.kind = 'start' THEN [{{'moment': x.t, 'what': 'started'}}] WHEN NOT a.alive OR x.t - a.t > {_SECONDS}000000 THEN [{{'moment': x.t, 'what': 'resumed'}}] ELSE [] END}},
+  {{'t': 0::BIGINT, 'kind': '', 'alive': false, 'out': []::STRUCT(moment BIGINT, what VARCHAR)[]}}) AS s FROM l)
+SELECT job, make_timestamp(x.moment) AS "at", x.what AS what FROM (SELECT job, unnest(s.out) AS x FROM r)""")
+def x_job_events(spark: SparkSession, d: str) -> DataFrame:
+    """X3 as a stream: starts, refused starts and interruptions of jobs, from events that come in several batches; timers see what nothing ends."""
+    scratch = Scratch(spark, "jobs")
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "stop").otherwise("beat")
+    rows = fx.table(spark, d, "events").select(F.concat(F.lit("j"), F.col("user_id") % 97).alias("job"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+    for part in _by_time(rows, 4):
+        part.coalesce(1).write.mode("append").parquet(scratch.path("arriving"))
+        found = stream.stream_job_events(spark.readStream.schema(rows.schema).parquet(scratch.path("arriving")), scratch.path("events"), scratch.path("state"), _SECONDS)
+        found.awaitTermination()
+    return spark.read.schema(stream.JOB_EVENT).parquet(scratch.path("events"))
+
+
+def _by_time(rows: DataFrame, parts: int) -> list[DataFrame]:
+    """The rows in so many parts, one after the other in time."""
+    ends = rows.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
+    low, high = ends["low"] or 0, (ends["high"] or 0) + 1
+    cut = [low + (high - low) * i // parts for i in range(parts + 1)]
+    return [rows.where((F.unix_micros("ts") >= cut[i]) & (F.unix_micros("ts") < cut[i + 1])) for i in range(parts)]
+
+
 @query(_with(fx.CATALOG) + "SELECT url, p, f FROM catalog WHERE p IS NOT NULL")
 def x_stream_extract(spark: SparkSession, d: str) -> DataFrame:
     """Extraction of arriving pages."""
     scratch = Scratch(spark, "extract")
     pages = _folder_of(spark, fx.product_pages(spark, d).select("url", "html"))
-    snapshots = stream.Snapshots(spark, scratch.path("snapshots"))
+    products = ProductStore(spark, scratch.path("store"))
     arriving = spark.readStream.schema(schema.PAGE).parquet(pages)
-    stream.stream_extract(arriving, fx.RUN_DATE, scratch.path("rejects"), snapshots, scratch.path("state")).awaitTermination()
-    return snapshots.read().select("url", "p", "f")
+    stream.stream_extract(arriving, fx.RUN_DATE, scratch.path("rejects"), products, scratch.path("state")).awaitTermination()
+    return products.read().select("url", "p", "f")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kondate import dims
@@ -10,7 +10,9 @@ from kondate.functions.text import norm_text
 from kondate.operators.cart import favorites_only
 from kondate.operators.filters import filter_items, with_search_text
 from kondate.operators.metrics import eligible, is_balanced, pfc_distance, pfc_ratios, protein_per_100yen
-from kondate.operators.rank import paginate, sort_catalog, top_k
+from kondate.operators.rank import SORTS, paginate, sort_catalog, top_k
+from kondate.operators.text_index import Runs, TextIndex, first_matches
+from kondate.tables import Scratch
 
 TARGET = (20.0, 25.0, 55.0)
 
@@ -28,31 +30,79 @@ def search(catalog: DataFrame, stores: list[str], query: str = "", category: str
 REQUEST = "request_id string, stores array<string>, query string, category string, minp double, maxf double, maxk double, budget double, sort string, tp double, tf double, page int"
 
 
-def search_requests(catalog: DataFrame, requests: DataFrame, size: int = 20, parts: int = 16) -> DataFrame:
-    """request_id, place and the catalog's columns: the page that each of many requests asks for (columns of REQUEST).
+#: Rows that an index may give a search, as a multiple of what it wants, before it reads sorted runs instead.
+INDEXED = 32
 
-    A bound of 0 is off and a null category or query asks for nothing. Chains are few, so the catalog is dealt to
-    `parts` of each chain and every request meets them all, by an equi-join whose filters keep what fits; then the
-    rows of each request are ranked in its own order, and only up to the page it asks for. Requests whose target leaves
-    no room for carbohydrate get nothing.
-    """
-    rows = with_search_text(catalog).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    asked = requests.where("tp + tf < 100").withColumn("_words", F.filter(F.split(norm_text(F.coalesce("query", F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
-    asked = asked.select("*", F.explode(F.array_distinct("stores")).alias("_store"), F.sequence(F.lit(0), F.lit(parts - 1)).alias("_all")).withColumn("_part", F.explode("_all"))
-    asked = asked.select("request_id", "_store", "_part", "_words", F.col("category").alias("_category"), "minp", "maxf", "maxk", F.col("budget").alias("_budget"), "sort", "tp", "tf", "page")
-    joined = rows.join(asked, (F.col("store") == F.col("_store")) & (rows["_part"] == asked["_part"])).drop("_part")
+
+def _asked(requests: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The requests with clean columns, and the names of those by which equal searches are one."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(norm_text(F.coalesce("query", F.lit(""))), r"(?U)\s+"), lambda w: w != "")))
+    asked = requests.where("tp + tf < 100").select(
+        "request_id", "page", F.array_sort(F.array_distinct("stores")).alias("_stores"), words.alias("_words"), F.coalesce("category", F.lit(dims.ANY)).alias("_category"),
+        "minp", "maxf", "maxk", F.col("budget").alias("_budget"), "sort", F.when(F.col("sort") == "balance", F.col("tp")).otherwise(0.0).alias("tp"), F.when(F.col("sort") == "balance", F.col("tf")).otherwise(0.0).alias("tf"),
+    )
+    return asked, [c for c in asked.columns if c not in ("request_id", "page")]
+
+
+def _fits() -> Column:
+    """Whether a product (store, p, f, kcal, price, category, search_text) fits a search."""
     within = lambda c, limit, least=False: F.coalesce((F.col(limit) == 0) | ((F.col(c) >= F.col(limit) if least else F.col(c) <= F.col(limit)) & ~F.isnan(c)), F.lit(False))
     fits = within("p", "minp", True) & within("f", "maxf") & within("kcal", "maxk") & within("price", "_budget")
-    fits = fits & (F.coalesce("_category", F.lit(dims.ANY)).isin(dims.ANY) | (F.col("category") == F.col("_category"))) & F.forall("_words", lambda w: F.contains(F.col("search_text"), w))
+    return fits & (F.col("_category").isin(dims.ANY) | (F.col("category") == F.col("_category"))) & F.forall("_words", lambda w: F.contains(F.col("search_text"), w))
+
+
+def _runs(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """store, run, key and what searches test, of the rows that each order (run, sort, tp, tf) shows."""
+    each = rows.crossJoin(F.broadcast(orders))  # the orders that are asked for: five, and one more for each target
     value, sort = protein_per_100yen(), F.col("sort")
     far = pfc_distance((F.col("tp"), F.col("tf"), 100 - F.col("tp") - F.col("tf")))
     shown = F.when(sort == "value", value.isNotNull()).when(sort == "balance", pfc_ratios()[0].isNotNull()).otherwise(True)
     number = F.when(sort == "category", F.array_position(F.array(*map(F.lit, dims.CATEGORIES)), F.col("category")).cast("double")).when(sort == "value", -value).when(sort == "balance", far)
     number = number.when(sort == "price", F.coalesce("price", F.lit(float("inf")))).otherwise(-F.coalesce("p", F.lit(-1.0)))
-    keyed = joined.where(fits & shown).withColumns({"_number": number, "_name": F.when(sort == "category", F.col("name")).otherwise("")})
-    place = F.row_number().over(Window.partitionBy("request_id").orderBy("_number", "_name", "ord"))
-    ranked = keyed.withColumn("place", place).where((F.col("place") <= F.col("page") * size) & (F.col("place") > (F.col("page") - 1) * size))
-    return ranked.select("request_id", "place", *catalog.columns)
+    key = F.struct(number.alias("number"), F.when(sort == "category", F.col("name")).otherwise("").alias("name"), F.col("ord").alias("ord"))
+    return each.where(shown).select("store", "run", key.alias("key"), "ord", "p", "f", "kcal", "price", "category", "search_text")
+
+
+MOST_TARGETS = 1000
+
+
+def search_requests(catalog: DataFrame, requests: DataFrame, size: int = 20) -> DataFrame:
+    """request_id, place and the catalog's columns: the page that each of many requests asks for (columns of REQUEST).
+
+    A bound of 0 is off and a null category or query asks for nothing. Equal searches are answered once, whatever pages
+    are asked for. A search with a rare word takes its candidates from an inverted index (``TextIndex``); any other reads
+    its chains in its order, block by block, until no block can hold one of its rows (``first_matches``). So neither
+    meets the whole catalog. There is a sorted run for each order, and one for each target of a balance: up to 1,000 of
+    those, else ValueError. Requests whose target leaves no room for carbohydrate get nothing.
+    """
+    scratch = Scratch(catalog.sparkSession, "search")
+    asked, same = _asked(requests)
+    asked = scratch.table(asked.withColumn("search", F.sha2(F.to_json(F.struct(*same)), 256)), "asked")
+    run = F.concat_ws(":", "sort", F.when(F.col("sort") == "balance", F.concat_ws(":", "tp", "tf")))
+    searches = scratch.table(asked.groupBy("search").agg((F.max("page") * size).alias("wanted"), *[F.first(c).alias(c) for c in same]).withColumn("run", run), "searches")
+    wanted = searches.agg(F.max("wanted")).first()[0] or 0
+    rows = scratch.table(with_search_text(catalog).select("store", "ord", "name", "p", "f", "c", "kcal", "price", "unit", "category", "search_text"), "rows")
+    index = TextIndex(rows.select("ord", "search_text"), scratch)
+    words = scratch.table(searches.select("search", "wanted", F.explode("_words").alias("word")), "words")
+    bounds = scratch.table(index.bounds(words.select("word").distinct()), "bounds")
+    rarest = words.join(bounds, "word").groupBy("search", "wanted").agg(F.min(F.struct("most", "word")).alias("x"))
+    rare = scratch.table(rarest.where(F.col("x.most") <= F.col("wanted") * INDEXED).select("search", "x.word"), "rare")
+
+    orders = searches.select("run", "sort", "tp", "tf").distinct()
+    if orders.limit(MOST_TARGETS + len(SORTS)).count() >= MOST_TARGETS + len(SORTS):
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    keyed = _runs(rows, orders)
+    candidates = index.candidates(rare.select("word").distinct()).join(rare, "word").join(searches, "search")
+    kept = keyed.join(candidates.withColumnsRenamed({"ord": "_ord", "run": "_run"}), (F.col("ord") == F.col("_ord")) & (F.col("run") == F.col("_run")) & F.array_contains("_stores", F.col("store")))
+    by_index = kept.where(_fits()).select("search", "wanted", "key", "ord")
+
+    others = searches.join(rare.select("search"), "search", "left_anti")
+    runs = Runs(keyed.join(others.select("run").distinct(), "run", "left_semi"), scratch)
+    by_runs, _ = first_matches(runs, others, _fits(), wanted, scratch)
+    place = F.row_number().over(Window.partitionBy("search").orderBy("key"))
+    placed = scratch.table(by_index.unionByName(by_runs).withColumn("place", place).where((F.col("place") <= wanted) & (F.col("place") <= F.col("wanted"))).select("search", "place", "ord"), "placed")
+    pages = asked.select("request_id", "search", "page").join(placed, "search").where((F.col("place") <= F.col("page") * size) & (F.col("place") > (F.col("page") - 1) * size))
+    return pages.select("request_id", "place", "ord").join(catalog, "ord").select("request_id", "place", *catalog.columns)
 
 
 def recommend(catalog: DataFrame, target: tuple[float, float, float] = TARGET, tolerance: float = 10, k: int = 20, category: str = dims.ANY) -> DataFrame:

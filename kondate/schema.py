@@ -12,7 +12,7 @@ PAGE = "url string, html string"
 _LINK = T.StructType([T.StructField("href", T.StringType()), T.StructField("label", T.StringType())])
 _HEADING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("offset", T.IntegerType())])
 #: Not as text, since workers that import a UDF of this type have no session to read it with.
-PARSED = T.StructType([T.StructField("title", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("links", T.ArrayType(_LINK)), T.StructField("headings", T.ArrayType(_HEADING))])
+PARSED = T.StructType([T.StructField("title", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("links", T.ArrayType(_LINK)), T.StructField("headings", T.ArrayType(_HEADING)), T.StructField("fault", T.StringType())])
 POI = "type string, id string, lat double, lon double, center struct<lat:double,lon:double>, tags map<string,string>"
 CART = "cart_id string, product_id string, qty double"
 FAVORITE = "user_id string, product_id string"

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kondate import dims, schema
+from kondate import dims
 from kondate.functions.extract import extract_products
-from kondate.operators.catalog import upsert_latest
 from kondate.operators.progress import STALE_SECONDS, _counters
 from kondate.operators.quality import typed_product
-from kondate.operators.rank import last_wins
+from kondate.streaming.store import ProductStore
 
 
 def read_log_stream(spark: SparkSession, path: str, stores: list[str] = dims.STORES, per_trigger: int | None = None) -> DataFrame:
@@ -22,58 +25,9 @@ def read_log_stream(spark: SparkSession, path: str, stores: list[str] = dims.STO
     return typed.where(F.col("x.product.store").isin(stores) & F.col("x.product.url").isNotNull() & F.col("x.product.name").isNotNull()).select("x.product.*", "seq")
 
 
-class Snapshots:
-    """A table of products in buckets by a hash of their key, of which a batch rewrites those that it touches.
-
-    A batch is a folder of bucket folders, and the newest finished batch that has a bucket counts for it. A batch that
-    is run again writes the same folder from the same predecessors, so a replay changes nothing. Versions that are
-    older than a bucket's last two are removed when a batch is finished.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
-        self.spark, self.folder, self.buckets = spark, folder, buckets
-        self.kind = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema.PRODUCT)}, seq long"
-
-    def _path(self, *parts: object):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join(map(str, (self.folder, *parts))))
-
-    def _files(self):
-        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _names(self, *parts: object) -> list[str]:
-        fs, path = self._files(), self._path(*parts)
-        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
-
-    def _finished(self) -> list[int]:
-        return sorted(int(x) for x in self._names() if x.isdigit() and self._files().exists(self._path(x, "_SUCCESS")))
-
-    def _versions(self, before: int | None = None) -> dict[int, list[int]]:
-        """The finished batches of each bucket, oldest first."""
-        found: dict[int, list[int]] = {}
-        for batch in self._finished():
-            if before is None or batch < before:
-                for name in self._names(batch):
-                    if name.startswith("bucket="):
-                        found.setdefault(int(name.removeprefix("bucket=")), []).append(batch)
-        return found
-
-    def read(self, before: int | None = None, only: set[int] | None = None) -> DataFrame:
-        paths = [f"{self.folder}/{v[-1]}/bucket={b}" for b, v in sorted(self._versions(before).items()) if only is None or b in only]
-        return self.spark.read.schema(self.kind).parquet(*paths) if paths else self.spark.createDataFrame([], self.kind)
-
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        newest = last_wins(batch, ["store", "url"], ["seq"]).select([*schema.PRODUCT.names, "seq"])
-        bucket = F.pmod(F.xxhash64("store", "url"), F.lit(self.buckets)).cast("int")
-        touched = {r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()}
-        merged = upsert_latest(self.read(batch_id, touched), newest, by_seq=True).withColumn("bucket", bucket)
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{batch_id}")
-        for b, versions in self._versions().items():
-            for old in versions[:-2]:
-                self._files().delete(self._path(old, f"bucket={b}"), True)
-
-
-def stream_upsert(rows: DataFrame, snapshots: Snapshots, checkpoint: str) -> StreamingQuery:
-    return rows.writeStream.foreachBatch(snapshots.upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_upsert(rows: DataFrame, store: ProductStore, checkpoint: str) -> StreamingQuery:
+    """Every batch of rows goes into the store once."""
+    return rows.writeStream.foreachBatch(store.upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_progress(outcomes: DataFrame, name: str, checkpoint: str, seconds: int = 3, available_now: bool = False) -> StreamingQuery:
@@ -89,13 +43,70 @@ def heartbeat_sessions(beats: DataFrame, seconds: int = STALE_SECONDS, late: str
     return spells.select("job", F.col("spell.start").alias("start"), (F.col("spell.end") - F.expr(f"interval {seconds} seconds")).alias("last"), "beats")
 
 
-def stream_extract(pages: DataFrame, run_date: str, rejects: str, snapshots: Snapshots, checkpoint: str) -> StreamingQuery:
-    """Products of arriving pages (url, html) into the snapshots, rejected pages to a folder."""
+JOB_EVENT = "job string, at timestamp, what string"
+
+
+def job_events(arriving: DataFrame, seconds: int = STALE_SECONDS) -> DataFrame:
+    """job, at, what (JOB_EVENT) from a stream of job, ts, kind (beat, start or stop): what becomes of each job.
+
+    started: a start while nothing runs, or `seconds` and more after the last sign of life; refused: a start before that.
+    resumed: a beat of a job that isn't running. interrupted: more than `seconds` went by without a sign, at the moment
+    when they were over; ended: a stop. Between two rows that come in, a silence is seen from their times, wherever
+    batches are cut; one that nothing ends is seen by a timer, once the watermark has passed its end. The state is one
+    row per job; a job's rows of a batch are sorted in its task, so a trigger bounds them. Rows older than the last sign
+    count as of that time.
+    """
+    silence = seconds * 1_000_000
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, running = state.get if state.exists else (None, False)
+        out: list[tuple[int, str]] = []
+        if state.hasTimedOut:
+            out.append((last + silence, "interrupted"))
+            running = False
+        else:
+            rows = pd.concat(list(parts))
+            micros = rows["ts"].astype("datetime64[us]").astype("int64")
+            for at, kind in sorted(zip(micros, rows["kind"], strict=True)):
+                at = at if last is None else max(at, last)
+                if running and at - last > silence:
+                    out.append((last + silence, "interrupted"))
+                    running = False
+                if kind == "start" and running and at - last < silence:
+                    out.append((at, "refused"))
+                    continue
+                if kind == "stop":
+                    if running:
+                        out.append((at, "ended"))
+                    last, running = at, False
+                    continue
+                if kind == "start" or not running:
+                    out.append((at, "started" if kind == "start" else "resumed"))
+                last, running = at, True
+        if last is not None:
+            state.update((last, running))
+        if running:
+            state.setTimeoutTimestamp(max(-(-(last + silence) // 1000), state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame({"job": [key[0]] * len(out), "at": pd.Series([a for a, _ in out], dtype="int64").astype("datetime64[us]"), "what": [w for _, w in out]})
+
+    events = arriving.withWatermark("ts", "0 seconds").groupBy("job")
+    return events.applyInPandasWithState(follow, JOB_EVENT, "last long, running boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_job_events(arriving: DataFrame, folder: str, checkpoint: str, seconds: int = STALE_SECONDS) -> StreamingQuery:
+    """``job_events`` as rows in a folder of Parquet files."""
+    found = job_events(arriving, seconds)
+    return found.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_extract(pages: DataFrame, run_date: str, rejects: str, store: ProductStore, checkpoint: str) -> StreamingQuery:
+    """Products of arriving pages (url, html) into the store, rejected pages to a folder."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         found = extract_products(batch, run_date).drop("page").persist()
         found.where("reason <> ''").select("url", "reason").write.mode("overwrite").parquet(f"{rejects}/{batch_id}")
-        snapshots.upsert(found.where("reason = ''").select("product.*", F.lit(batch_id).cast("long").alias("seq")), batch_id)
+        store.upsert(found.where("reason = ''").select("product.*", F.lit(batch_id).cast("long").alias("seq")), batch_id)
         found.unpersist()
 
     return pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kondate import dims
 from kondate.functions.html import parse_html
 from kondate.functions.urls import canonical_url, host, page_kind
-from kondate.operators import frontier
+from kondate.operators import collection, frontier
 from kondate.plans import fixtures as fx
 from kondate.plans.queries import FOUND
 from kondate.sources import io
@@ -128,7 +128,7 @@ def test_collection_with_gates(spark):
     def visits(limits, shared=()):
         hosts = spark.createDataFrame([("x店", "a.example.com"), *((s, "a.example.com") for s in shared)], "store string, host string")
         known, never = fx.example_host, fx.never
-        found = frontier.collect_pages(rows, seeds, hosts, products, "2024-01-31", 4, limits, 2500, lambda u: canonical_url(u, known, never), lambda u: page_kind(u, known, never), never)
+        found = collection.collect_pages(rows, seeds, hosts, products, "2024-01-31", 4, limits, 2500, lambda u: canonical_url(u, known, never), lambda u: page_kind(u, known, never), never)
         return {r["url"].removeprefix(at): (r["depth"], r["outcome"], r["reason"], r["product"] and (r["product"]["store"], r["product"]["p"])) for r in found.collect()}
 
     none = "たんぱく質量の公開表示を取得できません"
