@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kondate import dims
 from kondate.functions.html import page_text, parse_html
@@ -16,7 +22,7 @@ TITLE_END = r"[|｜]| -イオン| - イオン"
 NO_NAMES = ["商品情報", "商品一覧"]
 BODY_END = "その他の商品|関連商品|商品のご案内へ戻る|の評判・口コミ|チルド惣菜一覧"
 SECTION = "栄養成分"
-SECTION_WINDOW = rf"(?s){SECTION}(?=(.{{0,700}}))"
+SECTION_LENGTH = 700
 SECTION_END = "賞味期限|アレルギー情報|原材料名|保存方法|お問い合わせ"
 PROTEIN = "(?:たんぱく質|たん白質|タンパク質)"
 PROTEIN_NUMBER = rf"(?U){PROTEIN}\s*[:：]?\s*[\d.]"
@@ -36,6 +42,7 @@ STATE = "現在この商品の情報を表示できません|販売を終了し
 REASONS = {"heading": "商品見出しを特定できません", "name": "商品名を特定できません", "tables": "複数の栄養表示があり単位を特定できません", "protein": "たんぱく質量の公開表示を取得できません", "range": "栄養値が範囲外です", "chain": "対象チェーンでの取扱いを確認できません"}
 PREVIEW = [("p", "たんぱく質"), ("f", "脂質"), ("c", "炭水化物"), ("kcal", "(?:熱量|エネルギー)")]
 # End of the fixed values.
+_PROTEIN_NUMBER = re.compile(PROTEIN_NUMBER.removeprefix("(?U)"))
 
 
 def _before(text: Column, pattern: str) -> Column:
@@ -60,14 +67,34 @@ def pick_product_heading(parsed: DataFrame, original=original_host) -> DataFrame
     return folded.withColumn("heading", heading).drop("_texts")
 
 
-def nutrition_section(body: Column) -> Column:
-    """The first table of nutrients that has a number for protein; ''.
+def section_of(body: str) -> str:
+    """The first table of nutrients that has a number for protein; ''. Every occurrence of its word is placed by search among the numbers and ends of the text, found once."""
+    numbers = [m.span() for m in _PROTEIN_NUMBER.finditer(body)]
+    if not numbers:
+        return ""
+    begins, ends = [b for b, _ in numbers], [m.span() for m in re.finditer(SECTION_END, body)]
+    for m in re.finditer(SECTION, body):
+        begin, number = m.end(), bisect_left(begins, m.end())
+        last = min(begin + SECTION_LENGTH, len(body))
+        if number == len(numbers) or numbers[number][1] > last:
+            continue
+        end = bisect_left(ends, (begin, 0))
+        if end < len(ends) and ends[end][1] <= last:
+            last = ends[end][0]
+        if numbers[number][1] <= last:
+            return body[begin:last]
+    return ""
 
-    One pass finds every occurrence of the word with the text behind it, which a lookahead bounds without using it up,
-    so a page that repeats the word costs as much as it is long.
-    """
-    windows = F.transform(F.regexp_extract_all(body, F.lit(SECTION_WINDOW), F.lit(1)), lambda t: _before(t, SECTION_END))
-    return F.when(F.contains(body, F.lit(SECTION)), F.coalesce(F.try_element_at(F.filter(windows, lambda t: t.rlike(PROTEIN_NUMBER)), F.lit(1)), F.lit(""))).otherwise("")
+
+@F.pandas_udf(T.StringType())
+def _sections(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in bodies:
+        yield part.map(section_of, na_action="ignore")
+
+
+def nutrition_section(body: Column) -> Column:
+    """The first table of nutrients that has a number for protein; ''. A page costs as much as it is long, however often it repeats the word."""
+    return F.coalesce(_sections(F.when(F.contains(body, F.lit(SECTION)), body)), F.lit(""))
 
 
 def extract_price(body: Column) -> Column:

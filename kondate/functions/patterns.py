@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Words of an automaton, which each worker holds as a whole.
+MOST_WORDS = 1_000_000
 _BUILT: dict[int, tuple[list[str], Any]] = {}
 
 
@@ -35,8 +37,11 @@ def _automaton(words: list[str]) -> Any:
 def words_in(text: Column, words: list[str]) -> Column:
     """The places (from 0, ascending) in the list of the words that a text contains; null for a null text.
 
-    An empty word is in every text. Time grows with the text and its hits, not with the number of words.
+    An empty word is in every text. Time grows with the text and its hits, not with the number of words, of which there
+    may be a million.
     """
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words")
     everywhere = [i for i, word in enumerate(words) if not word]
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))

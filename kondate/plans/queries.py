@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kondate import dims, schema
-from kondate.functions import extract, html, text, urls
+from kondate.functions import extract, html, patterns, text, urls
 from kondate.operators import cart, catalog, collection, filters, frontier, geo, meals, metrics, progress, quality, rank
 from kondate.plans import fixtures as fx
 from kondate.plans import search
@@ -101,6 +101,16 @@ def t_chain_from_tags(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), text.chain_from_tags(F.create_map(F.lit("name"), F.col("c_name"), F.lit("brand"), brand)).alias("store"))
 
 
+@query("""WITH w AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS i FROM (SELECT DISTINCT unnest(string_split_regex(text, '[^a-z]+')) AS word FROM benchmark) WHERE length(word) >= 9)
+SELECT doc_id, count(i) AS words, coalesce(min(i), -1)::INT AS first, coalesce(sum(i), 0)::BIGINT AS total FROM documents LEFT JOIN w ON contains(text, word) GROUP BY doc_id""")
+def t_many_words(spark: SparkSession, d: str) -> DataFrame:
+    """T9, G2 and F2 with many words: which of all long words of the benchmark each document has."""
+    split = fx.table(spark, d, "benchmark").select(F.explode(F.split("text", "[^a-z]+")).alias("word")).where("length(word) >= 9").distinct()
+    words = [r["word"] for r in split.orderBy("word").limit(patterns.MOST_WORDS + 1).collect()]
+    found = fx.table(spark, d, "documents").select("doc_id", patterns.words_in(F.col("text"), words).alias("at"))
+    return found.select("doc_id", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("words"), F.coalesce(F.array_min("at"), F.lit(-1)).alias("first"), F.aggregate(F.coalesce("at", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 THEN value END AS number, event_id % 7 <> 0 AND event_id % 5 = 0 AS wrong FROM events")
 def t_number_fields(spark: SparkSession, d: str) -> DataFrame:
     """T11 on numbers as text, some blank and some no number."""
@@ -476,6 +486,21 @@ def x_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return products.read().select("id", "store", "url", "price")
 
 
+@query(_LOGGED)
+def s_log_source(spark: SparkSession, d: str) -> DataFrame:
+    """S4 by the log's own source: lines by their place in their file."""
+    return io.replay_log(spark, _log(spark, d)).select("id", "store", "url", "price")
+
+
+@query(_LOGGED)
+def x_growing_log(spark: SparkSession, d: str) -> DataFrame:
+    """X1 by the log's own source, which goes on within files, into a store."""
+    scratch = Scratch(spark, "growing")
+    products = ProductStore(spark, scratch.path("store"))
+    stream.stream_upsert(stream.read_growing_log(spark, _log(spark, d)), products, scratch.path("state")).awaitTermination()
+    return products.read().select("id", "store", "url", "price")
+
+
 @query(_with(fx.CATALOG, fx.CARTS, fx.FAVORITES, "b AS (SELECT cart_id AS owner, id, price FROM carts JOIN catalog ON id = product_id WHERE ord % 5 <> 0)", "bad AS (SELECT DISTINCT cart_id AS owner FROM carts WHERE cart_id::BIGINT % 7 = 0)") + """
 SELECT owner, 'catalog' AS part, id AS product_id, price AS number FROM b WHERE owner NOT IN (SELECT owner FROM bad)
 UNION ALL SELECT cart_id, 'cart', product_id, qty FROM carts JOIN b ON b.owner = cart_id AND b.id = product_id WHERE cart_id NOT IN (SELECT owner FROM bad)
@@ -689,17 +714,16 @@ SELECT r.store, '{fx.URLS}' || k || '/' AS url, r.depth::INT AS depth, CASE WHEN
   CASE WHEN c.id IS NULL THEN '' WHEN {_BROKEN_LINKED} THEN '{fx.FAULT.replace("'", "''")}' WHEN c.p IS NULL THEN '{extract.REASONS["protein"]}' WHEN r.store = '{_LATER}' THEN '{extract.REASONS["chain"]}' ELSE '' END AS reason
 FROM reached r LEFT JOIN catalog c ON c.ord = k""")
 def g_resume_collection(spark: SparkSession, d: str) -> DataFrame:
-    """A collection that stops after each level and goes on from its folder, another chain coming in after two; some pages are broken."""
+    """A collection that stops after one level and after two and goes on from its folder, another chain coming in then; some pages are broken."""
     rows = fx.catalog(spark, d)
     products = rows.select(F.lit(_FIRST).alias("store"), "url", "checked")
     seeds = rows.where("ord % 16 in (1, 3)").select(F.when(F.col("ord") % 16 == 1, _FIRST).otherwise(_LATER).alias("store"), "url", F.lit(0).alias("depth"), F.col("ord").alias("seq"))
     hosts = spark.createDataFrame([(s, "www.daily-yamazaki.jp") for s in (_FIRST, _LATER)], "store string, host string")
     pages, folder = fx.linked_pages(spark, d, F.col("ord") % 11 == 5), Scratch(spark, "resumed").path("epochs")
-    state, levels = "paused", 0
-    while state == "paused":
+    for seeds_then, levels in ((seeds.where(F.col("store") == _FIRST), 1), (seeds.where(F.col("store") == _FIRST), 1), (seeds, None)):
         run = collection.Collection(folder, pages, hosts, products, fx.RUN_DATE, limits=(10**9, 10**9, 10**9), most_pending=10**9)
-        run.start(seeds if levels >= 2 else seeds.where(F.col("store") == _FIRST))
-        state, levels = run.run(1), levels + 1
+        run.start(seeds_then)
+        run.run(levels)
     return run.visits().select("store", "url", "depth", "outcome", "reason")
 
 

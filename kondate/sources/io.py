@@ -9,6 +9,7 @@ from kondate import dims, schema
 from kondate.operators.cart import prune_orphans
 from kondate.operators.quality import MOST_ROWS, InvalidCatalog, cart_is_valid, strict, typed_product, typed_variant, validate
 from kondate.operators.rank import last_wins
+from kondate.sources import log
 from kondate.tables import Scratch
 
 MOST_LOG_BYTES, MOST_BUNDLE_BYTES = 100_000_000, 20_000_000
@@ -89,7 +90,10 @@ def read_catalog_bundles(spark: SparkSession, path: str, stores: list[str] = dim
 
 
 def write_catalog_bundle(catalog: DataFrame, favorites: DataFrame, cart: DataFrame, path: str) -> None:
-    """One JSON document with explicit nulls. For a person's bundle; a catalog of any size goes to ``write_catalog``."""
+    """One JSON document with explicit nulls. For a person's bundle, of as many rows as it may hold; a catalog of any size goes to ``write_catalog``."""
+    for part in (catalog, favorites, cart):
+        if part.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+            raise InvalidCatalog(f"more than {MOST_ROWS} rows")
     order = "ord" if "ord" in catalog.columns else "id"
     products = catalog.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*schema.TEXTS, *schema.NUMBERS, "auto").alias("r")))), lambda x: x["r"]).alias("catalog"))
     ids = favorites.agg(F.sort_array(F.collect_list("product_id")).alias("favorites"))
@@ -129,15 +133,30 @@ def replay_observations(spark: SparkSession, path: str, stores: list[str] = dims
     """The last row of each chain and address in a log; lines that are no JSON or lack store, url or name are skipped.
 
     All files of a log count, whatever their size. newest_only: of several whole backups only the newest file within
-    the size limit counts. Rows with a seq go by it; without, later files and later lines of a file win.
+    the size limit counts. Rows with a seq go by it; without, later files and later lines of a file win: a piece of a
+    file is read by one task, so its first byte and then the order in the task are the order of the file's lines.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
     if newest_only:
         newest = lines.where(F.col("_size") <= MOST_LOG_BYTES).agg(F.max(F.struct("_time", "_file")).alias("x")).select("x._file")
         lines = lines.join(F.broadcast(newest), "_file", "left_semi")
+    rows = typed_lines(lines.drop("_size"), stores)
+    order = ["_time", "_file", "_block", "_line"]
+    return last_wins(rows.select(*schema.PRODUCT.names, "seq", *order), ["store", "url"], ["seq", *order]).drop(*order)
+
+
+def typed_lines(lines: DataFrame, stores: list[str] = dims.STORES) -> DataFrame:
+    """The product, seq and other columns of lines (value); those that can't be used are left out."""
     typed = lines.withColumn("x", typed_product(F.col("value"))).withColumn("seq", F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$.seq", "long"), F.lit(0).cast("long")))
     rows = typed.where(F.col("x.product.store").isin(stores) & F.col("x.product.url").isNotNull() & F.col("x.product.name").isNotNull())
-    return last_wins(rows.select("x.product.*", "seq", "_time", "_file", "_line"), ["store", "url"], ["seq", "_time", "_file", "_line"]).drop("_time", "_file", "_line")
+    return rows.select("x.product.*", "seq", *[c for c in lines.columns if c != "value"])
+
+
+def replay_log(spark: SparkSession, path: str, stores: list[str] = dims.STORES) -> DataFrame:
+    """As ``replay_observations``, read by the source of ``sources.log``: rows go by seq, then by file and place in it."""
+    log.register(spark)
+    rows = typed_lines(spark.read.format(log.NAME).load(path), stores)
+    return last_wins(rows, ["store", "url"], ["seq", "file", "at"]).drop("file", "at")
 
 
 def read_product_store(rows: DataFrame) -> DataFrame:
@@ -163,11 +182,11 @@ def read_pois(spark: SparkSession, path: str) -> DataFrame:
     return items.select("file", F.col("seq").cast("long").alias("seq"), get("$.type", "string").alias("type"), get("$.id", "string").alias("id"), get("$.lat", "double").alias("lat"), get("$.lon", "double").alias("lon"), center.alias("center"), get("$.tags", "map<string,string>").alias("tags"))
 
 
-def log_if_missing(products: DataFrame, log: str, exists: bool) -> DataFrame:
+def log_if_missing(products: DataFrame, path: str, exists: bool) -> DataFrame:
     """An empty store is filled from its log; a store without a log is written to one."""
     spark = products.sparkSession
     if not products.limit(1).count():
-        return replay_observations(spark, log) if exists else products
+        return replay_observations(spark, path) if exists else products
     if not exists:
-        append_observations(products, log)
+        append_observations(products, path)
     return products

@@ -13,16 +13,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kondate import dims
 from kondate.functions.extract import extract_products
 from kondate.operators.progress import STALE_SECONDS, _counters
-from kondate.operators.quality import typed_product
+from kondate.sources import log
+from kondate.sources.io import typed_lines
 from kondate.streaming.store import ProductStore
 
 
 def read_log_stream(spark: SparkSession, path: str, stores: list[str] = dims.STORES, per_trigger: int | None = None) -> DataFrame:
     """Typed rows of a growing log; lines that can't be used are skipped."""
     reader = spark.readStream.schema("value string")
-    lines = (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).text(path)
-    typed = lines.select(typed_product(F.col("value")).alias("x"), F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$.seq", "long"), F.lit(0).cast("long")).alias("seq"))
-    return typed.where(F.col("x.product.store").isin(stores) & F.col("x.product.url").isNotNull() & F.col("x.product.name").isNotNull()).select("x.product.*", "seq")
+    return typed_lines((reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).text(path), stores)
+
+
+def read_growing_log(spark: SparkSession, path: str, stores: list[str] = dims.STORES) -> DataFrame:
+    """As ``read_log_stream``, also of files that grow: what comes behind a file's last whole line is read when its line ends."""
+    log.register(spark)
+    return typed_lines(spark.readStream.format(log.NAME).load(path), stores)
 
 
 def stream_upsert(rows: DataFrame, store: ProductStore, checkpoint: str) -> StreamingQuery:
@@ -53,8 +58,8 @@ def job_events(arriving: DataFrame, seconds: int = STALE_SECONDS) -> DataFrame:
     resumed: a beat of a job that isn't running. interrupted: more than `seconds` went by without a sign, at the moment
     when they were over; ended: a stop. Between two rows that come in, a silence is seen from their times, wherever
     batches are cut; one that nothing ends is seen by a timer, once the watermark has passed its end. The state is one
-    row per job; a job's rows of a batch are sorted in its task, so a trigger bounds them. Rows older than the last sign
-    count as of that time.
+    row per job; a job's rows of a batch are sorted in its task, so a trigger bounds them. Rows of a batch go by
+    time; those that come in a later batch than newer ones of any job are late and are left out.
     """
     silence = seconds * 1_000_000
 

@@ -1,6 +1,7 @@
 """Links, frontier, crawl and collection against plain-Python models."""
 
 import html as entities
+import random
 import re
 from collections import Counter
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
@@ -140,6 +141,98 @@ def test_collection_with_gates(spark):
     assert {u for u, v in visits((500, 2500, 40), ("y店",)).items() if v[1] == "added"} == {u for u, v in whole.items() if v[1] == "added"}  # all name their chain
 
 
+def queued(level, links, known, most):
+    """A plain queue: pages have their turn one by one and put their links behind what waits, while there is room."""
+    out = []
+    for store in sorted({s for s, _ in level}):
+        pending = [u for s, u in level if s == store]
+        seen, n = {u for s, u in known if s == store}, 0
+        for _ in range(len(pending)):
+            page = pending[0]
+            offers = {}
+            for s, parent, url, priority in links:
+                if s == store and parent == page and url not in seen:
+                    offers[url] = min(priority, offers.get(url, 9))
+            for _, url in sorted((p, u) for u, p in offers.items()):
+                if len(pending) >= most:
+                    break
+                pending.append(url)
+                seen.add(url)
+                n += 1
+                out.append((store, url, n))
+            pending.pop(0)
+    return sorted(out)
+
+
+def test_room_in_the_queue(spark):
+    rng = random.Random(4)
+    stores = ["a"] * 7 + ["b"] * 2 + ["c"]
+    level = [(rng.choice(stores), f"p{i}") for i in range(60)]
+    links = [(s, p, f"u{rng.randrange(70)}", rng.randrange(2)) for s, p in level for _ in range(rng.choice([0, 0, 3, 9]))]
+    links += [(s, p, "menu", 1) for s, p in level]
+    known = [(s, f"u{i}") for s in "abc" for i in range(5)]
+    seen = spark.createDataFrame(known, "store string, url string")
+    rows = spark.createDataFrame([(s, p, i) for i, (s, p) in enumerate(level)], "store string, url string, seq long")
+    offers = spark.createDataFrame([(*x, "generic", 1) for x in links], "store string, parent string, url string, priority int, kind string, depth int").repartition(3)
+    for most in (3, 10, 45, 100):
+        found = sorted((r["store"], r["url"], r["seq"]) for r in frontier.next_frontier(offers, rows, seen, most).collect())
+        assert found == queued(level, links, known, most), most
+    assert len(found) > 60
+
+
+def epochs(spark, folder, stop, broken=False):
+    """A collection over the pages of three chains, in as many runs as it has levels, or in one."""
+    at, chains = "https://a.example.com", ["x店", "y店"]
+    pages = [(f"{at}/goods/{i}/", product(f"g{i} x店 y店", [f"/goods/{2 * i}/", f"/goods/{2 * i + 1}/"]) + ("<![foo[x]]>" if i == 5 else "")) for i in range(1, 16)]
+    rows, hosts = spark.createDataFrame(pages, "url string, html string"), spark.createDataFrame([(s, "a.example.com") for s in chains], "store string, host string")
+    seeds = spark.createDataFrame([("x店", f"{at}/goods/1/", 0, 1), ("x店", f"{at}/goods/1/", 0, 2), ("x店", "", 0, 3)], "store string, url string, depth int, seq long")
+    more = spark.createDataFrame([("y店", f"{at}/goods/3/", 0, 1)], "store string, url string, depth int, seq long")
+    products = spark.createDataFrame([], "store string, url string, checked string")
+    known, never = fx.example_host, fx.never
+    make = lambda: collection.Collection(folder, rows, hosts, products, "2024-01-31", 3, (500, 2500, 40), 2500, lambda u: canonical_url(u, known, never), lambda u: page_kind(u, known, never), never)
+    run, states = make(), []
+    run.start(seeds)
+    for _ in range(9 if stop else 0):
+        states.append(run.run(1))
+        if broken and run.epoch() == 2:  # a run that ended before its mark was written
+            run._file(2, "COMMITTED")[1].delete(run._file(2, "COMMITTED")[0], False)
+            broken = False
+        run = make()
+        run.start(seeds)
+        if states[-1] == "done":
+            break
+    states.append(run.run())
+    first = run.visits()
+    run = make()
+    run.start(more)
+    states.append(run.run())
+    return first, run, states
+
+
+def test_collection_goes_on_from_its_folder(spark, tmp_path):
+    once, whole, _ = epochs(spark, f"file://{tmp_path}/once", False)
+    parts, resumed, states = epochs(spark, f"file://{tmp_path}/parts", True, True)
+    rows = lambda df: sorted((r["store"], r["url"], r["depth"], r["seq"], r["outcome"], r["reason"]) for r in df.collect())
+    assert states[:3] == ["paused"] * 3 and states[-3:] == ["done"] * 3
+    assert rows(resumed.visits()) == rows(whole.visits()) and len(rows(whole.visits())) > len(rows(once))
+    fault = [r for r in rows(whole.visits()) if r[1].endswith("/5/")]
+    assert {(r[4], r[5]) for r in fault} == {("error", "unknown status keyword 'foo' in marked section")}
+    assert not [r for r in rows(once) if r[1].endswith(("/10/", "/11/"))]  # only the broken page links there
+    counts = {r["store"]: r.asDict() for r in resumed.counts().collect()}
+    for store, row in counts.items():
+        mine = [r for r in rows(resumed.visits()) if r[0] == store]
+        assert row["detail"] == len(mine) and row["added"] == sum(r[4] == "added" for r in mine) and row["errors"] == sum(r[4] == "error" for r in mine)
+    assert not resumed.step()
+
+
+def test_a_collection_that_adds_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([], "url string, html string")
+    seeds = spark.createDataFrame([("x店", "https://a.example.com/goods/1/", 0, 1)], "store string, url string, depth int, seq long")
+    run = collection.Collection(f"file://{tmp_path}/c", rows, spark.createDataFrame([("x店", "a.example.com")], "store string, host string"), spark.createDataFrame([], "store string, url string, checked string"), "2024-01-31", canonical=lambda u: canonical_url(u, fx.example_host, fx.never), kind_of=lambda u: page_kind(u, fx.example_host, fx.never), original=fx.never)
+    run.start(seeds)
+    assert run.run() == "empty" and run.visits().first()["outcome"] == "error"
+
+
 def test_host_of_links(spark):
     row = spark.createDataFrame([("https://A.example.com:443/x",)], "u string").select(host(F.col("u")).alias("h")).first()
     assert row["h"] == "a.example.com"

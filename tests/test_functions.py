@@ -1,12 +1,16 @@
 """Golden cases of text, addresses and extraction."""
 
+import random
+import re
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kondate import dims
-from kondate.functions import extract, text, urls
+from kondate.functions import extract, html, patterns, text, urls
 from kondate.operators import metrics
 
 
@@ -134,3 +138,47 @@ def test_extraction(spark):
             assert (row["product"]["p"], row["product"]["price"], row["product"]["store"]) == (protein, price, "ミニストップ"), url
     assert "100g/ml" in found["https://www.ministop.co.jp/goods/9"]["product"]["note"]
     assert found["https://www.ministop.co.jp/goods/7"]["product"]["unit"] == "1商品（商品名に記載）"
+
+
+BROKEN = ["<![ CDATA[y]]>", "<![FOO[x]]>", "<![<b>", "a <![1]> b", "<![CDATA[x]]>y", "<!", "<!-", "<![", "</", "<a href='", "<!DOCTYPE [", "<?x", "&#x110000;", "&#xD800;", "<p <p>", None, ""]
+
+
+def test_broken_markup_costs_only_its_page(spark):
+    rng = random.Random(1)
+    bits = ["<!", "[", "]", "]]>", "CDATA", "if", "--", ">", "<a href=", "<h1>", "</h1>", "&#", ";", "x", "'", '"', "<script>", "<title>", "0", "\x00"]
+    pages = BROKEN + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    found = many(spark, [f"<h1>n</h1>{x}" if x is not None else None for x in pages], html.parse_html)
+    assert len(found) == len(pages) and all(r["headings"][0]["text"] == "n" for r, x in zip(found, pages, strict=True) if x is not None)
+    faults = [r["fault"] for r in found]
+    assert faults[1] == "unknown status keyword 'FOO' in marked section" and faults[4] is None and all(faults[i] for i in (0, 2, 3))
+    rows = spark.createDataFrame([(f"u{i}", x) for i, x in enumerate(pages)], "url string, html string")
+    reasons = {r["url"]: r["reason"] for r in extract.extract_products(rows, "2024-01-31").collect()}
+    assert all(reasons[f"u{i}"] == f for i, f in enumerate(faults) if f)
+
+
+def test_sections_in_linear_time(spark):
+    rng = random.Random(2)
+    bits = ["栄養成分", "たんぱく質", "たんぱく質 1.5", "保存方法", "x" * 300, "x" * 699, "😀", " "]
+    bodies = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+
+    def first(body):
+        for m in re.finditer(extract.SECTION, body):
+            window = re.split(extract.SECTION_END, body[m.end() : m.end() + 700], maxsplit=1)[0]
+            if re.search(extract.PROTEIN_NUMBER.removeprefix("(?U)"), window):
+                return window
+        return ""
+
+    assert many(spark, bodies, extract.nutrition_section) == [first(b) for b in bodies]
+    began = time.time()
+    assert many(spark, ["栄養成分 " * 40_000 + "たんぱく質 1"], extract.nutrition_section)[0].endswith("1")
+    assert time.time() - began < 2
+
+
+def test_many_words_at_once(spark):
+    rng = random.Random(3)
+    words = ["", "a", "ab", "b", "ba", "ab", "ñ", "😀x"] + ["".join(rng.choice("ab😀x") for _ in range(4)) for _ in range(50)]
+    texts = [None, ""] + ["".join(rng.choice("abñ😀x ") for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    assert many(spark, texts, lambda c: patterns.words_in(c, words)) == [None if t is None else [i for i, w in enumerate(words) if w in t] for t in texts]
+    aliases = [(f"s{i}", [f"name{i:05d}x", f"other{i}y"]) for i in range(5000)]
+    found = many(spark, ["a name00007x name00003x", "other4999y", "nothing", None], lambda c: text.chain_from_text(c, aliases))
+    assert found == ["s3", "s4999", None, None]

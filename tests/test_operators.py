@@ -1,13 +1,18 @@
 """Operators on small tables: seeds, merging, checks, maps, files and plans."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kondate import dims, schema
-from kondate.operators import catalog, frontier, geo, metrics, quality, rank
+from kondate.operators import catalog, filters, frontier, geo, meals, metrics, quality, rank, text_index
+from kondate.plans import fixtures as fx
+from kondate.plans import search
 from kondate.sources import io
+from kondate.tables import Scratch
 
 
 def seeds(spark):
@@ -149,3 +154,62 @@ def test_dimensions(spark):
     seeds = spark.createDataFrame([("デイリーヤマザキ", at, 0, 1), ("ポプラ", at, 0, 2)], "store string, url string, depth int, seq long")
     found = frontier.collect_pages(rows, seeds, None, spark.createDataFrame([], "store string, url string, checked string"), "2024-01-31", 0)
     assert ("デイリーヤマザキ", "added") in {(r["store"], r["outcome"]) for r in found.collect()}
+
+
+def test_searches_read_few_rows_and_find_the_pages(spark, data):
+    rng = random.Random(6)
+    catalog = fx.catalog(spark, data).withColumn("note", F.concat("note", F.when(F.col("ord") % 50 == 7, " ＲＡＲＥ豆腐").otherwise("")))
+    words = ["", "brand", "rare", "豆腐", "豆", "a", "red brand", "rare brand#1", "nothing", "腐 rare", None]
+    asked = [(f"r{i}", rng.sample(dims.STORES, rng.randint(1, 4)) + ["?"], rng.choice(words), rng.choice([None, dims.ANY, "主食"]), rng.choice([0.0, 12.0]), rng.choice([0.0, 15.0]), 0.0, rng.choice([0.0, 300.0]), rng.choice(rank.SORTS), rng.choice([20.0, 30.0, 80.0]), 25.0, rng.choice([1, 1, 2, 5])) for i in range(25)]
+    requests = spark.createDataFrame(asked + [(f"again{r[0]}", *r[1:]) for r in asked[:5]], search.REQUEST)
+    found = {}
+    for r in search.search_requests(catalog, requests, 5).collect():
+        found.setdefault(r["request_id"], []).append((r["place"], r["id"]))
+    rows = catalog.cache()
+    for id_, stores, query, category, minp, maxf, maxk, budget, sort, tp, tf, page in asked:
+        wanted = []
+        if tp + tf < 100:
+            whole = filters.filter_items(rows, stores, query or "", category or dims.ANY, minp, maxf, maxk, budget)
+            wanted = [(5 * (page - 1) + 1 + i, r["id"]) for i, r in enumerate(rank.paginate(rank.sort_catalog(whole, sort, (tp, tf, 100 - tp - tf)), page, 5).collect())]
+        assert sorted(found.get(id_, [])) == wanted, id_
+    assert all(found.get(f"again{r[0]}") and sorted(found[f"again{r[0]}"]) == sorted(found[r[0]]) for r in asked[:5] if r[0] in found)
+    rows.unpersist()
+
+
+def test_runs_are_read_as_far_as_needed(spark):
+    scratch = Scratch(spark, "test-runs")
+    keyed = spark.range(20_000).select(F.lit("s").alias("store"), F.lit("price").alias("run"), F.struct((F.col("id") * 7919 % 20_000).alias("number"), F.col("id").alias("ord")).alias("key"), F.col("id").alias("ord"))
+    runs = text_index.Runs(keyed, scratch)
+    searches = spark.createDataFrame([("all", "price", ["s"], 20, 1), ("tenth", "price", ["s"], 20, 10), ("none", "price", ["s", "?"], 20, 10**9)], "search string, run string, _stores array<string>, wanted int, step long")
+    found, reads = text_index.first_matches(runs, searches, F.col("key.number") % F.col("step") == F.least(F.lit(0), F.col("step")), 20, scratch)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["search"], []).append(r["key"]["number"])
+    assert sorted(got["all"]) == list(range(20)) and sorted(got["tenth"]) == list(range(0, 200, 10)) and got["none"] == [0]
+    blocks = {(r["search"], r["_store"]): r["blocks"] for r in reads.collect()}
+    total = runs.blocks.count()
+    assert total > 150 and blocks["all", "s"] <= 2 and blocks["tenth", "s"] <= 8 and blocks["none", "s"] >= total
+
+
+def test_meals_are_the_best_of_all(spark, data):
+    requests = fx.requests(spark).unionByName(fx.requests(spark).withColumns({"request_id": F.concat(F.lit("loose"), "request_id"), "tolerance": F.lit(200.0)}))
+    ranked = Scratch(spark, "test-meals").table(meals.ranked_candidates(fx.catalog(spark, data), requests), "ranked")
+    found = meals.best_meals(ranked, 5).collect()
+    gaps = [F.abs(r - t) for r, t in zip(metrics.pfc_ratios(), (F.col("tp"), F.col("tf"), F.col("tc")), strict=True)]
+    fits = (F.col("kcal") >= F.col("calories") * 0.75) & (F.greatest(*gaps) <= F.col("tolerance") + 1e-8)
+    order = [F.desc(metrics.protein_per_100yen(unit=None)), F.asc(gaps[0] + gaps[1] + gaps[2]), F.asc("price"), *map(F.asc, ("s", "size", "a", "b"))]
+    every = rank.top_k(meals.combinations(ranked).where(fits), ["request_id"], order, 5).collect()
+    key = lambda r: (r["request_id"], r["rank"], tuple(x["id"] for x in r["items"]), r["price"])
+    assert sorted(map(key, found)) == sorted(map(key, every)) and len(found) > 100
+
+
+def test_few_meals_are_tested(spark):
+    rng = np.random.default_rng(8)
+    for tolerance in (10.0, 30.0):
+        looked = []
+        for _ in range(20):
+            rows = np.stack([rng.uniform(2, 40, 120), rng.uniform(1, 25, 120), rng.uniform(5, 70, 120), rng.uniform(50, 600, 120), rng.uniform(80, 400, 120)], 1)
+            rows = rows[np.argsort(-rows[:, 0] / rows[:, 4])]
+            request = {"budget": 900.0, "calories": 800.0, "tp": 20.0, "tf": 25.0, "tc": 55.0, "tolerance": tolerance}
+            looked.append(meals._Meals(rows[::2], rows[1::2], request, 5).search().looked)
+        assert np.mean(looked) < 109_860 / 10
