@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +68,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def entity(text: str, start: int, kind: int, end: int) -> int:
-    """A protected entity as a signed 64-bit hash: its kind and its value without case, spaces and punctuation."""
+def entities(text: str, start: int, kind: int, end: int) -> list[int]:
+    """The protected entities of a base span as signed 64-bit hashes: its value, and what many values share.
+
+    Values count without case, spaces and punctuation. Above them stand an address's domain and its owner's name, a
+    network, a card's issuer, and a phone number without its last four digits.
+    """
     value = text[start:end].lower() if kind < 2 else re.sub(r"[^0-9]", "", text[start:end])
-    return xxhash.xxh64_intdigest(f"{kind}:{value}") - (1 << 63)
+    if kind == 0:
+        above = [f"domain:{value.partition('@')[2]}", f"owner:{value.partition('@')[0]}"]
+    else:
+        above = [(f"network:{value.rpartition('.')[0]}", f"issuer:{value[:6]}", f"line:{value[:-4]}")[kind - 1]]
+    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in (f"{kind}:{value}", *above)]
 
 
 def mark(text: str) -> int:
@@ -97,20 +106,20 @@ def find_base(documents: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, spans, entities, offsets, words, starts, ends = [], [], [], [0], [], [], []
+            marks, spans, held, offsets, words, starts, ends = [], [], [], [0], [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 found = base_spans(text)
                 marks.append(mark(text))
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                entities.append(list({entity(text, *x) for x in found}))
+                held.append(list({e for x in found for e in entities(text, *x)}))
                 for m in _WORD.finditer(_blanked(text, found)) if found else ():
                     words.append(mark(m[0].lower()))
                     starts.append(m.start())
                     ends.append(m.end())
                 offsets.append(len(words))
             placed = pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["term", "start", "end"])
-            columns = [batch.column("doc_id"), pa.array(marks, pa.int64()), pa.array(spans, _SPAN), pa.array(entities, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), placed)]
+            columns = [batch.column("doc_id"), pa.array(marks, pa.int64()), pa.array(spans, _SPAN), pa.array(held, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), placed)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "spans", "entities", "words"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -138,51 +147,77 @@ def document_counts(documents: DataFrame, most: int = HELD_TERMS) -> DataFrame:
     return documents.select("text").mapInArrow(tally, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def most_rows(c: Column, total: int, support: int, share: float) -> Column:
-    """In how many rows a term can stand that tells the share of an entity of c rows, as it does if it stands in all those."""
-    return (total + support) * F.pow(c / F.lit(float(total)), F.lit(share)) - support + 1e-6
+@dataclass(frozen=True)
+class Rule:
+    """When a term tells an entity, by their counts b, c, df and the class's copies and terms."""
+
+    support: int = 3
+    generalise: float = 0.7
+    remove: float = 0.95
+    texts: float = 1.5
+    chance: float = 0.05
+    known: float = 0.25
 
+    def share(self, total: int) -> Column:
+        """The part of the entity's information that the term tells."""
+        information = F.log2(F.lit(float(total)) / F.col("c"))
+        told = F.log2((F.col("b") * F.lit(float(total)) / F.col("c") + F.lit(float(self.support))) / (F.col("df") + F.lit(float(self.support))))
+        return F.when(information > 0, told / information).otherwise(F.lit(0.0))
 
-def disclosing_terms(documents: DataFrame, held: DataFrame, scratch: Scratch, total: int, support: int, generalise: float, remove: float) -> DataFrame:
-    """doc_id, mark, term, action: the terms whose pointwise mutual information with an entity reaches a share of its information.
+    def met(self, total: int) -> Column:
+        b, c, d, n = F.col("b"), F.col("c"), F.col("df"), F.lit(float(total))
+        cell = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+        g = 2 * (cell(b, c * d / n) + cell(c - b, c * (n - d) / n) + cell(d - b, (n - c) * d / n) + cell(n - c - d + b, (n - c) * (n - d) / n))
+        return (F.col("share") >= self.generalise) & (b / F.col("copies") >= self.texts) & (g / F.col("copies") >= 2 * F.log(F.col("terms") / self.chance))
+
+
+def disclosing_terms(documents: DataFrame, held: DataFrame, scratch: Scratch, total: int, rule: Rule) -> DataFrame:
+    """doc_id, mark, term, action: the terms that tell an entity, and on evidence of more than one text.
 
     held: doc_id, mark, entities and words of every row with an entity. With n rows, the entity in c, the term in d and
     both in b of them, the entity's share of the term's rows is (b + s c / n) / (d + s): `support` (s) more rows are
-    supposed that hold the entity by chance alone. The term tells log2(share n / c) bits of the entity's log2(n / c).
-    So every value and term counts, and little evidence counts for less. Rows count, so copies raise all counts alike.
+    supposed that hold the entity by chance alone. The term tells log2(share n / c) bits of the entity's log2(n / c);
+    from a part of them on it is generalised, and from a larger one on removed.
+
+    Any rare word of one text stands with that text's values, which says nothing. So rows count for as much as they
+    differ: an entity's rows have each of their words in so many rows on average, weighted by ln(n / d), which is c for
+    copies and 1 for texts of their own; b and the G-test of the four counts are divided by it. A term needs `texts` of
+    such rows, and a G that chance would reach with less than `chance` in any of the entity's terms, as
+    exp(-G / 2) bounds it.
 
     Entities that stand in the same rows have the same counts with every term and are one class, known by the count and
-    two hash sums of its rows. A term that stands in more rows than the largest class could account for is no
-    candidate, so what is common is never paired.
+    two hash sums of its rows. Classes of one row have no evidence and those of more than a `known` part of all rows
+    protect nobody: neither is paired with terms.
     """
     rows = held.groupBy("doc_id", "mark").agg(F.count("*").alias("m"), F.first("entities").alias("entities"), F.array_distinct(F.first("words")["term"]).alias("terms"))
     rows = scratch.table(rows, "holders")
     each = scratch.table(rows.select("doc_id", "mark", "m", F.explode("entities").alias("entity")), "entities")
     row = F.xxhash64("doc_id", "mark")
     alike = each.groupBy("entity").agg(F.sum("m").alias("c"), F.bit_xor(row).alias("x"), F.sum(F.shiftrightunsigned(row, 32)).alias("y"), F.count("*").alias("k"))
+    alike = alike.where((F.col("k") > 1) & (F.col("c") <= total * rule.known))
     alike = scratch.table(alike.select("entity", F.xxhash64("c", "x", "y", "k").alias("class"), "c", "k"), "classes")
-    classes = join_by_key(each.select("doc_id", "mark", "entity"), alike, ["entity"], "k").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("class", "c")).alias("classes"), F.max("c").alias("most"))
-    largest = alike.agg(F.max("c")).first()[0] or 1
-    df = scratch.table(document_counts(documents), "counts")
-    words = scratch.table(rows.select("doc_id", "mark", "m", F.explode("terms").alias("term")), "terms")
-    known = join_by_key(words, df, ["term"], "df").where(F.col("df") <= most_rows(F.lit(float(largest)), total, support, generalise))
-    met = known.join(classes, ["doc_id", "mark"]).where(F.col("df") <= most_rows(F.col("most"), total, support, generalise))
-    fitting = F.filter("classes", lambda x: F.col("df") <= most_rows(x["c"], total, support, generalise))
-    pairs = scratch.table(met.select("doc_id", "mark", "m", "term", "df", F.explode(fitting).alias("x")).select("doc_id", "mark", "m", "term", "df", "x.class", "x.c"), "pairs")
-    both = pairs.groupBy("class", "term").agg(F.sum("m").alias("b"), F.count("*").alias("k"), F.first("c").alias("c"), F.first("df").alias("df"))
-    information = F.log2(F.lit(float(total)) / F.col("c"))
-    told = F.log2((F.col("b") * F.lit(float(total)) / F.col("c") + F.lit(float(support))) / (F.col("df") + F.lit(float(support))))
-    share = F.when(information > 0, told / information).otherwise(F.lit(0.0))
-    flagged = both.withColumn("share", share).where(F.col("share") >= generalise).select("class", "term", "k", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
+    classes = join_by_key(each.select("doc_id", "mark", "entity"), alike, ["entity"], "k").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("class", "c")).alias("classes"))
+    pairs = rows.join(classes, ["doc_id", "mark"]).select("doc_id", "mark", "m", "classes", F.explode("terms").alias("term"))
+    pairs = scratch.table(pairs.select("doc_id", "mark", "m", "term", F.explode("classes").alias("x")).select("doc_id", "mark", "m", "term", "x.class", "x.c"), "pairs")
+    both = pairs.groupBy("class", "term").agg(F.sum("m").alias("b"), F.count("*").alias("k"), F.first("c").alias("c"))
+    both = scratch.table(both, "both")
+    needed = scratch.table(both.groupBy("term").agg(F.count("*").alias("n")), "needed")
+    counts = document_counts(documents).join(needed, "term")
+    both = scratch.table(join_by_key(both, scratch.table(counts, "counts"), ["term"], "n"), "counted")
+    weight = F.log(F.lit(float(total)) / F.col("df")) + 1e-9
+    alone = both.groupBy("class").agg((F.sum(F.col("b") * weight) / F.sum(weight)).alias("copies"), F.count("*").alias("terms"))
+    told = both.drop("n").join(alone, "class")
+    flagged = told.withColumn("share", rule.share(total)).where(rule.met(total)).select("class", "term", "k", F.when(F.col("share") >= rule.remove, "remove").otherwise("generalise").alias("action"))
     flagged = scratch.table(flagged, "flagged")
     return join_by_key(pairs.select("doc_id", "mark", "class", "term"), flagged, ["class", "term"], "k").groupBy("doc_id", "mark", "term").agg(F.max("action").alias("action"))
 
 
-def find_personal_data(documents: DataFrame, support: int = 3, generalise: float = 0.7, remove: float = 0.95) -> DataFrame:
+def find_personal_data(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     """doc_id, mark, spans, terms, actions of every row: base spans, and those of the terms that reveal an entity.
 
-    Entities are all values found by the detectors, also those of one row. A term is struck in documents that hold the
-    entity it reveals, so a document without personal data stays as it is. Null and empty texts have no spans; rows that
+    Entities are the values found by the detectors and what many of them share (``entities``). A term is struck in
+    documents that hold the entity it reveals, so a document without personal data stays as it is, and so do the words
+    that stand with a value in one text alone, or in its copies. Null and empty texts have no spans; rows that
     repeat doc_id and text get the same answer each; a row without doc_id counts and has base spans, but no terms; an
     empty table gives an empty result; columns beside doc_id and text are not read. Texts are never shuffled:
     the first pass keeps marks and places of the terms of rows with entities, the second counts terms.
@@ -190,7 +225,7 @@ def find_personal_data(documents: DataFrame, support: int = 3, generalise: float
     scratch = Scratch(documents.sparkSession, "pii")
     found = scratch.table(find_base(documents), "found")
     held = found.where("size(entities) > 0")
-    struck = disclosing_terms(documents, held, scratch, max(1, found.count()), support, generalise, remove)
+    struck = disclosing_terms(documents, held, scratch, max(1, found.count()), rule or Rule())
     meant = struck.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("meant"))
     meant = meant.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "meant")
     joined = held.join(meant, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
