@@ -211,3 +211,79 @@ def test_rows_that_take_no_part(spark):
 def test_deviations_beyond_longs_are_null(spark):
     found = whitening.whiten_embeddings(embeddings(spark, [[2.0**40, 0.0], [0.0, 1.0], [1.0, 0.0]])).toPandas()
     assert found.deviation.isna().any() and found.identity_error.max() < 1e-4
+
+
+# -- language, for any number of labels ----------------------------------------------------------------------------
+
+
+def plain_fusion(rows, train, names):
+    """(language, posterior) of each row (text, declared, host, suffix), in plain numpy."""
+    from collections import Counter, defaultdict
+
+    from kondate.llm import langid
+
+    grams = lambda text: Counter(g for g in langid.trigrams(langid.letters(text)).tolist() if g != blank)
+    blank = int(langid.trigrams(np.array([32, 32, 32], "u1"))[0])
+    counts, totals = defaultdict(Counter), Counter()
+    for text, label in train:
+        for g in langid.trigrams(langid.letters(text)).tolist():
+            counts[label][g] += 1
+            totals[label] += 1
+    table = lambda name, g: np.log((counts[name][g] + 0.5) / (totals[name] + 0.5 * langid.BINS))
+    soft = lambda x: (lambda e: e / e.sum())(np.exp(x - x.max()))
+    tempered = []
+    for text, *_ in rows:
+        n = max(0, len(langid.letters(text or "")) - 4)
+        score = np.array([sum(k * table(name, g) for g, k in grams(text or "").items()) for name in names])
+        tempered.append(score * min(1.0, 60.0 / max(n, 1)))
+    shares = [np.where(soft(t) >= 1e-6, soft(t), 0.0) for t in tempered]
+    sums = lambda key: {k: sum(s for s, r in zip(shares, rows, strict=True) if key(r) == k) for k in {key(r) for r in rows} if k is not None}
+    domain = lambda r: ".".join(r[2].split(".")[-2:]) if r[2] else None
+    whole = sum(shares) + 1.0
+    base = whole / whole.sum()
+    hosts, domains, declared, suffix = sums(lambda r: r[2]), sums(domain), sums(lambda r: r[1]), sums(lambda r: r[3])
+    smooth = lambda c, p: (c + 20 * p) / (c.sum() + 20)
+    out = []
+    for r, t in zip(rows, tempered, strict=True):
+        prior = base if domain(r) is None else smooth(domains[domain(r)], base)
+        prior = base if r[2] is None else smooth(hosts[r[2]], prior)
+        logs = t + np.log(prior)
+        logs = logs if r[1] is None else logs + np.log((declared[r[1]] + 0.5) / (whole + 1.0))
+        logs = logs if r[3] is None else logs + 0.5 * np.log((suffix[r[3]] + 0.5) / (whole + 1.0))
+        p = soft(logs)
+        out.append((names[int(p.argmax())], p.max()))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_fusion_is_that_of_plain_sums(spark, monkeypatch, block):
+    from functools import partial
+
+    from kondate.llm import langid
+
+    monkeypatch.setattr(langid, "train", partial(langid.train, block=block))
+    rng = random.Random(9)
+    names = [f"l{i}" for i in range(7)]
+    words = {x: ["".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 5))) for _ in range(12)] for x in names}
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    train = [(say(x, 8), x) for x in names for _ in range(6)]
+    rows = []
+    for _ in range(120):
+        x = rng.choice(names)
+        rows.append((rng.choice([say(x, rng.randint(1, 20)), say(x, 2), None, ""]), rng.choice([x, None, "zz"]), rng.choice([f"{x}.a.org", f"b.{x}.org", f"{x}", "", None, "hot.com"]), rng.choice([x, None])))
+    df = spark.createDataFrame([(i, *r[:1], False, *r[1:]) for i, r in enumerate(rows)], "k int, text string, markup boolean, declared string, host string, suffix string").repartition(3)
+    found = sorted(tuple(r)[:3] for r in langid.identify(df, spark.createDataFrame([(i, *r) for i, r in enumerate(train)], "key int, text string, label string")).collect())
+    for (i, language, posterior), (name, p) in zip(found, plain_fusion(rows, train, names), strict=True):
+        assert abs(posterior - p) < 1e-9 and (language == name or p < 0.5), (i, rows[i])
+
+
+def test_a_thousand_labels(spark):
+    from kondate.llm import langid
+
+    rng = random.Random(10)
+    words = {f"l{i:04d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(5)] for i in range(1000)}
+    train = [(i, " ".join(words[x]), x) for i, x in enumerate(words) for _ in range(5)]
+    rows = [(i, " ".join(words[x]), False, None, f"h{i % 3}.org", None) for i, x in enumerate(list(words)[::10])]
+    df = spark.createDataFrame(rows, "k int, text string, markup boolean, declared string, host string, suffix string")
+    found = {r["k"]: r["language"] for r in langid.identify(df, spark.createDataFrame(train, "key int, text string, label string")).collect()}
+    assert found == {i: x for i, x in enumerate(list(words)[::10])}
