@@ -9,6 +9,7 @@ from kondate import dims, schema
 from kondate.functions.extract import extract_products, shared_host_guard
 from kondate.functions.urls import canonical_url, original_host, page_kind
 from kondate.operators.frontier import MOST_ADDED, MOST_DEPTH, MOST_DETAIL, MOST_LISTS, MOST_PENDING, extract_links, next_frontier, skip_recent, visit_budget
+from kondate.operators.seen import SeenSet
 from kondate.tables import Scratch
 
 COUNTED = ("added", "detail", "lists", "skipped", "errors")
@@ -22,8 +23,8 @@ class Collection:
 
     An epoch is a folder with the queue after it (pending), its visits, and the counters of all chains so far, and counts
     once its mark is written, after the tables: a run that ends in between leaves the last whole epoch, from which any
-    later run goes on, in another session or with more chains. Addresses are known that were ever queued, so nothing is
-    queued twice.
+    later run goes on, in another session or with more chains. What was ever queued stands in a set in buckets
+    (``SeenSet``), to which a level is added before it is visited, so nothing is queued twice.
 
     pages: url, html; hosts: store, host of each chain; products: store, url, checked. A level's pages are looked up,
     extracted and held to their chain (``shared_host_guard``); pages whose product is of the run date are left out, and
@@ -34,12 +35,12 @@ class Collection:
 
     def __init__(
         self, folder: str, pages: DataFrame, hosts: DataFrame | None, products: DataFrame, run_date: str, most_depth: int = MOST_DEPTH,
-        limits: tuple[int, int, int] = (MOST_ADDED, MOST_DETAIL, MOST_LISTS), most_pending: int = MOST_PENDING, canonical=canonical_url, kind_of=page_kind, original=original_host,
+        limits: tuple[int, int, int] = (MOST_ADDED, MOST_DETAIL, MOST_LISTS), most_pending: int = MOST_PENDING, canonical=canonical_url, kind_of=page_kind, original=original_host, buckets: int = 32,
     ):
         self.spark, self.folder, self.run_date, self.products = pages.sparkSession, folder, run_date, products
         self.hosts = dims.hosts(self.spark).select("store", "host") if hosts is None else hosts
         self.most_depth, self.limits, self.most_pending, self.kind_of, self.original, self.canonical = most_depth, limits, most_pending, kind_of, original, canonical
-        self.scratch = Scratch(self.spark, "collect")
+        self.scratch, self.seen = Scratch(self.spark, "collect"), SeenSet(self.spark, f"{folder}/seen", buckets)
         self.stored = self.scratch.table(pages.groupBy(canonical(F.col("url")).alias("url")).agg(F.min("html").alias("html")).where("url <> ''"), "pages")
 
     # -- epochs
@@ -95,6 +96,7 @@ class Collection:
         level, counts = self.pending(), self.counts()
         if not level.limit(1).count():
             return False
+        self.seen.add(level, epoch)
         kinds = level.withColumn("kind", self.kind_of(F.col("url"))).where("kind <> ''")
         due = kinds.where("kind = 'list'").unionByName(skip_recent(kinds.where("kind <> 'list'"), self.products, self.run_date))
         found = extract_products(due.join(self.stored, "url", "left").withColumn("stored", F.col("html").isNotNull()), self.run_date, None, self.original)
@@ -107,10 +109,9 @@ class Collection:
         reason = F.when(outcome == "skipped", F.col("reason")).when((outcome == "error") & F.col("stored"), F.col("page.fault")).otherwise("")
         visits = self.scratch.table(here.select("store", "url", "depth", "seq", "kind", outcome.alias("outcome"), reason.alias("reason"), "product"), f"outcomes-{name}")
         links = extract_links(here.where(F.col("stored") & (F.col("depth") < self.most_depth)), self.hosts, self.canonical, self.kind_of, self.original)
-        known = self._read(schema.FRONTIER, "pending", *range(epoch + 1))
         is_list, is_outcome = F.col("kind") == "list", lambda x: F.col("outcome") == x
         new = visits.groupBy("store").agg(F.count_if(is_outcome("added")).alias("added"), F.count_if(~is_list).alias("detail"), F.count_if(is_list).alias("lists"), F.count_if(is_outcome("skipped")).alias("skipped"), F.count_if(is_outcome("error")).alias("errors"))
-        self._commit(epoch + 1, next_frontier(links, level, known, self.most_pending), visits, counts.unionByName(new).groupBy("store").agg(*[F.sum(c).alias(c) for c in COUNTED]))
+        self._commit(epoch + 1, next_frontier(links, level, self.seen, self.most_pending), visits, counts.unionByName(new).groupBy("store").agg(*[F.sum(c).alias(c) for c in COUNTED]))
         return True
 
     def run(self, levels: int | None = None) -> str:
@@ -132,4 +133,5 @@ def collect_pages(
     whole = Collection(folder, pages, hosts, products, run_date, most_depth, limits, most_pending, canonical, kind_of, original)
     whole.start(seeds)
     whole.run()
+    whole.seen.close()
     return whole.visits()

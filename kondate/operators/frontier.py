@@ -12,6 +12,7 @@ from kondate import dims, schema
 from kondate.functions.html import parse_html, resolve_link
 from kondate.functions.urls import canonical_url, host, original_host, page_kind
 from kondate.operators.rank import mins_before, sums_before
+from kondate.operators.seen import SeenSet
 from kondate.tables import Scratch
 
 # Limits and words by which links are followed.
@@ -55,11 +56,11 @@ def extract_links(parsed: DataFrame, hosts: DataFrame, canonical=canonical_url,
 QUEUED = "store string, url string, depth int, seq long"
 
 
-def next_frontier(links: DataFrame, level: DataFrame, seen: DataFrame, most: int = MOST_PENDING) -> DataFrame:
+def next_frontier(links: DataFrame, level: DataFrame, seen: DataFrame | SeenSet, most: int = MOST_PENDING) -> DataFrame:
     """store, url, depth, seq: the new addresses that a level's pages put behind it in their chain's queue.
 
-    level: store, url, seq of all that waits, visited or not, in order; links come from some of its pages; seen: store,
-    url of all that was ever queued. A queue has room for `most`: when the i-th of m pages (from 0) has its turn, m - i
+    level: store, url, seq of all that waits, visited or not, in order; links come from some of its pages; seen: all that
+    was ever queued (store, url), or a set of it on disk, which isn't shuffled then. A queue has room for `most`: when the i-th of m pages (from 0) has its turn, m - i
     of the level still wait, so up to it most - m + i addresses can have been put behind the level. A page puts its
     new links in order of priority and address while there is room; one that finds none may come in by a later page.
 
@@ -75,7 +76,8 @@ def next_frontier(links: DataFrame, level: DataFrame, seen: DataFrame, most: int
     room = F.greatest(F.lit(0), F.lit(most) - F.col("_m") + F.col("_i"))
     places = places.join(waiting, "store").select("store", F.col("url").alias("parent"), F.col("_i").cast("long").alias("_i"), room.alias("_room"))
     offers = links.groupBy("store", "parent", "url", "kind").agg(F.min("priority").alias("priority"), F.min("depth").alias("depth"))
-    offers = scratch.table(offers.join(seen.select("store", "url"), ["store", "url"], "left_anti").join(places, ["store", "parent"]).drop("parent"), "offers")
+    new = seen.unseen(offers) if isinstance(seen, SeenSet) else offers.join(seen.select("store", "url"), ["store", "url"], "left_anti")
+    offers = scratch.table(new.join(places, ["store", "parent"]).drop("parent"), "offers")
     first = offers.groupBy("store", "url").agg(F.min(F.struct("_i", "priority", "kind", "depth", "_room")).alias("x")).select("store", "url", "x.*")
     pages = sums_before(first.groupBy("store", "_i", "_room").agg(F.count("*").alias("_c")), "store", ["_i"], {"_before": F.col("_c")})
     pages = mins_before(pages, "store", ["_i"], {"_least": F.col("_room") - F.col("_before") - F.col("_c")})

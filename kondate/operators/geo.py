@@ -11,6 +11,8 @@ from kondate.functions.text import chain_from_tags
 from kondate.operators.filters import valid_position
 from kondate.operators.metrics import eligible, max_deviation, pfc_distance, protein_per_100yen
 from kondate.operators.rank import last_wins, top_k
+from kondate.operators.skew import salted_join
+from kondate.tables import Scratch
 
 RADIUS = 6371.0088
 #: Kilometres of a degree of latitude.
@@ -67,6 +69,70 @@ def nearby(points: DataFrame, pois: DataFrame, radius_km: float = 3.0) -> DataFr
     return asked.join(there, ["_row", "_col"]).withColumn("distance", far).where(F.col("distance") <= radius_km).drop("_row", "_col")
 
 
+#: Halvings of the radius: the smallest cells of 3 km are 12 m wide.
+FINEST = 8
+
+
+def _square(lat: Column, lon: Column, level: Column | int, radius_km: float) -> tuple[Column, Column]:
+    """Row and column of a position in the grid whose cells are the radius halved `level` times."""
+    size = F.lit(_cells(radius_km)[0]) / F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level)
+    last = F.ceil(180 / size) - 1
+    row = F.least(last, F.floor((lat + 90) / size)).cast("long")
+    return row, _column_of(lon, _wide(row, size))
+
+
+def _wide(row: Column, size: Column) -> Column:
+    edge = F.least(F.lit(89.9999), F.greatest(F.abs(row * size - 90 - size), F.abs((row + 2) * size - 90)))
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(edge)) / size)).cast("long")
+
+
+def nearest(points: DataFrame, pois: DataFrame, radius_km: float = 3.0, k: int = 30, digits: int = 9) -> DataFrame:
+    """Points with their k nearest branches within a radius, distance and rank (by distance to `digits` decimals, then poi_id).
+
+    Grids of cells from the radius down to a 256th of it: a point looks at first into the grid whose cells hold k
+    branches where it is, one size larger, and there into its cell and those around, which have all branches within
+    the cells' width. If k are found within it, no other can be nearer; else it looks into the next larger grid, until
+    the radius. So a point in a dense city meets some hundred branches and not all within the radius. Points of one
+    cell, which may be most of all, are dealt to several tasks.
+    """
+    scratch = Scratch(points.sparkSession, "nearest")
+    asked = points.where(valid_position(F.col("lat"), F.col("lon")))
+    at = lambda level: F.struct(*[c.alias(n) for c, n in zip(_square(F.col("lat"), F.col("lon"), level, radius_km), ("row", "col"), strict=True)])
+    cells = F.array(*[F.struct(F.lit(level).alias("level"), at(level).row.alias("row"), at(level).col.alias("col")) for level in range(FINEST + 1)])
+    there = pois.where(valid_position(F.col("lat"), F.col("lon")))
+    each = there.select(*[F.col(x).alias(f"poi_{x}" if x in ("lat", "lon") else x) for x in pois.columns], F.explode(cells).alias("_cell"))
+    each = scratch.table(each.select("*", "_cell.*").drop("_cell"), "branches")
+    dense = scratch.table(each.groupBy("level", "row", "col").agg(F.count("*").alias("n")).where(F.col("n") >= k).drop("n"), "dense")
+
+    finest = at(FINEST)
+    asked = scratch.table(asked.withColumns({"_row": finest.row, "_col": finest.col}), "points")
+    squares = asked.groupBy("_row", "_col").agg(F.min(F.struct("lat", "lon")).alias("x")).select("_row", "_col", "x.lat", "x.lon")
+    found = squares.select("_row", "_col", F.explode(cells).alias("c")).select("_row", "_col", "c.*").join(dense, ["level", "row", "col"], "left_semi")
+    start = scratch.table(found.groupBy("_row", "_col").agg(F.greatest(F.lit(0), F.max("level") - 1).alias("level")), "start")
+    waiting = salted_join(asked, start, ["_row", "_col"], "left").withColumn("level", F.coalesce("level", F.lit(0))).drop("_row", "_col")
+    done, turn = None, 0
+    far = haversine_km(F.col("lat"), F.col("lon"), F.col("poi_lat"), F.col("poi_lon"))
+    within = F.lit(radius_km) / F.pow(F.lit(2.0), F.col("level"))
+    while True:
+        waiting = scratch.table(waiting, f"waiting-{turn}")
+        size = F.lit(_cells(radius_km)[0]) / F.pow(F.lit(2.0), F.col("level"))
+        row, _ = _square(F.col("lat"), F.col("lon"), F.col("level"), radius_km)
+        around = waiting.withColumn("row", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), row - 1), F.least((F.ceil(180 / size) - 1).cast("long"), row + 1))))
+        columns = _wide(F.col("row"), size)
+        three = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(_column_of(F.col("lon"), columns) + d, columns))
+        around = scratch.table(around.withColumn("col", F.explode(F.array_distinct(three))), f"around-{turn}")
+        met = salted_join(around, each, ["level", "row", "col"]).withColumn("distance", far).where(F.col("distance") <= within)
+        ranked = top_k(met.withColumn("_d", F.round("distance", digits)), ["point_id"], [F.asc("_d"), F.asc("poi_id")], k)
+        ranked = scratch.table(ranked.drop("row", "col", "_d"), f"ranked-{turn}")
+        whole = ranked.where("level > 0").groupBy("point_id").agg(F.count("*").alias("_n"), F.max(F.col("distance") / within).alias("_part")).where((F.col("_n") == k) & (F.col("_part") <= 1 - 1e-6)).select("point_id")
+        part = ranked.where("level = 0").unionByName(ranked.where("level > 0").join(whole, "point_id", "left_semi")).drop("level")
+        done = part if done is None else done.unionByName(part)
+        waiting = waiting.where("level > 0").join(whole, "point_id", "left_anti").withColumn("level", F.col("level") - 1)
+        turn += 1
+        if not waiting.limit(1).count():
+            return done
+
+
 def rank_nearest(found: DataFrame, k: int = 30, last: str = "poi_id") -> DataFrame:
     return top_k(found, ["point_id"], [F.asc("distance"), F.asc(last)], k)
 

@@ -332,15 +332,21 @@ _NEAR = f"""near AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(distance, 9), poi_id) AS rank FROM near)"""
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
-    found = geo.nearby(fx.points(spark, d), fx.pois(spark, d), 3.0)
-    return geo.rank_nearest(found.withColumns({"exact": F.col("distance"), "distance": F.round("distance", 9)}))
+def _near(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return geo.nearest(fx.points(spark, d), fx.pois(spark, d), 3.0, k)
 
 
 @query(_with(fx.POINTS, _NEAR) + "SELECT point_id, rank, poi_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 30")
 def j_nearby(spark: SparkSession, d: str) -> DataFrame:
     """J9, D1, W5."""
-    return _near(spark, d).select("point_id", "rank", "poi_id", F.round("exact", 6).alias("distance"))
+    return _near(spark, d, 30).select("point_id", "rank", "poi_id", F.round("distance", 6).alias("distance"))
+
+
+@query(_with(fx.POINTS, _NEAR) + "SELECT point_id, count(*) AS branches, max(round(distance, 6)) AS farthest FROM near GROUP BY point_id")
+def j_radius(spark: SparkSession, d: str) -> DataFrame:
+    """All branches within the radius of each point."""
+    found = geo.nearby(fx.points(spark, d), fx.pois(spark, d), 3.0)
+    return found.groupBy("point_id").agg(F.count("*").alias("branches"), F.max(F.round("distance", 6)).alias("farthest"))
 
 
 _BEST = """fit AS (
@@ -352,7 +358,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY value DESC, di
 @query(_with(fx.CATALOG, fx.METRICS, fx.POINTS, _NEAR, _BEST) + "SELECT r.point_id, r.poi_id, b.tolerance, b.rank, b.id, b.value FROM ranked r JOIN best b USING (store) WHERE r.rank = 1")
 def r_nearby_recommend(spark: SparkSession, d: str) -> DataFrame:
     """The nearest branch of each point."""
-    first = _near(spark, d).where("rank = 1").select("point_id", "poi_id", "store")
+    first = _near(spark, d, 1).select("point_id", "poi_id", "store")
     return geo.recommend_at(first, fx.catalog(spark, d)).select("point_id", "poi_id", "tolerance", "rank", "id", "value")
 
 
@@ -724,6 +730,7 @@ def g_resume_collection(spark: SparkSession, d: str) -> DataFrame:
         run = collection.Collection(folder, pages, hosts, products, fx.RUN_DATE, limits=(10**9, 10**9, 10**9), most_pending=10**9)
         run.start(seeds_then)
         run.run(levels)
+        run.seen.close()
     return run.visits().select("store", "url", "depth", "outcome", "reason")
 
 

@@ -12,6 +12,7 @@ from kondate import dims
 from kondate.functions.html import parse_html
 from kondate.functions.urls import canonical_url, host, page_kind
 from kondate.operators import collection, frontier
+from kondate.operators.seen import SeenSet
 from kondate.plans import fixtures as fx
 from kondate.plans.queries import FOUND
 from kondate.sources import io
@@ -189,7 +190,7 @@ def epochs(spark, folder, stop, broken=False):
     more = spark.createDataFrame([("y店", f"{at}/goods/3/", 0, 1)], "store string, url string, depth int, seq long")
     products = spark.createDataFrame([], "store string, url string, checked string")
     known, never = fx.example_host, fx.never
-    make = lambda: collection.Collection(folder, rows, hosts, products, "2024-01-31", 3, (500, 2500, 40), 2500, lambda u: canonical_url(u, known, never), lambda u: page_kind(u, known, never), never)
+    make = lambda: collection.Collection(folder, rows, hosts, products, "2024-01-31", 3, (500, 2500, 40), 2500, lambda u: canonical_url(u, known, never), lambda u: page_kind(u, known, never), never, 4)
     run, states = make(), []
     run.start(seeds)
     for _ in range(9 if stop else 0):
@@ -225,6 +226,22 @@ def test_collection_goes_on_from_its_folder(spark, tmp_path):
     assert not resumed.step()
 
 
+def test_what_was_seen_is_not_shuffled(spark, tmp_path):
+    seen = SeenSet(spark, f"file://{tmp_path}/seen", 8)
+    rows = spark.range(1000).select((F.col("id") % 3).cast("string").alias("store"), F.concat(F.lit("u"), "id").alias("url"))
+    seen.add(rows.where("url like '%1'"), 0)
+    for _ in range(2):
+        seen.add(rows.where("url like '%7'"), 1)
+    new = rows.withColumn("x", F.lit(1)).unionByName(spark.createDataFrame([("0", "new", 2), ("1", "u7", 3), (None, "u7", 4)], "store string, url string, x int"))
+    wanted = new.join(rows.where("url like '%1' or url like '%7'"), ["store", "url"], "left_anti")
+    assert sorted(map(str, seen.unseen(new).collect())) == sorted(map(str, wanted.collect()))
+    assert seen.unseen(new, 0).count() == 1003 - 100
+    plan = seen.unseen(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("FileScan")
+    seen.close()
+    assert SeenSet(spark, f"file://{tmp_path}/seen", 8).rows().distinct().count() == 200
+
+
 def test_a_collection_that_adds_nothing(spark, tmp_path):
     rows = spark.createDataFrame([], "url string, html string")
     seeds = spark.createDataFrame([("x店", "https://a.example.com/goods/1/", 0, 1)], "store string, url string, depth int, seq long")

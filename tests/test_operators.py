@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kondate import dims, schema
-from kondate.operators import catalog, filters, frontier, geo, meals, metrics, quality, rank, text_index
+from kondate.operators import catalog, filters, frontier, geo, meals, metrics, quality, rank, skew, text_index
 from kondate.plans import fixtures as fx
 from kondate.plans import search
 from kondate.sources import io
@@ -213,3 +213,29 @@ def test_few_meals_are_tested(spark):
             request = {"budget": 900.0, "calories": 800.0, "tp": 20.0, "tf": 25.0, "tc": 55.0, "tolerance": tolerance}
             looked.append(meals._Meals(rows[::2], rows[1::2], request, 5).search().looked)
         assert np.mean(looked) < 109_860 / 10
+
+
+def test_nearest_branches_of_all(spark):
+    rng = random.Random(11)
+    spot = lambda: (rng.choice([35.0, 89.99, -89.999, 0.0]) + rng.uniform(-0.03, 0.03) * rng.choice([0.01, 0.2, 1]), rng.choice([139.0, 180.0, -180.0]) + rng.uniform(-0.03, 0.03) * rng.choice([0.01, 0.2, 1]))
+    turned = lambda p: (max(-90.0, min(90.0, p[0])), (p[1] + 180) % 360 - 180)
+    branches = [(f"b{i:04d}", "s", *turned(spot())) for i in range(700)] + [(f"c{i:04d}", "s", 35.01, 139.01) for i in range(60)] + [("bad", "s", None, 139.0)]
+    points = [(i, *turned(spot())) for i in range(60)] + [(100 + i, 35.01, 139.01) for i in range(80)] + [(300, 10.0, 10.0), (301, 95.0, 0.0)]
+    asked, there = spark.createDataFrame(points, "point_id int, lat double, lon double"), spark.createDataFrame(branches, "poi_id string, store string, lat double, lon double")
+    found = sorted((r["point_id"], r["rank"], r["poi_id"]) for r in geo.nearest(asked, there, 3.0, 12).collect())
+    every = asked.where("lat <= 90").crossJoin(there.where("lat is not null").select("poi_id", F.col("lat").alias("y"), F.col("lon").alias("x")))
+    near = every.withColumn("d", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).where("d <= 3")
+    wanted = sorted((r["point_id"], r["rank"], r["poi_id"]) for r in rank.top_k(near.withColumn("d", F.round("d", 9)), ["point_id"], [F.asc("d"), F.asc("poi_id")], 12).collect())
+    assert found == wanted and len(found) > 1000
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark):
+    rows = Scratch(spark, "test-skew").table(spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("k"), "id"), "rows")
+    table = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    joined = skew.salted_join(rows, table, ["k"], "left", most=50)
+    assert sorted(map(tuple, joined.select("k", "id", "v").collect()), key=str) == sorted(map(tuple, rows.join(table, "k", "left").select("k", "id", "v").collect()), key=str)
+    dealt = skew.salted_join(rows, table.withColumn("v", F.lit(1)), ["k"], most=50)
+    assert rows.where("k = 7").count() > 2000 and dealt.where("k = 7").count() == rows.where("k = 7").count()
+    total = 6000 // 50
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("k", "id"), F.ceil(F.lit(rows.where("k = 7").count()) / total))).where("k = 7").groupBy("part").count()
+    assert parts.agg(F.max("count")).first()[0] < 2 * total
