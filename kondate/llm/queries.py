@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kondate.llm import ann, chat, exact_dedup, langid, merkle, mixing, ngram_join, packing, pii, sharding, url_filter, warc, whitening
 from kondate.llm.common import read
@@ -62,8 +63,25 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_embeddings(read(spark, sf_dir, "embeddings"))
 
 
+def llm_shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the key decides in op3: the shard, and the shard with one more."""
+    return sharding.shard_documents(read(spark, sf_dir, "documents"), 24).select("doc_id", "size", "shard", "grown_shard")
+
+
+def llm_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the detectors of op4 find in each document."""
+    return pii.find_base(read(spark, sf_dir, "documents")).select("doc_id", *pii.kind_counts())
+
+
+def llm_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 reads of each url, and the rule that fits it."""
+    url = F.col("url")
+    parts = read(spark, sf_dir, "pages").select("page_id", url_filter.host_of(url).alias("host"), url_filter.path_of(url).alias("path"))
+    return parts.select("page_id", "host", "path", url_filter.rule_of(F.col("host"), F.col("path"), url_filter.RULES)["rule"].alias("rule"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_reassembly, op2_raked_mixture, op3_jump_sharding, op4_pii_disclosure, op5_exact_dedup, op6_best_fit_packing, op7_language_id, op8_ngram_jaccard, op9_nearest_neighbours, op10_url_filter, op11_merkle_manifest, op12_chat_format, op13_whitening]
+    found = [op1_warc_reassembly, op2_raked_mixture, op3_jump_sharding, op4_pii_disclosure, op5_exact_dedup, op6_best_fit_packing, op7_language_id, op8_ngram_jaccard, op9_nearest_neighbours, op10_url_filter, op11_merkle_manifest, op12_chat_format, op13_whitening, llm_shard_law, llm_base_counts, llm_url_rules]
     return {f.__name__: f for f in found}
 
 
@@ -161,5 +179,32 @@ FROM m GROUP BY conv_id
 """
 
 
+SHARD_LAW = f"""
+WITH RECURSIVE walk AS (
+  SELECT DISTINCT doc_id, (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616 AS k, 0::BIGINT AS jump FROM documents
+  UNION ALL SELECT doc_id, n, floor((jump + 1) * (2147483648.0::DOUBLE / ((n // 8589934592)::DOUBLE + 1)))::BIGINT FROM (SELECT doc_id, jump, (k * {sharding.MULTIPLIER} + 1) % 18446744073709551616 AS n FROM walk WHERE jump <= 24)),
+law AS (SELECT doc_id, max(jump) FILTER (WHERE jump < 24)::INT AS shard, max(jump) FILTER (WHERE jump <= 24)::INT AS grown_shard FROM walk GROUP BY doc_id)
+SELECT d.doc_id, coalesce(strlen(text), 0) + 8 AS size, shard, grown_shard FROM documents d JOIN law l ON l.doc_id IS NOT DISTINCT FROM d.doc_id
+"""
+BASE_COUNTS = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+    list_transform(regexp_extract_all(text, '[0-9]([ -]?[0-9])+'), lambda x: list_transform(list_reverse(string_split(regexp_replace(x, '[^0-9]', '', 'g'), '')), lambda d: d::INT)) AS cards,
+    list_transform(regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phones
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+SELECT doc_id, len(emails) AS n_email, len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: p::HUGEINT > 255)) = 0)) AS n_ip,
+  len(list_filter(cards, lambda c: len(c) BETWEEN 12 AND 19 AND list_sum(list_transform(c, lambda d, i: CASE WHEN i % 2 = 1 THEN d WHEN d < 5 THEN 2 * d ELSE 2 * d - 9 END)) % 10 = 0)) AS n_card,
+  len(list_filter(phones, lambda n: n BETWEEN 9 AND 15)) AS n_phone
+FROM t
+"""
+URL_RULES = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT unnest(['com/', 'example.com/en/', 'www.example.com/en/', 'net/es/', 'net/fr/']) AS rule)
+SELECT page_id, host, path, (SELECT max_by(rule, length(rule)) FROM r WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))) AS rule
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_reassembly": OP1, "op5_exact_dedup": OP5, "op8_ngram_jaccard": OP8, "op11_merkle_manifest": OP11, "op12_chat_format": OP12}
+    return {"op1_warc_reassembly": OP1, "op5_exact_dedup": OP5, "op8_ngram_jaccard": OP8, "op11_merkle_manifest": OP11, "op12_chat_format": OP12, "llm_shard_law": SHARD_LAW, "llm_base_counts": BASE_COUNTS, "llm_url_rules": URL_RULES}

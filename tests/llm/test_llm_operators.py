@@ -219,6 +219,7 @@ def test_base_spans(corpus):
 def test_disclosure(spark):
     rows = [(i, f"the ward of zanzibar number{'x' * i} wrote from a@b.org to everyone", "en", "a") for i in range(6)]
     rows += [(100 + i, f"the ward number{'y' * i} wrote to everyone", "en", "a") for i in range(40)]
+    rows += [(300, "+1 555 010 9999 10.0.0.1 4111 1111 1111 1111 x@y.org z@y.org", "en", "a")]
     rows += [(200, None, None, None), (201, "", None, None), (202, "zanzibar alone", "en", "a"), (0, rows[0][1], "en", "a")]
     docs = documents(spark, rows)
     found = pii.find_personal_data(docs)
@@ -227,6 +228,7 @@ def test_disclosure(spark):
     for i, text, *_ in rows:
         base = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in plain_spans(text or ""))
         assert out[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [out[i][f"n_{kind}"] for kind in pii.KINDS[:4]] == [sum(x[1] == k for x in plain_spans(text or "")) for k in range(4)]
     assert "term:16:24" not in out[202]["spans"] and out[202]["spans"] == "" and out[200]["spans"] == ""
     start = rows[0][1].index("zanzibar")
     assert f"term:{start}:{start + 8}" in out[0]["spans"]  # stands almost only where the address does

@@ -68,7 +68,7 @@ def odd_documents(n):
     return rows + rows[: n // 9]
 
 
-@pytest.mark.parametrize("n", [0, 1, 8, 9, 700])
+@pytest.mark.parametrize("n", [0, 9, 700])
 def test_audit_is_that_of_whole_trees(spark, n):
     docs = spark.createDataFrame(odd_documents(n), DOCS).repartition(3)
     found = [tuple(r) for r in merkle.audit_documents(docs).collect()]
