@@ -126,11 +126,11 @@ class Collection:
 
 def collect_pages(
     pages: DataFrame, seeds: DataFrame, hosts: DataFrame | None, products: DataFrame, run_date: str, most_depth: int = MOST_DEPTH,
-    limits: tuple[int, int, int] = (MOST_ADDED, MOST_DETAIL, MOST_LISTS), most_pending: int = MOST_PENDING, canonical=canonical_url, kind_of=page_kind, original=original_host,
+    limits: tuple[int, int, int] = (MOST_ADDED, MOST_DETAIL, MOST_LISTS), most_pending: int = MOST_PENDING, canonical=canonical_url, kind_of=page_kind, original=original_host, buckets: int = 4,
 ) -> DataFrame:
     """VISITS of a whole collection from the seeds, in a folder of this application."""
     folder = Scratch(pages.sparkSession, "collection").path("epochs")
-    whole = Collection(folder, pages, hosts, products, run_date, most_depth, limits, most_pending, canonical, kind_of, original)
+    whole = Collection(folder, pages, hosts, products, run_date, most_depth, limits, most_pending, canonical, kind_of, original, buckets)
     whole.start(seeds)
     whole.run()
     whole.seen.close()

@@ -727,7 +727,7 @@ def g_resume_collection(spark: SparkSession, d: str) -> DataFrame:
     hosts = spark.createDataFrame([(s, "www.daily-yamazaki.jp") for s in (_FIRST, _LATER)], "store string, host string")
     pages, folder = fx.linked_pages(spark, d, F.col("ord") % 11 == 5), Scratch(spark, "resumed").path("epochs")
     for seeds_then, levels in ((seeds.where(F.col("store") == _FIRST), 1), (seeds.where(F.col("store") == _FIRST), 1), (seeds, None)):
-        run = collection.Collection(folder, pages, hosts, products, fx.RUN_DATE, limits=(10**9, 10**9, 10**9), most_pending=10**9)
+        run = collection.Collection(folder, pages, hosts, products, fx.RUN_DATE, limits=(10**9, 10**9, 10**9), most_pending=10**9, buckets=4)
         run.start(seeds_then)
         run.run(levels)
         run.seen.close()
