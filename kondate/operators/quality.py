@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,13 @@ def with_migrated_category(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("category", migrate_category(F.col("name"), F.col("category")))
 
 
-def violations(stores: list[str] = dims.STORES, names: list[str] = dims.CATEGORIES) -> Column:
-    """The rules that a row breaks, apart from the one that looks at other rows."""
-    broken = [F.when(F.col(k).isNull() | (F.length(k) > MOST_TEXT), f"text:{k}") for k in schema.TEXTS]
-    broken += [F.when(~F.coalesce(F.col("store").isin(stores), F.lit(False)), "store"), F.when(~F.coalesce(F.col("category").isin(names), F.lit(False)), "category")]
-    broken.append(F.when((F.coalesce("url", F.lit("")) != "") & ~safe_link(F.col("url")), "url"))
-    broken += [F.when(F.col(k).isNotNull() & ~(finite(F.col(k)) & F.col(k).between(0, MOST_NUMBER)), f"number:{k}") for k in schema.NUMBERS]
+def violations(stores: list[str] = dims.STORES, names: list[str] = dims.CATEGORIES, get: Callable[[str], Column] = F.col, category: Column | None = None) -> Column:
+    """The rules that a row breaks, apart from the one that looks at other rows. get: its fields, if they are no columns; category: its category, if not its field."""
+    broken = [F.when(get(k).isNull() | (F.length(get(k)) > MOST_TEXT), f"text:{k}") for k in schema.TEXTS if k != "category" or category is None]
+    category = get("category") if category is None else category
+    broken += [F.when(~F.coalesce(get("store").isin(stores), F.lit(False)), "store"), F.when(~F.coalesce(category.isin(names), F.lit(False)), "category")]
+    broken.append(F.when((F.coalesce(get("url"), F.lit("")) != "") & ~safe_link(get("url")), "url"))
+    broken += [F.when(get(k).isNotNull() & ~(finite(get(k)) & get(k).between(0, MOST_NUMBER)), f"number:{k}") for k in schema.NUMBERS]
     return F.array_compact(F.array(*broken))
 
 

@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kondate import dims, schema
+from kondate.functions.text import migrate_category
 from kondate.operators.cart import prune_orphans
-from kondate.operators.quality import MOST_ROWS, InvalidCatalog, cart_is_valid, strict, typed_product, typed_variant, validate
+from kondate.operators.quality import MOST_ROWS, InvalidCatalog, cart_is_valid, strict, typed_product, typed_variant, validate, violations
 from kondate.operators.rank import last_wins
 from kondate.sources import log
 from kondate.tables import Scratch
 
 MOST_LOG_BYTES, MOST_BUNDLE_BYTES = 100_000_000, 20_000_000
+#: Comparisons of favorites and lines with products up to which a bundle's orphans are found in its row.
+MOST_LOOKS = 1_000_000
 
 
 def _kind(path: str) -> Column:
@@ -37,8 +40,12 @@ def _bundle_favorites(whole: DataFrame, *carried: str) -> DataFrame:
 
 def _bundle_lines(whole: DataFrame, *carried: str) -> DataFrame:
     lines = whole.select(*carried, F.explode(F.try_variant_get("v", "$.cart", "map<string,variant>")).alias("product_id", "q"))
-    number = F.schema_of_variant("q").isin("BIGINT", "DOUBLE") | F.schema_of_variant("q").startswith("DECIMAL")
-    return lines.select(*carried, "product_id", F.when(number, F.try_variant_get("q", "$", "double")).alias("qty"))
+    return lines.select(*carried, "product_id", _quantity(F.col("q")).alias("qty"))
+
+
+def _quantity(q: Column) -> Column:
+    number = F.schema_of_variant(q).isin("BIGINT", "DOUBLE") | F.schema_of_variant(q).startswith("DECIMAL")
+    return F.when(number, F.try_variant_get(q, "$", "double"))
 
 
 def read_catalog_bundle(spark: SparkSession, path: str, stores: list[str] = dims.STORES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -64,15 +71,57 @@ def read_catalog_bundle(spark: SparkSession, path: str, stores: list[str] = dims
     return catalog, prune_orphans(_bundle_favorites(whole), catalog), prune_orphans(lines, catalog)
 
 
+def _judged(x: Column, stores: list[str]) -> Column:
+    """A bundle's rows of known chains (catalog), as they are kept, and the reason against them (null, if there is none)."""
+    product = lambda i: i["product"]
+    moved = lambda i: migrate_category(product(i)["name"], product(i)["category"])
+    ids = F.filter(F.transform(x, lambda i: product(i)["id"]), lambda i: i.isNotNull())
+    broken = F.exists(x, lambda i: F.size(violations(stores, get=lambda k: product(i)[k], category=moved(i))) > 0) | (F.size(F.array_distinct(ids)) < F.size(ids))
+    reason = F.when(F.exists(x, lambda i: F.size(i["wrong"]) > 0), "type").when(broken, "rule").when(F.size(x) > MOST_ROWS, "rows")
+    return F.struct(reason.alias("reason"), F.transform(x, lambda i: product(i).withField("category", moved(i))).alias("catalog"))
+
+
 def read_catalog_bundles(spark: SparkSession, path: str, stores: list[str] = dims.STORES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """catalog, favorites, cart, each with owner, and rejected (owner, reason), of bundles with an owner, one on a line.
 
     A bundle passes or fails as a whole, by the rules of ``read_catalog_bundle``; bundles are checked side by side.
+    A line is judged, and its orphans dropped, where it is read: nothing but owners is shuffled. What lines of one owner
+    say is put together before it is judged, and large bundles find their orphans by joins.
     """
     scratch = Scratch(spark, "bundles")
     whole = spark.read.text(path).select(F.octet_length("value").alias("bytes"), F.try_parse_json("value").alias("v"))
     whole = whole.withColumn("owner", F.try_variant_get("v", "$.owner", "string"))
     form = F.when(F.col("bytes") > MOST_BUNDLE_BYTES, "size").when(~_well_formed(), "form")
+    get = lambda at, kind: F.when(form.isNull(), F.try_variant_get("v", at, kind))
+    known = F.filter(F.transform(get("$.catalog", "array<variant>"), typed_variant), lambda x: x["product"]["store"].isin(stores))
+    read = whole.select("owner", form.alias("form"), known.alias("known"), get("$.favorites", "array<string>").alias("favorites"), get("$.cart", "map<string,variant>").alias("cart"))
+    lines = F.transform(F.map_entries("cart"), lambda e: F.struct(e["key"].alias("product_id"), _quantity(e["value"]).alias("qty")))
+    judged = read.select("owner", "form", "favorites", lines.alias("lines"), F.transform(F.array("known"), lambda x: _judged(x, stores))[0].alias("x"))
+    quantity = F.when(F.exists("lines", lambda e: ~F.coalesce(cart_is_valid(e["qty"]), F.lit(True))), "quantity")
+    reason = F.array_min(F.array_compact(F.array("form", quantity, "x.reason")))
+    ids = F.transform("x.catalog", lambda p: p["id"])
+    there = F.map_from_arrays(F.array_distinct(F.filter(ids, lambda i: i.isNotNull())), F.array_repeat(F.lit(True), F.size(F.array_distinct(F.filter(ids, lambda i: i.isNotNull())))))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    large = (count("favorites") + count("lines")) * count("x.catalog") > MOST_LOOKS
+    judged = judged.select("owner", "favorites", "lines", "x.catalog", reason.alias("reason"), large.alias("large"), F.when(reason.isNull() & ~large, there).alias("there"))
+    kept = lambda rows, key: F.when(F.col("there").isNotNull(), F.filter(rows, lambda r: F.map_contains_key("there", key(r))))
+    favorites, cart = kept("favorites", lambda r: F.coalesce(r, F.lit(""))), kept("lines", lambda r: r["product_id"])
+    bundles = scratch.table(judged.select("owner", "reason", "large", F.when(F.col("reason").isNull(), F.col("catalog")).alias("catalog"), F.filter(favorites, lambda r: r.isNotNull()).alias("favorites"), cart.alias("cart")), "judged")
+    several = scratch.table(bundles.groupBy("owner").agg(F.count("*").alias("n"), F.max("large").alias("large")).where("n > 1 or large or owner is null").select("owner"), "several")
+    rows = bundles.select("owner", F.posexplode("catalog").alias("ord", "x")).select("owner", "x.*", F.col("ord").cast("long").alias("ord"))
+    parts = [rows, bundles.select("owner", F.explode("favorites").alias("product_id")), bundles.select("owner", F.explode("cart").alias("x")).select("owner", "x.*"), bundles.where("reason is not null").select("owner", "reason")]
+    if not several.limit(1).count():
+        return parts[0], parts[1], parts[2], parts[3]
+    same = F.col("owner").eqNullSafe(F.col("_owner"))
+    named = several.withColumnRenamed("owner", "_owner")
+    together = _read_together(whole.join(named, same, "left_semi"), scratch, stores)
+    both = [part.join(named, same, "left_anti").unionByName(more.select(part.columns)) for part, more in zip(parts, together, strict=True)]
+    return both[0], both[1], both[2], both[3]
+
+
+def _read_together(whole: DataFrame, scratch: Scratch, stores: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The same of owners with several lines or large ones, by joins."""
+    form = F.when(F.col("bytes") > MOST_BUNDLE_BYTES, "size").when(~_well_formed(), "form")
     items = scratch.table(_bundle_items(whole.where(form.isNull()), "owner").where(F.col("x.product.store").isin(stores)), "items")
     checked = scratch.table(validate(items.select("owner", "x.product.*", "ord", F.size("x.wrong").alias("wrong")), ("owner", "id")), "checked")
     lines = scratch.table(_bundle_lines(whole.where(form.isNull()), "owner"), "lines")
@@ -102,22 +151,28 @@ def write_catalog_bundle(catalog: DataFrame, favorites: DataFrame, cart: DataFra
     whole.select(F.to_json(F.struct("catalog", "favorites", "cart"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_catalog_bundles(catalog: DataFrame, favorites: DataFrame, cart: DataFrame, path: str) -> None:
-    """One line of JSON per owner, explicit nulls included. catalog, favorites and cart have a column owner.
+def write_catalog_bundles(catalog: DataFrame, favorites: DataFrame, cart: DataFrame, path: str, person: str = "owner") -> None:
+    """One line of JSON per owner, explicit nulls included, in gzipped files. catalog and cart have a column owner.
 
+    favorites are an owner's, or those of a `person` with several bundles: then catalog and cart have that column too, and
+    each bundle of a person gets all of their favorites where it is written. Rows are shuffled once, by person.
     What goes into one value is checked before: no owner may have more rows of a kind than a bundle may hold.
     """
-    for part in (catalog, favorites, cart):
-        if part.groupBy("owner").count().where(F.col("count") > MOST_ROWS).limit(1).count():
+    keys = list(dict.fromkeys((person, "owner")))
+    for part, key in ((catalog, "owner"), (favorites, person), (cart, "owner")):
+        if part.groupBy(key).count().where(F.col("count") > MOST_ROWS).limit(1).count():
             raise InvalidCatalog(f"an owner has more than {MOST_ROWS} rows")
     order = "ord" if "ord" in catalog.columns else "id"
-    row = F.struct(F.col(order).alias("_o"), F.struct(*schema.TEXTS, *schema.NUMBERS, "auto").alias("r"))
-    products = catalog.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("catalog"))
-    ids = favorites.groupBy("owner").agg(F.sort_array(F.collect_list("product_id")).alias("favorites"))
-    lines = cart.groupBy("owner").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("product_id", "qty")))).alias("cart"))
-    whole = products.join(ids, "owner", "full_outer").join(lines, "owner", "full_outer")
-    empty = [F.coalesce("catalog", F.array().cast(products.schema["catalog"].dataType)).alias("catalog"), F.coalesce("favorites", F.array().cast("array<string>")).alias("favorites"), F.coalesce("cart", F.create_map().cast("map<string,double>")).alias("cart")]
-    whole.select(F.to_json(F.struct("owner", *empty), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    row = F.struct(F.col(order).alias("_o"), F.struct(*schema.TEXTS, *schema.NUMBERS, "auto").alias("r")).alias("row")
+    rows = catalog.select(*keys, row).unionByName(cart.select(*keys, F.struct("product_id", "qty").alias("line")), allowMissingColumns=True)
+    liked = favorites.select(person, F.col("product_id").alias("liked"))
+    rows = rows.unionByName(liked, allowMissingColumns=True) if person == "owner" else rows.withColumn("liked", F.lit(None).cast("string"))
+    gathered = rows.repartition(F.col(person)).groupBy(*keys).agg(F.collect_list("row").alias("rows"), F.collect_list("line").alias("lines"), F.sort_array(F.collect_list("liked")).alias("favorites"))
+    if person != "owner":
+        theirs = liked.groupBy(person).agg(F.sort_array(F.collect_list("liked")).alias("favorites"))
+        gathered = gathered.drop("favorites").join(theirs, person, "left").withColumn("favorites", F.coalesce("favorites", F.array().cast("array<string>")))
+    whole = gathered.select("owner", F.transform(F.array_sort("rows"), lambda x: x["r"]).alias("catalog"), "favorites", F.map_from_entries(F.sort_array("lines")).alias("cart"))
+    whole.select(F.to_json(F.struct("owner", "catalog", "favorites", "cart"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path, compression="gzip")
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:

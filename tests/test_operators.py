@@ -130,6 +130,36 @@ def test_bundles_pass_or_fail_as_a_whole(spark, tmp_path):
     assert {r["owner"]: r["reason"] for r in rejected.collect()} == {"favorites": "form", "quantity": "quantity", "type": "type", "twice": "rule", "range": "rule", "form": "form"}
 
 
+def test_bundles_move_only_owners(spark, tmp_path, monkeypatch):
+    row = lambda i, **more: {k: "" for k in schema.TEXTS} | {"id": i, "store": "ポプラ", "category": "飲料", "name": "x"} | {k: None for k in schema.NUMBERS} | more
+    some = lambda n: {"catalog": [row(f"p{i}") for i in range(n)], "favorites": ["p1", "p1", "p9", "?"], "cart": {"p0": 2, "?": 1}}
+    lines = [{"owner": "one"} | some(3), {"owner": "both"} | some(1), {"owner": "both", "catalog": [row("p9")], "favorites": ["p0"], "cart": {}}, {"owner": "bad"} | some(2), {"owner": "bad"} | some(1), {"owner": "large"} | some(30)]
+    (tmp_path / "bundles").write_text("\n".join(map(json.dumps, lines)))
+    monkeypatch.setattr(io, "MOST_LOOKS", 100)
+    products, favorites, cart, rejected = io.read_catalog_bundles(spark, str(tmp_path / "bundles"))
+    assert sorted((r["owner"], r["id"]) for r in products.collect()) == sorted([("one", f"p{i}") for i in range(3)] + [("both", "p0"), ("both", "p9")] + [("large", f"p{i}") for i in range(30)])
+    assert sorted(tuple(r) for r in favorites.select("owner", "product_id").collect()) == [("both", "p0"), ("both", "p9"), ("large", "p1"), ("large", "p1"), ("large", "p9"), ("one", "p1"), ("one", "p1")]
+    assert sorted(tuple(r) for r in cart.select("owner", "product_id", "qty").collect()) == [("both", "p0", 2.0), ("large", "p0", 2.0), ("one", "p0", 2.0)]
+    assert [tuple(r) for r in rejected.collect()] == [("bad", "rule")]
+    (tmp_path / "bundles").write_text("\n".join(json.dumps({"owner": f"o{i}"} | some(2)) for i in range(9)))
+    for part in io.read_catalog_bundles(spark, str(tmp_path / "bundles"))[:3]:
+        assert part.count() and "Exchange" not in plan(part)
+
+
+def test_bundles_of_a_person(spark, tmp_path):
+    products = spark.createDataFrame([(o, u, i, "ポプラ", "x", "飲料") for o, u in (("a", "u"), ("b", "u"), ("c", "v")) for i in ("p", "q")], "owner string, user_id string, id string, store string, name string, category string")
+    for c in (*schema.TEXTS, *schema.NUMBERS, "auto"):
+        if c not in products.columns:
+            products = products.withColumn(c, F.lit(True) if c == "auto" else F.lit(None).cast("double") if c in schema.NUMBERS else F.lit(""))
+    cart = products.select("owner", "user_id", F.col("id").alias("product_id"), F.lit(2.0).alias("qty")).where("id = 'p'")
+    liked = spark.createDataFrame([("u", "q"), ("u", "p"), ("u", "x")], "user_id string, product_id string")
+    for name, person, theirs in (("of", "user_id", liked), ("each", "owner", liked.join(products.select("owner", "user_id").distinct(), "user_id").drop("user_id"))):
+        io.write_catalog_bundles(products, theirs, cart, str(tmp_path / name), person)
+        assert all(f.name.endswith(".gz") for f in (tmp_path / name).glob("part-*"))
+        found = sorted((r["owner"], r["favorites"], r["cart"]) for r in map(json.loads, [x["value"] for x in spark.read.text(str(tmp_path / name)).collect()]))
+        assert found == [("a", ["p", "q", "x"], {"p": 2.0}), ("b", ["p", "q", "x"], {"p": 2.0}), ("c", [], {"p": 2.0})]
+
+
 def test_sums_before_ranges(spark):
     import random
 
