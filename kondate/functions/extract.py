@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kondate import dims
-from kondate.functions.html import page_text, parse_html
+from kondate.functions.html import page_text, parse_html, spread
 from kondate.functions.text import general_format, guess_category, norm_text
 from kondate.functions.urls import host, host_store, original_host, stable_id, task_key
 from kondate.operators.metrics import finite
@@ -107,9 +107,9 @@ def extract_price(body: Column) -> Column:
 def extract_products(pages: DataFrame, run_date: str, hosts: dict[str, str] | None = None, original=original_host) -> DataFrame:
     """Per page (url, html, and others that are carried along): product, reason ('' if there is one), page.
 
-    Each page is parsed once; everything after that is one projection. A page that can't be parsed has its fault as reason.
+    Pages are dealt to all cores. Each is parsed once; everything after that is one projection. A page that can't be parsed has its fault as reason.
     """
-    rows = pick_product_heading(pages.withColumn("page", parse_html("html")).drop("html"), original)
+    rows = pick_product_heading(spread(pages).withColumn("page", parse_html("html")).drop("html"), original)
     body = _before(F.array_join(F.slice("page.texts", F.coalesce("heading.offset", F.lit(0)) + 1, F.size("page.texts")), " "), BODY_END)
     rows = rows.withColumns({"_name": F.col("heading.text"), "_body": F.when(F.col("heading").isNull() | (F.size("page.texts") <= F.col("heading.offset")), "").otherwise(body)})
     rows = rows.withColumn("_section", nutrition_section(F.col("_body")))
@@ -144,7 +144,7 @@ def extract_products(pages: DataFrame, run_date: str, hosts: dict[str, str] | No
 def extract_nutrition_preview(pages: DataFrame) -> DataFrame:
     """url, section, p, f, c, kcal of the first table's text, for a person to look at."""
     text = page_text("html")
-    rows = pages.select("url", text.alias("_text")).withColumn("_at", F.instr("_text", SECTION))
+    rows = spread(pages.select("url", "html")).select("url", text.alias("_text")).withColumn("_at", F.instr("_text", SECTION))
     rows = rows.withColumn("section", F.when(F.col("_at") > 0, F.substring(F.col("_text"), F.col("_at") + len(SECTION), F.lit(650))).otherwise(""))
     return rows.select("url", "section", *[_number(F.col("section"), rf"(?U){label}[\s:：]*([0-9]+(?:\.[0-9]+)?)\s*(?:g|kcal)").alias(name) for name, label in PREVIEW])
 

@@ -6,9 +6,11 @@ import re
 from collections import Counter
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kondate import dims
+from kondate.functions import extract, html
 from kondate.functions.html import parse_html
 from kondate.functions.urls import canonical_url, host, page_kind
 from kondate.operators import collection, frontier
@@ -127,6 +129,20 @@ def test_a_crawl_reaches_all(spark):
     assert found.count() == n + 1
 
 
+def test_pages_of_one_file_are_dealt_to_all_cores(spark):
+    pages = spark.createDataFrame([(f"https://a.example.com/{i}", product(f"n{i}", [])) for i in range(450)], "url string, html string").coalesce(1)
+    for found in (extract.extract_products(pages, "2024-01-31"), extract.extract_nutrition_preview(pages)):
+        assert found.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+        assert found.select("url").distinct().count() == 450
+
+
+def test_slices_of_a_batch(spark, monkeypatch):
+    assert [len(x) for x in html.slices(iter([pd.Series(["a"] * 450), pd.Series([], dtype=str)]))] == [200, 200, 50, 0]
+    rows = spark.range(1001).select("id", F.concat(F.lit("<h1>"), "id", F.lit("</h1>")).alias("html")).coalesce(1)
+    found = rows.select("id", html.page_text("html").alias("text"), parse_html("html")["texts"][0].alias("first")).collect()
+    assert sorted((r["id"], r["text"], r["first"]) for r in found) == [(i, str(i), str(i)) for i in range(1001)]
+
+
 def test_link_labels(spark):
     labels = ["ペットフード", "商品一覧", "会社案内", "チキン", "ビール", ""]
     text = "".join(f'<a href="/x{i}/">{x}</a><a href="/goods/{i}/"><img alt="{x}"></a>' for i, x in enumerate(labels))
