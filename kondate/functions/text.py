@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kondate import dims
+from kondate.functions.html import slices
 from kondate.functions.patterns import first_named
 
 # Words by category, in the order in which they count.
@@ -34,7 +35,7 @@ TAG_KEYS = ["brand", "name", "operator", "brand:en", "name:en"]
 @F.pandas_udf(T.StringType())
 def norm_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC, then case folding; Spark has neither."""
-    for part in texts:
+    for part in slices(texts):
         yield part.map(lambda s: unicodedata.normalize("NFKC", s).casefold(), na_action="ignore")
 
 
