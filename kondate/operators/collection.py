@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kondate import dims, schema
 from kondate.functions.extract import extract_products, shared_host_guard
+from kondate.functions.html import spread
 from kondate.functions.urls import canonical_url, original_host, page_kind
 from kondate.operators.frontier import MOST_ADDED, MOST_DEPTH, MOST_DETAIL, MOST_LISTS, MOST_PENDING, extract_links, next_frontier, skip_recent, visit_budget
 from kondate.operators.seen import SeenSet
@@ -41,7 +42,9 @@ class Collection:
         self.hosts = dims.hosts(self.spark).select("store", "host") if hosts is None else hosts
         self.most_depth, self.limits, self.most_pending, self.kind_of, self.original, self.canonical = most_depth, limits, most_pending, kind_of, original, canonical
         self.scratch, self.seen = Scratch(self.spark, "collect"), SeenSet(self.spark, f"{folder}/seen", buckets)
-        self.stored = self.scratch.table(pages.groupBy(canonical(F.col("url")).alias("url")).agg(F.min("html").alias("html")).where("url <> ''"), "pages")
+        # dealt by their content, as a file that one task reads may hold them all; addresses are made canonical behind that
+        dealt = pages.select("url", "html").repartition(3 * self.spark.sparkContext.defaultParallelism, "url", "html")
+        self.stored = self.scratch.table(dealt.groupBy(canonical(F.col("url")).alias("url")).agg(F.min("html").alias("html")).where("url <> ''"), "pages")
 
     # -- epochs
 
@@ -97,11 +100,12 @@ class Collection:
         if not level.limit(1).count():
             return False
         self.seen.add(level, epoch)
-        kinds = level.withColumn("kind", self.kind_of(F.col("url"))).where("kind <> ''")
+        name = f"{epoch}-{self.scratch.root[-8:]}"
+        # written, as every filter on a kind would work it out again; the level is dealt to all cores first
+        kinds = self.scratch.table(spread(level).withColumn("kind", self.kind_of(F.col("url"))), f"kinds-{name}").where("kind <> ''")
         due = kinds.where("kind = 'list'").unionByName(skip_recent(kinds.where("kind <> 'list'"), self.products, self.run_date))
         found = extract_products(due.join(self.stored, "url", "left").withColumn("stored", F.col("html").isNotNull()), self.run_date, None, self.original)
         held = shared_host_guard(found, self.hosts).withColumn("product", F.when(F.col("stored") & (F.col("kind") != "list"), F.col("product")))
-        name = f"{epoch}-{self.scratch.root[-8:]}"
         held = self.scratch.table(held.withColumn("gains", F.col("product").isNotNull().cast("int")), f"extracted-{name}")
         here = self.scratch.table(visit_budget(held, counts.select("store", "added", "detail", "lists"), self.limits), f"visited-{name}")
         broken = ~F.col("stored") | F.col("page.fault").isNotNull()

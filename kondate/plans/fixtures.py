@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kondate import dims
+from kondate.functions.html import spread
 from kondate.functions.urls import host
 
 RUN_DATE = "2024-01-31"
@@ -178,7 +179,7 @@ def linked_pages(spark: SparkSession, sf_dir: str, broken: Column | None = None)
     more = F.concat(F.lit("<p>デイリーヤマザキ</p>"), link(2 * F.col("ord")), link(2 * F.col("ord") + 1), F.lit('<a href="/news/1/">x</a><a href="/goods/9/">ビール</a>'))
     if broken is not None:
         more = F.when(broken, F.concat(more, F.lit(BROKEN))).otherwise(more)
-    return catalog(spark, sf_dir).where("ord > 0").select("url", page_of_product(more=more).alias("html"))
+    return spread(catalog(spark, sf_dir).where("ord > 0")).select("url", page_of_product(more=more).alias("html"))
 
 
 def link_offers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

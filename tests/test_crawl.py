@@ -151,6 +151,24 @@ def test_pages_of_one_file_are_dealt_to_all_cores(spark):
         assert found.select("url").distinct().count() == 450
 
 
+def test_parts_of_pages_go_by_cores(spark):
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert html.spread(spark.range(9)).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
+
+
+def test_addresses_of_links_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("s", "https://a.example.com/", 0, 1, '<a href="/goods/1/">x</a>')], "store string, url string, depth int, seq long, html string").withColumn("page", parse_html("html"))
+    hosts = spark.createDataFrame([("s", "a.example.com")], "store string, host string")
+    found = frontier.extract_links(rows, hosts, lambda u: F.concat(u, F.lit("MARK1")), lambda u: F.when(u.endswith("MARK2"), "list").otherwise("generic"), lambda h: h.isNotNull())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("MARK1"), plan.count("MARK2")) == (1, 1)
+    assert [r["url"] for r in found.collect()] == ["https://a.example.com/goods/1/MARK1"]
+
+
 def test_slices_of_a_batch(spark, monkeypatch):
     assert [len(x) for x in html.slices(iter([pd.Series(["a"] * 450), pd.Series([], dtype=str)]))] == [200, 200, 50, 0]
     rows = spark.range(1001).select("id", F.concat(F.lit("<h1>"), "id", F.lit("</h1>")).alias("html")).coalesce(1)
