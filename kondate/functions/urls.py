@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kondate import dims
@@ -137,6 +137,11 @@ def _kind(h: Column, p: Column, known: HostTest, original: HostTest) -> Column:
     return kind.otherwise("list")
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column that filters above don't work out again: they can't be moved below a generator."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def task_key(store: Column, url: Column) -> Column:
     return F.concat(store, F.lit("|"), url)
 

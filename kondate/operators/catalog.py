@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kondate import dims, schema
-from kondate.functions.urls import canonical_url, task_key
+from kondate.functions.html import spread
+from kondate.functions.urls import canonical_url, once, task_key
 from kondate.operators.quality import with_migrated_category
 from kondate.operators.rank import last_wins
+from kondate.tables import Scratch
 
 FIELDS = [*schema.TEXTS, *schema.NUMBERS, "auto"]
 
@@ -21,13 +23,14 @@ def merge_catalog(catalog: DataFrame, incoming: DataFrame, stores: list[str] = d
     row edited by hand stays. Of incoming rows with one key the first makes a new row and the last has its fields.
     Appended rows come behind the catalog in order of seq.
     """
-    address = canonical(F.col("url"))
-    keyed = catalog.withColumn("_key", F.when(address != "", task_key(F.col("store"), address)))
+    # dealt to all cores and written, as a file that one task reads may hold all rows, and three steps need their keys
+    addressed = once(spread(catalog), "_address", canonical(F.col("url")))
+    keyed = Scratch(catalog.sparkSession, "merge").table(addressed.withColumn("_key", F.when(F.col("_address") != "", task_key(F.col("store"), F.col("_address")))).drop("_address"), "keyed")
     loose = keyed.where("_key is null").drop("_key")
     target = keyed.where("_key is not null")
     last = target.groupBy("_key").agg(F.max("ord").alias("_last"))
     target = target.join(last, "_key").withColumn("_is_target", F.col("ord") == F.col("_last"))
-    rows = with_migrated_category(incoming).where(F.col("store").isin(stores)).withColumn("_key", task_key(F.col("store"), F.col("url")))
+    rows = with_migrated_category(spread(incoming)).where(F.col("store").isin(stores)).withColumn("_key", task_key(F.col("store"), F.col("url")))
     ends = lambda f, name: f(F.struct("seq", *FIELDS)).alias(name)
     new = rows.groupBy("_key").agg(ends(F.min, "_first"), ends(F.max, "_new"))
     joined = target.where("_is_target").drop("_is_target", "_last").alias("t").join(new.alias("n"), "_key", "full_outer")

@@ -289,3 +289,13 @@ def test_hot_keys_are_dealt_to_several_tasks(spark):
     total = 6000 // 50
     parts = rows.withColumn("part", F.pmod(F.xxhash64("k", "id"), F.ceil(F.lit(rows.where("k = 7").count()) / total))).where("k = 7").groupBy("part").count()
     assert parts.agg(F.max("count")).first()[0] < 2 * total
+
+
+def test_addresses_of_a_catalog_are_worked_out_once(spark):
+    fields = ", ".join([*[f"{c} string" for c in schema.TEXTS], *[f"{c} double" for c in schema.NUMBERS], "auto boolean"])
+    row = lambda i, url: (i, "ポプラ", "n", "主食", "1食", url, "", "", 1.0, 1.0, 1.0, 1.0, 1.0, True)
+    base = spark.createDataFrame([(*row("a", "u1"), 1), (*row("b", "u1"), 2), (*row("c", ""), 3)], f"{fields}, ord long").coalesce(1)
+    new = spark.createDataFrame([(*row("n", "u1"), 1), (*row("m", "u2"), 2)], f"{fields}, seq long")
+    found = catalog.merge_catalog(base, new, canonical=lambda u: F.when(u != "MARK", u))
+    assert "MARK" not in found._jdf.queryExecution().optimizedPlan().toString()  # written before the steps that need it
+    assert sorted(r["id"] for r in found.collect()) == ["a", "b", "c", "m"]
