@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kondate import dims
+from kondate.functions.html import spread
 from kondate.functions.text import norm_text
 from kondate.operators.cart import favorites_only
 from kondate.operators.filters import filter_items, with_search_text
@@ -76,12 +77,13 @@ def search_requests(catalog: DataFrame, requests: DataFrame, size: int = 20) ->
     those, else ValueError. Requests whose target leaves no room for carbohydrate get nothing.
     """
     scratch = Scratch(catalog.sparkSession, "search")
-    asked, same = _asked(requests)
+    # requests and catalog are dealt to all cores: words and grams cost much, and a file that one task reads may hold them all
+    asked, same = _asked(spread(requests))
     asked = scratch.table(asked.withColumn("search", F.sha2(F.to_json(F.struct(*same)), 256)), "asked")
     run = F.concat_ws(":", "sort", F.when(F.col("sort") == "balance", F.concat_ws(":", "tp", "tf")))
     searches = scratch.table(asked.groupBy("search").agg((F.max("page") * size).alias("wanted"), *[F.first(c).alias(c) for c in same]).withColumn("run", run), "searches")
     wanted = searches.agg(F.max("wanted")).first()[0] or 0
-    rows = scratch.table(with_search_text(catalog).select("store", "ord", "name", "p", "f", "c", "kcal", "price", "unit", "category", "search_text"), "rows")
+    rows = scratch.table(with_search_text(spread(catalog)).select("store", "ord", "name", "p", "f", "c", "kcal", "price", "unit", "category", "search_text"), "rows")
     index = TextIndex(rows.select("ord", "search_text"), scratch)
     words = scratch.table(searches.select("search", "wanted", F.explode("_words").alias("word")), "words")
     bounds = scratch.table(index.bounds(words.select("word").distinct()), "bounds")

@@ -299,3 +299,18 @@ def test_addresses_of_a_catalog_are_worked_out_once(spark):
     found = catalog.merge_catalog(base, new, canonical=lambda u: F.when(u != "MARK", u))
     assert "MARK" not in found._jdf.queryExecution().optimizedPlan().toString()  # written before the steps that need it
     assert sorted(r["id"] for r in found.collect()) == ["a", "b", "c", "m"]
+
+
+def test_rows_of_one_file_are_indexed_on_all_cores(spark, monkeypatch):
+    parts = {}
+
+    class Index(text_index.TextIndex):
+        def __init__(self, rows, scratch):
+            parts["catalog"] = rows.rdd.getNumPartitions()
+            super().__init__(rows, scratch)
+
+    monkeypatch.setattr(search, "TextIndex", Index)
+    rows = fx.catalog(spark, "/root/testdata/sf0.001").coalesce(1)
+    asked = spark.createDataFrame([("r1", ["ポプラ"], "red", None, 0.0, 0.0, 0.0, 0.0, "price", 20.0, 25.0, 1)], search.REQUEST)
+    search.search_requests(rows, asked)
+    assert parts["catalog"] > 1
