@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,18 +32,18 @@ FEW_ALIASES = 64
 TAG_KEYS = ["brand", "name", "operator", "brand:en", "name:en"]
 
 
-@F.pandas_udf(T.StringType())
-def norm_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKC, then case folding; Spark has neither."""
-    for part in slices(texts):
-        yield part.map(lambda s: unicodedata.normalize("NFKC", s).casefold(), na_action="ignore")
-
-
 def normalised_word(word: str) -> str:
-    """The same for a parameter on the driver."""
+    """NFKC, then case folding, for a parameter on the driver."""
     return unicodedata.normalize("NFKC", word).casefold()
 
 
+@F.arrow_udf(T.StringType())
+def norm_text(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same for a column; Spark has neither."""
+    for part in slices(texts):
+        yield pa.array([normalised_word(x.as_py()) if x.is_valid else None for x in part], pa.string())
+
+
 def guess_category(name: Column, words: list[tuple[str, str]] = CATEGORY_WORDS, other: str = dims.OTHER) -> Column:
     out = None
     for pattern, category in words:

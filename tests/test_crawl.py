@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kondate import dims
 from kondate.functions import extract, html
 from kondate.functions.html import parse_html
+from kondate.functions.text import norm_text
 from kondate.functions.urls import canonical_url, host, page_kind
 from kondate.operators import collection, frontier
 from kondate.operators.seen import SeenSet
@@ -176,6 +177,23 @@ def test_slices_of_a_batch(spark, monkeypatch):
     assert sorted((r["id"], r["text"], r["first"]) for r in found) == [(i, str(i), str(i)) for i in range(1001)]
 
 
+def test_batches_stay_as_sent():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    for helper, columns in ((html.parse_html, 1), (html.page_text, 1), (html.resolve_link, 2), (norm_text, 1)):
+        sent = pa.array([f"<p>{i:05}" + " " * 10_000 for i in range(3000)])
+        batch = iter([sent if columns == 1 else (sent, sent)])
+        tracemalloc.start()
+        found = [len(x) for x in helper.func(batch)]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == [html.SLICE] * 15
+        assert most < sent.nbytes / 2
+    assert norm_text.func(iter([pa.array(["Ａ", None, ""])])).__next__().to_pylist() == ["a", None, ""]
+
+
 def test_link_labels(spark):
     labels = ["ペットフード", "商品一覧", "会社案内", "チキン", "ビール", ""]
     text = "".join(f'<a href="/x{i}/">{x}</a><a href="/goods/{i}/"><img alt="{x}"></a>' for i, x in enumerate(labels))
