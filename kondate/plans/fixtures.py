@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kondate import dims
 from kondate.functions.html import spread
 from kondate.functions.urls import host
+from kondate.tables import deal_rows
 
 RUN_DATE = "2024-01-31"
 URLS = "https://www.daily-yamazaki.jp/goods/"
@@ -66,7 +67,9 @@ metrics AS (
 
 
 def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    rows = table(spark, sf_dir, "lineitem")
+    # dealt first, as nearly all pairs differ and sums before the shuffle would hold each row of a file's part
+    lines = deal_rows(rows.select("l_orderkey", "l_partkey", "l_quantity"), rows.count(), "l_orderkey", "l_partkey").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
     return lines.select(F.col("l_orderkey").cast("string").alias("cart_id"), F.concat(F.lit("p"), "l_partkey").alias("product_id"), F.least(F.col("q"), F.lit(100.0)).alias("qty"))
 
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task gets, about, of a table that is dealt by its counted rows.
+TASK_ROWS = 500_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where a local session names none, as in tests."""
@@ -22,6 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def deal_rows(rows: DataFrame, counted: int, *keys: str) -> DataFrame:
+    """Rows by keys in as many parts as `counted` rows need, at least one for each core.
+
+    An aggregation by the keys then needs the memory of about TASK_ROWS rows a task, however many the table has; parts
+    that Spark cuts by bytes hold millions of short rows, and a task keeps a buffer for each of their keys.
+    """
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-counted // TASK_ROWS))
+    return rows.repartition(parts, *keys)
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
 

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kondate import dims, schema
-from kondate.operators import catalog, filters, frontier, geo, meals, metrics, quality, rank, skew, text_index
+from kondate import dims, schema, tables
+from kondate.operators import cart, catalog, filters, frontier, geo, meals, metrics, quality, rank, skew, text_index
 from kondate.plans import fixtures as fx
 from kondate.plans import search
 from kondate.sources import io
@@ -314,3 +314,17 @@ def test_rows_of_one_file_are_indexed_on_all_cores(spark, monkeypatch):
     asked = spark.createDataFrame([("r1", ["ポプラ"], "red", None, 0.0, 0.0, 0.0, 0.0, "price", 20.0, 25.0, 1)], search.REQUEST)
     search.search_requests(rows, asked)
     assert parts["catalog"] > 1
+
+
+def test_cart_lines_are_dealt_by_rows(spark, data, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    lines = fx.table(spark, data, "lineitem").count()
+    carts, products = fx.carts(spark, data), fx.catalog(spark, data)
+    held = lambda df: df.rdd.glom().map(len).collect()
+    assert len(held(carts)) == -(-lines // 500) and max(held(carts)) < 1000
+    pairs = carts.select("cart_id", "product_id").distinct().count()
+    assert carts.count() == pairs
+    found = {r["cart_id"]: r for r in cart.cart_totals(cart.cart_lines(carts, products)).collect()}
+    rows = fx.table(spark, data, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("cart_id")).agg(F.count_distinct("l_partkey").alias("n"))
+    assert {r["cart_id"] for r in rows.collect()} == found.keys()
+    assert sum(r["n"] for r in rows.collect()) == pairs
