@@ -13,6 +13,8 @@ from kondate.functions.urls import safe_link
 from kondate.operators.metrics import finite
 
 MOST_TEXT, MOST_NUMBER, MOST_ROWS = 2000, 100_000, 40_000
+#: Addresses that are safe links, or none, at a glance; others may be, too.
+_PLAIN_LINK = r"^(https://[A-Za-z0-9.-]+(/[A-Za-z0-9/._~%-]*)?)?\z"
 
 
 class InvalidCatalog(ValueError):
@@ -33,6 +35,24 @@ def violations(stores: list[str] = dims.STORES, names: list[str] = dims.CATEGORI
     return F.array_compact(F.array(*broken))
 
 
+def surely_right(rows: Column, stores: list[str] = dims.STORES, names: list[str] = dims.CATEGORIES) -> Column:
+    """Whether an array of products breaks none of the ``violations``, repeats no id, lacks no field but numbers and needs no other category.
+
+    False only says that the rules themselves have to tell. It looks at the arrays of the fields by functions that Spark compiles;
+    what stands in a lambda is interpreted for each row, which takes many times as long for all the rules.
+    """
+    texts = F.flatten(F.array(*[rows[k] for k in schema.TEXTS]))
+    numbers = F.flatten(F.array(*[rows[k] for k in schema.NUMBERS]))
+    listed = lambda k, known: F.size(F.array_except(rows[k], F.array(*map(F.lit, known)))) == 0
+    # null, and so not right, where any text is null
+    there = ~F.array_contains(texts, F.lit("\0"))
+    short = (F.length(F.array_join(texts, "")) <= MOST_TEXT) | F.forall(texts, lambda t: F.length(t) <= MOST_TEXT)
+    in_range = F.coalesce((F.array_min(numbers) >= 0) & (F.array_max(numbers) <= MOST_NUMBER), F.lit(True))
+    unlike = (F.size(rows) <= MOST_ROWS) & (F.size(F.array_distinct(rows["id"])) == F.size(rows))
+    right = listed("store", stores) & listed("category", names) & listed("auto", (True, False)) & there & short & in_range & unlike & F.forall(rows["url"], lambda u: u.rlike(_PLAIN_LINK))
+    return F.coalesce(right, F.lit(False))
+
+
 def validate(catalog: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
     """The rows, categories migrated, with the names of the rules they break; every row of an id that repeats breaks one.
 

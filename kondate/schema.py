@@ -8,6 +8,8 @@ TEXTS = ("id", "store", "name", "category", "unit", "url", "checked", "note")
 NUMBERS = ("p", "f", "c", "kcal", "price")
 
 PRODUCT = T.StructType([T.StructField(k, T.StringType()) for k in TEXTS] + [T.StructField(k, T.DoubleType()) for k in NUMBERS] + [T.StructField("auto", T.BooleanType())])
+#: A bundle with its owner, as a line holds it.
+BUNDLE = T.StructType([T.StructField("owner", T.StringType()), T.StructField("catalog", T.ArrayType(PRODUCT)), T.StructField("favorites", T.ArrayType(T.StringType())), T.StructField("cart", T.MapType(T.StringType(), T.DoubleType()))])
 PAGE = "url string, html string"
 _LINK = T.StructType([T.StructField("href", T.StringType()), T.StructField("label", T.StringType())])
 _HEADING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("offset", T.IntegerType())])

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from kondate import dims, schema
 from kondate.functions.text import migrate_category
 from kondate.operators.cart import prune_orphans
-from kondate.operators.quality import MOST_ROWS, InvalidCatalog, cart_is_valid, strict, typed_product, typed_variant, validate, violations
+from kondate.operators.quality import MOST_ROWS, InvalidCatalog, cart_is_valid, strict, surely_right, typed_product, typed_variant, validate, violations
 from kondate.operators.rank import last_wins
 from kondate.sources import log
-from kondate.tables import Scratch
+from kondate.tables import Scratch, deal_rows
 
 MOST_LOG_BYTES, MOST_BUNDLE_BYTES = 100_000_000, 20_000_000
 #: Comparisons of favorites and lines with products up to which a bundle's orphans are found in its row.
@@ -29,6 +29,12 @@ def _well_formed() -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
+def _as_written(value: Column, typed: Column) -> Column:
+    """Whether a line is letter by letter what its typed values are written as: then its types are right, as "3" and 3 differ. Keys that repeat are left to the variant."""
+    cart = typed["cart"]
+    return F.coalesce((F.to_json(typed, {"ignoreNullFields": "false"}) == value) & typed["favorites"].isNotNull() & (F.size(F.array_distinct(F.map_keys(cart))) == F.size(cart)), F.lit(False))
+
+
 def _bundle_items(whole: DataFrame, *carried: str) -> DataFrame:
     items = whole.select(*carried, F.posexplode(F.try_variant_get("v", "$.catalog", "array<variant>")).alias("ord", "item"))
     return items.select(*carried, F.col("ord").cast("long").alias("ord"), typed_variant(F.col("item")).alias("x"))
@@ -86,27 +92,32 @@ def read_catalog_bundles(spark: SparkSession, path: str, stores: list[str] = dim
 
     A bundle passes or fails as a whole, by the rules of ``read_catalog_bundle``; bundles are checked side by side.
     A line is judged, and its orphans dropped, where it is read: nothing but owners is shuffled. What lines of one owner
-    say is put together before it is judged, and large bundles find their orphans by joins.
+    say is put together before it is judged, and large bundles find their orphans by joins. Lines as the writer writes them
+    that surely break no rule are read by a schema; the others are read as variants, which keep types apart, and judged by each rule.
     """
     scratch = Scratch(spark, "bundles")
-    whole = spark.read.text(path).select(F.octet_length("value").alias("bytes"), F.try_parse_json("value").alias("v"))
-    whole = whole.withColumn("owner", F.try_variant_get("v", "$.owner", "string"))
-    form = F.when(F.col("bytes") > MOST_BUNDLE_BYTES, "size").when(~_well_formed(), "form")
+    whole = spark.read.text(path).select("value", F.octet_length("value").alias("bytes"))
+    typed = whole.select("value", "bytes", F.when(F.col("bytes") <= MOST_BUNDLE_BYTES, F.from_json("value", schema.BUNDLE)).alias("typed"))
+    plain = typed.select("value", "bytes", F.when(_as_written(F.col("value"), F.col("typed")) & surely_right(F.col("typed.catalog"), stores), F.col("typed")).alias("plain"))
+    other = plain.select("bytes", "plain", F.when(F.col("plain").isNull(), F.try_parse_json("value")).alias("v"))
+    form = F.when(F.col("plain").isNull(), F.when(F.col("bytes") > MOST_BUNDLE_BYTES, "size").when(~_well_formed(), "form"))
     get = lambda at, kind: F.when(form.isNull(), F.try_variant_get("v", at, kind))
     known = F.filter(F.transform(get("$.catalog", "array<variant>"), typed_variant), lambda x: x["product"]["store"].isin(stores))
-    read = whole.select("owner", form.alias("form"), known.alias("known"), get("$.favorites", "array<string>").alias("favorites"), get("$.cart", "map<string,variant>").alias("cart"))
-    lines = F.transform(F.map_entries("cart"), lambda e: F.struct(e["key"].alias("product_id"), _quantity(e["value"]).alias("qty")))
-    judged = read.select("owner", "form", "favorites", lines.alias("lines"), F.transform(F.array("known"), lambda x: _judged(x, stores))[0].alias("x"))
+    owner = F.when(F.col("plain").isNull(), F.try_variant_get("v", "$.owner", "string")).otherwise(F.col("plain.owner"))
+    read = other.select("plain", owner.alias("owner"), form.alias("form"), known.alias("known"), F.coalesce("plain.favorites", get("$.favorites", "array<string>")).alias("favorites"), get("$.cart", "map<string,variant>").alias("cart"))
+    line = lambda quantity: lambda e: F.struct(e["key"].alias("product_id"), quantity(e["value"]).alias("qty"))
+    lines = F.coalesce(F.transform(F.map_entries("plain.cart"), line(lambda q: q)), F.transform(F.map_entries("cart"), line(_quantity)))
+    judged = read.select("owner", "form", "favorites", lines.alias("lines"), F.transform(F.array("known"), lambda x: _judged(x, stores))[0].alias("x"), F.col("plain.catalog").alias("catalog"))
+    judged = judged.select("owner", "form", "favorites", "lines", "x.reason", F.coalesce("catalog", "x.catalog").alias("catalog"))
     quantity = F.when(F.exists("lines", lambda e: ~F.coalesce(cart_is_valid(e["qty"]), F.lit(True))), "quantity")
-    reason = F.array_min(F.array_compact(F.array("form", quantity, "x.reason")))
-    ids = F.transform("x.catalog", lambda p: p["id"])
-    there = F.map_from_arrays(F.array_distinct(F.filter(ids, lambda i: i.isNotNull())), F.array_repeat(F.lit(True), F.size(F.array_distinct(F.filter(ids, lambda i: i.isNotNull())))))
+    reason = F.array_min(F.array_compact(F.array("form", quantity, "reason")))
+    there = F.array_except("catalog.id", F.array(F.lit(None).cast("string")))
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    large = (count("favorites") + count("lines")) * count("x.catalog") > MOST_LOOKS
-    judged = judged.select("owner", "favorites", "lines", "x.catalog", reason.alias("reason"), large.alias("large"), F.when(reason.isNull() & ~large, there).alias("there"))
-    kept = lambda rows, key: F.when(F.col("there").isNotNull(), F.filter(rows, lambda r: F.map_contains_key("there", key(r))))
-    favorites, cart = kept("favorites", lambda r: F.coalesce(r, F.lit(""))), kept("lines", lambda r: r["product_id"])
-    bundles = scratch.table(judged.select("owner", "reason", "large", F.when(F.col("reason").isNull(), F.col("catalog")).alias("catalog"), F.filter(favorites, lambda r: r.isNotNull()).alias("favorites"), cart.alias("cart")), "judged")
+    large = (count("favorites") + count("lines")) * count("catalog") > MOST_LOOKS
+    judged = judged.select("owner", "favorites", "lines", "catalog", reason.alias("reason"), large.alias("large"), F.when(reason.isNull() & ~large, there).alias("there"))
+    kept = lambda rows, key: F.when(F.col("there").isNotNull(), F.filter(rows, lambda r: F.array_contains("there", key(r))))
+    favorites, cart = kept("favorites", lambda r: r), kept("lines", lambda r: r["product_id"])
+    bundles = scratch.table(judged.select("owner", "reason", "large", F.when(F.col("reason").isNull(), F.col("catalog")).alias("catalog"), favorites.alias("favorites"), cart.alias("cart")), "judged")
     several = scratch.table(bundles.groupBy("owner").agg(F.count("*").alias("n"), F.max("large").alias("large")).where("n > 1 or large or owner is null").select("owner"), "several")
     rows = bundles.select("owner", F.posexplode("catalog").alias("ord", "x")).select("owner", "x.*", F.col("ord").cast("long").alias("ord"))
     parts = [rows, bundles.select("owner", F.explode("favorites").alias("product_id")), bundles.select("owner", F.explode("cart").alias("x")).select("owner", "x.*"), bundles.where("reason is not null").select("owner", "reason")]
@@ -114,6 +125,7 @@ def read_catalog_bundles(spark: SparkSession, path: str, stores: list[str] = dim
         return parts[0], parts[1], parts[2], parts[3]
     same = F.col("owner").eqNullSafe(F.col("_owner"))
     named = several.withColumnRenamed("owner", "_owner")
+    whole = whole.select("bytes", F.try_parse_json("value").alias("v")).withColumn("owner", F.try_variant_get("v", "$.owner", "string"))
     together = _read_together(whole.join(named, same, "left_semi"), scratch, stores)
     both = [part.join(named, same, "left_anti").unionByName(more.select(part.columns)) for part, more in zip(parts, together, strict=True)]
     return both[0], both[1], both[2], both[3]
@@ -158,20 +170,23 @@ def write_catalog_bundles(catalog: DataFrame, favorites: DataFrame, cart: DataFr
     each bundle of a person gets all of their favorites where it is written. Rows are shuffled once, by person.
     What goes into one value is checked before: no owner may have more rows of a kind than a bundle may hold.
     """
-    keys = list(dict.fromkeys((person, "owner")))
+    keys, counted = list(dict.fromkeys((person, "owner"))), 0
     for part, key in ((catalog, "owner"), (favorites, person), (cart, "owner")):
-        if part.groupBy(key).count().where(F.col("count") > MOST_ROWS).limit(1).count():
+        n, most = part.groupBy(key).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+        if most > MOST_ROWS:
             raise InvalidCatalog(f"an owner has more than {MOST_ROWS} rows")
+        counted += n
     order = "ord" if "ord" in catalog.columns else "id"
     row = F.struct(F.col(order).alias("_o"), F.struct(*schema.TEXTS, *schema.NUMBERS, "auto").alias("r")).alias("row")
     rows = catalog.select(*keys, row).unionByName(cart.select(*keys, F.struct("product_id", "qty").alias("line")), allowMissingColumns=True)
     liked = favorites.select(person, F.col("product_id").alias("liked"))
     rows = rows.unionByName(liked, allowMissingColumns=True) if person == "owner" else rows.withColumn("liked", F.lit(None).cast("string"))
-    gathered = rows.repartition(F.col(person)).groupBy(*keys).agg(F.collect_list("row").alias("rows"), F.collect_list("line").alias("lines"), F.sort_array(F.collect_list("liked")).alias("favorites"))
+    gathered = deal_rows(rows, counted, person).groupBy(*keys).agg(F.collect_list("row").alias("rows"), F.collect_list("line").alias("lines"), F.sort_array(F.collect_list("liked")).alias("favorites"))
     if person != "owner":
-        theirs = liked.groupBy(person).agg(F.sort_array(F.collect_list("liked")).alias("favorites"))
-        gathered = gathered.drop("favorites").join(theirs, person, "left").withColumn("favorites", F.coalesce("favorites", F.array().cast("array<string>")))
-    whole = gathered.select("owner", F.transform(F.array_sort("rows"), lambda x: x["r"]).alias("catalog"), "favorites", F.map_from_entries(F.sort_array("lines")).alias("cart"))
+        theirs = deal_rows(liked, counted, person).groupBy(person).agg(F.sort_array(F.collect_list("liked")).alias("favorites"))
+        # hashed, as the bundles, which are wide, would be sorted to be merged
+        gathered = gathered.drop("favorites").join(theirs.hint("shuffle_hash"), person, "left").withColumn("favorites", F.coalesce("favorites", F.array().cast("array<string>")))
+    whole = gathered.select("owner", F.sort_array("rows")["r"].alias("catalog"), "favorites", F.map_from_entries(F.sort_array("lines")).alias("cart"))
     whole.select(F.to_json(F.struct("owner", "catalog", "favorites", "cart"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path, compression="gzip")
 
 

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kondate import dims, schema, tables
 from kondate.operators import cart, catalog, filters, frontier, geo, meals, metrics, quality, rank, skew, text_index
@@ -155,6 +156,72 @@ def test_bundles_move_only_owners(spark, tmp_path, monkeypatch):
         assert part.count() and "Exchange" not in plan(part)
 
 
+def test_written_bundles_skip_the_rules(spark, tmp_path, monkeypatch):
+    rows = [(f"o{i % 7}", f"p{i}", "ポプラ", "x", "主食", 0.5 * i if i % 5 else None) for i in range(40)]
+    products = spark.createDataFrame(rows, "owner string, id string, store string, name string, category string, p double")
+    for c in (*schema.TEXTS, *schema.NUMBERS, "auto"):
+        if c not in products.columns:
+            products = products.withColumn(c, F.lit(False) if c == "auto" else F.lit(None).cast("double") if c in schema.NUMBERS else F.lit("https://a.b/c/" if c == "url" else ""))
+    cart = products.select("owner", F.col("id").alias("product_id"), F.when(F.col("owner") == "o3", 101.0).otherwise(2.5).alias("qty"))
+    liked = spark.createDataFrame([("o1", "p1"), ("o1", "p1"), ("o1", "p2"), ("o2", None)], "owner string, product_id string")
+    monkeypatch.setattr("kondate.tables.TASK_ROWS", 10)
+    io.write_catalog_bundles(products, liked, cart, str(tmp_path / "bundles"))
+    assert len(list((tmp_path / "bundles").glob("part-*"))) > 4
+    monkeypatch.setattr(io, "_judged", lambda x, stores: F.struct(F.when(x.isNotNull(), "asked").alias("reason"), F.transform(x, lambda i: i["product"]).alias("catalog")))
+    back, favorites, lines, rejected = io.read_catalog_bundles(spark, str(tmp_path / "bundles"))
+    assert [tuple(r) for r in rejected.collect()] == [("o3", "quantity")]
+    assert sorted(tuple(r)[:2] for r in back.select("owner", "id").collect()) == sorted(r[:2] for r in rows if r[0] != "o3")
+    assert {tuple(r) for r in back.select("owner", "id", "store", "name", "category", "p").collect()} == {r for r in rows if r[0] != "o3"}
+    assert [tuple(r) for r in favorites.select("owner", "product_id").collect()] == [("o1", "p1")] * 2
+    assert {tuple(r) for r in lines.collect()} == {(r[0], r[1], 2.5) for r in rows if r[0] != "o3"}
+
+
+def test_bundles_read_by_a_schema_or_as_variants(spark, tmp_path, monkeypatch):
+    row = lambda i="a", **more: {k: "" for k in schema.TEXTS} | {"id": i, "store": "ポプラ", "category": "主食", "name": "x"} | {k: None for k in schema.NUMBERS} | {"auto": True} | more
+    bundle = lambda *rows, favorites=("a", "b", "a", "?"), cart={"a": 2.0, "?": 1.0}: {"catalog": list(rows), "favorites": favorites, "cart": cart}  # noqa: B006, E731
+    odd = [{"p": 3}, {"p": 3.5}, {"p": "3"}, {"p": True}, {"p": -1.0}, {"p": 100000.0}, {"p": 100000.5}, {"name": None}, {"name": 3}, {"name": "x" * 2000}, {"name": "あ" * 2001}, {"note": "a\nb\u0001\"/"}, {"store": "?"}, {"category": "飲料"}, {"category": "?"}, {"auto": None}, {"auto": "no"}, {"id": None}, {"more": 1}]
+    odd += [{"url": u} for u in ("https://a.b/c/?d#e", "https://u@a.b/", "http://a.b/", "https:///a", "https://[a/", "https://a.b/\n", "https://a.b c", None)]
+    some = [bundle(row(**o)) for o in odd] + [bundle(row("b"), row(**o)) for o in odd] + [bundle(), bundle(None), bundle(row(), row()), bundle(row()) | {"catalog": None}, bundle(row()) | {"more": 1}, [bundle(row())], 3]
+    some += [bundle(row(), cart=c) for c in ({}, {"a": 0.0}, {"a": 100.0}, {"a": 100.5}, {"a": None}, {"a": "2"}, {"a": True}, {"a": 1e-7, "b": 1e300}, [], None)] + [bundle(row("a"), row("b"), favorites=f) for f in ([], [None, "a"], ["b", "a", "b"], [1], None)]
+    dumped = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    lines = [dumped({"owner": f"o{i}"} | b if isinstance(b, dict) else b) for i, b in enumerate(some)]
+    twice = dumped({"owner": "twice"} | bundle(row(), cart={"a": 2.0, "b": 1.0}))
+    lines += [twice.replace('"b":1.0', '"a":1.0'), twice.replace("twice", "again").replace('"name":"x"', '"name":"x","name":"x"'), twice.replace("twice", "spaced").replace(":", ": "), twice.replace("twice", "more") + "x", twice.replace("twice", "cut")[:-1], "", dumped({"owner": None} | bundle(row())), dumped({"owner": 3} | bundle(row()))]
+    (tmp_path / "bundles").write_text("\n".join(lines))
+
+    def read():
+        return [sorted(map(repr, (tuple(r[c] for c in sorted(r.asDict())) for r in part.collect()))) for part in io.read_catalog_bundles(spark, str(tmp_path / "bundles"))]
+
+    found = read()
+    assert all(map(len, found)) and {"'form'", "'type'", "'rule'", "'quantity'"} <= {x.split(", ")[-1].rstrip(")") for x in found[3]}
+    asked = []
+    monkeypatch.setattr(io, "surely_right", lambda rows, stores: asked.append(1) or F.lit(False))
+    assert read() == found and asked
+
+
+def test_surely_right_rows_break_no_rule(spark):
+    rng = random.Random(3)
+    texts = ["", "x", "https://a.b", "https://a.b/%E3/", "https://a@b/", "x" * 1999, "x" * 2001, "主食", "?", None]
+    fields = [(k, [rng.choice(texts) for _ in range(3)]) for k in ("name", "unit", "url", "checked", "note")]
+    rows = []
+    for i in range(600):
+        made = []
+        for j in range(rng.randrange(4)):
+            x = {k: "" for k in schema.TEXTS} | {"id": f"p{j}", "store": "ポプラ", "name": "x", "category": "主食", "auto": True} | {k: rng.choice([None, 0.0, 1.5, 1e5]) for k in schema.NUMBERS}
+            if rng.random() < 0.4:
+                x[rng.choice(fields)[0]] = rng.choice(texts)
+            if rng.random() < 0.3:
+                k, v = rng.choice([("p", -1.0), ("kcal", 1e5 + 1), ("price", float("nan")), ("id", "p0"), ("id", None), ("store", "?"), ("category", "飲料"), ("auto", None), ("f", float("inf"))])
+                x[k] = v
+            made.append(tuple(x[k] for k in schema.PRODUCT.names))
+        rows.append((i, made))
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("i", T.IntegerType()), T.StructField("rows", T.ArrayType(schema.PRODUCT))]))
+    right = {r["i"] for r in df.where(quality.surely_right(F.col("rows"))).collect()}
+    items = df.select("i", F.explode("rows").alias("x")).select("i", "x.*")
+    wrong = {r["i"] for r in quality.validate(items, ("i", "id")).where("size(broken) > 0").collect()}
+    assert not right & wrong and 200 < len(right) < 500 and len(right | wrong) > 500
+
+
 def test_bundles_of_a_person(spark, tmp_path):
     products = spark.createDataFrame([(o, u, i, "ポプラ", "x", "飲料") for o, u in (("a", "u"), ("b", "u"), ("c", "v")) for i in ("p", "q")], "owner string, user_id string, id string, store string, name string, category string")
     for c in (*schema.TEXTS, *schema.NUMBERS, "auto"):
